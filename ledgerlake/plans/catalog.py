@@ -692,3 +692,516 @@ def q_running_balance(spark, sf):
 )
 def q_balance_check(spark, sf):
     return balance.balance_check(events(spark, sf))
+
+
+# -------------------------------------------------------------- ingestion
+
+from ..functions import text as T  # noqa: E402
+from ..operators import categorize as C  # noqa: E402
+from ..operators import charts as CH  # noqa: E402
+from ..sources import ingest  # noqa: E402
+from . import report as R  # noqa: E402
+
+
+def raw_orders_statement(spark, sf):
+    """orders as a statement file would arrive: every column a string, with
+    deterministic bad dates, blank / 'nan' descriptions, unparsable amounts and
+    missing currencies."""
+    o = adapters.table(spark, sf, "orders")
+    c = adapters.table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    k = F.col("o_orderkey")
+    return o.join(c, o.o_custkey == c.c_custkey, "left").select(
+        F.col("o_custkey").cast("string").alias("AccNo"),
+        F.when(k % 101 == 0, F.lit("bad-date")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("Date"),
+        F.when(k % 53 == 0, F.lit("  ")).when(k % 59 == 0, F.lit("nan"))
+        .otherwise(F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit(" ")))
+        .alias("MainDesc"),
+        F.when(k % 61 == 0, F.lit("1,5")).otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("Amount"),
+        F.when(k % 67 == 0, F.lit(None).cast("string")).otherwise(F.lit("GBP")).alias("Currency"),
+        F.col("o_orderstatus").alias("TransactionType"),
+        F.col("o_orderpriority").alias("Priority"),
+    )
+
+
+def raw_events_statement(spark, sf):
+    e = adapters.table(spark, sf, "events")
+    return e.select(
+        F.col("user_id").cast("string").alias("AccNo"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Date"),
+        F.col("event_type").alias("MainDesc"),
+        F.col("value").cast("decimal(18,2)").cast("string").alias("Amount"),
+        F.col("value").cast("decimal(18,2)").cast("string").alias("Balance"),
+        F.col("props").alias("AddDesc"),
+    )
+
+
+_RAW_ORDERS_SQL = """
+    SELECT CAST(o.o_custkey AS VARCHAR) AS AccNo,
+           CASE WHEN o.o_orderkey % 101 = 0 THEN 'bad-date' ELSE strftime(o.o_orderdate, '%Y-%m-%d') END AS Date,
+           CASE WHEN o.o_orderkey % 53 = 0 THEN '  ' WHEN o.o_orderkey % 59 = 0 THEN 'nan'
+                ELSE ' ' || c.c_mktsegment || ' ' END AS MainDesc,
+           CASE WHEN o.o_orderkey % 61 = 0 THEN '1,5' ELSE CAST(CAST(o.o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS Amount,
+           CASE WHEN o.o_orderkey % 67 = 0 THEN NULL ELSE 'GBP' END AS Currency,
+           o.o_orderstatus AS TransactionType,
+           o.o_orderpriority AS Priority
+    FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey"""
+
+_RAW_EVENTS_SQL = """
+    SELECT CAST(user_id AS VARCHAR) AS AccNo, strftime(ts, '%Y-%m-%d %H:%M:%S') AS Date, event_type AS MainDesc,
+           CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS Amount, CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS Balance,
+           props AS AddDesc
+    FROM events"""
+
+
+def _std_sql(raw: str, has_balance: bool, has_currency: bool, has_type: bool, has_add: bool, extras: list[str]) -> str:
+    desc = "regexp_replace(MainDesc, '^\\s+|\\s+$', '', 'g')"
+    add = "regexp_replace(AddDesc, '^\\s+|\\s+$', '', 'g')"
+    date = ("coalesce(try_strptime(trim(Date), '%Y-%m-%d'), try_strptime(trim(Date), '%Y-%m-%d %H:%M:%S'), "
+            "try_strptime(trim(Date), '%m/%d/%Y'))")
+    cols = [
+        "trim(CAST(AccNo AS VARCHAR)) AS account_number",
+        f"CAST({date} AS TIMESTAMP) AS transaction_date",
+        f"CASE WHEN {desc} IN ('', 'nan') THEN NULL ELSE {desc} END AS main_description",
+        (f"coalesce(CASE WHEN {add} IN ('', 'nan') THEN NULL ELSE {add} END, '') AS additional_description"
+         if has_add else "CAST(NULL AS VARCHAR) AS additional_description"),
+        "coalesce(TransactionType, 'UNKNOWN') AS transaction_type" if has_type else "CAST(NULL AS VARCHAR) AS transaction_type",
+        "TRY_CAST(trim(Amount) AS DECIMAL(28,6)) AS amount",
+        "TRY_CAST(trim(Balance) AS DECIMAL(28,6)) AS balance" if has_balance else "CAST(NULL AS DECIMAL(28,6)) AS balance",
+        "CAST(NULL AS VARCHAR) AS spend_category",
+        "coalesce(Currency, 'GBP') AS currency" if has_currency else "CAST(NULL AS VARCHAR) AS currency",
+    ] + extras
+    return f"SELECT {', '.join(cols)} FROM ({raw}) r"
+
+
+@register("ingest_statement", "WITH std AS (" + _std_sql(_RAW_ORDERS_SQL, False, True, True, False, ["Priority"]) + ") SELECT * FROM std")
+def q_ingest_statement(spark, sf):
+    return ingest.to_canonical(ingest.standardise(raw_orders_statement(spark, sf))).drop("row_id")
+
+
+@register(
+    "load_union",
+    "SELECT * FROM (" + _std_sql(_RAW_ORDERS_SQL, False, True, True, False, ["Priority"]) + ") "
+    "UNION ALL BY NAME SELECT * FROM (" + _std_sql(_RAW_EVENTS_SQL, True, False, False, True, ["CAST(NULL AS VARCHAR) AS Priority"]) + ")",
+)
+def q_load_union(spark, sf):
+    return ingest.union_sources([raw_orders_statement(spark, sf), raw_events_statement(spark, sf)]).drop("row_id")
+
+
+@register(
+    "coercion_failures",
+    f"""SELECT count(*) AS total_rows,
+               count(*) FILTER (WHERE Date IS NOT NULL AND trim(Date) <> '' AND parsed_date IS NULL) AS date_failures,
+               count(*) FILTER (WHERE Amount IS NOT NULL AND trim(Amount) <> '' AND parsed_amount IS NULL) AS amount_failures,
+               count(*) FILTER (WHERE parsed_amount IS NULL) AS null_amounts,
+               CAST(count(*) FILTER (WHERE parsed_amount IS NULL) AS DOUBLE) * 100 / count(*) AS null_amount_percentage
+        FROM (SELECT *, TRY_CAST(trim(Amount) AS DECIMAL(28,6)) AS parsed_amount,
+                     coalesce(try_strptime(trim(Date), '%Y-%m-%d'), try_strptime(trim(Date), '%Y-%m-%d %H:%M:%S'),
+                              try_strptime(trim(Date), '%m/%d/%Y')) AS parsed_date
+              FROM ({_RAW_ORDERS_SQL}) r) s""",
+)
+def q_coercion_failures(spark, sf):
+    return ingest.coercion_failures(ingest.standardise(raw_orders_statement(spark, sf), keep_raw=True))
+
+
+@register(
+    "load_summary",
+    O.with_txn(
+        "orders",
+        f"""SELECT count(*) AS rows, 10 AS columns, min(transaction_date) AS min_date, max(transaction_date) AS max_date,
+                   {FD('max(transaction_date)', 'min(transaction_date)')} AS span_days,
+                   count(DISTINCT transaction_date) AS unique_dates, count(DISTINCT account_number) AS accounts
+            FROM txn""",
+    ),
+)
+def q_load_summary(spark, sf):
+    return ingest.load_summary(orders(spark, sf))
+
+
+# ---------------------------------------------------------- categorisation
+
+_STOP = ", ".join(f"'{w}'" for w in __import__("ledgerlake.config", fromlist=["x"]).KEYWORD_STOP_WORDS)
+
+
+def _clean_sql(c: str) -> str:
+    from ..config import MERCHANT_NOISE_PATTERNS
+
+    s = f"regexp_replace(upper({c}), '^\\s+|\\s+$', '', 'g')"
+    for p in MERCHANT_NOISE_PATTERNS:
+        s = f"regexp_replace({s}, '{p}', ' ', 'g')"
+    s = f"regexp_replace(regexp_replace({s}, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+    return (f"CASE WHEN {c} IS NULL OR {c} = '' THEN 'UNKNOWN' WHEN length({s}) < 2 THEN 'UNKNOWN' ELSE {s} END")
+
+
+_DESC_CTE = f"d AS (SELECT main_description, count(*) AS description_count, {_clean_sql('main_description')} AS clean_merchant FROM txn GROUP BY 1)"
+
+
+@register("clean_merchant", O.with_txn("orders", "SELECT * FROM d", extra_ctes=_DESC_CTE))
+def q_clean_merchant(spark, sf):
+    return C.description_table(orders(spark, sf))
+
+
+@register(
+    "keywords",
+    O.with_txn(
+        "lineitem",
+        f"""SELECT clean_merchant, array_to_string(list_sort(list_distinct(list_filter(
+                  list_transform(string_split_regex(regexp_replace(upper(coalesce(clean_merchant, '')), '^\\s+|\\s+$', '', 'g'), '\\s+'),
+                                 lambda w: regexp_replace(w, '[^\\w]', '', 'g')),
+                  lambda w: length(w) >= 3 AND NOT list_contains([{_STOP}], w) AND NOT regexp_matches(w, '^\\d+$')
+                       AND NOT regexp_matches(w, '^\\d+[A-Z]*$')))), ',') AS keywords
+            FROM (SELECT DISTINCT clean_merchant FROM d)""",
+        extra_ctes=_DESC_CTE,
+    ),
+)
+def q_keywords(spark, sf):
+    m = C.description_table(adapters.lineitem_transactions(spark, sf)).select("clean_merchant").distinct()
+    return m.select("clean_merchant", F.array_join(T.keywords(F.col("clean_merchant")), ",").alias("keywords"))
+
+
+@register(
+    "frequent_merchants",
+    O.with_txn(
+        "orders",
+        "SELECT clean_merchant, CAST(sum(description_count) AS BIGINT) AS merchant_count FROM d GROUP BY 1 HAVING sum(description_count) >= 5",
+        extra_ctes=_DESC_CTE,
+    ),
+)
+def q_frequent_merchants(spark, sf):
+    return C.frequent_merchants(orders(spark, sf)).drop("merchant_rank")
+
+
+@register("similar_pairs", None)
+def q_similar_pairs(spark, sf):
+    m = C.frequent_merchants(adapters.supplier_transactions(spark, sf)).select("clean_merchant")
+    left = m.select(F.col("clean_merchant").alias("a"), F.col("clean_merchant").alias("a_text"))
+    right = m.select(F.col("clean_merchant").alias("b"), F.col("clean_merchant").alias("b_text"))
+    from ..functions.similarity import similar_pairs
+
+    return similar_pairs(left, right, threshold=0.85, left_id="a", left_text="a_text", right_id="b", right_text="b_text").where(
+        F.col("a") != F.col("b")
+    ).select("a", "b", "score")
+
+
+def _categorised(spark, sf, source="lineitem", **kw):
+    df = adapters.ADAPTERS[source](spark, sf)
+    out, cats = C.categorize(df, **kw)
+    return df, out, cats
+
+
+@register("categories", None)
+def q_categories(spark, sf):
+    df, _out, cats = _categorised(spark, sf)
+    return C.category_table(df, cats)
+
+
+@register("categories_nogroup", None)
+def q_categories_nogroup(spark, sf):
+    df, _out, cats = _categorised(spark, sf, source="orders", smart_grouping=False)
+    return C.category_table(df, cats)
+
+
+@register("categories_supplier", None)
+def q_categories_supplier(spark, sf):
+    df, _out, cats = _categorised(spark, sf, source="supplier")
+    return C.category_table(df, cats)
+
+
+@register("assign_categories", None)
+def q_assign_categories(spark, sf):
+    _df, out, _cats = _categorised(spark, sf)
+    return out
+
+
+@register("category_members", None)
+def q_category_members(spark, sf):
+    _df, _out, cats = _categorised(spark, sf)
+    return cats.members.select("clean_merchant", "category_name", "category_order", "category_id")
+
+
+@register("categorisation_stats", None)
+def q_categorisation_stats(spark, sf):
+    _df, out, cats = _categorised(spark, sf)
+    return C.categorisation_stats(out)
+
+
+@register("category_distribution", None)
+def q_category_distribution(spark, sf):
+    _df, out, _cats = _categorised(spark, sf)
+    return R.category_distribution_report(out)
+
+
+@register("category_financials", None)
+def q_category_financials(spark, sf):
+    _df, out, _cats = _categorised(spark, sf)
+    return R.category_financials(out)
+
+
+@register("category_expense", None)
+def q_category_expense(spark, sf):
+    _df, out, _cats = _categorised(spark, sf)
+    return R.category_breakdown(out, side="expense")
+
+
+@register("category_revenue", None)
+def q_category_revenue(spark, sf):
+    _df, out, _cats = _categorised(spark, sf)
+    return R.category_breakdown(out, side="revenue")
+
+
+@register("chart_category_share", None)
+def q_chart_category_share(spark, sf):
+    _df, out, _cats = _categorised(spark, sf)
+    return CH.category_share(out)
+
+
+# ----------------------------------------------------------------- charts
+
+
+@register(
+    "chart_amount_histogram",
+    O.with_txn(
+        "orders",
+        """SELECT side, bin, lo + bin * ((hi - lo) / 50) AS bin_start, lo + (bin + 1) * ((hi - lo) / 50) AS bin_end, count(*) AS frequency
+           FROM (SELECT v.side, b.lo, b.hi, CAST(least(floor((v.x - b.lo) / (b.hi - b.lo) * 50), 49) AS INTEGER) AS bin
+                 FROM v JOIN b ON v.side = b.side)
+           GROUP BY side, bin, lo, hi""",
+        extra_ctes="""v AS (SELECT CASE WHEN amount > 0 THEN 'income' ELSE 'expense' END AS side, CAST(abs(amount) AS DOUBLE) AS x
+                            FROM txn WHERE amount IS NOT NULL AND amount <> 0),
+                      b0 AS (SELECT side, min(x) AS lo0, max(x) AS hi0 FROM v GROUP BY 1),
+                      b AS (SELECT side, CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
+                                   CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM b0)""",
+    ),
+)
+def q_chart_amount_histogram(spark, sf):
+    return CH.amount_histogram(orders(spark, sf))
+
+
+@register(
+    "chart_merchant_frequency",
+    O.with_txn(
+        "lineitem",
+        """SELECT main_description, CASE WHEN length(main_description) > 40 THEN substr(main_description, 1, 40) || '...'
+                                       ELSE main_description END AS label, transaction_count
+           FROM mc ORDER BY transaction_count DESC, main_description LIMIT 15""",
+        extra_ctes=_MC,
+    ),
+)
+def q_chart_merchant_frequency(spark, sf):
+    return CH.merchant_frequency_chart(adapters.lineitem_transactions(spark, sf))
+
+
+@register(
+    "chart_monthly_trends",
+    O.with_txn(
+        "orders",
+        f"""SELECT CAST(date_trunc('month', transaction_date) AS DATE) AS year_month, count(amount) AS transaction_count,
+                   {MO('coalesce(sum(amount), 0)')} AS total_amount
+            FROM txn {_DATED} GROUP BY 1""",
+    ),
+)
+def q_chart_monthly_trends(spark, sf):
+    return CH.monthly_trends_chart(orders(spark, sf))
+
+
+@register(
+    "chart_cash_flow",
+    O.with_txn(
+        "orders",
+        f"""SELECT CAST(date_trunc('month', transaction_date) AS DATE) AS year_month,
+                   {MO('coalesce(sum(amount) FILTER (WHERE amount > 0), 0)')} AS income,
+                   {MO('abs(coalesce(sum(amount) FILTER (WHERE amount < 0), 0))')} AS expenses,
+                   {MO('coalesce(sum(amount) FILTER (WHERE amount > 0), 0) + coalesce(sum(amount) FILTER (WHERE amount < 0), 0)')} AS net_flow
+            FROM txn {_DATED} GROUP BY 1""",
+    ),
+)
+def q_chart_cash_flow(spark, sf):
+    return CH.cash_flow_chart(orders(spark, sf))
+
+
+@register(
+    "chart_account_comparison",
+    O.with_txn(
+        "orders",
+        f"""SELECT account_number, transaction_count, {MO('s')} AS total_amount, {M2('s', 'transaction_count')} AS avg_amount
+            FROM (SELECT account_number, count(amount) AS transaction_count, coalesce(sum(amount), 0) AS s,
+                         count(*) OVER () AS nacc
+                  FROM txn WHERE account_number IS NOT NULL GROUP BY 1) WHERE nacc > 1""",
+    ),
+)
+def q_chart_account_comparison(spark, sf):
+    return CH.account_comparison(orders(spark, sf))
+
+
+@register(
+    "chart_account_daily_activity",
+    O.with_txn(
+        "events",
+        """SELECT account_number, CAST(transaction_date AS DATE) AS day, count(*) AS transaction_count FROM txn
+           WHERE account_number IS NOT NULL AND transaction_date IS NOT NULL GROUP BY 1, 2""",
+    ),
+)
+def q_chart_account_daily_activity(spark, sf):
+    return CH.account_daily_activity(events(spark, sf))
+
+
+@register(
+    "chart_weekday",
+    O.with_txn(
+        "orders",
+        f"""SELECT isodow(transaction_date) - 1 AS day_of_week,
+                   (['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'])[isodow(transaction_date)] AS weekday_name,
+                   count(amount) AS transaction_count, {MO('coalesce(sum(amount), 0)')} AS total_amount,
+                   {M2('coalesce(sum(amount), 0)', 'count(amount)')} AS avg_amount
+            FROM txn {_DATED} GROUP BY 1, 2""",
+    ),
+)
+def q_chart_weekday(spark, sf):
+    return CH.weekday_chart(orders(spark, sf))
+
+
+@register(
+    "chart_outliers",
+    O.with_txn(
+        "orders",
+        f"""SELECT row_id,
+                   CASE WHEN length(coalesce(main_description, 'Unknown')) > 30
+                        THEN substr(coalesce(main_description, 'Unknown'), 1, 30) || '...'
+                        ELSE coalesce(main_description, 'Unknown') END AS label,
+                   {MO('amount')} AS amount, {MO('abs(amount)')} AS abs_amount,
+                   CASE WHEN amount > 0 THEN 'income' ELSE 'expense' END AS direction
+            FROM txn WHERE amount IS NOT NULL ORDER BY abs(amount) DESC, row_id LIMIT 15""",
+    ),
+)
+def q_chart_outliers(spark, sf):
+    return CH.outliers_chart(orders(spark, sf))
+
+
+@register(
+    "chart_balance_trend",
+    O.with_txn(
+        "events",
+        f"""SELECT account_number, CAST(transaction_date AS DATE) AS day,
+                   {MO('max_by(balance, (transaction_date, row_id))')} AS balance
+            FROM txn WHERE account_number IS NOT NULL AND transaction_date IS NOT NULL AND balance IS NOT NULL GROUP BY 1, 2""",
+    ),
+)
+def q_chart_balance_trend(spark, sf):
+    return CH.balance_trend(events(spark, sf), daily_close=True)
+
+
+@register(
+    "chart_income_vs_expense",
+    O.with_txn(
+        "orders",
+        f"""SELECT {MO('coalesce(sum(amount) FILTER (WHERE amount > 0), 0)')} AS total_income,
+                   {MO('abs(coalesce(sum(amount) FILTER (WHERE amount < 0), 0))')} AS total_expenses FROM txn""",
+    ),
+)
+def q_chart_income_vs_expense(spark, sf):
+    return CH.income_vs_expense(orders(spark, sf))
+
+
+# ----------------------------------------------------------------- sheets
+
+
+@register(
+    "sheet_top_merchants",
+    O.with_txn(
+        "orders",
+        "SELECT main_description AS Merchant, transaction_count AS Transaction_Count FROM mc ORDER BY transaction_count DESC, main_description LIMIT 15",
+        extra_ctes=_MC,
+    ),
+)
+def q_sheet_top_merchants(spark, sf):
+    return R.top_merchants_sheet(orders(spark, sf))
+
+
+@register(
+    "sheet_active_inactive",
+    O.with_txn(
+        "orders",
+        """SELECT account_number, status, total_transactions, recent_transactions_90_days, days_since_last_transaction,
+                  strftime(last_transaction_date, '%Y-%m-%d') AS last_transaction_date,
+                  strftime(first_transaction_date, '%Y-%m-%d') AS first_transaction_date,
+                  total_amount, avg_transaction_amount FROM acc""",
+        extra_ctes=_activity_ctes(AS_OF_ORDERS),
+    ),
+)
+def q_sheet_active_inactive(spark, sf):
+    return R.activity_sheet(orders(spark, sf), as_of=AS_OF_ORDERS)
+
+
+@register("sheet_account_analysis", None)
+def q_sheet_account_analysis(spark, sf):
+    return R.account_sheet(events(spark, sf), as_of=AS_OF_EVENTS)
+
+
+@register("sheet_executive_summary", None)
+def q_sheet_executive_summary(spark, sf):
+    return R.executive_summary(orders(spark, sf), analysis_date=AS_OF_ORDERS)
+
+
+@register("sheet_raw_data", None)
+def q_sheet_raw_data(spark, sf):
+    return R.export_format(orders(spark, sf))
+
+
+@register("simple_summary", None)
+def q_simple_summary(spark, sf):
+    return R.simple_summary(orders(spark, sf))
+
+
+@register(
+    "cover_stats",
+    O.with_txn(
+        "orders",
+        f"""SELECT min(transaction_date) AS period_start, max(transaction_date) AS period_end, count(*) AS total_transactions,
+                   count(DISTINCT account_number) AS unique_accounts, {MO('coalesce(sum(abs(amount)), 0)')} AS total_volume FROM txn""",
+    ),
+)
+def q_cover_stats(spark, sf):
+    return R.cover_stats(orders(spark, sf))
+
+
+@register("key_findings", None)
+def q_key_findings(spark, sf):
+    return R.key_findings(orders(spark, sf))
+
+
+@register("account_table", None)
+def q_account_table(spark, sf):
+    return R.account_table(orders(spark, sf), as_of=AS_OF_ORDERS)
+
+
+@register("completeness_table", None)
+def q_completeness_table(spark, sf):
+    return R.completeness_table(orders(spark, sf))
+
+
+@register(
+    "per_account_monthly",
+    O.with_txn(
+        "orders",
+        f"""SELECT account_number, year(transaction_date) AS year, month(transaction_date) AS month,
+                   count(amount) AS transaction_count, {MO('coalesce(sum(amount), 0)')} AS total_amount,
+                   {M2('coalesce(sum(amount), 0)', 'count(amount)')} AS avg_amount,
+                   count(DISTINCT transaction_date) AS active_days
+            FROM txn WHERE transaction_date IS NOT NULL AND account_number IS NOT NULL GROUP BY 1, 2, 3""",
+    ),
+)
+def q_per_account_monthly(spark, sf):
+    return R.per_account_reports(orders(spark, sf), as_of=AS_OF_ORDERS)["monthly_summary"]
+
+
+@register(
+    "per_account_top_merchants",
+    O.with_txn(
+        "orders",
+        """SELECT account_number, main_description, transaction_count, rank FROM (
+             SELECT account_number, main_description, count(*) AS transaction_count,
+                    row_number() OVER (PARTITION BY account_number ORDER BY count(*) DESC, main_description) AS rank
+             FROM txn WHERE main_description IS NOT NULL AND account_number IS NOT NULL GROUP BY 1, 2) WHERE rank <= 15""",
+    ),
+)
+def q_per_account_top_merchants(spark, sf):
+    return R.per_account_reports(orders(spark, sf), as_of=AS_OF_ORDERS)["top_merchants"]
