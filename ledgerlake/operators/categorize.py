@@ -351,3 +351,32 @@ def categorisation_stats(categorised: DataFrame, n_categories: int | None = None
 
 def category_distribution(categorised: DataFrame) -> DataFrame:
     return categorised.groupBy("auto_category").agg(F.count(F.lit(1)).alias("transaction_count"))
+
+
+def category_summary(df: DataFrame, cats: Categories, *, descriptions: DataFrame | None = None) -> DataFrame:
+    """One row per category for review: name, merchants, transactions, mean
+    amount, pattern, frequency score and the first three merchants."""
+    return category_table(df, cats, descriptions=descriptions).select(
+        "category_name",
+        "merchant_count",
+        "transaction_count",
+        "avg_amount",
+        "amount_pattern",
+        "frequency_score",
+        "sample_merchants",
+    )
+
+
+def export_categories(df: DataFrame, cats: Categories, path: str, *, fmt: str = "parquet") -> str:
+    """Write the category summary and the merchant -> category mapping for review."""
+    from ..plans.report import write_bundle
+
+    write_bundle(
+        {
+            "category_summary": category_summary(df, cats),
+            "merchant_category": cats.members.select(CM, "category_name", "category_id", "category_order"),
+        },
+        path,
+        fmt=fmt,
+    )
+    return path

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import money_out, pct
+from ..functions.quantiles import exact_quantiles
 from ..functions.text import truncate
 
 def _A():
@@ -21,29 +22,37 @@ def _ABS():
 Q_TYPE = "decimal(38,6)"
 
 
-def _quantiles(df: DataFrame, value: Column, probs: Sequence[float], approx: bool) -> Column:
-    """Linear-interpolated quantiles of ``value`` (nulls ignored).
+def _quantiles(df: DataFrame, value: Column, probs: Sequence[float], method: str) -> DataFrame:
+    """One-row DataFrame with ``_q`` (array of decimal(38,6)) and ``_n`` (rows).
 
-    Exact by default (Spark ``percentile``, the same interpolation as
-    numpy/DuckDB ``quantile_cont``); ``approx=True`` uses the mergeable
-    ``percentile_approx`` sketch whose memory does not grow with the number of
-    distinct values."""
+    ``distributed`` (default): exact, memory bounded by one value range (see
+    ``functions.quantiles``); ``percentile``: Spark's exact aggregate (one
+    value map merged in a single task; fine for modest distinct counts);
+    ``approx``: the mergeable ``percentile_approx`` sketch. All three use
+    linear interpolation between order statistics."""
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    if method == "distributed":
+        qs = exact_quantiles(df, value, probs)
+        arr = F.array(*[F.lit(q).cast(Q_TYPE) if q is not None else F.lit(None).cast(Q_TYPE) for q in qs])
+        return n.select(arr.alias("_q"), "_n")
     arr = F.array(*[F.lit(float(p)) for p in probs])
-    if approx:
-        return F.percentile_approx(value.cast("double"), arr, 100000)
-    return F.percentile(value.cast("double"), arr)
+    if method == "approx":
+        agg = F.percentile_approx(value.cast("double"), arr, 100000)
+    elif method == "percentile":
+        agg = F.percentile(value.cast("double"), arr)
+    else:
+        raise ValueError(f"unknown quantile method {method!r}")
+    return df.agg(F.transform(agg, lambda q: q.cast(Q_TYPE)).alias("_q"), F.count(F.lit(1)).alias("_n"))
 
 
 def _q(i: int) -> Column:
     # quantiles of 2-dp data have at most 4 decimals: decimal(38,6) is exact
-    return F.col("_q")[i].cast(Q_TYPE)
+    return F.col("_q")[i]
 
 
-def iqr_outliers(df: DataFrame, *, approx: bool = False) -> DataFrame:
+def iqr_outliers(df: DataFrame, *, method: str = "distributed") -> DataFrame:
     """|amount| above q75 + 1.5 * IQR (linear quantiles of |amount|)."""
-    stats = df.agg(_quantiles(df, _ABS(), [0.25, 0.75], approx).alias("_q"), F.count(F.lit(1)).alias("_n")).select(
-        _q(0).alias("q25"), _q(1).alias("q75"), "_n"
-    )
+    stats = _quantiles(df, _ABS(), [0.25, 0.75], method).select(_q(0).alias("q25"), _q(1).alias("q75"), "_n")
     stats = stats.withColumn("iqr", F.col("q75") - F.col("q25")).withColumn(
         "upper_bound", F.col("q75") + F.lit(1.5).cast("decimal(2,1)") * F.col("iqr")
     ).withColumn("lower_bound", F.col("q25") - F.lit(1.5).cast("decimal(2,1)") * F.col("iqr"))
@@ -61,11 +70,9 @@ def iqr_outliers(df: DataFrame, *, approx: bool = False) -> DataFrame:
     )
 
 
-def large_transactions(df: DataFrame, *, percentile: float = 95.0, approx: bool = False) -> DataFrame:
+def large_transactions(df: DataFrame, *, percentile: float = 95.0, method: str = "distributed") -> DataFrame:
     """|amount| above its ``percentile``-th percentile."""
-    stats = df.agg(
-        _quantiles(df, _ABS(), [percentile / 100.0], approx).alias("_q"), F.count(F.lit(1)).alias("_n")
-    ).select(_q(0).alias("threshold"), "_n")
+    stats = _quantiles(df, _ABS(), [percentile / 100.0], method).select(_q(0).alias("threshold"), "_n")
     counted = df.select(_A()).crossJoin(F.broadcast(stats)).groupBy("threshold", "_n").agg(
         F.count_if(_ABS() > F.col("threshold")).alias("large_count")
     )

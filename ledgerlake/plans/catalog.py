@@ -1205,3 +1205,102 @@ def q_per_account_monthly(spark, sf):
 )
 def q_per_account_top_merchants(spark, sf):
     return R.per_account_reports(orders(spark, sf), as_of=AS_OF_ORDERS)["top_merchants"]
+
+
+# --------------------------------------------------------------- patterns
+
+from ..operators import patterns as P  # noqa: E402
+
+
+@register(
+    "pattern_profile",
+    O.with_txn(
+        "orders",
+        """SELECT count(*) AS total_transactions,
+                  count(*) FILTER (WHERE amount > 0) AS positive_count,
+                  count(*) FILTER (WHERE amount < 0) AS negative_count,
+                  count(*) FILTER (WHERE amount = 0) AS zero_count,
+                  coalesce(CAST(sum(amount) FILTER (WHERE amount > 0) AS DOUBLE) / count(amount) FILTER (WHERE amount > 0), 0.0) AS mean_positive,
+                  coalesce(CAST(sum(amount) FILTER (WHERE amount < 0) AS DOUBLE) / count(amount) FILTER (WHERE amount < 0), 0.0) AS mean_negative,
+                  CAST(quantile_cont(CAST(amount AS DOUBLE), 0.25) AS DECIMAL(38,6)) AS p25,
+                  CAST(quantile_cont(CAST(amount AS DOUBLE), 0.5) AS DECIMAL(38,6)) AS p50,
+                  CAST(quantile_cont(CAST(amount AS DOUBLE), 0.75) AS DECIMAL(38,6)) AS p75,
+                  CAST(quantile_cont(CAST(amount AS DOUBLE), 0.9) AS DECIMAL(38,6)) AS p90,
+                  CAST(quantile_cont(CAST(amount AS DOUBLE), 0.95) AS DECIMAL(38,6)) AS p95,
+                  CAST(quantile_cont(CAST(amount AS DOUBLE), 0.99) AS DECIMAL(38,6)) AS p99
+           FROM txn""",
+    ),
+)
+def q_pattern_profile(spark, sf):
+    return P.pattern_profile(orders(spark, sf))
+
+
+@register(
+    "pattern_merchants",
+    O.with_txn("lineitem", "SELECT * FROM mc ORDER BY transaction_count DESC, main_description LIMIT 20", extra_ctes=_MC),
+)
+def q_pattern_merchants(spark, sf):
+    return P.pattern_merchants(adapters.lineitem_transactions(spark, sf))
+
+
+@register(
+    "pattern_months",
+    O.with_txn("orders", f"SELECT month(transaction_date) AS month, count(*) AS transaction_count FROM txn {_DATED} GROUP BY 1"),
+)
+def q_pattern_months(spark, sf):
+    return P.month_distribution(orders(spark, sf))
+
+
+@register(
+    "pattern_weekdays",
+    O.with_txn("events", f"SELECT isodow(transaction_date) - 1 AS day_of_week, count(*) AS transaction_count FROM txn {_DATED} GROUP BY 1"),
+)
+def q_pattern_weekdays(spark, sf):
+    return P.weekday_distribution(events(spark, sf))
+
+
+@register(
+    "merchant_rank",
+    O.with_txn(
+        "lineitem",
+        """SELECT clean_merchant, merchant_count,
+                  row_number() OVER (ORDER BY merchant_count DESC, clean_merchant) AS merchant_rank
+           FROM (SELECT clean_merchant, CAST(sum(description_count) AS BIGINT) AS merchant_count FROM d GROUP BY 1
+                 HAVING sum(description_count) >= 5)""",
+        extra_ctes=_DESC_CTE,
+    ),
+)
+def q_merchant_rank(spark, sf):
+    return P.merchant_rank(C.frequent_merchants(adapters.lineitem_transactions(spark, sf)).drop("merchant_rank"))
+
+
+@register("category_summary", None)
+def q_category_summary(spark, sf):
+    df, _out, cats = _categorised(spark, sf)
+    return C.category_summary(df, cats)
+
+
+@register("assign_fuzzy", None)
+def q_assign_fuzzy(spark, sf):
+    """Supplier names, grouping off and 10 categories: the other frequent
+    suppliers go through the fuzzy stage (best score, first category on
+    ties); distinct (description, category) pairs matched at 0.7."""
+    _df, out, _cats = _categorised(spark, sf, source="supplier", smart_grouping=False, max_categories=10)
+    return out.where(F.col("category_confidence") == 0.7).select("main_description", "auto_category").distinct()
+
+
+@register("decimal_compare", O.with_txn(
+    "orders",
+    """SELECT count(*) FILTER (WHERE coalesce(amount > 100000, false)) AS gt,
+              count(*) FILTER (WHERE coalesce(amount <= -100000, false)) AS le,
+              count(*) FILTER (WHERE coalesce(amount <> 0, false)) AS ne FROM txn""",
+))
+def q_decimal_compare(spark, sf):
+    from ..functions.money import compare
+
+    df = orders(spark, sf)
+    return df.agg(
+        F.count_if(compare("amount", 100000, ">")).alias("gt"),
+        F.count_if(compare("amount", -100000, "<=")).alias("le"),
+        F.count_if(compare("amount", 0, "!=")).alias("ne"),
+    )

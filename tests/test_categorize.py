@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from conftest import SF001, SF01
 from ledgerlake.operators import categorize as C
 from ledgerlake.sources import adapters
 
@@ -97,3 +97,31 @@ def test_cap(spark):
 def test_no_grouping(spark):
     df = adapters.lineitem_transactions(spark, SF001)
     assert distributed(spark, df, smart_grouping=False) == sequential(counts_of(df), grouping=False)
+
+
+def test_fuzzy_stage_matches_sequential(spark):
+    """Uncategorised frequent merchants take the category of their best-scoring
+    known merchant (> threshold; first in category order on equal scores)."""
+    df = adapters.supplier_transactions(spark, SF01)
+    out, cats = C.categorize(df, smart_grouping=False, max_categories=10)
+    members = sorted(
+        ((r.category_order, r.merchant_rank, r.clean_merchant, r.category_name) for r in cats.members.collect()),
+        key=lambda t: (t[0], t[1]),
+    )
+    known = [(m, cat) for _, _, m, cat in members]
+    counts = counts_of(df)
+    expected = {}
+    for m, c in counts.items():
+        if c < 5 or any(m == k for k, _ in known):
+            continue
+        best, score = None, 0.85
+        for k, cat in known:
+            s = SequenceMatcher(None, m, k).ratio()
+            if s > score:
+                best, score = cat, s
+        if best:
+            expected[m] = best
+    got = {}
+    for r in C.with_clean_merchant(out).where(F.col("category_confidence") == 0.7).select("clean_merchant", "auto_category").distinct().collect():
+        got[r.clean_merchant] = r.auto_category
+    assert got == expected and len(got) > 0
