@@ -84,6 +84,7 @@ def standardise(
     date_formats: Sequence[str] = DATE_FORMATS,
     keep_raw: bool = False,
     source_id: int = 0,
+    row_id: Column | None = None,
 ) -> DataFrame:
     """Canonical columns (+ unmapped extras); ``keep_raw`` adds the raw date /
     amount / balance strings for coercion-failure counts."""
@@ -111,8 +112,11 @@ def standardise(
     for std, default in DEFAULT_VALUES.items():
         if std in out:
             out[std] = F.coalesce(out[std], F.lit(default))
-    # deterministic per-source row id (source in the high bits)
-    out["row_id"] = (F.lit(source_id).cast("bigint") * F.lit(1 << 40) + F.monotonically_increasing_id()).cast("bigint")
+    # per-source row id (source in the high bits); streams pass their own
+    # content-derived id because monotonically_increasing_id is batch-only
+    if row_id is None:
+        row_id = F.lit(source_id).cast("bigint") * F.lit(1 << 40) + F.monotonically_increasing_id()
+    out["row_id"] = row_id.cast("bigint")
     cols = [out[c].alias(c) for c in CANONICAL_COLUMNS if c in out]
     used = set(mapping.values())
     extras = [F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns if c not in used and c not in out]
