@@ -1304,3 +1304,77 @@ def q_decimal_compare(spark, sf):
         F.count_if(compare("amount", -100000, "<=")).alias("le"),
         F.count_if(compare("amount", 0, "!=")).alias("ne"),
     )
+
+
+# ------------------------------------------------- sheet oracles (SQL parity)
+
+def _fin_cte() -> str:
+    return f"""fin AS (
+      SELECT account_number, count(*) AS transaction_count,
+             min(transaction_date) AS first_transaction, max(transaction_date) AS last_transaction,
+             {MO("coalesce(sum(amount) FILTER (WHERE amount > 0), 0)")} AS total_credits,
+             {MO("coalesce(sum(amount) FILTER (WHERE amount < 0), 0)")} AS total_debits,
+             {MO("coalesce(sum(amount), 0)")} AS net_position,
+             coalesce({M2("coalesce(sum(amount), 0)", "count(amount)")}, CAST(0 AS DECIMAL(38,2))) AS avg_transaction,
+             {MO("max_by(balance, (transaction_date, row_id)) FILTER (WHERE transaction_date IS NOT NULL AND balance IS NOT NULL)")} AS current_balance
+      FROM txn WHERE account_number IS NOT NULL GROUP BY 1)"""
+
+
+def _act_cte(as_of: str) -> str:
+    ref = f"CASE WHEN {FD(TS(as_of), 'last_transaction')} > 30 THEN last_transaction ELSE {TS(as_of)} END"
+    return f"""l0 AS (SELECT account_number, max(transaction_date) AS last_transaction FROM txn
+                      WHERE account_number IS NOT NULL GROUP BY 1),
+      l AS (SELECT *, {ref} AS ref FROM l0),
+      act AS (
+      SELECT l.account_number,
+             {FD(TS(as_of), 'l.last_transaction')} AS days_since_last_transaction,
+             coalesce({FD(TS(as_of), 'l.last_transaction')} <= 90, false) AS is_active,
+             CASE WHEN {FD(TS(as_of), 'l.last_transaction')} > 30 THEN 'data_end' ELSE 'current_date' END AS reference_date_used,
+             coalesce({FD(TS(as_of), 'l.last_transaction')} > 30, false) AS is_historical_data,
+             count(*) FILTER (WHERE epoch_us(t.transaction_date) > epoch_us(l.ref) - {30 * O.MICROS_PER_DAY}) AS transactions_last_30_days
+      FROM txn t JOIN l ON t.account_number = l.account_number
+      GROUP BY l.account_number, l.last_transaction, l.ref)"""
+
+
+REGISTRY["sheet_account_analysis"] = (
+    q_sheet_account_analysis,
+    O.with_txn(
+        "events",
+        "SELECT * FROM fin LEFT JOIN act USING (account_number)",
+        extra_ctes=_fin_cte() + ",\n" + _act_cte(AS_OF_EVENTS),
+    ),
+)
+
+REGISTRY["account_table"] = (
+    q_account_table,
+    O.with_txn(
+        "orders",
+        """SELECT f.account_number, f.transaction_count, f.net_position, f.avg_transaction,
+                  CASE WHEN a.is_active THEN 'Active' ELSE 'Inactive' END AS status
+           FROM fin f JOIN act a USING (account_number) ORDER BY f.account_number LIMIT 10""",
+        extra_ctes=_fin_cte() + ",\n" + _act_cte(AS_OF_ORDERS),
+    ),
+)
+
+REGISTRY["completeness_table"] = (
+    q_completeness_table,
+    O.with_txn(
+        "orders",
+        "\nUNION ALL\n".join(
+            f"""SELECT '{c}' AS column_name,
+                       100.0 - {PCT(f'count(*) FILTER (WHERE {c} IS NULL)', 'count(*)')} AS complete_percentage,
+                       count(*) FILTER (WHERE {c} IS NULL) AS missing_count FROM txn"""
+            for c in CANONICAL_COLUMNS
+        ),
+    ),
+)
+
+REGISTRY["sheet_raw_data"] = (
+    q_sheet_raw_data,
+    O.with_txn(
+        "orders",
+        """SELECT account_number, strftime(transaction_date, '%Y-%m-%d %H:%M:%S') AS transaction_date, main_description,
+                  additional_description, transaction_type, CAST(amount AS DECIMAL(38,2)) AS amount,
+                  CAST(balance AS DECIMAL(38,2)) AS balance, spend_category, currency, row_id FROM txn""",
+    ),
+)
