@@ -79,6 +79,7 @@ def category_share(categorised: DataFrame, *, max_slices: int = 15) -> DataFrame
     OTHERS; empty when there is at most one category. The ranking window
     runs on the per-category table (one row per category)."""
     counts = categorised.groupBy("auto_category").agg(F.count(F.lit(1)).alias("cnt"))
+    # one row per category (bounded by the category cap + UNCATEGORIZED)
     w = Window.orderBy(F.col("cnt").desc(), F.col("auto_category").asc())
     n_cat = F.count(F.lit(1)).over(Window.partitionBy())
     ranked = counts.withColumn("_rk", F.row_number().over(w)).withColumn("_ncat", n_cat)
@@ -114,9 +115,11 @@ def account_comparison(df: DataFrame) -> DataFrame:
         .groupBy("account_number")
         .agg(F.count(_A()).alias("transaction_count"), F.coalesce(F.sum(_A()), F.lit(0)).alias("_s"))
     )
-    n_acc = F.count(F.lit(1)).over(Window.partitionBy())
+    # account count as a one-row aggregate (a window over () would pull the
+    # whole per-account table into one partition)
+    n_acc = per.agg(F.count(F.lit(1)).alias("_nacc"))
     return (
-        per.withColumn("_nacc", n_acc)
+        per.crossJoin(F.broadcast(n_acc))
         .where(F.col("_nacc") > 1)
         .select(
             "account_number",
