@@ -125,24 +125,44 @@ def learn_categories(
     spark: SparkSession = df.sparkSession
     ensure_checkpoint_dir(spark)
     freq = frequent_merchants(df, min_frequency=min_frequency, descriptions=descriptions).select(CM, "merchant_rank")
-    remaining = freq.checkpoint(eager=True)
+    remaining = freq
+    checkpointed = False
     leader_rows: list[tuple[tuple, str, str]] = []  # (leader_rank, leader, name) in leader order
     member_parts: list[DataFrame] = []
     names_seen: set[str] = set()
     done = False
     while not done:
-        blk = remaining.orderBy("merchant_rank").limit(block).collect()
+        blk = remaining.orderBy("merchant_rank").limit(block + 1).collect()
         if not blk:
             break
-        new_leaders: list[tuple[int, str]] = []
+        # the block holds every remaining merchant: the local pass is complete
+        whole = len(blk) <= block
+        blk = blk[:block]
+        if not whole and not checkpointed:
+            # several rounds ahead: cut the lineage of the remaining table
+            remaining = remaining.checkpoint(eager=True)
+            checkpointed = True
+        new_leaders: list[tuple[tuple, str]] = []
+        local_members: list[tuple[tuple, str, str, tuple]] = []
         for r in blk:
-            m = r[CM]
-            if smart_grouping and any(could_match(lead, m, similarity) and py_ratio(lead, m) > similarity for _, lead in new_leaders):
-                continue
-            new_leaders.append((tuple(r["merchant_rank"]), m))
-        lead_df = spark.createDataFrame(new_leaders, f"leader_rank {RANK_TYPE}, leader string")
-        own = lead_df.select("leader_rank", "leader", F.col("leader").alias(CM), F.col("leader_rank").alias("merchant_rank"))
-        if smart_grouping:
+            m, rank = r[CM], tuple(r["merchant_rank"])
+            owner = None
+            if smart_grouping:
+                for lrank, lead in new_leaders:
+                    if could_match(lead, m, similarity) and py_ratio(lead, m) > similarity:
+                        owner = (lrank, lead)
+                        break
+            if owner is None:
+                new_leaders.append((rank, m))
+                owner = (rank, m)
+            local_members.append((owner[0], owner[1], m, rank))
+        member_schema = f"leader_rank {RANK_TYPE}, leader string, {CM} string, merchant_rank {RANK_TYPE}"
+        if whole or not smart_grouping:
+            # every member of these leaders is in the block (bounded: <= block rows)
+            members = spark.createDataFrame(local_members if smart_grouping else [(l, n, n, l) for l, n in new_leaders], member_schema)
+        else:
+            lead_df = spark.createDataFrame(new_leaders, f"leader_rank {RANK_TYPE}, leader string")
+            own = lead_df.select("leader_rank", "leader", F.col("leader").alias(CM), F.col("leader_rank").alias("merchant_rank"))
             pairs = similar_pairs(
                 lead_df, remaining, threshold=similarity,
                 left_id="leader_rank", left_text="leader", right_id="merchant_rank", right_text=CM,
@@ -150,10 +170,7 @@ def learn_categories(
             # a merchant joins the earliest leader that matches it
             first_leader = pairs.groupBy("merchant_rank", CM).agg(F.min("leader_rank").alias("leader_rank"))
             absorbed = first_leader.join(lead_df, on="leader_rank").select("leader_rank", "leader", CM, "merchant_rank")
-            members = own.unionByName(absorbed)
-        else:
-            members = own
-        members = members.checkpoint(eager=True)
+            members = own.unionByName(absorbed).checkpoint(eager=True)
         names = {tuple(r["leader_rank"]): r["category_name"] for r in category_names(members).collect()}
         accepted: list[tuple] = []
         for rank, lead in new_leaders:
@@ -166,8 +183,15 @@ def learn_categories(
                 break
         acc_df = spark.createDataFrame([(a,) for a in accepted], f"leader_rank {RANK_TYPE}")
         member_parts.append(members.join(acc_df, on="leader_rank", how="left_semi"))
+        if whole:
+            break
         if not done:
-            remaining = remaining.join(members.select("merchant_rank"), on="merchant_rank", how="left_anti").checkpoint(eager=True)
+            if smart_grouping:
+                remaining = remaining.join(members.select("merchant_rank"), on="merchant_rank", how="left_anti")
+            else:
+                blk_df = spark.createDataFrame([(rank,) for rank, _ in new_leaders], f"merchant_rank {RANK_TYPE}")
+                remaining = remaining.join(blk_df, on="merchant_rank", how="left_anti")
+            remaining = remaining.checkpoint(eager=True)
     leaders = _leader_table(spark, leader_rows)
     if member_parts:
         all_members = member_parts[0]
@@ -302,12 +326,16 @@ def assign(
         "merchant_rank",
     )
     uncat_ids = uncat.select(F.col(CM).alias("uid"), F.col(CM).alias("utext"))
-    known_ids = known.select(F.col("known").alias("kid"), F.col("known").alias("ktext"))
-    pairs = similar_pairs(uncat_ids, known_ids, threshold=similarity, left_id="uid", left_text="utext", right_id="kid", right_text="ktext")
-    ranked = pairs.join(known, pairs.kid == known.known, "inner")
-    best = ranked.groupBy(F.col("uid").alias(CM)).agg(
-        F.min_by(F.col("_cat"), F.struct(-F.col("score"), F.col("category_order"), F.col("merchant_rank"))).alias("_fuzzy")
-    )
+    if uncat_ids.limit(1).count() == 0:
+        # nothing left for the fuzzy stage: skip the similarity join
+        best = df.sparkSession.createDataFrame([], f"{CM} string, _fuzzy string")
+    else:
+        known_ids = known.select(F.col("known").alias("kid"), F.col("known").alias("ktext"))
+        pairs = similar_pairs(uncat_ids, known_ids, threshold=similarity, left_id="uid", left_text="utext", right_id="kid", right_text="ktext")
+        ranked = pairs.join(known, pairs.kid == known.known, "inner")
+        best = ranked.groupBy(F.col("uid").alias(CM)).agg(
+            F.min_by(F.col("_cat"), F.struct(-F.col("score"), F.col("category_order"), F.col("merchant_rank"))).alias("_fuzzy")
+        )
     # distinct-description -> category mapping, joined back to the rows by
     # description (null-safe: missing descriptions clean to UNKNOWN)
     mapping = (
