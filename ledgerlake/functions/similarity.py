@@ -52,23 +52,24 @@ def _prefix_len(n: Column, threshold: float) -> Column:
     return n - F.ceil(n * F.lit(a)) + 1
 
 
-def _tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, ch, occ) multiset tokens of each string."""
+def _tokens(df: DataFrame, keys: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(keys, id, ch, occ) multiset tokens of each string."""
     chars = df.select(
+        *keys,
         F.col(id_col).alias("_id"),
         F.explode(F.expr(f"transform(sequence(1, length({text_col})), i -> substring({text_col}, i, 1))")).alias("ch"),
     )
-    counts = chars.groupBy("_id", "ch").agg(F.count(F.lit(1)).alias("_n"))
-    return counts.select("_id", "ch", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("occ"))
+    counts = chars.groupBy(*keys, "_id", "ch").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.select(*keys, "_id", "ch", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("occ"))
 
 
-def _prefixes(tokens: DataFrame, lengths: DataFrame, freq: DataFrame, threshold: float) -> DataFrame:
-    ranked = tokens.join(freq, on=["ch", "occ"], how="inner").join(lengths, on="_id", how="inner")
-    w = Window.partitionBy("_id").orderBy("freq", "ch", "occ")
+def _prefixes(tokens: DataFrame, lengths: DataFrame, freq: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    ranked = tokens.join(freq, on=["ch", "occ"], how="inner").join(lengths, on=[*keys, "_id"], how="inner")
+    w = Window.partitionBy(*keys, "_id").orderBy("freq", "ch", "occ")
     return (
         ranked.withColumn("_pos", F.row_number().over(w))
         .where(F.col("_pos") <= _prefix_len(F.col("_len"), threshold))
-        .select("_id", "ch", "occ")
+        .select(*keys, "_id", "ch", "occ")
     )
 
 
@@ -81,35 +82,37 @@ def similar_pairs(
     left_text: str = "ltext",
     right_id: str = "rid",
     right_text: str = "rtext",
+    keys: list[str] | tuple[str, ...] = (),
 ) -> DataFrame:
-    """All (left, right) pairs with ``ratio(left_text, right_text) > threshold``.
+    """All (left, right) pairs with ``ratio(left_text, right_text) > threshold``
+    that agree on every ``keys`` column (e.g. the account of a per-account run).
 
-    Both inputs are distinct-string tables; the result carries
-    ``left_id, left_text, right_id, right_text, score``. Empty strings never
-    match (ratio of two empty strings is 1 only for identical empties; callers
-    clean names to at least 2 characters).
+    Both inputs are distinct-string tables (ids unique within ``keys``); the
+    result carries ``keys, left_id, left_text, right_id, right_text, score``.
     """
-    L = left.select(F.col(left_id).alias("_lid"), F.col(left_text).alias("_ltext")).where(F.length("_ltext") > 0)
-    R = right.select(F.col(right_id).alias("_rid"), F.col(right_text).alias("_rtext")).where(F.length("_rtext") > 0)
-    lt = _tokens(L, "_lid", "_ltext")
-    rt = _tokens(R, "_rid", "_rtext")
+    keys = list(keys)
+    L = left.select(*keys, F.col(left_id).alias("_lid"), F.col(left_text).alias("_ltext")).where(F.length("_ltext") > 0)
+    R = right.select(*keys, F.col(right_id).alias("_rid"), F.col(right_text).alias("_rtext")).where(F.length("_rtext") > 0)
+    lt = _tokens(L, keys, "_lid", "_ltext")
+    rt = _tokens(R, keys, "_rid", "_rtext")
     # global token rarity over both sides (one row per distinct token)
     freq = lt.select("ch", "occ").unionAll(rt.select("ch", "occ")).groupBy("ch", "occ").agg(F.count(F.lit(1)).alias("freq"))
-    lp = _prefixes(lt, L.select(F.col("_lid").alias("_id"), F.length("_ltext").alias("_len")), freq, threshold)
-    rp = _prefixes(rt, R.select(F.col("_rid").alias("_id"), F.length("_rtext").alias("_len")), freq, threshold)
+    lp = _prefixes(lt, L.select(*keys, F.col("_lid").alias("_id"), F.length("_ltext").alias("_len")), freq, keys, threshold)
+    rp = _prefixes(rt, R.select(*keys, F.col("_rid").alias("_id"), F.length("_rtext").alias("_len")), freq, keys, threshold)
     cand = (
         lp.withColumnRenamed("_id", "_lid")
-        .join(rp.withColumnRenamed("_id", "_rid"), on=["ch", "occ"], how="inner")
-        .select("_lid", "_rid")
+        .join(rp.withColumnRenamed("_id", "_rid"), on=[*keys, "ch", "occ"], how="inner")
+        .select(*keys, "_lid", "_rid")
         .distinct()
     )
     scored = (
-        cand.join(L, on="_lid").join(R, on="_rid")
+        cand.join(L, on=[*keys, "_lid"]).join(R, on=[*keys, "_rid"])
         .where(length_bound(F.length("_ltext"), F.length("_rtext"), threshold))
         .withColumn("score", ratio(F.col("_ltext"), F.col("_rtext")))
         .where(F.col("score") > F.lit(threshold))
     )
     return scored.select(
+        *keys,
         F.col("_lid").alias(left_id),
         F.col("_ltext").alias(left_text),
         F.col("_rid").alias(right_id),

@@ -1,29 +1,35 @@
 """Merchant cleaning and automatic categorisation.
 
-Pipeline (all on Spark; the driver only ever holds one block of at most
-``block`` merchant names and the names of that block's leaders):
+Categories are learned within a *scope*: the whole data set (``scope=()``) or
+each value of some columns, e.g. ``scope=["account_number"]`` learns every
+account's categories from that account's rows only, all accounts in parallel.
 
-1. ``merchant_table``: distinct cleaned merchant names with their row counts
-   (partial aggregation: a hot merchant is combined map-side).
+1. ``description_table`` / ``merchant_table``: distinct descriptions with
+   counts (partial aggregation), cleaned once each; merchants per scope.
 2. ``learn_categories``: greedy leader grouping in frequency order. A leader
-   absorbs every not-yet-grouped frequent merchant whose similarity to it is
-   above the threshold; the first ``max_categories`` distinct category names
-   are kept and a later leader producing an existing name replaces the earlier
-   one. Run in blocks: the next ``block`` merchants are resolved against each
-   other locally (bounded work), then the block's leaders absorb the rest of
-   the table through the exact distributed similarity join.
-3. ``assign``: exact name -> category equi-join, then a fuzzy pass for the
-   remaining frequent merchants (best score, first category on ties), again
-   through the similarity join, on distinct names only.
+   absorbs every not-yet-grouped frequent merchant of its scope whose
+   similarity to it is above the threshold; the first ``max_categories``
+   distinct names per scope are kept and a later leader producing an existing
+   name replaces the earlier one. Rounds: each scope's next ``block`` merchants
+   are resolved against each other in a grouped-map task (bounded: at most
+   ``block`` names per group); when a scope has more merchants than that, the
+   block's leaders absorb the rest through the exact similarity join. Per-scope
+   name caps are applied with windows over the (small) leader table, and the
+   remaining table is checkpointed every round.
+3. ``assign``: exact (scope, name) -> category equi-join, then a fuzzy pass for
+   the remaining frequent merchants (best score, first category on ties),
+   again through the similarity join, on distinct names only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from ..config import UNCATEGORIZED, UNKNOWN_MERCHANT
 from ..functions.money import pct
@@ -32,66 +38,67 @@ from ..functions.text import clean_merchant, keywords
 from ..session import ensure_checkpoint_dir
 
 CM = "clean_merchant"
+RANK_TYPE = "struct<neg_count:bigint,name:string>"
 
 
 def with_clean_merchant(df: DataFrame) -> DataFrame:
     return df.withColumn(CM, clean_merchant(F.col("main_description")))
 
 
-def description_table(df: DataFrame) -> DataFrame:
-    """Distinct raw descriptions with row counts and their cleaned name.
+def description_table(df: DataFrame, *, scope: Sequence[str] = ()) -> DataFrame:
+    """Distinct (scope, raw description) with row counts and the cleaned name.
 
     Cleaning (a chain of regexes) runs once per distinct description instead
     of once per row; everything downstream works on this dictionary."""
-    counts = df.groupBy("main_description").agg(F.count(F.lit(1)).alias("description_count"))
+    counts = df.groupBy(*scope, "main_description").agg(F.count(F.lit(1)).alias("description_count"))
     return counts.withColumn(CM, clean_merchant(F.col("main_description")))
 
 
-def merchant_table(df: DataFrame, *, descriptions: DataFrame | None = None) -> DataFrame:
-    """Distinct cleaned merchants with row counts."""
-    d = descriptions if descriptions is not None else description_table(df)
-    return d.groupBy(CM).agg(F.sum("description_count").cast("bigint").alias("merchant_count"))
+def merchant_table(df: DataFrame, *, descriptions: DataFrame | None = None, scope: Sequence[str] = ()) -> DataFrame:
+    """Distinct cleaned merchants per scope with row counts."""
+    d = descriptions if descriptions is not None else description_table(df, scope=scope)
+    return d.groupBy(*scope, CM).agg(F.sum("description_count").cast("bigint").alias("merchant_count"))
+
+
+def rank_key(count, name):
+    return F.struct((-count).cast("bigint").alias("neg_count"), name.alias("name"))
 
 
-def frequent_merchants(df: DataFrame, *, min_frequency: int = 5, descriptions: DataFrame | None = None) -> DataFrame:
+def frequent_merchants(
+    df: DataFrame, *, min_frequency: int = 5, descriptions: DataFrame | None = None, scope: Sequence[str] = ()
+) -> DataFrame:
     """Frequent merchants with their frequency order key.
 
     ``merchant_rank`` is the struct (-count, name): ascending order = count
     desc, name asc, and names are unique, so it is a total order that needs no
     global (single-partition) ranking window."""
-    counts = merchant_table(df, descriptions=descriptions).where(F.col("merchant_count") >= min_frequency)
+    counts = merchant_table(df, descriptions=descriptions, scope=scope).where(F.col("merchant_count") >= min_frequency)
     return counts.withColumn("merchant_rank", rank_key(F.col("merchant_count"), F.col(CM)))
 
 
-RANK_TYPE = "struct<neg_count:bigint,name:string>"
-
-
-def rank_key(count, name):
-    return F.struct((-count).cast("bigint").alias("neg_count"), name.alias("name"))
-
-
-def category_names(members: DataFrame) -> DataFrame:
+def category_names(members: DataFrame, *, scope: Sequence[str] = ()) -> DataFrame:
     """Name of each group from the words of its members.
 
-    ``members``: (leader_rank, leader, clean_merchant, merchant_rank). Words are
-    counted over all members; the three most common words of length >= 3 that
-    are not all digits (ties: first seen, leader first then frequency order)
-    are joined by ``_``; without such words the leader's name with ``_`` for
-    spaces. Cut to 30 characters, upper case."""
-    words = members.select("leader_rank", "merchant_rank", F.posexplode(F.split(F.col(CM), " ")).alias("pos", "word"))
+    ``members``: (scope, leader_rank, leader, clean_merchant, merchant_rank).
+    Words are counted over all members; the three most common words of length
+    >= 3 that are not all digits (ties: first seen, leader first then frequency
+    order) are joined by ``_``; without such words the leader's name with ``_``
+    for spaces. Cut to 30 characters, upper case."""
+    g = [*scope, "leader_rank"]
+    words = members.select(*g, "merchant_rank", F.posexplode(F.split(F.col(CM), " ")).alias("pos", "word"))
     counted = (
         words.where((F.length("word") >= 3) & ~F.col("word").rlike(r"(?U)^\d+$"))
-        .groupBy("leader_rank", "word")
+        .groupBy(*g, "word")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("merchant_rank", "pos")).alias("first"))
     )
-    w = Window.partitionBy("leader_rank").orderBy(F.col("n").desc(), F.col("first").asc())
+    w = Window.partitionBy(*g).orderBy(F.col("n").desc(), F.col("first").asc())
     top = counted.withColumn("k", F.row_number().over(w)).where(F.col("k") <= 3)
-    joined = top.groupBy("leader_rank").agg(
+    joined = top.groupBy(*g).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda s: s["word"]), "_").alias("_words")
     )
-    leaders = members.where(F.col("merchant_rank") == F.col("leader_rank")).select("leader_rank", "leader")
-    return leaders.join(joined, on="leader_rank", how="left").select(
-        "leader_rank",
+    leaders = members.where(F.col("merchant_rank") == F.col("leader_rank")).select(*g, "leader")
+    return leaders.join(joined, on=g, how="left").select(
+        *g,
         "leader",
         F.upper(
             F.substring(F.coalesce(F.col("_words"), F.regexp_replace(F.col("leader"), " ", "_")), 1, 30)
@@ -103,12 +110,57 @@ def category_names(members: DataFrame) -> DataFrame:
 class Categories:
     """Result of ``learn_categories``.
 
-    members: clean_merchant, category_name, category_order, member_rank, leader_rank
-    categories: one row per category (see ``category_table``)
+    members: scope, clean_merchant, merchant_rank, leader_rank, category_name,
+             category_order, category_id (winning leaders only)
+    leaders: scope, leader_rank, leader, category_name, category_id,
+             category_order, is_winner (every accepted leader, in order)
     """
 
     members: DataFrame
     leaders: DataFrame
+    scope: list[str] = field(default_factory=list)
+
+
+def _block_grouping(block: int, similarity: float, smart_grouping: bool, keep: list[str]):
+    """Grouped-map function: resolve one scope's next ``block`` merchants.
+
+    Input rows are at most ``block + 1`` per group (the extra row only tells
+    whether the block holds the whole remaining table of the scope). Each
+    merchant gets its owner: the earliest earlier leader of the block that
+    matches it, or itself (a new leader)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_neg", CM], kind="mergesort")
+        whole = len(pdf) <= block
+        pdf = pdf.iloc[:block]
+        leaders: list[tuple[int, str]] = []
+        owner_neg, owner_name = [], []
+        for neg, m in zip(pdf["_neg"].tolist(), pdf[CM].tolist()):
+            owner = None
+            if smart_grouping:
+                for lneg, lname in leaders:
+                    if could_match(lname, m, similarity) and py_ratio(lname, m) > similarity:
+                        owner = (lneg, lname)
+                        break
+            if owner is None:
+                owner = (neg, m)
+                leaders.append(owner)
+            owner_neg.append(owner[0])
+            owner_name.append(owner[1])
+        out = pdf[keep + [CM, "_neg"]].copy()
+        out["_lneg"] = owner_neg
+        out["leader"] = owner_name
+        out["_whole"] = whole
+        return out
+
+    return run
+
+
+def _scoped_join(a: DataFrame, b: DataFrame, scope: list[str], how: str = "inner") -> DataFrame:
+    """Join on the scope columns; with no scope ``b`` is a one-row table."""
+    if scope:
+        return a.join(b, on=scope, how=how)
+    return a.crossJoin(F.broadcast(b))
 
 
 def learn_categories(
@@ -120,119 +172,175 @@ def learn_categories(
     max_categories: int = 100,
     block: int = 256,
     descriptions: DataFrame | None = None,
+    scope: Sequence[str] = (),
 ) -> Categories:
-    """Greedy leader grouping over frequent merchants (exact, blocked)."""
+    """Greedy leader grouping over the frequent merchants of every scope (exact)."""
     spark: SparkSession = df.sparkSession
     ensure_checkpoint_dir(spark)
-    freq = frequent_merchants(df, min_frequency=min_frequency, descriptions=descriptions).select(CM, "merchant_rank")
-    remaining = freq
-    checkpointed = False
-    leader_rows: list[tuple[tuple, str, str]] = []  # (leader_rank, leader, name) in leader order
-    member_parts: list[DataFrame] = []
-    names_seen: set[str] = set()
-    done = False
-    while not done:
-        blk = remaining.orderBy("merchant_rank").limit(block + 1).collect()
-        if not blk:
-            break
-        # the block holds every remaining merchant: the local pass is complete
-        whole = len(blk) <= block
-        blk = blk[:block]
-        if not whole and not checkpointed:
-            # several rounds ahead: cut the lineage of the remaining table
-            remaining = remaining.checkpoint(eager=True)
-            checkpointed = True
-        new_leaders: list[tuple[tuple, str]] = []
-        local_members: list[tuple[tuple, str, str, tuple]] = []
-        for r in blk:
-            m, rank = r[CM], tuple(r["merchant_rank"])
-            owner = None
-            if smart_grouping:
-                for lrank, lead in new_leaders:
-                    if could_match(lead, m, similarity) and py_ratio(lead, m) > similarity:
-                        owner = (lrank, lead)
-                        break
-            if owner is None:
-                new_leaders.append((rank, m))
-                owner = (rank, m)
-            local_members.append((owner[0], owner[1], m, rank))
-        member_schema = f"leader_rank {RANK_TYPE}, leader string, {CM} string, merchant_rank {RANK_TYPE}"
-        if whole or not smart_grouping:
-            # every member of these leaders is in the block (bounded: <= block rows)
-            members = spark.createDataFrame(local_members if smart_grouping else [(l, n, n, l) for l, n in new_leaders], member_schema)
+    scope = list(scope)
+    freq = frequent_merchants(df, min_frequency=min_frequency, descriptions=descriptions, scope=scope)
+    remaining = freq.select(*scope, CM, "merchant_rank").checkpoint(eager=True)
+    group_cols = scope or ["_g"]
+    scope_fields = [f for f in remaining.schema.fields if f.name in scope]
+    local_schema = StructType(
+        ([StructField("_g", LongType())] if not scope else [])
+        + scope_fields
+        + [
+            StructField(CM, StringType()),
+            StructField("_neg", LongType()),
+            StructField("_lneg", LongType()),
+            StructField("leader", StringType()),
+            StructField("_whole", BooleanType()),
+        ]
+    )
+    grouping = _block_grouping(block, similarity, smart_grouping, group_cols)
+    member_cols = [*scope, "leader_rank", "leader", CM, "merchant_rank"]
+    leaders_acc: DataFrame | None = None
+    members_acc: DataFrame | None = None
+    while True:
+        # next block per scope: at most block + 1 rows per scope
+        if scope:
+            w = Window.partitionBy(*scope).orderBy("merchant_rank")
+            cand = remaining.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= block + 1)
         else:
-            lead_df = spark.createDataFrame(new_leaders, f"leader_rank {RANK_TYPE}, leader string")
-            own = lead_df.select("leader_rank", "leader", F.col("leader").alias(CM), F.col("leader_rank").alias("merchant_rank"))
+            cand = remaining.orderBy("merchant_rank").limit(block + 1).withColumn("_g", F.lit(0).cast("bigint"))
+        cand = cand.select(*group_cols, CM, F.col("merchant_rank.neg_count").alias("_neg"))
+        local = cand.groupBy(*group_cols).applyInPandas(grouping, local_schema)
+        local = local.select(
+            *scope,
+            CM,
+            rank_key(-F.col("_neg"), F.col(CM)).alias("merchant_rank"),
+            rank_key(-F.col("_lneg"), F.col("leader")).alias("leader_rank"),
+            "leader",
+            "_whole",
+        ).checkpoint(eager=True)
+        if local.isEmpty():
+            break
+        partial_leaders = local.where(~F.col("_whole") & (F.col("merchant_rank") == F.col("leader_rank")))
+        if smart_grouping and not partial_leaders.isEmpty():
+            # scopes with more merchants than the block: the block's leaders
+            # absorb the rest of their scope through the similarity join
+            lead = partial_leaders.select(*scope, "leader_rank", "leader")
+            rem = remaining if not scope else remaining.join(lead.select(*scope).distinct(), on=scope, how="left_semi")
             pairs = similar_pairs(
-                lead_df, remaining, threshold=similarity,
+                lead, rem, threshold=similarity, keys=scope,
                 left_id="leader_rank", left_text="leader", right_id="merchant_rank", right_text=CM,
             ).where(F.col("merchant_rank") > F.col("leader_rank"))
-            # a merchant joins the earliest leader that matches it
-            first_leader = pairs.groupBy("merchant_rank", CM).agg(F.min("leader_rank").alias("leader_rank"))
-            absorbed = first_leader.join(lead_df, on="leader_rank").select("leader_rank", "leader", CM, "merchant_rank")
-            members = own.unionByName(absorbed).checkpoint(eager=True)
-        names = {tuple(r["leader_rank"]): r["category_name"] for r in category_names(members).collect()}
-        accepted: list[tuple] = []
-        for rank, lead in new_leaders:
-            name = names[rank]
-            leader_rows.append((rank, lead, name))
-            accepted.append(rank)
-            names_seen.add(name)
-            if len(names_seen) >= max_categories:
-                done = True
-                break
-        acc_df = spark.createDataFrame([(a,) for a in accepted], f"leader_rank {RANK_TYPE}")
-        member_parts.append(members.join(acc_df, on="leader_rank", how="left_semi"))
-        if whole:
+            first = pairs.groupBy(*scope, "merchant_rank", CM).agg(F.min("leader_rank").alias("leader_rank"))
+            absorbed = first.join(lead, on=[*scope, "leader_rank"]).select(*member_cols)
+            own = lead.select(*scope, "leader_rank", "leader", F.col("leader").alias(CM), F.col("leader_rank").alias("merchant_rank"))
+            members = local.where(F.col("_whole")).select(*member_cols).unionByName(own).unionByName(absorbed)
+        else:
+            members = local.select(*member_cols)
+        members = members.checkpoint(eager=True)
+        names = category_names(members, scope=scope)
+        # per-scope cap on distinct names, counted in leader order
+        if leaders_acc is not None:
+            prior = leaders_acc.select(*scope, "category_name").distinct().withColumn("_seen", F.lit(True))
+            prior_n = leaders_acc.groupBy(*scope).agg(F.countDistinct("category_name").alias("_prior"))
+            names = names.join(prior, on=[*scope, "category_name"], how="left")
+            names = _scoped_join(names, prior_n, scope, "left")
+        else:
+            names = names.withColumn("_seen", F.lit(False)).withColumn("_prior", F.lit(0).cast("bigint"))
+        first_use = Window.partitionBy(*scope, "category_name").orderBy("leader_rank")
+        in_order = Window.partitionBy(*scope).orderBy("leader_rank").rowsBetween(Window.unboundedPreceding, 0)
+        names = names.withColumn(
+            "_new", ((F.row_number().over(first_use) == 1) & ~F.coalesce(F.col("_seen"), F.lit(False))).cast("int")
+        ).withColumn("_cum", F.coalesce(F.col("_prior"), F.lit(0)) + F.sum("_new").over(in_order))
+        cutoff = names.where(F.col("_cum") >= max_categories).groupBy(*scope).agg(F.min("leader_rank").alias("_cut"))
+        if scope:
+            names = names.join(cutoff, on=scope, how="left")
+        else:
+            # a global aggregate: exactly one row, ``_cut`` null when no cap hit
+            names = names.crossJoin(F.broadcast(cutoff))
+        accepted = (
+            names.where(F.col("_cut").isNull() | (F.col("leader_rank") <= F.col("_cut")))
+            .select(*scope, "leader_rank", "leader", "category_name")
+            .checkpoint(eager=True)
+        )
+        kept = members.join(accepted.select(*scope, "leader_rank"), on=[*scope, "leader_rank"], how="left_semi")
+        leaders_acc = accepted if leaders_acc is None else leaders_acc.unionByName(accepted)
+        members_acc = kept if members_acc is None else members_acc.unionByName(kept)
+        leaders_acc = leaders_acc.checkpoint(eager=True)
+        members_acc = members_acc.checkpoint(eager=True)
+        # drop grouped merchants and scopes that reached the cap
+        remaining = remaining.join(members.select(*scope, "merchant_rank"), on=[*scope, "merchant_rank"], how="left_anti")
+        if scope:
+            remaining = remaining.join(cutoff.select(*scope), on=scope, how="left_anti")
+        elif not cutoff.where(F.col("_cut").isNotNull()).isEmpty():
             break
-        if not done:
-            if smart_grouping:
-                remaining = remaining.join(members.select("merchant_rank"), on="merchant_rank", how="left_anti")
-            else:
-                blk_df = spark.createDataFrame([(rank,) for rank, _ in new_leaders], f"merchant_rank {RANK_TYPE}")
-                remaining = remaining.join(blk_df, on="merchant_rank", how="left_anti")
-            remaining = remaining.checkpoint(eager=True)
-    leaders = _leader_table(spark, leader_rows)
-    if member_parts:
-        all_members = member_parts[0]
-        for part in member_parts[1:]:
-            all_members = all_members.unionByName(part)
-    else:
-        all_members = spark.createDataFrame([], f"leader_rank {RANK_TYPE}, leader string, clean_merchant string, merchant_rank {RANK_TYPE}")
-    winners = leaders.where(F.col("is_winner")).select("leader_rank", "category_name", "category_order", "category_id")
-    members_out = all_members.join(F.broadcast(winners), on="leader_rank", how="inner")
-    return Categories(members=members_out, leaders=leaders)
+        remaining = remaining.checkpoint(eager=True)
+        if remaining.isEmpty():
+            break
+    if leaders_acc is None:
+        rank_t = remaining.schema["merchant_rank"].dataType
+        leaders_acc = spark.createDataFrame(
+            [],
+            StructType(scope_fields + [StructField("leader_rank", rank_t), StructField("leader", StringType()), StructField("category_name", StringType())]),
+        )
+        members_acc = spark.createDataFrame(
+            [],
+            StructType(
+                scope_fields
+                + [
+                    StructField("leader_rank", rank_t),
+                    StructField("leader", StringType()),
+                    StructField(CM, StringType()),
+                    StructField("merchant_rank", rank_t),
+                ]
+            ),
+        )
+    leaders = _leader_table(leaders_acc, scope)
+    winners = leaders.where(F.col("is_winner")).select(*scope, "leader_rank", "category_name", "category_order", "category_id")
+    members_out = members_acc.join(winners, on=[*scope, "leader_rank"], how="inner")
+    return Categories(members=members_out, leaders=leaders, scope=scope)
 
 
-def _leader_table(spark: SparkSession, rows: list[tuple[tuple, str, str]]) -> DataFrame:
+def _leader_table(leaders: DataFrame, scope: list[str]) -> DataFrame:
     """Leaders in order with collision resolution: a name keeps the position
-    of its first leader and the contents of its last one (bounded: one row per
-    leader, at most a block past the category cap)."""
-    first_pos: dict[str, int] = {}
-    last_idx: dict[str, int] = {}
-    for i, (_rank, _lead, name) in enumerate(rows):
-        first_pos.setdefault(name, len(first_pos))
-        last_idx[name] = i
-    data = [
-        (rank, lead, name, i + 1, first_pos[name] + 1, last_idx[name] == i)
-        for i, (rank, lead, name) in enumerate(rows)
-    ]
-    return spark.createDataFrame(
-        data, f"leader_rank {RANK_TYPE}, leader string, category_name string, category_id bigint, category_order bigint, is_winner boolean"
+    of its first leader and the contents of its last one. Windows run per
+    scope over the leader table (one row per leader)."""
+    by_scope = Window.partitionBy(*scope).orderBy("leader_rank")
+    by_name = Window.partitionBy(*scope, "category_name")
+    t = (
+        leaders.withColumn("category_id", F.row_number().over(by_scope).cast("bigint"))
+        .withColumn("_first", F.min("leader_rank").over(by_name))
+        .withColumn("_last", F.max("leader_rank").over(by_name))
+    )
+    return t.select(
+        *scope,
+        "leader_rank",
+        "leader",
+        "category_name",
+        "category_id",
+        F.dense_rank().over(Window.partitionBy(*scope).orderBy("_first")).cast("bigint").alias("category_order"),
+        (F.col("leader_rank") == F.col("_last")).alias("is_winner"),
     )
 
 
+def _desc_join(df: DataFrame, mapping: DataFrame, scope: list[str]):
+    """Row -> (scope, description) mapping join condition (null-safe on the
+    description; mapping scope columns are prefixed ``_s_``)."""
+    cond = df["main_description"].eqNullSafe(mapping["_desc"])
+    for c in scope:
+        cond = cond & (df[c] == mapping[f"_s_{c}"])
+    return cond
+
+
 def category_table(df: DataFrame, cats: Categories, *, descriptions: DataFrame | None = None) -> DataFrame:
     """Per category: merchants, transactions, mean amount, amount pattern,
     keywords (<= 10, sorted), frequency score, confidence, first 3 merchants."""
-    d = descriptions if descriptions is not None else description_table(df)
-    n_total = df.agg(F.count(F.lit(1)).alias("_n_total"))
+    scope = cats.scope
+    d = descriptions if descriptions is not None else description_table(df, scope=scope)
+    n_total = df.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n_total"))
     mem = cats.members
-    desc_cat = d.join(mem.select(CM, "category_name"), on=CM, how="inner").select("main_description", "category_name")
+    g = [*scope, "category_name"]
+    desc_cat = d.join(mem.select(*scope, CM, "category_name"), on=[*scope, CM], how="inner").select(
+        *[F.col(c).alias(f"_s_{c}") for c in scope], F.col("main_description").alias("_desc"), "category_name"
+    )
     tx_stats = (
-        df.select("main_description", "amount")
-        .join(desc_cat, df["main_description"].eqNullSafe(desc_cat["main_description"]), "inner")
-        .groupBy("category_name")
+        df.join(desc_cat, _desc_join(df, desc_cat, scope), "inner")
+        .groupBy(*g)
         .agg(
             F.count(F.lit(1)).alias("transaction_count"),
             (F.sum("amount").cast("double") / F.count("amount")).alias("avg_amount"),
@@ -240,29 +348,29 @@ def category_table(df: DataFrame, cats: Categories, *, descriptions: DataFrame |
             F.count_if(F.col("amount") < 0).alias("_neg"),
         )
     )
-    counts = merchant_table(df, descriptions=d).select(CM, "merchant_count")
+    counts = merchant_table(df, descriptions=d, scope=scope).select(*scope, CM, "merchant_count")
     mem_stats = (
-        mem.join(counts, on=CM, how="left")
-        .groupBy("category_name", "category_order", "category_id", "leader_rank")
+        mem.join(counts, on=[*scope, CM], how="left")
+        .groupBy(*g, "category_order", "category_id", "leader_rank")
         .agg(
             F.count(F.lit(1)).alias("merchant_count"),
             F.count_if((F.col(CM) != UNKNOWN_MERCHANT) & (F.length(CM) > 2)).alias("_meaningful"),
             F.max(F.when(F.col("merchant_rank") == F.col("leader_rank"), F.col("merchant_count"))).alias("_leader_count"),
         )
     )
-    w_first = Window.partitionBy("category_name").orderBy("merchant_rank")
+    w_first = Window.partitionBy(*g).orderBy("merchant_rank")
     first3 = (
         mem.withColumn("_k", F.row_number().over(w_first))
         .where(F.col("_k") <= 3)
-        .groupBy("category_name")
+        .groupBy(*g)
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", CM))), lambda s: s[CM]), ", ").alias("sample_merchants"))
     )
-    kw = mem.select("category_name", F.explode(keywords(F.col(CM))).alias("kw")).distinct()
-    w_kw = Window.partitionBy("category_name").orderBy("kw")
+    kw = mem.select(*g, F.explode(keywords(F.col(CM))).alias("kw")).distinct()
+    w_kw = Window.partitionBy(*g).orderBy("kw")
     kw10 = (
         kw.withColumn("_k", F.row_number().over(w_kw))
         .where(F.col("_k") <= 10)
-        .groupBy("category_name")
+        .groupBy(*g)
         .agg(F.array_join(F.array_sort(F.collect_list("kw")), ",").alias("keywords"))
     )
     total = F.col("transaction_count")
@@ -277,24 +385,20 @@ def category_table(df: DataFrame, cats: Categories, *, descriptions: DataFrame |
         + (F.lit(1.0) / F.col("merchant_count")) * 0.3
         + (F.col("_meaningful") / F.col("merchant_count")) * 0.3
     )
-    return (
-        mem_stats.join(tx_stats, on="category_name", how="left")
-        .join(first3, on="category_name", how="left")
-        .join(kw10, on="category_name", how="left")
-        .crossJoin(F.broadcast(n_total))
-        .select(
-            "category_name",
-            "category_id",
-            "category_order",
-            "merchant_count",
-            F.coalesce(total, F.lit(0)).alias("transaction_count"),
-            "avg_amount",
-            pattern.alias("amount_pattern"),
-            F.coalesce(F.col("keywords"), F.lit("")).alias("keywords"),
-            (F.col("_leader_count") / F.col("_n_total")).alias("frequency_score"),
-            F.round(F.least(F.lit(1.0), conf), 3).alias("confidence_score"),
-            "sample_merchants",
-        )
+    joined = mem_stats.join(tx_stats, on=g, how="left").join(first3, on=g, how="left").join(kw10, on=g, how="left")
+    return _scoped_join(joined, n_total, scope).select(
+        *scope,
+        "category_name",
+        "category_id",
+        "category_order",
+        "merchant_count",
+        F.coalesce(total, F.lit(0)).alias("transaction_count"),
+        "avg_amount",
+        pattern.alias("amount_pattern"),
+        F.coalesce(F.col("keywords"), F.lit("")).alias("keywords"),
+        (F.col("_leader_count") / F.col("_n_total")).alias("frequency_score"),
+        F.round(F.least(F.lit(1.0), conf), 3).alias("confidence_score"),
+        "sample_merchants",
     )
 
 
@@ -309,62 +413,72 @@ def assign(
 ) -> DataFrame:
     """Add ``auto_category`` and ``category_confidence`` to every row.
 
-    Exact match on the cleaned name -> 1.0; otherwise the best fuzzy match of
-    the cleaned name against all categorised merchants (> threshold, first in
-    category order on ties) -> 0.7; otherwise UNCATEGORIZED / 0.0. Both steps
-    work on distinct names and join back by name."""
-    d = descriptions if descriptions is not None else description_table(df)
-    exact = cats.members.select(CM, F.col("category_name").alias("_exact"))
-    counts = merchant_table(df, descriptions=d)
-    uncat = counts.join(exact, on=CM, how="left_anti")
+    Exact match on the cleaned name (within the scope) -> 1.0; otherwise the
+    best fuzzy match of the cleaned name against all categorised merchants of
+    the scope (> threshold, first in category order on ties) -> 0.7; otherwise
+    UNCATEGORIZED / 0.0. Both steps work on distinct names and join back by
+    (scope, description)."""
+    scope = cats.scope
+    d = descriptions if descriptions is not None else description_table(df, scope=scope)
+    exact = cats.members.select(*scope, CM, F.col("category_name").alias("_exact"))
+    counts = merchant_table(df, descriptions=d, scope=scope)
+    uncat = counts.join(exact, on=[*scope, CM], how="left_anti")
     if exclude_one_off:
         uncat = uncat.where(F.col("merchant_count") >= min_frequency)
     known = cats.members.select(
-        F.col(CM).alias("known"),
+        *scope,
+        F.col(CM).alias("kid"),
         F.col("category_name").alias("_cat"),
         "category_order",
         "merchant_rank",
     )
-    uncat_ids = uncat.select(F.col(CM).alias("uid"), F.col(CM).alias("utext"))
-    if uncat_ids.limit(1).count() == 0:
+    uncat_ids = uncat.select(*scope, F.col(CM).alias("uid"), F.col(CM).alias("utext"))
+    if uncat_ids.isEmpty():
         # nothing left for the fuzzy stage: skip the similarity join
-        best = df.sparkSession.createDataFrame([], f"{CM} string, _fuzzy string")
+        best = exact.select(*scope, CM).limit(0).withColumn("_fuzzy", F.lit(None).cast("string"))
     else:
-        known_ids = known.select(F.col("known").alias("kid"), F.col("known").alias("ktext"))
-        pairs = similar_pairs(uncat_ids, known_ids, threshold=similarity, left_id="uid", left_text="utext", right_id="kid", right_text="ktext")
-        ranked = pairs.join(known, pairs.kid == known.known, "inner")
-        best = ranked.groupBy(F.col("uid").alias(CM)).agg(
+        known_ids = known.select(*scope, "kid", F.col("kid").alias("ktext"))
+        pairs = similar_pairs(
+            uncat_ids, known_ids, threshold=similarity, keys=scope,
+            left_id="uid", left_text="utext", right_id="kid", right_text="ktext",
+        )
+        ranked = pairs.join(known, on=[*scope, "kid"], how="inner")
+        best = ranked.groupBy(*scope, F.col("uid").alias(CM)).agg(
             F.min_by(F.col("_cat"), F.struct(-F.col("score"), F.col("category_order"), F.col("merchant_rank"))).alias("_fuzzy")
         )
-    # distinct-description -> category mapping, joined back to the rows by
-    # description (null-safe: missing descriptions clean to UNKNOWN)
+    # distinct (scope, description) -> category mapping, joined back to the rows
+    # (null-safe on the description: missing descriptions clean to UNKNOWN)
     mapping = (
-        d.select("main_description", CM)
-        .join(exact, on=CM, how="left")
-        .join(best, on=CM, how="left")
+        d.select(*scope, "main_description", CM)
+        .join(exact, on=[*scope, CM], how="left")
+        .join(best, on=[*scope, CM], how="left")
         .select(
+            *[F.col(c).alias(f"_s_{c}") for c in scope],
             F.col("main_description").alias("_desc"),
             F.coalesce(F.col("_exact"), F.col("_fuzzy"), F.lit(UNCATEGORIZED)).alias("auto_category"),
             F.when(F.col("_exact").isNotNull(), F.lit(1.0)).when(F.col("_fuzzy").isNotNull(), F.lit(0.7)).otherwise(F.lit(0.0)).alias("category_confidence"),
         )
     )
-    return df.join(mapping, df["main_description"].eqNullSafe(mapping["_desc"]), "left").drop("_desc")
+    return df.join(mapping, _desc_join(df, mapping, scope), "left").drop("_desc", *[f"_s_{c}" for c in scope])
 
 
-def categorize(df: DataFrame, **settings) -> tuple[DataFrame, Categories]:
-    """Learn categories from ``df`` and label every row."""
+def categorize(df: DataFrame, *, scope: Sequence[str] = (), **settings) -> tuple[DataFrame, Categories]:
+    """Learn categories from ``df`` (per ``scope``) and label every row."""
     ensure_checkpoint_dir(df.sparkSession)
-    descriptions = description_table(df).checkpoint(eager=True)
+    scope = list(scope)
+    descriptions = description_table(df, scope=scope).checkpoint(eager=True)
     learn_keys = {"min_frequency", "similarity", "smart_grouping", "max_categories", "block"}
-    cats = learn_categories(df, descriptions=descriptions, **{k: v for k, v in settings.items() if k in learn_keys})
+    cats = learn_categories(
+        df, descriptions=descriptions, scope=scope, **{k: v for k, v in settings.items() if k in learn_keys}
+    )
     assign_keys = {"min_frequency", "similarity", "exclude_one_off"}
     out = assign(df, cats, descriptions=descriptions, **{k: v for k, v in settings.items() if k in assign_keys})
     return out, cats
 
 
-def categorisation_stats(categorised: DataFrame, n_categories: int | None = None) -> DataFrame:
+def categorisation_stats(categorised: DataFrame, *, by: Sequence[str] = (), n_categories: int | None = None) -> DataFrame:
     """Total / categorised / uncategorised rows and the categorised share."""
-    out = categorised.agg(
+    out = categorised.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_transactions"),
         F.count_if(F.col("auto_category") != UNCATEGORIZED).alias("categorized_transactions"),
         F.countDistinct(F.when(F.col("auto_category") != UNCATEGORIZED, F.col("auto_category"))).alias("categories_used"),
@@ -377,14 +491,15 @@ def categorisation_stats(categorised: DataFrame, n_categories: int | None = None
     return out
 
 
-def category_distribution(categorised: DataFrame) -> DataFrame:
-    return categorised.groupBy("auto_category").agg(F.count(F.lit(1)).alias("transaction_count"))
+def category_distribution(categorised: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+    return categorised.groupBy(*by, "auto_category").agg(F.count(F.lit(1)).alias("transaction_count"))
 
 
 def category_summary(df: DataFrame, cats: Categories, *, descriptions: DataFrame | None = None) -> DataFrame:
     """One row per category for review: name, merchants, transactions, mean
     amount, pattern, frequency score and the first three merchants."""
     return category_table(df, cats, descriptions=descriptions).select(
+        *cats.scope,
         "category_name",
         "merchant_count",
         "transaction_count",
@@ -402,9 +517,10 @@ def export_categories(df: DataFrame, cats: Categories, path: str, *, fmt: str =
     write_bundle(
         {
             "category_summary": category_summary(df, cats),
-            "merchant_category": cats.members.select(CM, "category_name", "category_id", "category_order"),
+            "merchant_category": cats.members.select(*cats.scope, CM, "category_name", "category_id", "category_order"),
         },
         path,
         fmt=fmt,
+        partition_by=cats.scope,
     )
     return path

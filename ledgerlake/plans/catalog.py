@@ -1378,3 +1378,21 @@ REGISTRY["sheet_raw_data"] = (
                   CAST(balance AS DECIMAL(38,2)) AS balance, spend_category, currency, row_id FROM txn""",
     ),
 )
+
+
+# ------------------------------------------------ per-account categorisation
+
+
+@register("per_account_categories", None)
+def q_per_account_categories(spark, sf):
+    """Categories learned inside every supplier account of the lineitem view."""
+    df = adapters.lineitem_transactions(spark, sf)
+    _out, cats = C.categorize(df, scope=["account_number"])
+    return C.category_table(df, cats)
+
+
+@register("per_account_categorisation_stats", None)
+def q_per_account_categorisation_stats(spark, sf):
+    df = adapters.lineitem_transactions(spark, sf)
+    out, _cats = C.categorize(df, scope=["account_number"])
+    return C.categorisation_stats(out, by=["account_number"])

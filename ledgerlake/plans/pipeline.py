@@ -42,6 +42,10 @@ class PipelineOptions:
     settings: Settings = field(default_factory=lambda: DEFAULTS)
 
 
+def _section(name: str, paths: dict[str, str]) -> dict[str, str]:
+    return {f"{name}/{k}": v for k, v in paths.items()}
+
+
 def validate(opts: PipelineOptions) -> None:
     if not opts.inputs:
         raise ValueError("no input given")
@@ -97,14 +101,28 @@ def run_pipeline(spark: SparkSession, opts: PipelineOptions) -> dict[str, str]:
     reports, report_errors = R.run_all(
         df, as_of=as_of, start=opts.start, end=opts.end, settings=opts.settings, categorised=categorised, persist=False
     )
-    written.update(R.write_bundle(reports, f"{out}/reports", fmt=opts.fmt))
+    written.update(_section("reports", R.write_bundle(reports, f"{out}/reports", fmt=opts.fmt)))
     sheets = R.sheets(df, as_of=as_of, categorised=categorised, settings=opts.settings)
-    written.update(R.write_bundle(sheets, f"{out}/sheets", fmt=opts.fmt, max_rows_per_file=opts.settings.max_rows_per_file))
+    written.update(_section("sheets", R.write_bundle(sheets, f"{out}/sheets", fmt=opts.fmt, max_rows_per_file=opts.settings.max_rows_per_file)))
     if not opts.skip_charts:
-        written.update(R.write_bundle(CH.chart_data(df, categorised), f"{out}/charts", fmt=opts.fmt))
+        written.update(_section("charts", R.write_bundle(CH.chart_data(df, categorised), f"{out}/charts", fmt=opts.fmt)))
     if opts.separate_accounts:
-        per = R.per_account_reports(df, as_of=as_of)
-        written.update(R.write_bundle(per, f"{out}/accounts", fmt=opts.fmt, partition_by=["account_number"]))
+        per_cat = None
+        if not opts.skip_categorization:
+            s = opts.settings
+            per_cat, per_cats = C.categorize(
+                df,
+                scope=["account_number"],
+                min_frequency=s.min_frequency,
+                similarity=s.similarity,
+                smart_grouping=s.smart_grouping,
+                max_categories=s.max_categories,
+                exclude_one_off=s.exclude_one_off,
+            )
+            summary = {"category_summary": C.category_summary(df, per_cats)}
+            written.update(_section("accounts", R.write_bundle(summary, f"{out}/accounts", fmt=opts.fmt, partition_by=["account_number"])))
+        per = R.per_account_reports(df, as_of=as_of, categorised=per_cat)
+        written.update(_section("accounts", R.write_bundle(per, f"{out}/accounts", fmt=opts.fmt, partition_by=["account_number"])))
     if report_errors:
         err = spark.createDataFrame(sorted(report_errors.items()), "report string, error string")
         written.update(R.write_bundle({"report_errors": err}, out, fmt=opts.fmt))

@@ -326,12 +326,21 @@ def write_bundle(
     return written
 
 
-def per_account_reports(df: DataFrame, *, as_of) -> dict[str, DataFrame]:
+def per_account_reports(df: DataFrame, *, as_of, categorised: DataFrame | None = None) -> dict[str, DataFrame]:
     """Per-account report set: every report grouped by ``account_number``
-    (no per-account loop); write with ``partition_by=['account_number']``."""
+    (no per-account loop); write with ``partition_by=['account_number']``.
+    ``categorised`` should come from ``categorize(df, scope=['account_number'])``
+    so every account's categories are learned from its own rows."""
     by = ["account_number"]
     acc = df.where(F.col("account_number").isNotNull())
-    return {
+    extra = {}
+    if categorised is not None:
+        cat = categorised.where(F.col("account_number").isNotNull())
+        extra = {
+            "categorisation_stats": categorize.categorisation_stats(cat, by=by),
+            "category_distribution": categorize.category_distribution(cat, by=by),
+        }
+    return extra | {
         "basic_statistics": stats.basic_statistics(acc, by=by),
         "cash_flow_summary": stats.cash_flow_summary(acc, by=by),
         "monthly_summary": temporal.monthly_summary(acc, by=by),

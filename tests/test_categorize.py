@@ -125,3 +125,24 @@ def test_fuzzy_stage_matches_sequential(spark):
     for r in C.with_clean_merchant(out).where(F.col("category_confidence") == 0.7).select("clean_merchant", "auto_category").distinct().collect():
         got[r.clean_merchant] = r.auto_category
     assert got == expected and len(got) > 0
+
+
+@pytest.mark.parametrize("block,cap", [(256, 100), (8, 12)])
+def test_per_account_scope_matches_sequential_per_account(spark, block, cap):
+    """Categories learned per account equal a sequential run on that account's
+    rows alone (RPT-1), including the per-account cap and the fuzzy stage."""
+    df = adapters.lineitem_transactions(spark, SF001)
+    out, cats = C.categorize(df, scope=["account_number"], block=block, max_categories=cap)
+    got: dict = {}
+    for r in cats.members.collect():
+        got.setdefault(r.account_number, {}).setdefault(r.category_name, []).append(r.clean_merchant)
+    got = {a: {k: sorted(v) for k, v in cs.items()} for a, cs in got.items()}
+    per_counts: dict = {}
+    for r in C.merchant_table(df, scope=["account_number"]).collect():
+        per_counts.setdefault(r.account_number, {})[r.clean_merchant] = r.merchant_count
+    want = {a: sequential(c, cap=cap) for a, c in per_counts.items()}
+    want = {a: cs for a, cs in want.items() if cs}
+    assert got == want
+    # every row keeps its account and gets a label
+    assert out.count() == df.count()
+    assert out.where(F.col("auto_category").isNull()).count() == 0
