@@ -15,7 +15,7 @@ account's categories from that account's rows only, all accounts in parallel.
    ``block`` names per group); when a scope has more merchants than that, the
    block's leaders absorb the rest through the exact similarity join. Per-scope
    name caps are applied with windows over the (small) leader table, and the
-   remaining table is checkpointed every round.
+   remaining table is checkpointed whenever another round follows.
 3. ``assign``: exact (scope, name) -> category equi-join, then a fuzzy pass for
    the remaining frequent merchants (best score, first category on ties),
    again through the similarity join, on distinct names only.
@@ -27,6 +27,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
@@ -179,7 +180,10 @@ def learn_categories(
     ensure_checkpoint_dir(spark)
     scope = list(scope)
     freq = frequent_merchants(df, min_frequency=min_frequency, descriptions=descriptions, scope=scope)
-    remaining = freq.select(*scope, CM, "merchant_rank").checkpoint(eager=True)
+    # reused inside a round (block pick, absorption, anti-join): persisted;
+    # the lineage is cut by a checkpoint only when another round follows
+    remaining = freq.select(*scope, CM, "merchant_rank").persist(StorageLevel.MEMORY_AND_DISK)
+    held: list[DataFrame] = [remaining]
     group_cols = scope or ["_g"]
     scope_fields = [f for f in remaining.schema.fields if f.name in scope]
     local_schema = StructType(
@@ -213,11 +217,14 @@ def learn_categories(
             rank_key(-F.col("_lneg"), F.col("leader")).alias("leader_rank"),
             "leader",
             "_whole",
-        ).checkpoint(eager=True)
+        ).persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(local)
         if local.isEmpty():
             break
+        # every scope's block held all of its remaining merchants: last round
+        last_round = local.where(~F.col("_whole")).isEmpty()
         partial_leaders = local.where(~F.col("_whole") & (F.col("merchant_rank") == F.col("leader_rank")))
-        if smart_grouping and not partial_leaders.isEmpty():
+        if smart_grouping and not last_round:
             # scopes with more merchants than the block: the block's leaders
             # absorb the rest of their scope through the similarity join
             lead = partial_leaders.select(*scope, "leader_rank", "leader")
@@ -232,7 +239,8 @@ def learn_categories(
             members = local.where(F.col("_whole")).select(*member_cols).unionByName(own).unionByName(absorbed)
         else:
             members = local.select(*member_cols)
-        members = members.checkpoint(eager=True)
+        members = members.persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(members)
         names = category_names(members, scope=scope)
         # per-scope cap on distinct names, counted in leader order
         if leaders_acc is not None:
@@ -256,11 +264,14 @@ def learn_categories(
         accepted = (
             names.where(F.col("_cut").isNull() | (F.col("leader_rank") <= F.col("_cut")))
             .select(*scope, "leader_rank", "leader", "category_name")
-            .checkpoint(eager=True)
+            .persist(StorageLevel.MEMORY_AND_DISK)
         )
+        held.append(accepted)
         kept = members.join(accepted.select(*scope, "leader_rank"), on=[*scope, "leader_rank"], how="left_semi")
         leaders_acc = accepted if leaders_acc is None else leaders_acc.unionByName(accepted)
         members_acc = kept if members_acc is None else members_acc.unionByName(kept)
+        if last_round:
+            break
         leaders_acc = leaders_acc.checkpoint(eager=True)
         members_acc = members_acc.checkpoint(eager=True)
         # drop grouped merchants and scopes that reached the cap
@@ -270,6 +281,9 @@ def learn_categories(
         elif not cutoff.where(F.col("_cut").isNotNull()).isEmpty():
             break
         remaining = remaining.checkpoint(eager=True)
+        for frame in held:
+            frame.unpersist()
+        held = []
         if remaining.isEmpty():
             break
     if leaders_acc is None:
