@@ -1396,3 +1396,144 @@ def q_per_account_categorisation_stats(spark, sf):
     df = adapters.lineitem_transactions(spark, sf)
     out, _cats = C.categorize(df, scope=["account_number"])
     return C.categorisation_stats(out, by=["account_number"])
+
+
+# ------------------------------------- category table oracle, grouping off
+# With grouping off every frequent merchant leads its own group, so the whole
+# category table (names from the merchant's own words, distinct-name cap in
+# frequency order, last-leader-wins collisions, statistics, keywords and
+# confidence) is expressible in SQL.
+
+
+def _kw_list_sql(expr: str) -> str:
+    return f"""list_sort(list_distinct(list_filter(
+                  list_transform(string_split_regex(regexp_replace(upper(coalesce({expr}, '')), '^\\s+|\\s+$', '', 'g'), '\\s+'),
+                                 lambda w: regexp_replace(w, '[^\\w]', '', 'g')),
+                  lambda w: length(w) >= 3 AND NOT list_contains([{_STOP}], w) AND NOT regexp_matches(w, '^\\d+$')
+                       AND NOT regexp_matches(w, '^\\d+[A-Z]*$'))))"""
+
+
+def _nogroup_sql(source: str, cap: int = 100) -> str:
+    ctes = _DESC_CTE + f""",
+    m AS (SELECT clean_merchant, CAST(sum(description_count) AS BIGINT) AS merchant_count FROM d GROUP BY 1
+          HAVING sum(description_count) >= 5),
+    r AS (SELECT *, row_number() OVER (ORDER BY merchant_count DESC, clean_merchant) AS rk FROM m),
+    w AS (SELECT rk, unnest(string_split(clean_merchant, ' ')) AS word,
+                 unnest(range(1, len(string_split(clean_merchant, ' ')) + 1)) AS pos FROM r),
+    wc AS (SELECT rk, word, count(*) AS n, min(pos) AS fpos FROM w
+           WHERE length(word) >= 3 AND NOT regexp_full_match(word, '[0-9]+') GROUP BY 1, 2),
+    wt AS (SELECT rk, word, row_number() OVER (PARTITION BY rk ORDER BY n DESC, fpos) AS k FROM wc),
+    wj AS (SELECT rk, string_agg(word, '_' ORDER BY k) AS words FROM wt WHERE k <= 3 GROUP BY 1),
+    nm AS (SELECT r.*, upper(substr(coalesce(wj.words, replace(r.clean_merchant, ' ', '_')), 1, 30)) AS category_name
+           FROM r LEFT JOIN wj USING (rk)),
+    fl AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY category_name ORDER BY rk) = 1 THEN 1 ELSE 0 END AS is_new FROM nm),
+    cu AS (SELECT *, sum(is_new) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM fl),
+    cut AS (SELECT min(rk) AS c FROM cu WHERE cum >= {cap}),
+    acc AS (SELECT cu.* FROM cu, cut WHERE cut.c IS NULL OR cu.rk <= cut.c),
+    win AS (SELECT *, max(rk) OVER (PARTITION BY category_name) AS last_rk,
+                   min(rk) OVER (PARTITION BY category_name) AS first_rk FROM acc),
+    cats AS (SELECT *, dense_rank() OVER (ORDER BY first_rk) AS category_order FROM win WHERE rk = last_rk),
+    tx AS (SELECT d.clean_merchant, count(*) AS transaction_count,
+                  CAST(sum(t.amount) AS DOUBLE) / count(t.amount) AS avg_amount,
+                  count(*) FILTER (WHERE t.amount > 0) AS pos, count(*) FILTER (WHERE t.amount < 0) AS neg
+           FROM txn t JOIN d ON t.main_description IS NOT DISTINCT FROM d.main_description GROUP BY 1),
+    nt AS (SELECT count(*) AS total FROM txn)"""
+    body = f"""
+    SELECT c.category_name, CAST(c.rk AS BIGINT) AS category_id, CAST(c.category_order AS BIGINT) AS category_order,
+           CAST(1 AS BIGINT) AS merchant_count, coalesce(tx.transaction_count, 0) AS transaction_count, tx.avg_amount,
+           CASE WHEN tx.transaction_count IS NULL OR tx.transaction_count = 0 THEN 'unknown'
+                WHEN tx.pos / tx.transaction_count > 0.8 THEN 'mostly_positive'
+                WHEN tx.neg / tx.transaction_count > 0.8 THEN 'mostly_negative'
+                ELSE 'mixed' END AS amount_pattern,
+           array_to_string(list_slice({_kw_list_sql('c.clean_merchant')}, 1, 10), ',') AS keywords,
+           c.merchant_count / nt.total AS frequency_score,
+           round(least(CAST(1.0 AS DOUBLE),
+                       least(CAST(1.0 AS DOUBLE), c.merchant_count / 50) * CAST(0.4 AS DOUBLE)
+                       + (CAST(1.0 AS DOUBLE) / 1) * CAST(0.3 AS DOUBLE)
+                       + (CASE WHEN c.clean_merchant <> 'UNKNOWN' AND length(c.clean_merchant) > 2 THEN 1 ELSE 0 END / 1)
+                         * CAST(0.3 AS DOUBLE)), 3) AS confidence_score,
+           c.clean_merchant AS sample_merchants
+    FROM cats c LEFT JOIN tx USING (clean_merchant) CROSS JOIN nt"""
+    return O.with_txn(source, body, extra_ctes=ctes)
+
+
+REGISTRY["categories_nogroup"] = (q_categories_nogroup, _nogroup_sql("orders"))
+
+
+@register("categories_nogroup_capped", _nogroup_sql("supplier", cap=40))
+def q_categories_nogroup_capped(spark, sf):
+    """Supplier names, grouping off, 40 categories: the cap cuts the list."""
+    df, _out, cats = _categorised(spark, sf, source="supplier", smart_grouping=False, max_categories=40)
+    return C.category_table(df, cats)
+
+
+# Orders with grouping off: every frequent merchant gets its own category and
+# the cap is not reached, so no frequent merchant is left for the fuzzy stage;
+# the labelled rows and the category reports are then plain SQL.
+
+def _labelled_ctes() -> str:
+    nog = _nogroup_sql("orders")
+    ctes = nog[len("WITH "): nog.index("\n    SELECT c.category_name")]
+    return ctes + """,
+    lab AS (SELECT t.*, coalesce(c.category_name, 'UNCATEGORIZED') AS auto_category,
+                   CASE WHEN c.category_name IS NOT NULL THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS category_confidence
+            FROM txn t LEFT JOIN d ON t.main_description IS NOT DISTINCT FROM d.main_description
+            LEFT JOIN cats c ON d.clean_merchant = c.clean_merchant)"""
+
+
+def _labelled(spark, sf):
+    _df, out, _cats = _categorised(spark, sf, source="orders", smart_grouping=False)
+    return out
+
+
+@register("assign_exact", "WITH " + _labelled_ctes() + "\nSELECT * FROM lab")
+def q_assign_exact(spark, sf):
+    return _labelled(spark, sf)
+
+
+@register(
+    "category_distribution_exact",
+    "WITH " + _labelled_ctes() + f"""
+    SELECT auto_category, count(*) AS transaction_count,
+           (SELECT count(DISTINCT auto_category) FROM lab) AS total_categories,
+           {PCT("(SELECT count(*) FILTER (WHERE auto_category = 'UNCATEGORIZED') FROM lab)", "(SELECT count(*) FROM lab)")}
+             AS uncategorized_percentage
+    FROM lab GROUP BY 1""",
+)
+def q_category_distribution_exact(spark, sf):
+    return R.category_distribution_report(_labelled(spark, sf))
+
+
+@register(
+    "category_financials_exact",
+    "WITH " + _labelled_ctes() + f"""
+    SELECT auto_category AS category, count(amount) AS count, {MO('coalesce(sum(amount), 0)')} AS sum,
+           {M2('coalesce(sum(amount), 0)', 'count(amount)')} AS mean,
+           CAST(CAST(stddev_samp(CAST(amount AS DOUBLE)) AS DECIMAL(38,6)) AS DECIMAL(38,2)) AS std,
+           {MO('min(amount)')} AS min, {MO('max(amount)')} AS max
+    FROM lab GROUP BY 1""",
+)
+def q_category_financials_exact(spark, sf):
+    return R.category_financials(_labelled(spark, sf))
+
+
+@register(
+    "category_expense_exact",
+    "WITH " + _labelled_ctes() + f"\nSELECT auto_category, {MO('abs(sum(amount))')} AS expense_amount FROM lab WHERE amount < 0 GROUP BY 1",
+)
+def q_category_expense_exact(spark, sf):
+    return R.category_breakdown(_labelled(spark, sf), side="expense")
+
+
+@register(
+    "categorisation_stats_exact",
+    "WITH " + _labelled_ctes() + f"""
+    SELECT count(*) AS total_transactions,
+           count(*) FILTER (WHERE auto_category <> 'UNCATEGORIZED') AS categorized_transactions,
+           count(DISTINCT auto_category) FILTER (WHERE auto_category <> 'UNCATEGORIZED') AS categories_used,
+           count(*) - count(*) FILTER (WHERE auto_category <> 'UNCATEGORIZED') AS uncategorized_transactions,
+           {PCT("count(*) FILTER (WHERE auto_category <> 'UNCATEGORIZED')", "count(*)")} AS categorized_percentage
+    FROM lab""",
+)
+def q_categorisation_stats_exact(spark, sf):
+    return C.categorisation_stats(_labelled(spark, sf))
