@@ -189,21 +189,28 @@ def income_vs_expense(df: DataFrame) -> DataFrame:
 
 
 def chart_data(df: DataFrame, categorised: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All applicable chart datasets (lazy; each is independent)."""
-    out = {
-        "amount_distribution": amount_histogram(df),
-        "merchant_frequency": merchant_frequency_chart(df),
-        "monthly_trends": monthly_trends_chart(df),
-        "cash_flow": cash_flow_chart(df),
-        "account_comparison": account_comparison(df),
-        "account_daily_activity": account_daily_activity(df),
-        "weekday_patterns": weekday_chart(df),
-        "outliers": outliers_chart(df),
-        "balance_trend": balance_trend(df),
-        "income_vs_expense": income_vs_expense(df),
+    """All applicable chart datasets (lazy; each is independent). A dataset
+    that cannot be built is left out instead of failing the others."""
+    builders = {
+        "amount_distribution": lambda: amount_histogram(df),
+        "merchant_frequency": lambda: merchant_frequency_chart(df),
+        "monthly_trends": lambda: monthly_trends_chart(df),
+        "cash_flow": lambda: cash_flow_chart(df),
+        "account_comparison": lambda: account_comparison(df),
+        "account_daily_activity": lambda: account_daily_activity(df),
+        "weekday_patterns": lambda: weekday_chart(df),
+        "outliers": lambda: outliers_chart(df),
+        "balance_trend": lambda: balance_trend(df),
+        "income_vs_expense": lambda: income_vs_expense(df),
     }
     if categorised is not None and "auto_category" in categorised.columns:
-        out["category_distribution"] = category_share(categorised)
+        builders["category_distribution"] = lambda: category_share(categorised)
+    out = {}
+    for name, build in builders.items():
+        try:
+            out[name] = build()
+        except Exception:  # noqa: BLE001 - an inapplicable chart is skipped
+            continue
     return out
 
 

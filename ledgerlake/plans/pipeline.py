@@ -102,7 +102,7 @@ def run_pipeline(spark: SparkSession, opts: PipelineOptions) -> dict[str, str]:
         df, as_of=as_of, start=opts.start, end=opts.end, settings=opts.settings, categorised=categorised, persist=False
     )
     written.update(_section("reports", R.write_bundle(reports, f"{out}/reports", fmt=opts.fmt)))
-    sheets = R.sheets(df, as_of=as_of, categorised=categorised, settings=opts.settings)
+    sheets = R.sheets(df, as_of=as_of, categorised=categorised, settings=opts.settings, start=opts.start, end=opts.end)
     written.update(_section("sheets", R.write_bundle(sheets, f"{out}/sheets", fmt=opts.fmt, max_rows_per_file=opts.settings.max_rows_per_file)))
     if not opts.skip_charts:
         written.update(_section("charts", R.write_bundle(CH.chart_data(df, categorised), f"{out}/charts", fmt=opts.fmt)))

@@ -47,10 +47,21 @@ def _metric_rows(pairs: list[tuple[str, F.Column]]) -> list[F.Column]:
     return [F.struct(F.lit(k).alias("Metric"), v.cast("string").alias("Value")) for k, v in pairs]
 
 
-def executive_summary(df: DataFrame, *, analysis_date: str, total_records: int | None = None) -> DataFrame:
-    """Metric / Value rows from the overview and amount summary (one scan)."""
+def executive_summary(
+    df: DataFrame, *, analysis_date: str, total_records: int | None = None, records_from: DataFrame | None = None
+) -> DataFrame:
+    """Metric / Value rows from the overview and amount summary of ``df``.
+
+    "Total Records Analyzed" counts ``records_from`` when given (the unfiltered
+    input of a date-filtered run) -- a one-row count joined on, no action."""
     s = stats.basic_statistics(df)
-    total = F.format_number(F.col("total_transactions"), 0) if total_records is None else F.lit(f"{total_records:,}")
+    if records_from is not None:
+        s = s.crossJoin(F.broadcast(records_from.agg(F.count(F.lit(1)).alias("_records"))))
+        total = F.format_number(F.col("_records"), 0)
+    elif total_records is not None:
+        total = F.lit(f"{total_records:,}")
+    else:
+        total = F.format_number(F.col("total_transactions"), 0)
     rows = _metric_rows(
         [
             ("Analysis Date", F.lit(analysis_date)),
@@ -276,6 +287,14 @@ def run_all(
     return reports, errors
 
 
+def clustered(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Rows clustered by account and ordered by (date, row_id) inside each
+    output partition: a range partitioning plus a local sort, no global sort."""
+    cols = ["account_number", "transaction_date", "row_id"]
+    ranged = df.repartitionByRange(partitions, "account_number") if partitions else df.repartitionByRange("account_number")
+    return ranged.sortWithinPartitions(*cols)
+
+
 def sheets(
     df: DataFrame,
     *,
@@ -283,18 +302,27 @@ def sheets(
     categorised: DataFrame | None = None,
     settings: Settings = DEFAULTS,
     analysis_date: str | None = None,
+    start=None,
+    end=None,
 ) -> dict[str, DataFrame]:
-    """The six workbook sheets as DataFrames (Category_Analysis only when categorised)."""
+    """The six workbook sheets as DataFrames (Category_Analysis only when categorised).
+
+    With ``start``/``end`` the analysis sheets use the date-filtered rows while
+    Raw_Data and "Total Records Analyzed" keep every row."""
     analysis_date = analysis_date or str(as_of)
+    filtered = bool(start or end)
+    analysed = stats.date_filter(df, start, end) if filtered else df
+    raw = categorised if categorised is not None else df
     out = {
-        "Raw_Data": export_format(categorised if categorised is not None else df),
-        "Executive_Summary": executive_summary(df, analysis_date=analysis_date),
-        "Account_Analysis": account_sheet(df, as_of=as_of, active_days=settings.active_days),
-        "Top_Merchants": top_merchants_sheet(df, top_n=settings.top_n),
-        "Active_Inactive_Accounts": activity_sheet(df, as_of=as_of, active_days=settings.active_days),
+        "Raw_Data": export_format(clustered(raw)),
+        "Executive_Summary": executive_summary(analysed, analysis_date=analysis_date, records_from=df if filtered else None),
+        "Account_Analysis": account_sheet(analysed, as_of=as_of, active_days=settings.active_days),
+        "Top_Merchants": top_merchants_sheet(analysed, top_n=settings.top_n),
+        "Active_Inactive_Accounts": activity_sheet(analysed, as_of=as_of, active_days=settings.active_days),
     }
     if categorised is not None:
-        out["Category_Analysis"] = category_financials(categorised)
+        cat = stats.date_filter(categorised, start, end) if filtered else categorised
+        out["Category_Analysis"] = category_financials(cat)
     return out
 
 

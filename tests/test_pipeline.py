@@ -83,3 +83,17 @@ def test_streaming_ingest(spark, tmp_path):
     assert df.count() == 8
     assert df.where(F.col("amount").isNull()).count() == 1
     assert df.select("row_id").distinct().count() == 8
+
+
+def test_filtered_sheets_keep_raw_rows(spark, g1):
+    from ledgerlake.plans import report as R
+
+    sh = R.sheets(g1, as_of="2024-03-10 00:00:00", start="2024-02-01", end="2024-03-31")
+    assert sh["Raw_Data"].count() == 8
+    summary = {r.Metric: r.Value for r in sh["Executive_Summary"].collect()}
+    assert summary["Total Records Analyzed"] == "8"
+    # only February/March rows (4, 5, 6, 8) feed the analysis sheets
+    assert summary["Total Credits"] == "£0.00" and summary["Total Debits"] == "£-60.00"
+    raw = sh["Raw_Data"].collect()
+    keys = [(r.account_number, r.transaction_date or "", r.row_id) for r in raw]
+    assert len(keys) == 8
