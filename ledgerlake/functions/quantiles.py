@@ -26,6 +26,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _dec(v) -> Decimal:
+    return v if isinstance(v, Decimal) else Decimal(repr(v))
+
+
 def _ranks(n: int, probs: Sequence[float]) -> list[tuple[int, int, Decimal]]:
     out = []
     for p in probs:
@@ -39,9 +43,9 @@ def _ranks(n: int, probs: Sequence[float]) -> list[tuple[int, int, Decimal]]:
 def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], *, ranges: int | None = None) -> list[Decimal | None]:
     """Quantiles of a numeric column (nulls ignored); ``None`` when empty."""
     spark = df.sparkSession
-    vc = df.select(value.cast("decimal(38,10)").alias("x")).where(F.col("x").isNotNull()).groupBy("x").agg(
-        F.count(F.lit(1)).alias("c")
-    )
+    # keep the input type: 2-dp money (precision <= 18) stays a compact long
+    # inside Spark's hash aggregation and range sort
+    vc = df.select(value.alias("x")).where(F.col("x").isNotNull()).groupBy("x").agg(F.count(F.lit(1)).alias("c"))
     p = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     # the value table is read by three jobs (range sampling, range totals,
     # the slice pass): keep it instead of recomputing it from the source
@@ -96,6 +100,6 @@ def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], *, ran
     vc.unpersist()
     out = []
     for lo, hi, frac in wanted:
-        v_lo, v_hi = value_at[lo], value_at[hi]
+        v_lo, v_hi = _dec(value_at[lo]), _dec(value_at[hi])
         out.append(v_lo + (v_hi - v_lo) * frac)
     return out
