@@ -1537,3 +1537,74 @@ def q_category_expense_exact(spark, sf):
 )
 def q_categorisation_stats_exact(spark, sf):
     return C.categorisation_stats(_labelled(spark, sf))
+
+
+# ------------------------------------------------- formatted summary oracles
+
+_STATS_CTE = f"""st AS (
+    SELECT count(*) AS n, count(DISTINCT account_number) AS accounts, count(DISTINCT main_description) AS merchants,
+           {FD('max(transaction_date)', 'min(transaction_date)')} AS span_days,
+           CAST(coalesce(sum(amount) FILTER (WHERE amount > 0), 0) AS DECIMAL(38,2)) AS credits,
+           CAST(coalesce(sum(amount) FILTER (WHERE amount < 0), 0) AS DECIMAL(38,2)) AS debits,
+           CAST(coalesce(sum(amount), 0) AS DECIMAL(38,2)) AS net
+    FROM txn)"""
+
+
+def _gbp_sql(expr: str) -> str:
+    return f"'£' || format('{{:,.2f}}', {expr})"
+
+
+def _metric_union(pairs: list[tuple[str, str]]) -> str:
+    return "\nUNION ALL\n".join(f"SELECT '{k}' AS Metric, {v} AS Value FROM st" for k, v in pairs)
+
+
+REGISTRY["sheet_executive_summary"] = (
+    q_sheet_executive_summary,
+    O.with_txn(
+        "orders",
+        _metric_union(
+            [
+                ("Analysis Date", f"'{AS_OF_ORDERS}'"),
+                ("Total Records Analyzed", "format('{:,}', n)"),
+                ("Unique Accounts", "CAST(accounts AS VARCHAR)"),
+                ("Unique Merchants", "CAST(merchants AS VARCHAR)"),
+                ("Date Range (Days)", "CAST(span_days AS VARCHAR)"),
+                ("Total Credits", _gbp_sql("credits")),
+                ("Total Debits", _gbp_sql("debits")),
+                ("Net Position", _gbp_sql("net")),
+            ]
+        ),
+        extra_ctes=_STATS_CTE,
+    ),
+)
+
+REGISTRY["simple_summary"] = (
+    q_simple_summary,
+    O.with_txn(
+        "orders",
+        _metric_union(
+            [
+                ("Total Transactions", "CAST(n AS VARCHAR)"),
+                ("Total Credits", "CAST(credits AS VARCHAR)"),
+                ("Total Debits", "CAST(abs(debits) AS VARCHAR)"),
+                ("Net Position", "CAST(net AS VARCHAR)"),
+                ("Unique Accounts", "CAST(accounts AS VARCHAR)"),
+                ("Unique Merchants", "CAST(merchants AS VARCHAR)"),
+            ]
+        ),
+        extra_ctes=_STATS_CTE,
+    ),
+)
+
+REGISTRY["key_findings"] = (
+    q_key_findings,
+    O.with_txn(
+        "orders",
+        f"""SELECT 0 AS finding_no, 'Analysed ' || format('{{:,}}', n) || ' transactions across ' || CAST(accounts AS VARCHAR) || ' accounts' AS finding FROM st
+            UNION ALL SELECT 1, 'Total income: ' || {_gbp_sql('credits')} FROM st
+            UNION ALL SELECT 2, 'Total expenses: ' || {_gbp_sql('abs(debits)')} FROM st
+            UNION ALL SELECT 3, CASE WHEN net >= 0 THEN 'Positive net position of ' || {_gbp_sql('net')}
+                                     ELSE 'Negative net position of ' || {_gbp_sql('abs(net)')} END FROM st""",
+        extra_ctes=_STATS_CTE,
+    ),
+)
