@@ -460,20 +460,28 @@ def assign(
         best = ranked.groupBy(*scope, F.col("uid").alias(CM)).agg(
             F.min_by(F.col("_cat"), F.struct(-F.col("score"), F.col("category_order"), F.col("merchant_rank"))).alias("_fuzzy")
         )
-    # distinct (scope, description) -> category mapping, joined back to the rows
-    # (null-safe on the description: missing descriptions clean to UNKNOWN)
+    # (scope, description) -> category for categorised descriptions only; every
+    # other row is UNCATEGORIZED. The mapping holds descriptions of frequent,
+    # categorised merchants, so it is usually small enough for AQE to broadcast
+    # it after measuring it, and the rows are then never shuffled.
     mapping = (
         d.select(*scope, "main_description", CM)
         .join(exact, on=[*scope, CM], how="left")
         .join(best, on=[*scope, CM], how="left")
+        .where(F.col("_exact").isNotNull() | F.col("_fuzzy").isNotNull())
         .select(
             *[F.col(c).alias(f"_s_{c}") for c in scope],
             F.col("main_description").alias("_desc"),
-            F.coalesce(F.col("_exact"), F.col("_fuzzy"), F.lit(UNCATEGORIZED)).alias("auto_category"),
-            F.when(F.col("_exact").isNotNull(), F.lit(1.0)).when(F.col("_fuzzy").isNotNull(), F.lit(0.7)).otherwise(F.lit(0.0)).alias("category_confidence"),
+            F.coalesce(F.col("_exact"), F.col("_fuzzy")).alias("_cat"),
+            F.when(F.col("_exact").isNotNull(), F.lit(1.0)).otherwise(F.lit(0.7)).alias("_conf"),
         )
     )
-    return df.join(mapping, _desc_join(df, mapping, scope), "left").drop("_desc", *[f"_s_{c}" for c in scope])
+    return (
+        df.join(mapping, _desc_join(df, mapping, scope), "left")
+        .withColumn("auto_category", F.coalesce(F.col("_cat"), F.lit(UNCATEGORIZED)))
+        .withColumn("category_confidence", F.coalesce(F.col("_conf"), F.lit(0.0)))
+        .drop("_desc", "_cat", "_conf", *[f"_s_{c}" for c in scope])
+    )
 
 
 def categorize(df: DataFrame, *, scope: Sequence[str] = (), **settings) -> tuple[DataFrame, Categories]:
