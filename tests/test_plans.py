@@ -48,3 +48,16 @@ def test_account_comparison_has_no_global_window(spark):
 def test_distinct_overview_stays_on_hash_aggregate(spark):
     p = plan(stats.overview(adapters.lineitem_transactions(spark, SF001)))
     assert "SortAggregate" not in p
+
+
+def test_category_assignment_broadcasts_the_measured_mapping(spark):
+    """Rows are joined to the (small, measured) categorised-description
+    mapping: AQE's final plan broadcasts it instead of shuffling the rows."""
+    from ledgerlake.operators import categorize as C
+
+    out, _cats = C.categorize(adapters.lineitem_transactions(spark, SF001))
+    out.collect()
+    final = plan(out)
+    assert "isFinalPlan=true" in final
+    top_join = [line for line in final.splitlines() if "Join" in line][0]
+    assert "BroadcastHashJoin" in top_join and "main_description" in top_join
