@@ -187,7 +187,7 @@ _DATED = "WHERE transaction_date IS NOT NULL"
     "monthly_summary",
     O.with_txn(
         "orders",
-        f"""SELECT year(transaction_date) AS year, month(transaction_date) AS month,
+        f"""SELECT CAST(year(transaction_date) AS INTEGER) AS year, CAST(month(transaction_date) AS INTEGER) AS month,
                    count(amount) AS transaction_count,
                    {MO("coalesce(sum(amount), 0)")} AS total_amount,
                    {M2("coalesce(sum(amount), 0)", "count(amount)")} AS avg_amount,
@@ -203,7 +203,7 @@ def q_monthly_summary(spark, sf):
     "monthly_cash_flow",
     O.with_txn(
         "orders",
-        f"""SELECT year(transaction_date) AS year, month(transaction_date) AS month,
+        f"""SELECT CAST(year(transaction_date) AS INTEGER) AS year, CAST(month(transaction_date) AS INTEGER) AS month,
                    {MO("coalesce(sum(CASE WHEN amount > 0 THEN amount ELSE 0 END), 0)")} AS income,
                    {MO("coalesce(sum(CASE WHEN amount < 0 THEN amount ELSE 0 END), 0)")} AS expenses,
                    {MO("coalesce(sum(CASE WHEN amount > 0 THEN amount ELSE 0 END), 0) + coalesce(sum(CASE WHEN amount < 0 THEN amount ELSE 0 END), 0)")} AS net_flow
@@ -233,7 +233,7 @@ def q_cash_flow_monthly(spark, sf):
     "weekday_patterns",
     O.with_txn(
         "events",
-        f"""SELECT isodow(transaction_date) - 1 AS day_of_week, count(*) AS transaction_count,
+        f"""SELECT CAST(isodow(transaction_date) - 1 AS INTEGER) AS day_of_week, count(*) AS transaction_count,
                    (['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'])[isodow(transaction_date)] AS day_name
             FROM txn {_DATED} GROUP BY 1, 3""",
     ),
@@ -595,7 +595,7 @@ def q_date_quality(spark, sf):
     "iqr_outliers",
     O.with_txn(
         "orders",
-        f"""SELECT q25, q75, iqr, q25 - CAST(1.5 AS DECIMAL(2,1)) * iqr AS lower_bound, ub AS upper_bound,
+        f"""SELECT q25, q75, iqr, CAST(q25 - CAST(1.5 AS DECIMAL(2,1)) * iqr AS DECIMAL(38,6)) AS lower_bound, CAST(ub AS DECIMAL(38,6)) AS upper_bound,
                    (SELECT count(*) FROM txn WHERE abs(amount) > ub) AS outlier_count,
                    {PCT('(SELECT count(*) FROM txn WHERE abs(amount) > ub)', '(SELECT count(*) FROM txn)')} AS outlier_percentage
             FROM (SELECT *, q75 + CAST(1.5 AS DECIMAL(2,1)) * iqr AS ub FROM (SELECT *, q75 - q25 AS iqr FROM q))""",
@@ -637,7 +637,7 @@ def q_top_outliers(spark, sf):
     "duplicates",
     O.with_txn(
         "lineitem",
-        f"""SELECT coalesce(sum(c) FILTER (WHERE c > 1), 0) AS duplicate_count,
+        f"""SELECT CAST(coalesce(sum(c) FILTER (WHERE c > 1), 0) AS BIGINT) AS duplicate_count,
                    {PCT('coalesce(sum(c) FILTER (WHERE c > 1), 0)', 'sum(c)')} AS duplicate_percentage
             FROM (SELECT count(*) AS c FROM txn GROUP BY transaction_date, amount)""",
     ),
@@ -1048,7 +1048,7 @@ def q_chart_account_daily_activity(spark, sf):
     "chart_weekday",
     O.with_txn(
         "orders",
-        f"""SELECT isodow(transaction_date) - 1 AS day_of_week,
+        f"""SELECT CAST(isodow(transaction_date) - 1 AS INTEGER) AS day_of_week,
                    (['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'])[isodow(transaction_date)] AS weekday_name,
                    count(amount) AS transaction_count, {MO('coalesce(sum(amount), 0)')} AS total_amount,
                    {M2('coalesce(sum(amount), 0)', 'count(amount)')} AS avg_amount
@@ -1182,7 +1182,7 @@ def q_completeness_table(spark, sf):
     "per_account_monthly",
     O.with_txn(
         "orders",
-        f"""SELECT account_number, year(transaction_date) AS year, month(transaction_date) AS month,
+        f"""SELECT account_number, CAST(year(transaction_date) AS INTEGER) AS year, CAST(month(transaction_date) AS INTEGER) AS month,
                    count(amount) AS transaction_count, {MO('coalesce(sum(amount), 0)')} AS total_amount,
                    {M2('coalesce(sum(amount), 0)', 'count(amount)')} AS avg_amount,
                    count(DISTINCT transaction_date) AS active_days
@@ -1197,7 +1197,7 @@ def q_per_account_monthly(spark, sf):
     "per_account_top_merchants",
     O.with_txn(
         "orders",
-        """SELECT account_number, main_description, transaction_count, rank FROM (
+        """SELECT account_number, main_description, transaction_count, CAST(rank AS INTEGER) AS rank FROM (
              SELECT account_number, main_description, count(*) AS transaction_count,
                     row_number() OVER (PARTITION BY account_number ORDER BY count(*) DESC, main_description) AS rank
              FROM txn WHERE main_description IS NOT NULL AND account_number IS NOT NULL GROUP BY 1, 2) WHERE rank <= 15""",
@@ -1245,7 +1245,7 @@ def q_pattern_merchants(spark, sf):
 
 @register(
     "pattern_months",
-    O.with_txn("orders", f"SELECT month(transaction_date) AS month, count(*) AS transaction_count FROM txn {_DATED} GROUP BY 1"),
+    O.with_txn("orders", f"SELECT CAST(month(transaction_date) AS INTEGER) AS month, count(*) AS transaction_count FROM txn {_DATED} GROUP BY 1"),
 )
 def q_pattern_months(spark, sf):
     return P.month_distribution(orders(spark, sf))
@@ -1253,7 +1253,7 @@ def q_pattern_months(spark, sf):
 
 @register(
     "pattern_weekdays",
-    O.with_txn("events", f"SELECT isodow(transaction_date) - 1 AS day_of_week, count(*) AS transaction_count FROM txn {_DATED} GROUP BY 1"),
+    O.with_txn("events", f"SELECT CAST(isodow(transaction_date) - 1 AS INTEGER) AS day_of_week, count(*) AS transaction_count FROM txn {_DATED} GROUP BY 1"),
 )
 def q_pattern_weekdays(spark, sf):
     return P.weekday_distribution(events(spark, sf))
