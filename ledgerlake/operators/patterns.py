@@ -59,8 +59,11 @@ def merchant_rank(counts: DataFrame, *, key: str = "clean_merchant", count: str
         F.coalesce(F.sum("_k").over(Window.orderBy(F.col(count).desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     ).select(count, "_before")
     within = Window.partitionBy(count).orderBy(F.col(key).asc())
+    # k distinct count values need at least k(k+1)/2 rows, so the histogram
+    # has at most sqrt(2N) rows; it still grows with N, so the join strategy
+    # is left to AQE's measured sizes rather than forced to a broadcast
     return (
         counts.withColumn("_pos", F.row_number().over(within))
-        .join(F.broadcast(higher), on=count)
+        .join(higher, on=count)
         .select(key, count, (F.col("_before") + F.col("_pos")).cast("bigint").alias("merchant_rank"))
     )
