@@ -66,3 +66,13 @@ def test_results_do_not_depend_on_input_partitioning(spark):
         a = sorted(map(tuple, build(df).collect()), key=repr)
         b = sorted(map(tuple, build(shuffled).collect()), key=repr)
         assert a == b
+
+
+def test_running_balance_grain_does_not_change_results(spark):
+    from ledgerlake.operators import balance
+
+    df = adapters.events_transactions(spark, SF001)
+    by_day = sorted(map(tuple, balance.running_balance(df).collect()), key=repr)
+    by_hour = sorted(map(tuple, balance.running_balance(df, grain="hour").collect()), key=repr)
+    by_month = sorted(map(tuple, balance.running_balance(df, grain="month").collect()), key=repr)
+    assert by_day == by_hour == by_month
