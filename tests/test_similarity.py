@@ -47,3 +47,33 @@ def test_similar_pairs_matches_brute_force(spark, seed):
     got = {(r.a, r.b) for r in similar_pairs(left, right, threshold=0.85, left_id="a", left_text="at", right_id="b", right_text="bt").collect()}
     want = {(x, y) for x in names for y in names if SequenceMatcher(None, x, y).ratio() > 0.85}
     assert got == want
+
+
+def _dense_names(seed, n, alphabet, lo, hi):
+    rnd = random.Random(seed)
+    out = set()
+    while len(out) < n:
+        out.add("".join(rnd.choice(alphabet) for _ in range(rnd.randint(lo, hi))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(
+    "seed,alphabet,lo,hi",
+    [
+        (11, "AB", 1, 6),          # tiny alphabet, repeated characters, short strings
+        (12, "AB C1", 2, 12),       # spaces and digits, many near-duplicates
+        (13, "ABCDEFGH ", 200, 230),  # >= 200 characters: difflib's autojunk applies
+    ],
+)
+def test_similar_pairs_exact_on_dense_inputs(spark, seed, alphabet, lo, hi):
+    names = _dense_names(seed, 60, alphabet, lo, hi)
+    if lo >= 200:
+        # near-copies of long names so that some pairs do exceed the threshold
+        rnd = random.Random(seed)
+        names = sorted(set(names + [n[:-3] + "XYZ" for n in names[:20]] + [n[1:] for n in names[20:40]]))
+    df = spark.createDataFrame([(x,) for x in names], "s string")
+    left = df.selectExpr("s AS a", "s AS at")
+    right = df.selectExpr("s AS b", "s AS bt")
+    got = {(r.a, r.b) for r in similar_pairs(left, right, threshold=0.85, left_id="a", left_text="at", right_id="b", right_text="bt").collect()}
+    want = {(x, y) for x in names for y in names if SequenceMatcher(None, x, y).ratio() > 0.85}
+    assert got == want and len(want) > len(names)
