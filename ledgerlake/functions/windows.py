@@ -34,8 +34,15 @@ def running_sum(
     )
     within = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     running = tmp.withColumn("_within", F.coalesce(F.sum("_v").over(within), F.lit(0)))
+    # null-safe left join: rows with a null key or chunk are kept (they sort
+    # first, as in a single window), and when ``out`` is not used downstream
+    # the join (unique on its keys) and both windows are pruned by Catalyst
+    offsets = offsets.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_chunk").alias("_o_chunk"), "_offset")
+    cond = running["_chunk"].eqNullSafe(offsets["_o_chunk"])
+    for k in keys:
+        cond = cond & running[k].eqNullSafe(offsets[f"_o_{k}"])
     return (
-        running.join(offsets, on=[*keys, "_chunk"], how="inner")
+        running.join(offsets, cond, how="left")
         .withColumn(out, F.col("_offset") + F.col("_within"))
-        .drop("_chunk", "_v", "_offset", "_within")
+        .drop("_chunk", "_v", "_offset", "_within", "_o_chunk", *[f"_o_{k}" for k in keys])
     )

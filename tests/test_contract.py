@@ -76,3 +76,18 @@ def test_running_balance_grain_does_not_change_results(spark):
     by_hour = sorted(map(tuple, balance.running_balance(df, grain="hour").collect()), key=repr)
     by_month = sorted(map(tuple, balance.running_balance(df, grain="month").collect()), key=repr)
     assert by_day == by_hour == by_month
+
+
+def test_running_sum_keeps_undated_rows_and_matches_one_window(spark):
+    from pyspark.sql import Window
+
+    from ledgerlake.functions.windows import running_sum
+
+    rows = [("a", None, 1, 5), ("a", "2024-01-01 10:00:00", 2, 1), ("a", "2024-01-01 11:00:00", 3, 2),
+            ("a", "2024-01-02 09:00:00", 4, 3), ("b", None, 5, 7), ("b", "2024-01-03 00:00:00", 6, 4)]
+    df = spark.createDataFrame(rows, "k string, ts string, id int, v int").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = running_sum(df, ["k"], ["ts", "id"], F.col("v"), "cum", F.to_date("ts"))
+    w = Window.partitionBy("k").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.withColumn("cum", F.sum("v").over(w))
+    assert sorted(map(tuple, got.select("id", "cum").collect())) == sorted(map(tuple, want.select("id", "cum").collect()))
+    assert got.count() == len(rows)
