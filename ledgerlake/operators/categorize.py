@@ -488,7 +488,8 @@ def categorize(df: DataFrame, *, scope: Sequence[str] = (), **settings) -> tuple
     """Learn categories from ``df`` (per ``scope``) and label every row."""
     ensure_checkpoint_dir(df.sparkSession)
     scope = list(scope)
-    descriptions = description_table(df, scope=scope).checkpoint(eager=True)
+    # short lineage (scan + one aggregate), reused by every stage below
+    descriptions = description_table(df, scope=scope).persist(StorageLevel.MEMORY_AND_DISK)
     learn_keys = {"min_frequency", "similarity", "smart_grouping", "max_categories", "block"}
     cats = learn_categories(
         df, descriptions=descriptions, scope=scope, **{k: v for k, v in settings.items() if k in learn_keys}
