@@ -1608,3 +1608,16 @@ REGISTRY["key_findings"] = (
         extra_ctes=_STATS_CTE,
     ),
 )
+
+
+@register(
+    "analysis_metadata",
+    O.with_txn(
+        "orders",
+        f"""SELECT '{AS_OF_ORDERS}' AS analysis_date, count(*) AS dataset_size, true AS date_filter_applied,
+                   '{FILTER_START}' AS start_date, '{FILTER_END}' AS end_date
+            FROM txn WHERE transaction_date >= {TS(FILTER_START + ' 00:00:00')} AND transaction_date <= {TS(FILTER_END + ' 00:00:00')}""",
+    ),
+)
+def q_analysis_metadata(spark, sf):
+    return R.analysis_metadata(orders(spark, sf), as_of=AS_OF_ORDERS, start=FILTER_START, end=FILTER_END)

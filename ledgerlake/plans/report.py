@@ -220,6 +220,20 @@ def completeness_table(df: DataFrame, *, limit: int = 10) -> DataFrame:
 # ----------------------------------------------------------------- run all
 
 
+def analysis_metadata(df: DataFrame, *, as_of, start=None, end=None) -> DataFrame:
+    """One row describing a run: analysis date, analysed rows (after the date
+    filter), whether a filter was applied and its bounds."""
+    data = stats.date_filter(df, start, end) if (start or end) else df
+    return data.agg(F.count(F.lit(1)).alias("dataset_size")).select(
+        F.lit(str(as_of)).alias("analysis_date"),
+        "dataset_size",
+        F.lit(bool(start or end)).alias("date_filter_applied"),
+        F.lit(start).cast("string").alias("start_date"),
+        F.lit(end).cast("string").alias("end_date"),
+    )
+
+
+
 def run_all(
     df: DataFrame,
     *,
@@ -239,6 +253,7 @@ def run_all(
     if persist:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
     builders = {
+        "analysis_metadata": lambda: analysis_metadata(df, as_of=as_of, start=start, end=end),
         "filter_impact": lambda: stats.filter_impact(df, start, end),
         "basic_statistics": lambda: stats.basic_statistics(data),
         "account_overview": lambda: accounts.account_overview(data),
