@@ -32,12 +32,23 @@ REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
 
 def register(name: str, sql: str | None):
     def deco(fn: QueryFn) -> QueryFn:
+        if name in REGISTRY:
+            raise ValueError(f"query {name!r} registered twice")
         REGISTRY[name] = (fn, sql)
         return fn
 
     return deco
 
 
+def attach_oracle(name: str, sql: str) -> None:
+    """Give an already registered query its oracle SQL (used where the SQL
+    is built from pieces defined further down this module)."""
+    fn, old = REGISTRY[name]
+    if old is not None:
+        raise ValueError(f"query {name!r} already has an oracle")
+    REGISTRY[name] = (fn, sql)
+
+
 def orders(spark, sf):
     return adapters.orders_transactions(spark, sf)
 
@@ -1336,8 +1347,8 @@ def _act_cte(as_of: str) -> str:
       GROUP BY l.account_number, l.last_transaction, l.ref)"""
 
 
-REGISTRY["sheet_account_analysis"] = (
-    q_sheet_account_analysis,
+attach_oracle(
+    "sheet_account_analysis",
     O.with_txn(
         "events",
         "SELECT * FROM fin LEFT JOIN act USING (account_number)",
@@ -1345,8 +1356,8 @@ REGISTRY["sheet_account_analysis"] = (
     ),
 )
 
-REGISTRY["account_table"] = (
-    q_account_table,
+attach_oracle(
+    "account_table",
     O.with_txn(
         "orders",
         """SELECT f.account_number, f.transaction_count, f.net_position, f.avg_transaction,
@@ -1356,8 +1367,8 @@ REGISTRY["account_table"] = (
     ),
 )
 
-REGISTRY["completeness_table"] = (
-    q_completeness_table,
+attach_oracle(
+    "completeness_table",
     O.with_txn(
         "orders",
         "\nUNION ALL\n".join(
@@ -1369,8 +1380,8 @@ REGISTRY["completeness_table"] = (
     ),
 )
 
-REGISTRY["sheet_raw_data"] = (
-    q_sheet_raw_data,
+attach_oracle(
+    "sheet_raw_data",
     O.with_txn(
         "orders",
         """SELECT account_number, strftime(transaction_date, '%Y-%m-%d %H:%M:%S') AS transaction_date, main_description,
@@ -1457,7 +1468,9 @@ def _nogroup_sql(source: str, cap: int = 100) -> str:
     return O.with_txn(source, body, extra_ctes=ctes)
 
 
-REGISTRY["categories_nogroup"] = (q_categories_nogroup, _nogroup_sql("orders"))
+attach_oracle(
+    "categories_nogroup",
+    _nogroup_sql("orders"))
 
 
 @register("categories_nogroup_capped", _nogroup_sql("supplier", cap=40))
@@ -1558,8 +1571,8 @@ def _metric_union(pairs: list[tuple[str, str]]) -> str:
     return "\nUNION ALL\n".join(f"SELECT '{k}' AS Metric, {v} AS Value FROM st" for k, v in pairs)
 
 
-REGISTRY["sheet_executive_summary"] = (
-    q_sheet_executive_summary,
+attach_oracle(
+    "sheet_executive_summary",
     O.with_txn(
         "orders",
         _metric_union(
@@ -1578,8 +1591,8 @@ REGISTRY["sheet_executive_summary"] = (
     ),
 )
 
-REGISTRY["simple_summary"] = (
-    q_simple_summary,
+attach_oracle(
+    "simple_summary",
     O.with_txn(
         "orders",
         _metric_union(
@@ -1596,8 +1609,8 @@ REGISTRY["simple_summary"] = (
     ),
 )
 
-REGISTRY["key_findings"] = (
-    q_key_findings,
+attach_oracle(
+    "key_findings",
     O.with_txn(
         "orders",
         f"""SELECT 0 AS finding_no, 'Analysed ' || format('{{:,}}', n) || ' transactions across ' || CAST(accounts AS VARCHAR) || ' accounts' AS finding FROM st
