@@ -1634,3 +1634,19 @@ attach_oracle(
 )
 def q_analysis_metadata(spark, sf):
     return R.analysis_metadata(orders(spark, sf), as_of=AS_OF_ORDERS, start=FILTER_START, end=FILTER_END)
+
+
+@register("account_list", O.with_txn("orders", "SELECT DISTINCT account_number FROM txn WHERE account_number IS NOT NULL"))
+def q_account_list(spark, sf):
+    return accounts.account_list(orders(spark, sf))
+
+
+@register(
+    "transactions_per_account",
+    O.with_txn(
+        "events",
+        "SELECT account_number, count(*) AS transactions FROM txn WHERE account_number IS NOT NULL GROUP BY 1",
+    ),
+)
+def q_transactions_per_account(spark, sf):
+    return ingest.transactions_per_account(events(spark, sf))
