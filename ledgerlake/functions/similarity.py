@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..session import python_workers_ready
+
 
 def py_ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
@@ -90,6 +92,7 @@ def similar_pairs(
     Both inputs are distinct-string tables (ids unique within ``keys``); the
     result carries ``keys, left_id, left_text, right_id, right_text, score``.
     """
+    python_workers_ready(left.sparkSession)
     keys = list(keys)
     L = left.select(*keys, F.col(left_id).alias("_lid"), F.col(left_text).alias("_ltext")).where(F.length("_ltext") > 0)
     R = right.select(*keys, F.col(right_id).alias("_rid"), F.col(right_text).alias("_rtext")).where(F.length("_rtext") > 0)

@@ -36,7 +36,7 @@ from ..config import UNCATEGORIZED, UNKNOWN_MERCHANT
 from ..functions.money import pct
 from ..functions.similarity import could_match, py_ratio, similar_pairs
 from ..functions.text import clean_merchant, keywords
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, python_workers_ready
 
 CM = "clean_merchant"
 RANK_TYPE = "struct<neg_count:bigint,name:string>"
@@ -178,6 +178,7 @@ def learn_categories(
     """Greedy leader grouping over the frequent merchants of every scope (exact)."""
     spark: SparkSession = df.sparkSession
     ensure_checkpoint_dir(spark)
+    python_workers_ready(spark)
     scope = list(scope)
     freq = frequent_merchants(df, min_frequency=min_frequency, descriptions=descriptions, scope=scope)
     # reused inside a round (block pick, absorption, anti-join): persisted;

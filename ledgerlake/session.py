@@ -7,7 +7,10 @@ settings that are unset so cluster-provided values (e.g. the shared
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -25,9 +28,33 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in REQUIRED_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    if spark.sparkContext.master.startswith("local"):
+        ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers (the similarity
+    UDF and the grouped-map block pass are pickled by module reference).
+
+    Local runs zip the package once per application and add it with
+    ``addPyFile``; cluster jobs ship it with ``--py-files`` instead."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="ledgerlake-pkg-")
+    archive = os.path.join(folder, "ledgerlake.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ledgerlake") -> SparkSession:
     """A local session for tests and the bench (UI off, no ports beyond Spark's own)."""
     builder = (
@@ -44,9 +71,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def python_workers_ready(spark: SparkSession) -> None:
+    """Call before planning Python UDF work: ships the package in local mode."""
+    if spark.sparkContext.master.startswith("local"):
+        ship_package(spark)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory, creating a scratch one only when unset.
 
