@@ -97,3 +97,33 @@ def test_filtered_sheets_keep_raw_rows(spark, g1):
     raw = sh["Raw_Data"].collect()
     keys = [(r.account_number, r.transaction_date or "", r.row_id) for r in raw]
     assert len(keys) == 8
+
+
+def test_compare_rejects_unknown_operator_and_nulls_are_false(spark, g1):
+    from ledgerlake.functions.money import compare
+
+    with pytest.raises(ValueError):
+        compare("amount", 0, "<>")
+    # the null amount is neither > nor <= nor != 0
+    row = g1.agg(
+        F.count_if(compare("amount", 0, ">")).alias("gt"),
+        F.count_if(compare("amount", 0, "<=")).alias("le"),
+        F.count_if(compare("amount", 0, "!=")).alias("ne"),
+    ).first()
+    assert (row.gt, row.le, row.ne) == (2, 5, 6)
+
+
+def test_bundle_caps_rows_per_file_and_exports_categories(spark, g1, tmp_path):
+    import glob
+
+    from ledgerlake.operators import categorize as C
+    from ledgerlake.plans import report as R
+
+    out = tmp_path / "bundle"
+    R.write_bundle({"Raw_Data": R.export_format(g1).coalesce(1)}, str(out), max_rows_per_file=3)
+    files = glob.glob(str(out / "Raw_Data" / "*.parquet"))
+    assert len(files) == 3  # 8 rows, at most 3 per file
+    _lab, cats = C.categorize(g1, min_frequency=2)
+    C.export_categories(g1, cats, str(tmp_path / "cats"))
+    summary = spark.read.parquet(str(tmp_path / "cats" / "category_summary"))
+    assert sorted(r.category_name for r in summary.collect()) == ["ACME", "SHOP"]
