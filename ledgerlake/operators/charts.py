@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import UNCATEGORIZED
 from ..functions.dates import day_of, month_start, weekday, weekday_name
 from ..functions.money import mean_2dp, money_out
 from . import merchants, temporal
@@ -212,6 +211,3 @@ def chart_data(df: DataFrame, categorised: DataFrame | None = None) -> dict[str,
         except Exception:  # noqa: BLE001 - an inapplicable chart is skipped
             continue
     return out
-
-
-__all__ = ["UNCATEGORIZED", "chart_data"]

@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType, FloatType, TimestampNTZType, TimestampType
 
-from ..config import DEFAULTS, Settings
+from ..config import DEFAULTS, UNCATEGORIZED, Settings
 from ..functions.money import money_out
-from ..operators import accounts, balance, categorize, charts, merchants, outliers, quality, stats, temporal
+from ..operators import accounts, balance, categorize, merchants, outliers, quality, stats, temporal
 
 # --------------------------------------------------------------- formatting
 
@@ -140,7 +140,7 @@ def category_distribution_report(categorised: DataFrame) -> DataFrame:
     counts = categorised.groupBy("auto_category").agg(F.count(F.lit(1)).alias("transaction_count"))
     tot = categorised.agg(
         F.count(F.lit(1)).alias("_n"),
-        F.count_if(F.col("auto_category") == "UNCATEGORIZED").alias("_u"),
+        F.count_if(F.col("auto_category") == UNCATEGORIZED).alias("_u"),
         F.countDistinct("auto_category").alias("total_categories"),
     )
     return counts.crossJoin(F.broadcast(tot)).select(
@@ -192,7 +192,7 @@ def key_findings(df: DataFrame, categorised: DataFrame | None = None) -> DataFra
     out = s.select(F.posexplode(F.array(*findings)).alias("finding_no", "finding"))
     if categorised is not None:
         cat = categorised.agg(
-            (F.count_if(F.col("auto_category") != "UNCATEGORIZED").cast("double") * 100 / F.count(F.lit(1))).alias("p")
+            (F.count_if(F.col("auto_category") != UNCATEGORIZED).cast("double") * 100 / F.count(F.lit(1))).alias("p")
         ).select(
             F.lit(len(findings)).alias("finding_no"),
             F.concat(F.format_number(F.col("p"), 1), F.lit("% of transactions categorised")).alias("finding"),
@@ -406,6 +406,4 @@ __all__ = [
     "per_account_reports",
     "executive_summary",
     "simple_summary",
-    "charts",
-    "categorize",
 ]
