@@ -28,11 +28,24 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in REQUIRED_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
-    if spark.sparkContext.master.startswith("local"):
+    if _is_local(spark):
         ship_package(spark)
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None on a Spark Connect session (no context there)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions expose no SparkContext
+        return None
+
+
+def _is_local(spark: SparkSession) -> bool:
+    sc = _context(spark)
+    return sc is not None and sc.master.startswith("local")
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -42,8 +55,8 @@ def ship_package(spark: SparkSession) -> None:
 
     Local runs zip the package once per application and add it with
     ``addPyFile``; cluster jobs ship it with ``--py-files`` instead."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
+    sc = _context(spark)
+    if sc is None or sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="ledgerlake-pkg-")
@@ -77,7 +90,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 def python_workers_ready(spark: SparkSession) -> None:
     """Call before planning Python UDF work: ships the package in local mode."""
-    if spark.sparkContext.master.startswith("local"):
+    if _is_local(spark):
         ship_package(spark)
 
 
@@ -87,15 +100,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
     as is; a machine-local folder is only chosen for local runs and tests.
     """
+    sc = _context(spark)
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(current)
+        if sc is not None and sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(current)
         return current
-    existing = spark.sparkContext.getCheckpointDir()
+    existing = sc.getCheckpointDir() if sc is not None else None
     if existing:
         return existing
+    if not _is_local(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder for cluster runs")
     path = tempfile.mkdtemp(prefix="ledgerlake-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
