@@ -146,3 +146,31 @@ def test_per_account_scope_matches_sequential_per_account(spark, block, cap):
     # every row keeps its account and gets a label
     assert out.count() == df.count()
     assert out.where(F.col("auto_category").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("seed,block,cap", [(21, 16, 100), (22, 7, 25)])
+def test_random_name_sets_match_sequential(spark, seed, block, cap):
+    """Random families of near-duplicate names (<= 200 distinct), small blocks:
+    multi-round absorption and the cap agree with the sequential rule."""
+    import random
+
+    rnd = random.Random(seed)
+    stems = ["AMAZON MARKET", "TESCO STORES", "SHELL GARAGE", "UBER TRIP", "NETFLIX COM", "CAFE NERO",
+             "BOOTS CHEMIST", "ARGOS LTD", "PRET A MANGER", "WAITROSE"]
+    data = {}
+    while len(data) < 180:
+        base = rnd.choice(stems)
+        edit = rnd.random()
+        if edit < 0.3:
+            name = base
+        elif edit < 0.6:
+            name = base + rnd.choice(["S", "X", " UK", " 1", "E"])
+        elif edit < 0.8:
+            i = rnd.randrange(len(base))
+            name = base[:i] + rnd.choice("ABCDEFGH") + base[i + 1:]
+        else:
+            name = base + " " + "".join(rnd.choice("QRSTUVWXYZ") for _ in range(rnd.randint(2, 6)))
+        data[name] = rnd.randint(5, 12)
+    df = _fixture(spark, sorted(data.items()))
+    want = sequential(counts_of(df), cap=cap)
+    assert distributed(spark, df, block=block, max_categories=cap) == want
