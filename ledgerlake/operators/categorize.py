@@ -305,9 +305,14 @@ def learn_categories(
                 ]
             ),
         )
-    leaders = _leader_table(leaders_acc, scope)
+    # the results are small (one row per frequent merchant / leader) but their
+    # lineage spans every round; checkpoint them so the plans that use them
+    # stay small, then release the round's cached tables
+    leaders = _leader_table(leaders_acc, scope).checkpoint(eager=True)
     winners = leaders.where(F.col("is_winner")).select(*scope, "leader_rank", "category_name", "category_order", "category_id")
-    members_out = members_acc.join(winners, on=[*scope, "leader_rank"], how="inner")
+    members_out = members_acc.join(winners, on=[*scope, "leader_rank"], how="inner").checkpoint(eager=True)
+    for frame in held:
+        frame.unpersist()
     return Categories(members=members_out, leaders=leaders, scope=scope)
 
 
