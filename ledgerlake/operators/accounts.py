@@ -129,13 +129,15 @@ def activity_context(df: DataFrame, *, as_of, active_days: int = 90) -> DataFram
     ).withColumn("applied_threshold_days", F.col("threshold_days").cast("bigint"))
 
 
-def activity_accounts(df: DataFrame, *, as_of, active_days: int = 90) -> DataFrame:
+def activity_accounts(df: DataFrame, *, as_of, active_days: int = 90, context: DataFrame | None = None) -> DataFrame:
     """Multi-criteria activity classification per account (see README).
 
     The one-row context is broadcast (bounded: a single row) and every
     per-account figure comes from one partial aggregation.
     """
-    ctx = activity_context(df, as_of=as_of, active_days=active_days).select("reference_date", "threshold_days")
+    if context is None:
+        context = activity_context(df, as_of=as_of, active_days=active_days)
+    ctx = context.select("reference_date", "threshold_days")
     ref_us = micros(F.col("reference_date"))
     recent_cut = ref_us - F.col("threshold_days") * F.lit(float(MICROS_PER_DAY))
     very_recent_cut = ref_us - F.lit(30 * MICROS_PER_DAY)
@@ -207,8 +209,8 @@ def activity_accounts(df: DataFrame, *, as_of, active_days: int = 90) -> DataFra
 
 def activity_summary(df: DataFrame, *, as_of, active_days: int = 90) -> DataFrame:
     """Totals and confidence bands over the per-account classification."""
-    acc = activity_accounts(df, as_of=as_of, active_days=active_days)
     ctx = activity_context(df, as_of=as_of, active_days=active_days)
+    acc = activity_accounts(df, as_of=as_of, active_days=active_days, context=ctx)
     act = F.col("is_active")
     conf = F.col("confidence_score")
     summary = acc.agg(
