@@ -23,18 +23,17 @@ Q_TYPE = "decimal(38,6)"
 
 
 def _quantiles(df: DataFrame, value: Column, probs: Sequence[float], method: str) -> DataFrame:
-    """One-row DataFrame with ``_q`` (array of decimal(38,6)) and ``_n`` (rows).
+    """One-row DataFrame with ``_q``, an array of decimal(38,6) quantiles.
 
     ``distributed`` (default): exact, memory bounded by one value range (see
-    ``functions.quantiles``); ``percentile``: Spark's exact aggregate (one
-    value map merged in a single task; fine for modest distinct counts);
-    ``approx``: the mergeable ``percentile_approx`` sketch. All three use
-    linear interpolation between order statistics."""
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    ``functions.quantiles``), returned as literals; ``percentile``: Spark's
+    exact aggregate (one value map merged in a single task; fine for modest
+    distinct counts); ``approx``: the mergeable ``percentile_approx`` sketch.
+    All three use linear interpolation between order statistics."""
     if method == "distributed":
         qs = exact_quantiles(df, value, probs)
         arr = F.array(*[F.lit(q).cast(Q_TYPE) if q is not None else F.lit(None).cast(Q_TYPE) for q in qs])
-        return n.select(arr.alias("_q"), "_n")
+        return df.sparkSession.range(1).select(arr.alias("_q"))
     arr = F.array(*[F.lit(float(p)) for p in probs])
     if method == "approx":
         agg = F.percentile_approx(value.cast("double"), arr, 100000)
@@ -42,7 +41,7 @@ def _quantiles(df: DataFrame, value: Column, probs: Sequence[float], method: str
         agg = F.percentile(value.cast("double"), arr)
     else:
         raise ValueError(f"unknown quantile method {method!r}")
-    return df.agg(F.transform(agg, lambda q: q.cast(Q_TYPE)).alias("_q"), F.count(F.lit(1)).alias("_n"))
+    return df.agg(F.transform(agg, lambda q: q.cast(Q_TYPE)).alias("_q"))
 
 
 def _q(i: int) -> Column:
@@ -51,13 +50,15 @@ def _q(i: int) -> Column:
 
 
 def iqr_outliers(df: DataFrame, *, method: str = "distributed") -> DataFrame:
-    """|amount| above q75 + 1.5 * IQR (linear quantiles of |amount|)."""
-    stats = _quantiles(df, _ABS(), [0.25, 0.75], method).select(_q(0).alias("q25"), _q(1).alias("q75"), "_n")
+    """|amount| above q75 + 1.5 * IQR (linear quantiles of |amount|). The
+    thresholds are one broadcast row; rows and outliers are counted in the
+    same pass."""
+    stats = _quantiles(df, _ABS(), [0.25, 0.75], method).select(_q(0).alias("q25"), _q(1).alias("q75"))
     stats = stats.withColumn("iqr", F.col("q75") - F.col("q25")).withColumn(
         "upper_bound", F.col("q75") + F.lit(1.5).cast("decimal(2,1)") * F.col("iqr")
     ).withColumn("lower_bound", F.col("q25") - F.lit(1.5).cast("decimal(2,1)") * F.col("iqr"))
-    counted = df.select(_A()).crossJoin(F.broadcast(stats)).groupBy("q25", "q75", "iqr", "lower_bound", "upper_bound", "_n").agg(
-        F.count_if(_ABS() > F.col("upper_bound")).alias("outlier_count")
+    counted = df.select(_A()).crossJoin(F.broadcast(stats)).groupBy("q25", "q75", "iqr", "lower_bound", "upper_bound").agg(
+        F.count_if(_ABS() > F.col("upper_bound")).alias("outlier_count"), F.count(F.lit(1)).alias("_n")
     )
     return counted.select(
         "q25",
@@ -72,9 +73,9 @@ def iqr_outliers(df: DataFrame, *, method: str = "distributed") -> DataFrame:
 
 def large_transactions(df: DataFrame, *, percentile: float = 95.0, method: str = "distributed") -> DataFrame:
     """|amount| above its ``percentile``-th percentile."""
-    stats = _quantiles(df, _ABS(), [percentile / 100.0], method).select(_q(0).alias("threshold"), "_n")
-    counted = df.select(_A()).crossJoin(F.broadcast(stats)).groupBy("threshold", "_n").agg(
-        F.count_if(_ABS() > F.col("threshold")).alias("large_count")
+    stats = _quantiles(df, _ABS(), [percentile / 100.0], method).select(_q(0).alias("threshold"))
+    counted = df.select(_A()).crossJoin(F.broadcast(stats)).groupBy("threshold").agg(
+        F.count_if(_ABS() > F.col("threshold")).alias("large_count"), F.count(F.lit(1)).alias("_n")
     )
     return counted.select("threshold", "large_count", pct(F.col("large_count"), F.col("_n")).alias("large_percentage"))
 

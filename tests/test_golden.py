@@ -133,3 +133,13 @@ def test_categories(g1):
     assert sorted(labels.values()).count("UNCATEGORIZED") == 2
     s = one(categorize.categorisation_stats(out))
     assert (s["categorized_transactions"], s["categorized_percentage"]) == (6, 75.0)
+
+
+def test_quantile_methods_agree(g1):
+    exact = one(outliers.iqr_outliers(g1))
+    assert one(outliers.iqr_outliers(g1, method="percentile")) == exact
+    approx = one(outliers.iqr_outliers(g1, method="approx"))
+    assert approx["outlier_count"] == exact["outlier_count"]
+    assert one(outliers.large_transactions(g1, method="percentile")) == one(outliers.large_transactions(g1))
+    with pytest.raises(ValueError):
+        outliers.iqr_outliers(g1, method="nope")
