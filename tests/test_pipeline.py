@@ -127,3 +127,22 @@ def test_bundle_caps_rows_per_file_and_exports_categories(spark, g1, tmp_path):
     C.export_categories(g1, cats, str(tmp_path / "cats"))
     summary = spark.read.parquet(str(tmp_path / "cats" / "category_summary"))
     assert sorted(r.category_name for r in summary.collect()) == ["ACME", "SHOP"]
+
+
+def test_cli_simple_and_filtered_runs(spark, tmp_path):
+    from ledgerlake.plans.pipeline import main
+
+    src = tmp_path / "g1.csv"
+    src.write_text(G1_CSV)
+    simple = tmp_path / "simple"
+    main([str(src), "--output", str(simple), "--simple"])
+    summary = {r.Metric: r.Value for r in spark.read.parquet(str(simple / "Summary")).collect()}
+    assert summary["Total Transactions"] == "8" and summary["Total Debits"] == "90.00"
+    full = tmp_path / "full"
+    main([str(src), "--output", str(full), "--start-date", "2024-02-01", "--end-date", "2024-03-31",
+          "--skip-charts", "--as-of", "2024-03-10 00:00:00"])
+    assert not (full / "charts").exists()
+    meta = spark.read.parquet(str(full / "reports" / "analysis_metadata")).first()
+    assert meta.date_filter_applied and meta.dataset_size == 4
+    with pytest.raises(ValueError):
+        main([str(src), str(src), "--output", str(tmp_path / "x")])  # several inputs need --merge
