@@ -38,3 +38,63 @@ def test_clean_merchant(spark):
 def test_keywords(spark, text, expected):
     df = spark.createDataFrame([(text,)], "d string")
     assert df.select(keywords(F.col("d")).alias("k")).first().k == expected
+
+
+def _python_clean(name):
+    """The cleaning rule stated with Python's ``re`` (test reference)."""
+    import re
+
+    from ledgerlake.config import MERCHANT_NOISE_PATTERNS
+
+    if name is None or name == "":
+        return "UNKNOWN"
+    s = name.upper().strip()
+    for p in MERCHANT_NOISE_PATTERNS:
+        s = re.sub(p, " ", s)
+    s = re.sub(r"\s+", " ", s).strip()
+    return "UNKNOWN" if len(s) < 2 else s
+
+
+def test_clean_merchant_matches_python_rule_on_random_names(spark):
+    import random
+
+    rnd = random.Random(7)
+    tokens = ["acme", "Tesco", "LTD", "ltd", "Limited", "PLC", "inc", "Corp", "CD", "1234", "12/05", "2024",
+              "T/A", "-", "–", "x", "\\n", "café", "Stores", " ", "  ", "\t", " ", "\n", "99", "A"]
+    names = []
+    for _ in range(3000):
+        parts = [rnd.choice(tokens) for _ in range(rnd.randint(0, 6))]
+        sep = rnd.choice([" ", "  ", "", "\t"])
+        names.append(sep.join(parts))
+    df = spark.createDataFrame([(n,) for n in names], "d string")
+    got = [r.c for r in df.select(clean_merchant(F.col("d")).alias("c")).collect()]
+    mismatches = [(n, g, _python_clean(n)) for n, g in zip(names, got) if g != _python_clean(n)]
+    assert not mismatches, mismatches[:5]
+
+
+def _python_keywords(desc):
+    import re
+
+    from ledgerlake.config import KEYWORD_STOP_WORDS
+
+    if desc is None or desc == "":
+        return []
+    out = set()
+    for word in desc.upper().split():
+        w = re.sub(r"[^\w]", "", word)
+        if len(w) >= 3 and w not in KEYWORD_STOP_WORDS and not w.isdigit() and not re.match(r"^\d+[A-Z]*$", w):
+            out.add(w)
+    return sorted(out)
+
+
+def test_keywords_match_python_rule_on_random_descriptions(spark):
+    import random
+
+    rnd = random.Random(8)
+    tokens = ["Amazon", "the", "PAYMENT", "ref12", "12345", "2024AB", "tesco-stores", "O'Neil", "café", "a_b_c",
+              "x", "UK", "Ltd.", "card", "99p", "£5", "foo/bar", "\t", "", "naïve", "ABC123"]
+    descs = [" ".join(rnd.choice(tokens) for _ in range(rnd.randint(0, 6))) for _ in range(2000)]
+    df = spark.createDataFrame([(d,) for d in descs], "d string")
+    got = [list(r.k) for r in df.select(keywords(F.col("d")).alias("k")).collect()]
+    mismatches = [(d, g, _python_keywords(d)) for d, g in zip(descs, got) if g != _python_keywords(d)]
+    assert not mismatches, mismatches[:5]
