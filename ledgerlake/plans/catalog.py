@@ -697,7 +697,7 @@ def q_running_balance(spark, sf):
                    CAST(sum(difference) AS DOUBLE) / count(difference) AS avg_difference,
                    coalesce(max(difference) < 0.01, false) AS is_valid,
                    count(*) FILTER (WHERE difference > 0.01) AS error_count
-            FROM rb WHERE account_rows > 1 GROUP BY 1""",
+            FROM rb WHERE account_rows > 1 GROUP BY 1 HAVING count(balance) > 0""",
         extra_ctes=_RUN_CTES,
     ),
 )

@@ -148,9 +148,11 @@ def to_canonical(df: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, fmt: str | None = None, **kw) -> DataFrame:
+    """One source as canonical transactions (absent optional columns are
+    typed nulls, so every report can run on a minimal statement)."""
     if not path.startswith("table:") and not os.path.exists(path) and "://" not in path:
         raise FileNotFoundError(path)
-    return standardise(read_raw(spark, path, fmt), **kw)
+    return to_canonical(standardise(read_raw(spark, path, fmt), **kw))
 
 
 def union_sources(frames: Sequence[DataFrame], **kw) -> DataFrame:

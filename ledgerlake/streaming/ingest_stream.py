@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..session import ensure_checkpoint_dir
-from ..sources.ingest import standardise
+from ..sources.ingest import standardise, to_canonical
 
 
 def start_ingest(
@@ -44,7 +44,7 @@ def start_ingest(
     raw = reader.csv(source_dir)
     # content-derived row id: file path + the whole raw line, stable on replay
     rid = F.xxhash64(F.col("_metadata.file_path"), *[F.col(f"`{c}`") for c in columns])
-    std = standardise(raw, row_id=rid)
+    std = to_canonical(standardise(raw, row_id=rid))
     ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-{name}"
     writer = std.writeStream.format("parquet").option("path", target).option("checkpointLocation", ckpt).outputMode("append")
     if available_now:

@@ -146,3 +146,19 @@ def test_cli_simple_and_filtered_runs(spark, tmp_path):
     assert meta.date_filter_applied and meta.dataset_size == 4
     with pytest.raises(ValueError):
         main([str(src), str(src), "--output", str(tmp_path / "x")])  # several inputs need --merge
+
+
+def test_minimal_statement_runs_every_stage(spark, tmp_path):
+    """Only the four required columns: optional columns become typed nulls and
+    the whole job (reports, sheets, charts, categories) still runs."""
+    src = tmp_path / "min.csv"
+    src.write_text("AccNo,Date,MainDesc,Amount\n1,2024-01-01,Acme Ltd,-5.00\n1,2024-01-02,Acme,-6.00\n2,2024-01-03,Pay,10.00\n")
+    df = ingest.load(spark, str(src))
+    assert df.columns[:10] == ["account_number", "transaction_date", "main_description", "additional_description",
+                               "transaction_type", "amount", "balance", "spend_category", "currency", "row_id"]
+    from ledgerlake.config import Settings
+
+    written = run_pipeline(spark, PipelineOptions(inputs=[str(src)], output=str(tmp_path / "out"),
+                                                  as_of="2024-02-01 00:00:00", settings=Settings(min_frequency=2)))
+    assert spark.read.parquet(written["sheets/Executive_Summary"]).count() == 8
+    assert spark.read.parquet(written["reports/balance_check"]).count() == 0
