@@ -61,8 +61,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     rest = F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     level = (budget * F.sum("source_size").over(all_rows) - full) / rest
     table = table.withColumn("level", level)
-    # the first source whose ceiling is not reached sets the level of all
-    open_level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("ceiling"), F.col("level"))).over(all_rows)
+    # in that order, the first source that stays below its ceiling sets the level of all
+    nth = F.row_number().over(by_ratio)
+    table = table.withColumn("open", F.when(F.col("level") * F.col("weight") <= F.col("ceiling"), F.struct(nth.alias("nth"), "level")))
+    open_level = F.min("open").over(all_rows)["level"]
     target = F.least(F.col("ceiling"), F.coalesce(open_level * F.col("weight"), F.col("ceiling")))
     return table.select("source", "source_size", "place", "weight", target.alias("target"))
 
