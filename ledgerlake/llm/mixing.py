@@ -45,6 +45,12 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _order(doc_id: Column) -> Column:
+    """60 bits of a digest of the id (null: 0): the order of a source's documents."""
+    digest = F.substring(F.md5(doc_id.cast("long").cast("string").cast("binary")), 1, 15)
+    return F.coalesce(F.conv(digest, 16, 10).cast("long"), F.lit(0).cast("long"))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, max_passes: int = MAX_PASSES) -> DataFrame:
     """``sizes`` (``source``, ``source_size``) with ``place``, ``weight`` and
     ``target``.  One row a source, so a task can order them."""
@@ -100,7 +106,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     reaches its middle and left out if not."""
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        words(F.col(text_col).cast("string")).alias("size"), F.xxhash64(F.col(id_col).cast("long"), F.lit(2)).alias("h"),
+        words(F.col(text_col).cast("string")).alias("size"), _order(F.col(id_col)).alias("h"),
         F.xxhash64(F.col(text_col).cast("string")).alias("text_key"), *[F.col(c).alias(f"in_{c}") for c in carried or []],
     )
     narrow = stage(rows.select("doc_id", "source", "size", "h"), "mix-sizes")
@@ -109,8 +115,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     if not carried:
         rows = narrow.withColumn("text_key", F.lit(0))
 
-    # the high bits of the hash, so buckets follow the order of the hash
-    of_bucket = F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * buckets).cast("int")
+    # by the hash's size, so buckets follow its order
+    of_bucket = F.floor(F.col("h").cast("double") / 2.0**60 * buckets).cast("int")
     totals = narrow.withColumn("bucket", of_bucket).groupBy("source", "bucket").agg(F.sum("size").alias("total"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("before", F.coalesce(F.sum("total").over(before), F.lit(0))).select("source", "bucket", "before")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import lang_id, mixing, pii, simhash, token_files, toxicity
+from ledgerlake.llm import ann, decontam, lang_id, license_scan, mixing, pii, simhash, suffix_dedup, token_files, toxicity
 from ledgerlake.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer_path() -> str:
     """The public byte-level vocabulary; installed on every machine, not shipped."""
     import public_tokenizers
@@ -57,6 +69,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, "base_sha256", F.array_join(named, ",").alias("spans"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -65,8 +81,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op1_language_id": (op1_language_id, None),
     "op2_mixing": (op2_mixing, None),
+    "op3_license_scan": (op3_license_scan, license_scan.oracle_sql()),
+    "op4_nearest": (op4_nearest, None),
+    "op5_decontamination": (op5_decontamination, None),
     "op6_token_files": (op6_token_files, None),
     "op7_toxicity": (op7_toxicity, None),
     "op8_pii": (op8_pii, None),
+    "op9_suffix_dedup": (op9_suffix_dedup, None),
     "op10_simhash": (op10_simhash, None),
 }
