@@ -22,6 +22,7 @@ no file.
 
 from __future__ import annotations
 
+import gc
 import os
 import posixpath
 import re
@@ -29,17 +30,19 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import prepare, shared_folder, stage, text_rows, texts
+from ledgerlake.llm.common import prepare, shared_folder, stage, texts
 
 # Fixed values of the seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -53,9 +56,14 @@ _INDEX = np.dtype([("doc_id", "<i8"), ("null_id", "u1"), ("frame", "<u4"), ("off
 FRAME_BYTES = 256 * 1024
 END_ID = 0
 
-_SPACE_RUN = re.compile(r" \s")
-_UNIT = re.compile(r" (?=\S)")
-_MARKS = ".,;:!?"
+#: White space after a space, wherever any version of Unicode sees some.
+_SPACE_RUN = r" [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+# The splitting pattern of such models, for characters whose class
+# every version of Unicode agrees on (no apostrophes, which begin contractions).
+_L = "A-Za-zÀ-ÖØ-öø-ɏ"
+_PLAIN = re.compile(rf"[ \n!-&(-~{_L}]+")
+_PIECE = re.compile(rf" ?[{_L}]+| ?[0-9]+| ?[^\s0-9{_L}]+|\s+(?!\S)|\s+")
 
 
 # --- encoding --------------------------------------------------------------
@@ -64,15 +72,19 @@ class Encoder:
     """Whole texts to ids with a byte-level ``tokenizers`` model.
 
     Such a model never joins what stands before a space with the space and the
-    mark after it, nor a letter with a punctuation mark after it.  So a text's
-    ids are those of its units, cut there, one after the other.  Units repeat:
-    their ids stay in a table, which starts anew beyond ``keep`` units."""
+    mark after it.  So a text's ids are those of its units, cut there, one after
+    the other.  Units repeat: their ids stay in a table, which starts anew beyond ``keep`` units.  A new
+    unit of plain characters is cut by the model's own pattern, and each piece
+    goes to the model's merges in its spelling of bytes; others go through the
+    whole model."""
 
-    def __init__(self, path: str, end_id: int = END_ID, keep: int = 500_000):
+    def __init__(self, path: str, end_id: int = END_ID, keep: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model, self.end_id, self.keep = Tokenizer.from_file(path), end_id, keep
+        self.spelling = byte_spelling()
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
@@ -80,61 +92,108 @@ class Encoder:
         self.ids = np.zeros(1 << 16, "<u4")
         self.starts, self.lengths = np.zeros(1 << 14, "i8"), np.zeros(1 << 14, "i8")
         self.used = 0
-        self._add(None, [self.end_id])
+        self._add([None], [[self.end_id]])
 
-    def _add(self, unit: str | None, ids) -> None:
-        n, at = len(ids), len(self.known)
-        while self.used + n > len(self.ids):
+    def _add(self, units: list, ids: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, ids), "i8", len(ids))
+        total, at = int(lengths.sum()), len(self.known)
+        while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        if at == len(self.starts):
+        while at + len(units) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        self.ids[self.used : self.used + n] = ids
-        self.starts[at], self.lengths[at] = self.used, n
-        self.used += n
-        self.known[unit] = at
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), "<u4", total)
+        self.starts[at : at + len(units)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[at : at + len(units)] = lengths
+        self.used += total
+        self.known.update(zip(units, range(at, at + len(units))))
 
-    def _ids(self, unit: str) -> np.ndarray:
+    def _ids(self, unit: str) -> list[int]:
         at = self.known[unit]
-        return self.ids[self.starts[at] : self.starts[at] + self.lengths[at]]
-
-    @staticmethod
-    def units(text: str) -> list[str]:
-        """The text cut before each space that a mark follows."""
-        parts = _UNIT.split(text) if _SPACE_RUN.search(text) else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        return self.ids[self.starts[at] : self.starts[at] + self.lengths[at]].tolist()
 
-    def _learn(self, units: set[str]) -> None:
-        whole, ends = set(), {}
+    def _learn(self, units: list[str]) -> None:
+        known, find, plain = self.known, _PIECE.findall, _PLAIN.fullmatch
+        cut, rest = {}, []
         for unit in units:
-            word = unit.rstrip(_MARKS)
-            if len(word) < len(unit) and word[-1:].isalpha():
-                ends[unit] = word, unit[len(word) :]
-                whole.update(ends[unit])
+            if plain(unit):
+                cut[unit] = find(unit)
             else:
-                whole.add(unit)
-        new = [u for u in whole if u not in self.known]
-        for unit, found in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)):
-            self._add(unit, found.ids)
-        for unit, (word, marks) in ends.items():
-            self._add(unit, np.concatenate([self._ids(word), self._ids(marks)]))
-
-    def encode(self, lines: list[str]) -> list[np.ndarray]:
-        """The ids of each text, the end id last."""
+                rest.append(unit)
+        merge, spelling = self.model.model.tokenize, self.spelling
+        found = {}
+        for piece in set(chain.from_iterable(cut.values())):
+            if piece in known:
+                found[piece] = self._ids(piece)
+            else:
+                found[piece] = [t.id for t in merge(piece.encode().decode("latin-1").translate(spelling))]
+        new = {u: found[p[0]] if len(p) == 1 else list(chain.from_iterable(map(found.__getitem__, p))) for u, p in cut.items()}
+        new.update((p, ids) for p, ids in found.items() if p not in known)
+        new.update(zip(rest, (e.ids for e in self.model.encode_batch_fast(rest, add_special_tokens=False))))
+        self._add(list(new), list(new.values()))
+
+    def _places(self, units: list[str]) -> np.ndarray:
+        """Places of the units in the table, new ones added."""
+        at = np.fromiter(map(self.known.get, units, repeat(-1)), "i8", len(units))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            names = [units[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(names)))
+            at[missing] = np.fromiter(map(self.known.__getitem__, names), "i8", len(names))
+        return at
+
+    def encode(self, lines) -> list[np.ndarray]:
+        """The ids of each text of an Arrow array (null: empty), the end id last."""
+        lines = pc.fill_null(lines if isinstance(lines, (pa.Array, pa.ChunkedArray)) else pa.array(lines, pa.string()), "")
+        if not len(lines):
+            return []
         if len(self.known) > self.keep:
             self.clear()
-        cut = [self.units(t) for t in lines]
-        new = set(chain.from_iterable(cut)) - self.known.keys()
-        if new:
-            self._learn(new)
-        for units in cut:
-            units.append(None)
-        counts = np.array([len(u) for u in cut])
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), "i8", int(counts.sum()))
+        # a space before white space stays with what stands before it, and a
+        # special token may hold a space: such texts go through the whole model
+        odd = pc.match_substring_regex(lines, _SPACE_RUN)
+        for special in self.special:
+            odd = pc.or_(odd, pc.match_substring(lines, special))
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        even = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
+        out: list = [None] * len(lines)
+        end = np.array([self.end_id], "<u4")
+        found = self.model.encode_batch_fast(lines.take(pa.array(whole)).to_pylist(), add_special_tokens=False)
+        for i, e in zip(whole.tolist(), found):
+            out[i] = np.concatenate([np.array(e.ids, "<u4"), end])
+        if len(even):
+            for i, ids in zip(even.tolist(), self._spaced(lines.take(pa.array(even)))):
+                out[i] = ids
+        return out
+
+    def _spaced(self, lines) -> list[np.ndarray]:
+        cut = pc.split_pattern(lines, " ")
+        cut = cut.combine_chunks() if isinstance(cut, pa.ChunkedArray) else cut
+        offsets = cut.offsets.to_numpy().astype("i8")
+        offsets, parts = offsets - offsets[0], cut.flatten().dictionary_encode()
+        words = parts.dictionary.to_pylist()
+        enabled = gc.isenabled()
+        gc.disable()  # many small objects without cycles
+        try:
+            firsts = self._places(parts.take(pa.array(offsets[:-1])).to_pylist())
+            at = self._places([" " + w for w in words])[parts.indices.to_numpy()]
+        finally:
+            if enabled:
+                gc.enable()
+        at[offsets[:-1]] = firsts
+        at = np.insert(at, offsets[1:], self.known[None])
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
-        ids = self.ids[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1])] if len(at) else self.ids[:0]
-        return np.split(ids, ends[np.cumsum(counts) - 1][:-1]) if len(at) else []
+        ids = self.ids[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1])]
+        return np.split(ids, ends[offsets[1:] + np.arange(len(lines))][:-1])
+
+
+def byte_spelling() -> dict[int, str]:
+    """The character a byte-level model writes for each byte: itself if it is
+    printable in Latin-1, else the next unused one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -150,7 +209,7 @@ def _encoder(path: str, end_id: int) -> Encoder:
 # --- the file format -------------------------------------------------------
 
 class FileWriter:
-    def __init__(self, out, frame_bytes: int = FRAME_BYTES, level: int = 3):
+    def __init__(self, out, frame_bytes: int = FRAME_BYTES, level: int = 1):
         import zstandard
 
         self.out, self.frame_bytes = out, frame_bytes
@@ -233,6 +292,9 @@ class FileReader:
 
 # --- Spark -----------------------------------------------------------------
 
+_MANIFEST = pa.schema([(n, pa.string() if n == "path" else pa.int64()) for n in ("file", "path", "n_docs", "n_tokens", "first_id", "last_id")])
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
@@ -250,21 +312,20 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_co
     rows = texts(docs, id_col, text_col)
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         fs, base = _filesystem(folder)
         encoder, writer, draft = _encoder(tokenizer_path, end_id), None, ""
         n_docs, n_tokens, first, last = 0, 0, None, None
-        for frame, lines in text_rows(frames):
-            if not lines:
+        for batch in batches:
+            if not len(batch):
                 continue
             if writer is None:
                 fs.create_dir(base, recursive=True)
                 draft = posixpath.join(base, f"_draft-{part:06d}-{uuid.uuid4().hex}")
                 out = fs.open_output_stream(draft)
                 writer = FileWriter(out, frame_bytes)
-            for doc_id, ids in zip(frame["doc_id"], encoder.encode(lines)):
-                last = None if pd.isna(doc_id) else int(doc_id)
+            for last, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
                 first = last if first is None else first
                 writer.add(last, ids)
                 n_docs, n_tokens = n_docs + 1, n_tokens + len(ids)
@@ -273,10 +334,10 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_co
             out.close()
             path = posixpath.join(base, f"part-{part:06d}.zst")
             fs.move(draft, path)
-            yield pd.DataFrame({"file": [part], "path": [posixpath.join(folder, f"part-{part:06d}.zst")], "n_docs": [n_docs],
-                                "n_tokens": [n_tokens], "first_id": pd.array([first], "Int64"), "last_id": pd.array([last], "Int64")})
+            row = {"file": part, "path": posixpath.join(folder, f"part-{part:06d}.zst"), "n_docs": n_docs, "n_tokens": n_tokens, "first_id": first, "last_id": last}
+            yield pa.RecordBatch.from_pylist([row], _MANIFEST)
 
-    files = stage(dealt.mapInPandas(run, "file long, path string, n_docs long, n_tokens long, first_id long, last_id long"), "tokens-manifest")
+    files = stage(dealt.mapInArrow(run, "file long, path string, n_docs long, n_tokens long, first_id long, last_id long"), "tokens-manifest")
     # one row a file, so one task can order them
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
