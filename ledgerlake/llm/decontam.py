@@ -40,15 +40,19 @@ _SCORE_BITS = 32
 class Matching:
     """``seed``: words of a seed; ``keep``: share of an item's runs kept as
     seeds, and ``least`` their least number.  ``match``, ``mismatch``, ``gap``:
-    alignment scores.  ``threshold``: least share of a full copy's score."""
+    alignment scores.  ``threshold``: least share of a full copy's score, and
+    ``cover``: least length of the aligned words as a share of the item's; a
+    phrase that text and item share reaches neither, a copy with a third of its
+    words replaced both."""
 
     seed: int = 3
-    keep: float = 0.5
+    keep: float = 0.75
     least: int = 8
     match: int = 2
     mismatch: int = -1
     gap: int = -1
-    threshold: float = 0.5
+    threshold: float = 0.4
+    cover: float = 0.6
     block_words: int = 200_000
 
 
@@ -110,7 +114,9 @@ class Block:
         kept: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, item in enumerate(self.items):
             runs = self.runs(item).tolist()
-            order = sorted(range(len(runs)), key=lambda at: (frequency.get(runs[at], 0), at))
+            # by order of magnitude, then scattered over the item, so that edits
+            # in one place leave seeds elsewhere
+            order = sorted(range(len(runs)), key=lambda at: (frequency.get(runs[at], 0).bit_length(), at * 0x9E3779B1 % 2**32))
             for at in order[: max(params.least, round(params.keep * len(runs)))]:
                 kept[runs[at]].append((i, at))
         self.places = kept
@@ -159,7 +165,7 @@ def align(item: np.ndarray, text: np.ndarray, params: Matching) -> tuple[int, in
 
 def matched(block: Block, text: str, params: Matching) -> list[tuple[int, float, int, int]]:
     """(item's place, share of a full score, start, end) of each item whose
-    best alignment reaches the threshold."""
+    best alignment that covers enough of it reaches the threshold."""
     numbers = block.numbers(text)
     positions, slots = block.hits(numbers)
     if not len(positions):
@@ -172,17 +178,18 @@ def matched(block: Block, text: str, params: Matching) -> list[tuple[int, float,
     for i, starts in lines.items():
         item = block.items[i]
         slack = len(item) // 2 + 2
-        best, a, b = (0.0, 0, 0), None, None
+        best, a, b = None, None, None
         for start in [*sorted(set(starts)), None]:
             if a is not None and (start is None or start - slack > b):
                 score, first, last = align(item, numbers[a:b], params)
-                best = max(best, (score / (params.match * len(item)), -(a + first), -(a + last)))
+                if last - first >= params.cover * len(item) and (best is None or score > best[0]):
+                    best = score, a + first, a + last
                 a = None
             if start is not None:
                 a = max(0, start - slack) if a is None else a
                 b = min(len(numbers), start + len(item) + slack)
-        if best[0] >= params.threshold:
-            out.append((i, best[0], -best[1], -best[2]))
+        if best is not None and best[0] >= params.threshold * params.match * len(item):
+            out.append((i, best[0] / (params.match * len(item)), best[1], best[2]))
     return out
 
 

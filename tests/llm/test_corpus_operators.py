@@ -362,7 +362,8 @@ def test_copies_and_edited_copies_are_found_and_others_left(spark):
     bench = spark.createDataFrame(items + [(77, None), (78, "two words"), (None, items[0][1])], "item_id long, text string")
     found = decontam.contaminated(clashing(spark, docs), bench).collect()
     got = {(r["doc_id"], r["item_id"]) for r in found if r["item_id"] is not None}
-    assert got == want and all(0.5 <= r["score"] <= 1 for r in found)
+    assert got == want, (got - want, want - got, [len(items[i][1].split()) for _, i in got ^ want])
+    assert all(0.4 <= r["score"] <= 1 for r in found)
     assert {(r["doc_id"], 0) for r in found if r["item_id"] is None} == {p for p in want if p[1] == 0}
     small = decontam.contaminated(clashing(spark, docs), bench, decontam.Matching(block_words=100))
     assert {(r["doc_id"], r["item_id"]) for r in small.where("item_id is not null").collect()} == want
