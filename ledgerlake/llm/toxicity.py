@@ -167,9 +167,9 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         for frame, rows in text_rows(frames):
             for text, label in zip(rows, frame["label"]):
                 (toxic if label else clean).update(_entries(fold(text), params.prefix))
-        yield pd.DataFrame({"entry": list(toxic), "n_toxic": list(toxic.values()), "n_clean": [clean[e] for e in toxic]})
-        rest = [e for e in clean if e not in toxic]
-        yield pd.DataFrame({"entry": rest, "n_toxic": 0, "n_clean": [clean[e] for e in rest]})
+        entries = list(toxic | clean)
+        if entries:
+            yield pd.DataFrame({"entry": entries, "n_toxic": [toxic[e] for e in entries], "n_clean": [clean[e] for e in entries]})
 
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -247,7 +247,8 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon, params: LexiconParams) -> l
                     seen.update(" ".join(around[i : i + 2]) for i in range(len(around) - 1))
                 counts.update((p, int(label)) for p in seen)
         keys = list(counts)
-        yield pd.DataFrame({"phrase": [k[0] for k in keys], "label": [k[1] for k in keys], "n": [counts[k] for k in keys]})
+        if keys:
+            yield pd.DataFrame({"phrase": [k[0] for k in keys], "label": [k[1] for k in keys], "n": [counts[k] for k in keys]})
 
     found = sample.mapInPandas(pairs, "phrase string, label int, n long").groupBy("phrase").agg(
         F.sum(F.col("n") * F.col("label")).alias("a"), F.sum(F.col("n") * (1 - F.col("label"))).alias("b"))
