@@ -6,7 +6,7 @@ defaults so a pipeline run can override them in one place.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # ---------------------------------------------------------------------------
 # Fixed values. These must stay exactly as listed for results to match the
@@ -67,18 +67,33 @@ WEEKDAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturd
 UNKNOWN_MERCHANT = "UNKNOWN"
 UNCATEGORIZED = "UNCATEGORIZED"
 
-# Report-bundle dataset names (one per sheet of the workbook the reports mirror).
-SHEET_NAMES = [
-    "Raw_Data",
-    "Executive_Summary",
-    "Account_Analysis",
-    "Top_Merchants",
-    "Category_Analysis",
-    "Active_Inactive_Accounts",
-]
+# Texts of the key findings.
+FINDING_TEXTS = {
+    "coverage": "Analysis covers %s accounts over %s days",
+    "missing": "N/A",
+    "income": "Total income: ",
+    "expenses": "Total expenses: ",
+    "positive": "Net positive position of ",
+    "negative": "Net negative position of ",
+    "categorised": "Successfully categorized %s%% of transactions automatically",
+}
 
-# Default accepted date formats, tried in order (Spark datetime patterns).
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy"]
+# Default accepted date formats, tried in order (Spark datetime patterns; one
+# letter also takes two digits).
+DATE_FORMATS = [
+    "yyyy-M-d",
+    "yyyy-M-d H:mm:ss",
+    "yyyy-M-d H:mm",
+    "yyyy-M-d'T'H:mm:ss",
+    "yyyy-M-d'T'H:mm:ss.SSS",
+    "yyyy-M-d'T'H:mm",
+    "yyyy/M/d",
+    "yyyyMMdd",
+    "d MMM yyyy",
+    "d-MMM-yyyy",
+]
+# Month first, then day first (``day_first`` turns the two round).
+SLASHED_DATES = ["M/d/yyyy", "d/M/yyyy"]
 
 
 @dataclass(frozen=True)
@@ -94,7 +109,8 @@ class Settings:
     active_days: int = 90
     top_n: int = 15
     # ingestion
-    date_formats: list[str] = field(default_factory=lambda: list(DATE_FORMATS))
+    date_formats: list[str] | None = None  # None: ingest.date_formats(day_first)
+    day_first: bool = False
     # sinks
     max_rows_per_file: int = 1_000_000
 

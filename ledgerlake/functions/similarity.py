@@ -16,7 +16,6 @@ tokens yields every qualifying pair; each candidate is then scored exactly.
 
 from __future__ import annotations
 
-import math
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -137,6 +136,3 @@ def could_match(a: str, b: str, threshold: float) -> bool:
         return False
     return quick_bound(a, b) > threshold
 
-
-def ceil_alpha(n: int, threshold: float) -> int:
-    return math.ceil(n * (alpha(threshold) - 1e-12))

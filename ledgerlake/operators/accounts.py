@@ -234,8 +234,8 @@ def activity_summary(df: DataFrame, *, as_of, active_days: int = 90) -> DataFram
         "total_accounts",
         "active_accounts",
         "inactive_accounts",
-        pct(F.col("active_accounts"), F.col("total_accounts")).alias("active_percentage"),
-        pct(F.col("inactive_accounts"), F.col("total_accounts")).alias("inactive_percentage"),
+        F.round(pct(F.col("active_accounts"), F.col("total_accounts")), 2).alias("active_percentage"),
+        F.round(pct(F.col("inactive_accounts"), F.col("total_accounts")), 2).alias("inactive_percentage"),
         "high_confidence_active",
         "moderate_confidence_active",
         "low_confidence_active",

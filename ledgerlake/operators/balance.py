@@ -61,13 +61,13 @@ def balance_check(df: DataFrame, *, grain: str = "day") -> DataFrame:
     """Per account with more than one dated row: max / mean |difference|,
     validity (max < 0.01) and the number of rows off by more than 0.01."""
     diffs = running_balance(df, grain=grain).where(F.col("account_rows") > 1)
-    # accounts without any balance value carry nothing to validate (a
-    # statement without a balance column gets no balance check at all)
-    has_balance = diffs.groupBy(ACC).agg(F.count("balance").alias("_nb")).where(F.col("_nb") > 0).select(ACC)
-    diffs = diffs.join(has_balance, on=ACC, how="left_semi")
-    return diffs.groupBy(ACC).agg(
+    checked = diffs.groupBy(ACC).agg(
+        F.count("balance").alias("_nb"),
         money_out(F.max("difference")).alias("max_difference"),
         (F.sum("difference").cast("double") / F.count("difference")).alias("avg_difference"),
         F.coalesce(F.max("difference") < F.lit(0.01).cast("decimal(3,2)"), F.lit(False)).alias("is_valid"),
         F.count_if(F.col("difference") > F.lit(0.01).cast("decimal(3,2)")).alias("error_count"),
     )
+    # accounts without any balance value carry nothing to validate (a
+    # statement without a balance column gets no balance check at all)
+    return checked.where(F.col("_nb") > 0).drop("_nb")

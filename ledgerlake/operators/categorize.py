@@ -495,7 +495,7 @@ def categorize(df: DataFrame, *, scope: Sequence[str] = (), **settings) -> tuple
     ensure_checkpoint_dir(df.sparkSession)
     scope = list(scope)
     # short lineage (scan + one aggregate), reused by every stage below
-    descriptions = description_table(df, scope=scope).persist(StorageLevel.MEMORY_AND_DISK)
+    descriptions = description_table(df, scope=scope).checkpoint(eager=True)
     learn_keys = {"min_frequency", "similarity", "smart_grouping", "max_categories", "block"}
     cats = learn_categories(
         df, descriptions=descriptions, scope=scope, **{k: v for k, v in settings.items() if k in learn_keys}
@@ -505,8 +505,9 @@ def categorize(df: DataFrame, *, scope: Sequence[str] = (), **settings) -> tuple
     return out, cats
 
 
-def categorisation_stats(categorised: DataFrame, *, by: Sequence[str] = (), n_categories: int | None = None) -> DataFrame:
-    """Total / categorised / uncategorised rows and the categorised share."""
+def categorisation_stats(categorised: DataFrame, *, by: Sequence[str] = (), cats: Categories | None = None) -> DataFrame:
+    """Total / categorised / uncategorised rows and the categorised share; with
+    ``cats`` (learned per ``by``) also the number of categories created."""
     out = categorised.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_transactions"),
         F.count_if(F.col("auto_category") != UNCATEGORIZED).alias("categorized_transactions"),
@@ -515,8 +516,11 @@ def categorisation_stats(categorised: DataFrame, *, by: Sequence[str] = (), n_ca
     out = out.withColumn("uncategorized_transactions", F.col("total_transactions") - F.col("categorized_transactions")).withColumn(
         "categorized_percentage", pct(F.col("categorized_transactions"), F.col("total_transactions"))
     )
-    if n_categories is not None:
-        out = out.withColumn("categories_created", F.lit(n_categories).cast("bigint"))
+    if cats is not None:
+        created = cats.leaders.where("is_winner").groupBy(*by).agg(F.countDistinct("category_name").alias("categories_created"))
+        # without keys this is one row
+        out = out.join(created, on=list(by), how="left") if by else out.crossJoin(F.broadcast(created))
+        out = out.withColumn("categories_created", F.coalesce("categories_created", F.lit(0)))
     return out
 
 
@@ -526,8 +530,9 @@ def category_distribution(categorised: DataFrame, *, by: Sequence[str] = ()) ->
 
 def category_summary(df: DataFrame, cats: Categories, *, descriptions: DataFrame | None = None) -> DataFrame:
     """One row per category for review: name, merchants, transactions, mean
-    amount, pattern, frequency score and the first three merchants."""
-    return category_table(df, cats, descriptions=descriptions).select(
+    amount, pattern, frequency score and the first three merchants; the
+    categories with most transactions first (per scope)."""
+    table = category_table(df, cats, descriptions=descriptions).select(
         *cats.scope,
         "category_name",
         "merchant_count",
@@ -537,6 +542,7 @@ def category_summary(df: DataFrame, cats: Categories, *, descriptions: DataFrame
         "frequency_score",
         "sample_merchants",
     )
+    return table.orderBy(*cats.scope, F.desc("transaction_count"), "category_name")
 
 
 def export_categories(df: DataFrame, cats: Categories, path: str, *, fmt: str = "parquet") -> str:
@@ -550,6 +556,6 @@ def export_categories(df: DataFrame, cats: Categories, path: str, *, fmt: str =
         },
         path,
         fmt=fmt,
-        partition_by=cats.scope,
+        cluster_by=cats.scope,
     )
     return path

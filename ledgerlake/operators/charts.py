@@ -187,9 +187,10 @@ def income_vs_expense(df: DataFrame) -> DataFrame:
     )
 
 
-def chart_data(df: DataFrame, categorised: DataFrame | None = None) -> dict[str, DataFrame]:
+def chart_data(df: DataFrame, categorised: DataFrame | None = None, *, errors: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """All applicable chart datasets (lazy; each is independent). A dataset
-    that cannot be built is left out instead of failing the others."""
+    that cannot be built is left out instead of failing the others, and noted
+    in ``errors`` if given."""
     builders = {
         "amount_distribution": lambda: amount_histogram(df),
         "merchant_frequency": lambda: merchant_frequency_chart(df),
@@ -199,7 +200,7 @@ def chart_data(df: DataFrame, categorised: DataFrame | None = None) -> dict[str,
         "account_daily_activity": lambda: account_daily_activity(df),
         "weekday_patterns": lambda: weekday_chart(df),
         "outliers": lambda: outliers_chart(df),
-        "balance_trend": lambda: balance_trend(df),
+        "balance_trend": lambda: balance_trend(df, daily_close=True),
         "income_vs_expense": lambda: income_vs_expense(df),
     }
     if categorised is not None and "auto_category" in categorised.columns:
@@ -208,6 +209,7 @@ def chart_data(df: DataFrame, categorised: DataFrame | None = None) -> dict[str,
     for name, build in builders.items():
         try:
             out[name] = build()
-        except Exception:  # noqa: BLE001 - an inapplicable chart is skipped
-            continue
+        except Exception as e:  # noqa: BLE001 - an inapplicable chart is skipped
+            if errors is not None:
+                errors[name] = f"{type(e).__name__}: {e}"
     return out

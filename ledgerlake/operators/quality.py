@@ -33,7 +33,7 @@ def missing_data(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return long.select(
         "column_name",
         "missing_count",
-        pct(F.col("missing_count"), F.col("_n")).alias("missing_percentage"),
+        F.round(pct(F.col("missing_count"), F.col("_n")), 2).alias("missing_percentage"),
         (F.col("missing_count") < F.col("_n")).alias("has_data"),
     )
 

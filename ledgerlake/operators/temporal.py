@@ -180,9 +180,7 @@ def growth_mom(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
         "latest_month",
         money_out(F.col("_latest")).alias("latest_month_amount"),
         money_out(F.col("_previous")).alias("previous_month_amount"),
-        (
-            (F.col("_latest") - F.col("_previous")).cast("double")
-            / F.abs(F.col("_previous")).cast("double")
-            * 100
+        F.round(
+            (F.col("_latest") - F.col("_previous")).cast("double") / F.abs(F.col("_previous")).cast("double") * 100, 2
         ).alias("month_over_month_change"),
     )

@@ -300,7 +300,7 @@ def q_trend_monthly(spark, sf):
     O.with_txn(
         "orders",
         f"""SELECT l.month AS latest_month, {MO("l.total")} AS latest_month_amount, {MO("p.total")} AS previous_month_amount,
-                   CAST(l.total - p.total AS DOUBLE) / CAST(abs(p.total) AS DOUBLE) * 100 AS month_over_month_change
+                   round(CAST(l.total - p.total AS DOUBLE) / CAST(abs(p.total) AS DOUBLE) * 100, 2) AS month_over_month_change
             FROM r l JOIN r p ON l.rk = 1 AND p.rk = 2 WHERE p.total <> 0""",
         extra_ctes=f"""m AS (SELECT CAST(date_trunc('month', transaction_date) AS DATE) AS month, coalesce(sum(amount), 0) AS total
                              FROM txn {_DATED} GROUP BY 1),
@@ -464,8 +464,8 @@ def q_activity_inactive(spark, sf):
         f"""SELECT c.analysis_context, c.reference_date, c.data_start, c.data_end, c.period_days, c.days_since_data_end,
                    c.configured_threshold_days, CAST(trunc(c.threshold_days) AS BIGINT) AS applied_threshold_days, c.is_adaptive,
                    s.total_accounts, s.active_accounts, s.inactive_accounts,
-                   {PCT('s.active_accounts', 's.total_accounts')} AS active_percentage,
-                   {PCT('s.inactive_accounts', 's.total_accounts')} AS inactive_percentage,
+                   round({PCT('s.active_accounts', 's.total_accounts')}, 2) AS active_percentage,
+                   round({PCT('s.inactive_accounts', 's.total_accounts')}, 2) AS inactive_percentage,
                    s.high_confidence_active, s.moderate_confidence_active, s.low_confidence_active
             FROM s CROSS JOIN ctx c""",
         extra_ctes=_activity_ctes(AS_OF_EVENTS)
@@ -541,7 +541,7 @@ def q_merchant_revenue_top(spark, sf):
 def _missing_sql(source: str) -> str:
     parts = [
         f"""SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS missing_count,
-                   {PCT(f'count(*) FILTER (WHERE {c} IS NULL)', 'count(*)')} AS missing_percentage,
+                   round({PCT(f'count(*) FILTER (WHERE {c} IS NULL)', 'count(*)')}, 2) AS missing_percentage,
                    count(*) FILTER (WHERE {c} IS NULL) < count(*) AS has_data FROM txn"""
         for c in CANONICAL_COLUMNS
     ]
@@ -798,13 +798,52 @@ def q_load_union(spark, sf):
     return ingest.union_sources([raw_orders_statement(spark, sf), raw_events_statement(spark, sf)]).drop("row_id")
 
 
+@register(
+    "row_id_uniqueness",
+    "SELECT count(*) AS transactions, count(*) AS row_ids FROM (SELECT o_orderkey AS k FROM orders UNION ALL SELECT event_id FROM events) u",
+)
+def q_row_id_uniqueness(spark, sf):
+    """Ids of two sources of 150 partitions each: as many as there are rows."""
+    frames = [raw_orders_statement(spark, sf).repartition(150), raw_events_statement(spark, sf).repartition(150)]
+    return ingest.union_sources(frames).agg(F.count(F.lit(1)).alias("transactions"), F.countDistinct("row_id").alias("row_ids"))
+
+
+_DATE_FORMS = ["yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/M/d", "yyyyMMdd", "dd MMM yyyy"]
+
+
+def _dates_sql() -> str:
+    return ("SELECT CAST(o_orderkey AS VARCHAR) AS account_number, CASE WHEN o_orderkey % 9 <> 7 THEN CAST(o_orderdate AS TIMESTAMP) END "
+            "AS transaction_date FROM orders")
+
+
+def _dates_in_many_forms(spark, sf, slashed: str):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    form = F.col("o_orderkey") % 9
+    text = F.date_format("o_orderdate", slashed)
+    for i, pattern in enumerate(_DATE_FORMS):
+        text = F.when(form == i, F.date_format("o_orderdate", pattern)).otherwise(text)
+    text = F.when(form == 7, F.lit("31/31/2024")).otherwise(text)
+    return o.select(F.col("o_orderkey").cast("string").alias("AccNo"), text.alias("Date"), F.lit("x").alias("MainDesc"), F.lit("1").alias("Amount"))
+
+
+@register("ingest_dates", _dates_sql())
+def q_ingest_dates(spark, sf):
+    return ingest.standardise(_dates_in_many_forms(spark, sf, "M/d/yyyy")).select("account_number", "transaction_date")
+
+
+@register("ingest_dates_day_first", _dates_sql())
+def q_ingest_dates_day_first(spark, sf):
+    raw = _dates_in_many_forms(spark, sf, "dd/MM/yyyy")
+    return ingest.standardise(raw, date_formats=ingest.date_formats(day_first=True)).select("account_number", "transaction_date")
+
+
 @register(
     "coercion_failures",
     f"""SELECT count(*) AS total_rows,
                count(*) FILTER (WHERE Date IS NOT NULL AND trim(Date) <> '' AND parsed_date IS NULL) AS date_failures,
                count(*) FILTER (WHERE Amount IS NOT NULL AND trim(Amount) <> '' AND parsed_amount IS NULL) AS amount_failures,
                count(*) FILTER (WHERE parsed_amount IS NULL) AS null_amounts,
-               CAST(count(*) FILTER (WHERE parsed_amount IS NULL) AS DOUBLE) * 100 / count(*) AS null_amount_percentage
+               {PCT('count(*) FILTER (WHERE parsed_amount IS NULL)', 'count(*)')} AS null_amount_percentage
         FROM (SELECT *, TRY_CAST(trim(Amount) AS DECIMAL(28,6)) AS parsed_amount,
                      coalesce(try_strptime(trim(Date), '%Y-%m-%d'), try_strptime(trim(Date), '%Y-%m-%d %H:%M:%S'),
                               try_strptime(trim(Date), '%m/%d/%Y')) AS parsed_date
@@ -1373,7 +1412,7 @@ attach_oracle(
         "orders",
         "\nUNION ALL\n".join(
             f"""SELECT '{c}' AS column_name,
-                       100.0 - {PCT(f'count(*) FILTER (WHERE {c} IS NULL)', 'count(*)')} AS complete_percentage,
+                       round(100.0 - round({PCT(f'count(*) FILTER (WHERE {c} IS NULL)', 'count(*)')}, 2), 2) AS complete_percentage,
                        count(*) FILTER (WHERE {c} IS NULL) AS missing_count FROM txn"""
             for c in CANONICAL_COLUMNS
         ),
@@ -1613,11 +1652,11 @@ attach_oracle(
     "key_findings",
     O.with_txn(
         "orders",
-        f"""SELECT 0 AS finding_no, 'Analysed ' || format('{{:,}}', n) || ' transactions across ' || CAST(accounts AS VARCHAR) || ' accounts' AS finding FROM st
+        f"""SELECT 0 AS finding_no, 'Analysis covers ' || accounts || ' accounts over ' || span_days || ' days' AS finding FROM st
             UNION ALL SELECT 1, 'Total income: ' || {_gbp_sql('credits')} FROM st
             UNION ALL SELECT 2, 'Total expenses: ' || {_gbp_sql('abs(debits)')} FROM st
-            UNION ALL SELECT 3, CASE WHEN net >= 0 THEN 'Positive net position of ' || {_gbp_sql('net')}
-                                     ELSE 'Negative net position of ' || {_gbp_sql('abs(net)')} END FROM st""",
+            UNION ALL SELECT 3, CASE WHEN net > 0 THEN 'Net positive position of ' || {_gbp_sql('net')}
+                                     ELSE 'Net negative position of ' || {_gbp_sql('abs(net)')} END FROM st""",
         extra_ctes=_STATS_CTE,
     ),
 )

@@ -39,6 +39,7 @@ class PipelineOptions:
     separate_accounts: bool = False
     filter_scope: str = "analysis"  # "analysis": categories/charts/raw use all rows
     as_of: str | None = None
+    day_first: bool = False
     settings: Settings = field(default_factory=lambda: DEFAULTS)
 
 
@@ -66,23 +67,29 @@ def run_pipeline(spark: SparkSession, opts: PipelineOptions) -> dict[str, str]:
     configure(spark)
     ensure_checkpoint_dir(spark)
     as_of = opts.as_of or _dt.datetime.now().replace(microsecond=0).isoformat(sep=" ")
+    formats = opts.settings.date_formats or ingest.date_formats(opts.day_first or opts.settings.day_first)
     if len(opts.inputs) == 1:
-        df = ingest.load(spark, opts.inputs[0])
+        df = ingest.load(spark, opts.inputs[0], date_formats=formats)
         errors = None
     else:
-        df, errors = ingest.load_many(spark, opts.inputs)
+        df, errors = ingest.load_many(spark, opts.inputs, date_formats=formats)
     if opts.accounts:
         df = stats.account_filter(df, opts.accounts)
     if opts.filter_scope == "all" and (opts.start or opts.end):
         df = stats.date_filter(df, opts.start, opts.end)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     out = f"{opts.output.rstrip('/')}"
     written: dict[str, str] = {}
+    failed: dict[str, str] = {}
+    # the canonical table is written once: its row ids are settled, and each
+    # report reads its columns and date range from the files
+    df.sortWithinPartitions("transaction_date").write.mode("overwrite").parquet(f"{out}/canonical")
+    written["canonical"] = f"{out}/canonical"
+    df = spark.read.parquet(f"{out}/canonical")
     if errors is not None:
         written.update(R.write_bundle({"load_errors": errors}, out, fmt=opts.fmt))
     if opts.simple:
-        written.update(R.write_bundle({"Transaction_Data": R.export_format(df), "Summary": R.simple_summary(df)}, out, fmt=opts.fmt))
-        return written
+        simple = {"Transaction_Data": R.export_format(df), "Summary": R.simple_summary(df)}
+        written.update(R.write_bundle(simple, out, fmt=opts.fmt, errors=failed))
     categorised, cats = None, None
     if not opts.skip_categorization:
         s = opts.settings
@@ -99,14 +106,19 @@ def run_pipeline(spark: SparkSession, opts: PipelineOptions) -> dict[str, str]:
             C.export_categories(df, cats, f"{out}/categories", fmt=opts.fmt)
             written["categories"] = f"{out}/categories"
     reports, report_errors = R.run_all(
-        df, as_of=as_of, start=opts.start, end=opts.end, settings=opts.settings, categorised=categorised, persist=False
+        df, as_of=as_of, start=opts.start, end=opts.end, settings=opts.settings, categorised=categorised, cats=cats, persist=False
     )
-    written.update(_section("reports", R.write_bundle(reports, f"{out}/reports", fmt=opts.fmt)))
+    failed |= report_errors
+    written.update(_section("reports", R.write_bundle(reports, f"{out}/reports", fmt=opts.fmt, errors=failed)))
+    within = lambda d: stats.date_filter(d, opts.start, opts.end) if d is not None and (opts.start or opts.end) else d
+    cover = R.cover_tables(within(df), as_of=as_of, categorised=within(categorised))
+    written.update(_section("cover", R.write_bundle(cover, f"{out}/cover", fmt=opts.fmt, errors=failed)))
     sheets = R.sheets(df, as_of=as_of, categorised=categorised, settings=opts.settings, start=opts.start, end=opts.end)
-    written.update(_section("sheets", R.write_bundle(sheets, f"{out}/sheets", fmt=opts.fmt, max_rows_per_file=opts.settings.max_rows_per_file)))
+    written.update(_section("sheets", R.write_bundle(sheets, f"{out}/sheets", fmt=opts.fmt, max_rows_per_file=opts.settings.max_rows_per_file, errors=failed)))
     if not opts.skip_charts:
-        written.update(_section("charts", R.write_bundle(CH.chart_data(df, categorised), f"{out}/charts", fmt=opts.fmt)))
-    if opts.separate_accounts:
+        written.update(_section("charts", R.write_bundle(CH.chart_data(df, categorised, errors=failed), f"{out}/charts", fmt=opts.fmt, errors=failed)))
+    # one account's reports are the reports above
+    if opts.separate_accounts and df.where("account_number IS NOT NULL").select("account_number").distinct().limit(2).count() > 1:
         per_cat = None
         if not opts.skip_categorization:
             s = opts.settings
@@ -120,11 +132,11 @@ def run_pipeline(spark: SparkSession, opts: PipelineOptions) -> dict[str, str]:
                 exclude_one_off=s.exclude_one_off,
             )
             summary = {"category_summary": C.category_summary(df, per_cats)}
-            written.update(_section("accounts", R.write_bundle(summary, f"{out}/accounts", fmt=opts.fmt, partition_by=["account_number"])))
-        per = R.per_account_reports(df, as_of=as_of, categorised=per_cat)
-        written.update(_section("accounts", R.write_bundle(per, f"{out}/accounts", fmt=opts.fmt, partition_by=["account_number"])))
-    if report_errors:
-        err = spark.createDataFrame(sorted(report_errors.items()), "report string, error string")
+            written.update(_section("accounts", R.write_bundle(summary, f"{out}/accounts", fmt=opts.fmt, cluster_by=["account_number"], errors=failed)))
+        per = R.per_account_reports(df, as_of=as_of, start=opts.start, end=opts.end, settings=opts.settings, categorised=per_cat)
+        written.update(_section("accounts", R.write_bundle(per, f"{out}/accounts", fmt=opts.fmt, cluster_by=["account_number"], errors=failed)))
+    if failed:
+        err = spark.createDataFrame(sorted(failed.items()), "report string, error string")
         written.update(R.write_bundle({"report_errors": err}, out, fmt=opts.fmt))
     return written
 
@@ -144,6 +156,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--export-categories", action="store_true")
     ap.add_argument("--separate-accounts", action="store_true")
     ap.add_argument("--as-of")
+    ap.add_argument("--day-first", action="store_true", help="read 01/02/2024 as 1 February")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     run_pipeline(
@@ -162,6 +175,7 @@ def main(argv: list[str] | None = None) -> None:
             export_categories=a.export_categories,
             separate_accounts=a.separate_accounts,
             as_of=a.as_of,
+            day_first=a.day_first,
         ),
     )
 

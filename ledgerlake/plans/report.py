@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType, FloatType, TimestampNTZType, TimestampType
 
-from ..config import DEFAULTS, UNCATEGORIZED, Settings
-from ..functions.money import money_out
-from ..operators import accounts, balance, categorize, merchants, outliers, quality, stats, temporal
+from ..config import DEFAULTS, FINDING_TEXTS, UNCATEGORIZED, Settings
+from ..functions.money import money_out, pct
+from ..operators import accounts, balance, categorize, merchants, outliers, patterns, quality, stats, temporal
 
 # --------------------------------------------------------------- formatting
 
@@ -147,7 +147,7 @@ def category_distribution_report(categorised: DataFrame) -> DataFrame:
         "auto_category",
         "transaction_count",
         "total_categories",
-        (F.col("_u").cast("double") * 100 / F.col("_n")).alias("uncategorized_percentage"),
+        pct(F.col("_u"), F.col("_n")).alias("uncategorized_percentage"),
     )
 
 
@@ -181,40 +181,40 @@ def key_findings(df: DataFrame, categorised: DataFrame | None = None) -> DataFra
     """Up to six text findings: coverage, income, expenses, net sign, categorised share."""
     s = stats.basic_statistics(df)
     net = F.col("net_position")
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit(FINDING_TEXTS["missing"]))
     findings = [
-        F.concat(F.lit("Analysed "), F.format_number(F.col("total_transactions"), 0), F.lit(" transactions across "),
-                 F.col("unique_accounts").cast("string"), F.lit(" accounts")),
-        F.concat(F.lit("Total income: "), gbp(F.col("total_credits"))),
-        F.concat(F.lit("Total expenses: "), gbp(F.abs(F.col("total_debits")))),
-        F.when(net >= 0, F.concat(F.lit("Positive net position of "), gbp(net)))
-        .otherwise(F.concat(F.lit("Negative net position of "), gbp(F.abs(net)))),
+        F.format_string(FINDING_TEXTS["coverage"], shown(F.col("unique_accounts")), shown(F.col("date_span_days"))),
+        F.concat(F.lit(FINDING_TEXTS["income"]), gbp(F.col("total_credits"))),
+        F.concat(F.lit(FINDING_TEXTS["expenses"]), gbp(F.abs(F.col("total_debits")))),
+        F.when(net > 0, F.concat(F.lit(FINDING_TEXTS["positive"]), gbp(net)))
+        .otherwise(F.concat(F.lit(FINDING_TEXTS["negative"]), gbp(F.abs(net)))),
     ]
     out = s.select(F.posexplode(F.array(*findings)).alias("finding_no", "finding"))
     if categorised is not None:
         cat = categorised.agg(
-            (F.count_if(F.col("auto_category") != UNCATEGORIZED).cast("double") * 100 / F.count(F.lit(1))).alias("p")
+            pct(F.count_if(F.col("auto_category") != UNCATEGORIZED), F.count(F.lit(1))).alias("p")
         ).select(
             F.lit(len(findings)).alias("finding_no"),
-            F.concat(F.format_number(F.col("p"), 1), F.lit("% of transactions categorised")).alias("finding"),
+            F.format_string(FINDING_TEXTS["categorised"], F.format_number(F.col("p"), 1)).alias("finding"),
         )
         out = out.unionByName(cat)
     return out
 
 
-def account_table(df: DataFrame, *, as_of, limit: int = 10) -> DataFrame:
-    """First ``limit`` accounts: status, count, net, mean."""
+def account_table(df: DataFrame, *, as_of, limit: int | None = 10) -> DataFrame:
+    """First ``limit`` accounts (None: all): status, count, net, mean."""
     fin = accounts.account_financials(df).select("account_number", "transaction_count", "net_position", "avg_transaction")
     act = accounts.account_activity(df, as_of=as_of).select(
         "account_number", F.when(F.col("is_active"), F.lit("Active")).otherwise(F.lit("Inactive")).alias("status")
     )
-    return fin.join(act, on="account_number").orderBy("account_number").limit(limit)
+    table = fin.join(act, on="account_number").orderBy("account_number")
+    return table if limit is None else table.limit(limit)
 
 
-def completeness_table(df: DataFrame, *, limit: int = 10) -> DataFrame:
-    md = quality.missing_data(df)
-    return md.select(
-        "column_name", (F.lit(100.0) - F.col("missing_percentage")).alias("complete_percentage"), "missing_count"
-    ).limit(limit)
+def completeness_table(df: DataFrame, *, limit: int | None = 10) -> DataFrame:
+    """Share of filled values of the first ``limit`` columns (None: all), in column order."""
+    md = quality.missing_data(df, df.columns[:limit] if limit is not None else None)
+    return md.select("column_name", F.round(F.lit(100.0) - F.col("missing_percentage"), 2).alias("complete_percentage"), "missing_count")
 
 
 # ----------------------------------------------------------------- run all
@@ -242,6 +242,7 @@ def run_all(
     end=None,
     settings: Settings = DEFAULTS,
     categorised: DataFrame | None = None,
+    cats: categorize.Categories | None = None,
     persist: bool = True,
 ) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """Every report over ``df`` (date-filtered when ``start``/``end`` given).
@@ -289,6 +290,7 @@ def run_all(
     }
     if categorised is not None:
         cat = stats.date_filter(categorised, start, end) if (start or end) else categorised
+        builders["categorisation_stats"] = lambda: categorize.categorisation_stats(cat, cats=cats)
         builders["category_distribution"] = lambda: category_distribution_report(cat)
         builders["category_financials"] = lambda: category_financials(cat)
         builders["category_expense"] = lambda: category_breakdown(cat, side="expense")
@@ -303,10 +305,10 @@ def run_all(
 
 
 def clustered(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Rows clustered by account and ordered by (date, row_id) inside each
-    output partition: a range partitioning plus a local sort, no global sort."""
+    """Rows in ranges of (account, date, row_id), so a hot account spreads over
+    several output partitions, and sorted inside each."""
     cols = ["account_number", "transaction_date", "row_id"]
-    ranged = df.repartitionByRange(partitions, "account_number") if partitions else df.repartitionByRange("account_number")
+    ranged = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
     return ranged.sortWithinPartitions(*cols)
 
 
@@ -350,53 +352,92 @@ def write_bundle(
     *,
     fmt: str = "parquet",
     max_rows_per_file: int = DEFAULTS.max_rows_per_file,
-    partition_by: Sequence[str] = (),
+    cluster_by: Sequence[str] = (),
     mode: str = "overwrite",
+    errors: dict[str, str] | None = None,
 ) -> dict[str, str]:
     """Write each table to ``path/<name>``; files are capped at
-    ``max_rows_per_file`` rows (the workbook's rows-per-sheet limit)."""
-    written = {}
+    ``max_rows_per_file`` rows (the workbook's rows-per-sheet limit).
+
+    A table that fails while it is computed does not keep the others from being
+    written: it is noted in ``errors`` if given, else the first failure is raised
+    once all have been tried.  ``cluster_by`` puts rows of equal keys into the
+    same files, sorted by them; the keys stay data columns with their types."""
+    written, failed = {}, []
     for name, table in tables.items():
         target = f"{path.rstrip('/')}/{name}"
-        w = table.write.mode(mode).option("maxRecordsPerFile", max_rows_per_file)
-        if partition_by and all(c in table.columns for c in partition_by):
-            w = w.partitionBy(*partition_by)
-        if fmt == "csv":
-            w.option("header", True).csv(target)
-        else:
-            w.format(fmt).save(target)
-        written[name] = target
+        try:
+            if cluster_by and all(c in table.columns for c in cluster_by):
+                table = table.repartition(*cluster_by).sortWithinPartitions(*cluster_by)
+            w = table.write.mode(mode).option("maxRecordsPerFile", max_rows_per_file)
+            if fmt == "csv":
+                w.option("header", True).csv(target)
+            else:
+                w.format(fmt).save(target)
+            written[name] = target
+        except Exception as e:  # noqa: BLE001 - noted or raised below
+            failed.append(e)
+            if errors is not None:
+                errors[name] = f"{type(e).__name__}: {str(e).strip().splitlines()[0] if str(e).strip() else ''}"
+    if failed and errors is None:
+        raise failed[0]
     return written
 
 
-def per_account_reports(df: DataFrame, *, as_of, categorised: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Per-account report set: every report grouped by ``account_number``
-    (no per-account loop); write with ``partition_by=['account_number']``.
-    ``categorised`` should come from ``categorize(df, scope=['account_number'])``
-    so every account's categories are learned from its own rows."""
+def cover_tables(df: DataFrame, *, as_of, categorised: DataFrame | None = None, limit: int | None = 10) -> dict[str, DataFrame]:
+    """The tables of the printed report: cover, findings, accounts, completeness
+    and the patterns of the transactions."""
+    return {
+        "cover_stats": cover_stats(df),
+        "key_findings": key_findings(df, categorised),
+        "account_table": account_table(df, as_of=as_of, limit=limit),
+        "completeness_table": completeness_table(df, limit=limit),
+        "pattern_merchants": patterns.pattern_merchants(df),
+        "pattern_months": patterns.month_distribution(df),
+        "pattern_weekdays": patterns.weekday_distribution(df),
+    }
+
+
+def per_account_reports(
+    df: DataFrame, *, as_of=None, start=None, end=None, settings: Settings = DEFAULTS, categorised: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Per-account report set: every report grouped by ``account_number`` (no
+    per-account loop), over the rows between ``start`` and ``end``; write with
+    ``cluster_by=['account_number']``.  ``categorised`` should come from
+    ``categorize(df, scope=['account_number'])`` so every account's categories
+    are learned from its own rows.  With ``as_of``, the activity reports come too."""
     by = ["account_number"]
-    acc = df.where(F.col("account_number").isNotNull())
-    extra = {}
-    if categorised is not None:
-        cat = categorised.where(F.col("account_number").isNotNull())
-        extra = {
-            "categorisation_stats": categorize.categorisation_stats(cat, by=by),
-            "category_distribution": categorize.category_distribution(cat, by=by),
-        }
-    return extra | {
+    within = lambda d: (stats.date_filter(d, start, end) if (start or end) else d).where(F.col("account_number").isNotNull())
+    acc = within(df)
+    out = {
         "basic_statistics": stats.basic_statistics(acc, by=by),
         "cash_flow_summary": stats.cash_flow_summary(acc, by=by),
+        "cash_flow_monthly": temporal.cash_flow_monthly(acc, by=by),
         "monthly_summary": temporal.monthly_summary(acc, by=by),
         "monthly_cash_flow": temporal.monthly_cash_flow(acc, by=by),
         "weekday_patterns": temporal.weekday_patterns(acc, by=by),
         "daily_frequency": temporal.daily_frequency(acc, by=by),
-        "trend_monthly": temporal.trend_monthly(acc, by=by),
+        "trend_daily": temporal.trend_daily(acc, by=by),
         "trend_weekly": temporal.trend_weekly(acc, by=by),
+        "trend_monthly": temporal.trend_monthly(acc, by=by),
         "growth_mom": temporal.growth_mom(acc, by=by),
         "merchant_frequency": merchants.merchant_frequency(acc, by=by),
-        "top_merchants": merchants.top_merchants(acc, by=by),
+        "top_merchants": merchants.top_merchants(acc, n=settings.top_n, by=by),
+        "merchant_expense_top": merchants.merchant_expense_top(acc, n=settings.top_n, by=by),
+        "merchant_revenue_top": merchants.merchant_revenue_top(acc, n=settings.top_n, by=by),
+        "sign_split": stats.sign_split(acc, by=by),
         "zero_amounts": stats.zero_amounts(acc, by=by),
+        "account_financials": accounts.account_financials(acc),
+        "balance_check": balance.balance_check(acc),
     }
+    if as_of is not None:
+        out["account_activity"] = accounts.account_activity(acc, as_of=as_of, active_days=settings.active_days)
+        out["activity_accounts"] = accounts.activity_accounts(acc, as_of=as_of, active_days=settings.active_days)
+    if categorised is not None:
+        cat = within(categorised)
+        out["categorisation_stats"] = categorize.categorisation_stats(cat, by=by)
+        out["category_distribution"] = categorize.category_distribution(cat, by=by)
+    return out
 
 
 __all__ = [

@@ -1,8 +1,9 @@
 """Session helpers.
 
-On a cluster the session is built by spark-submit; ``configure`` only fills in
-settings that are unset so cluster-provided values (e.g. the shared
-``spark.checkpoint.dir``) always win.
+On a cluster the session is built by spark-submit; ``configure`` fills in
+settings that the application leaves unset, so the cluster's values (e.g. the
+shared ``spark.checkpoint.dir``) hold.  The time zone alone is always UTC: days
+and months of the reports are UTC days and months.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ REQUIRED_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
+    sc = _context(spark)
+    given = dict(sc.getConf().getAll()) if sc is not None else {}
     for key, value in REQUIRED_CONF.items():
-        if spark.conf.get(key, None) != value:
+        if spark.conf.get(key, None) != value and (key not in given or key == "spark.sql.session.timeZone"):
             spark.conf.set(key, value)
     if _is_local(spark):
         ship_package(spark)

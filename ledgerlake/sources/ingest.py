@@ -6,7 +6,10 @@
 * ``standardise``: date parsing over an ordered format list (failures ->
   null), ``try_cast`` of money to decimal (failures -> null), description
   trimming ('' and 'nan' -> null), defaults for optional columns present in
-  the source, ``row_id`` for deterministic "first/last row" semantics.
+  the source, ``row_id`` for deterministic "first/last row" semantics: it
+  numbers the whole union, in source order, so ids never meet, whatever the
+  number of sources and partitions.  Ids hold for one plan; a job writes the
+  canonical table once and reads that (see ``plans.pipeline``).
 * ``load`` / ``load_many``: one source / a union of sources where unreadable
   or incomplete sources are skipped and reported, failing only when none load.
 
@@ -21,7 +24,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import COLUMN_ALIASES, DATE_FORMATS, DEFAULT_VALUES, REQUIRED_COLUMNS
+from ..config import COLUMN_ALIASES, DATE_FORMATS, DEFAULT_VALUES, REQUIRED_COLUMNS, SLASHED_DATES
+from ..functions.money import pct
 from ..functions.text import clean_text
 from ..schema import CANONICAL_COLUMNS
 
@@ -61,10 +65,16 @@ def check_required(mapping: dict[str, str], required: Sequence[str] = REQUIRED_C
         raise ValueError(f"missing required columns: {missing}")
 
 
-def parse_date(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
+def date_formats(day_first: bool = False) -> list[str]:
+    """The accepted formats in order; ``day_first`` reads 01/02/2024 as 1 February."""
+    return [*DATE_FORMATS, *(reversed(SLASHED_DATES) if day_first else SLASHED_DATES)]
+
+
+def parse_date(c: Column, formats: Sequence[str] | None = None) -> Column:
     """First format that parses wins; nothing parses -> null. Typed timestamps
     pass through."""
     s = F.trim(c.cast("string"))
+    formats = date_formats() if formats is None else formats
     if not formats:
         return F.lit(None).cast("timestamp_ntz")
     return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]).cast("timestamp_ntz")
@@ -81,9 +91,8 @@ def standardise(
     raw: DataFrame,
     *,
     aliases: dict[str, list[str]] = COLUMN_ALIASES,
-    date_formats: Sequence[str] = DATE_FORMATS,
+    date_formats: Sequence[str] | None = None,
     keep_raw: bool = False,
-    source_id: int = 0,
     row_id: Column | None = None,
 ) -> DataFrame:
     """Canonical columns (+ unmapped extras); ``keep_raw`` adds the raw date /
@@ -112,11 +121,8 @@ def standardise(
     for std, default in DEFAULT_VALUES.items():
         if std in out:
             out[std] = F.coalesce(out[std], F.lit(default))
-    # per-source row id (source in the high bits); streams pass their own
-    # content-derived id because monotonically_increasing_id is batch-only
-    if row_id is None:
-        row_id = F.lit(source_id).cast("bigint") * F.lit(1 << 40) + F.monotonically_increasing_id()
-    out["row_id"] = row_id.cast("bigint")
+    # streams pass their own id because monotonically_increasing_id is batch-only
+    out["row_id"] = (F.monotonically_increasing_id() if row_id is None else row_id).cast("bigint")
     cols = [out[c].alias(c) for c in CANONICAL_COLUMNS if c in out]
     used = set(mapping.values())
     extras = [F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns if c not in used and c not in out]
@@ -158,29 +164,31 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, **kw) -> DataFr
 def union_sources(frames: Sequence[DataFrame], **kw) -> DataFrame:
     """Standardise several raw frames and union them by name (missing columns
     become null; defaults were applied per source before the union)."""
-    std = [standardise(f, source_id=i, **kw) for i, f in enumerate(frames)]
-    out = std[0]
-    for f in std[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return to_canonical(out)
+    return _numbered_union([standardise(f, **kw) for f in frames])
+
+
+def _numbered_union(frames: Sequence[DataFrame]) -> DataFrame:
+    """The frames' rows one after the other, with row ids of the union (whose
+    partitions are those of the frames in order)."""
+    out = frames[0].drop("row_id")
+    for f in frames[1:]:
+        out = out.unionByName(f.drop("row_id"), allowMissingColumns=True)
+    return to_canonical(out.withColumn("row_id", F.monotonically_increasing_id()))
 
 
 def load_many(spark: SparkSession, paths: Iterable[str], **kw) -> tuple[DataFrame, DataFrame]:
     """Union of every source that loads (missing columns as null). Returns
     (transactions, load_errors); raises only when no source loads."""
     frames, errors = [], []
-    for i, p in enumerate(paths):
+    for p in paths:
         try:
-            frames.append(load(spark, p, source_id=i, **kw))
+            frames.append(load(spark, p, **kw))
         except Exception as e:  # skip a failing source, keep the rest
             errors.append((p, f"{type(e).__name__}: {e}"))
     errs = spark.createDataFrame(errors, "path string, error string")
     if not frames:
         raise ValueError(f"no source could be loaded: {errors}")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return to_canonical(out), errs
+    return _numbered_union(frames), errs
 
 
 # ------------------------------------------------------------- load checks
@@ -198,7 +206,7 @@ def coercion_failures(std: DataFrame) -> DataFrame:
     if "_raw_balance" in std.columns:
         aggs.append(F.count_if(present("_raw_balance") & F.col("balance").isNull()).alias("balance_failures"))
     out = std.agg(*aggs)
-    return out.withColumn("null_amount_percentage", F.col("null_amounts").cast("double") * 100 / F.col("total_rows"))
+    return out.withColumn("null_amount_percentage", pct(F.col("null_amounts"), F.col("total_rows")))
 
 
 def load_summary(df: DataFrame) -> DataFrame:

@@ -3,16 +3,17 @@ standardised and appended to the canonical transactions table.
 
 This is the streaming form of the multi-file load: each micro-batch takes the
 new files, applies the same column mapping, parsing and defaults as the batch
-loader, and appends them (exactly once, through the checkpoint) to a parquet
-table that the reports read. The checkpoint must sit in shared storage on a
-cluster; it defaults to ``<spark.checkpoint.dir>/ingest-<name>``.
+loader, and writes them to its own partition (``ingest_batch``) of a parquet
+table that the reports read; a batch that is run again replaces its partition.
+Row ids go on from the largest of the batches before. The checkpoint must sit in
+shared storage on a cluster; it defaults to ``<spark.checkpoint.dir>/ingest-<name>``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
@@ -42,11 +43,19 @@ def start_ingest(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.csv(source_dir)
-    # content-derived row id: file path + the whole raw line, stable on replay
-    rid = F.xxhash64(F.col("_metadata.file_path"), *[F.col(f"`{c}`") for c in columns])
-    std = to_canonical(standardise(raw, row_id=rid))
+    std = to_canonical(standardise(raw, row_id=F.lit(None)))
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        base = 0
+        if batch_id:
+            before = session.read.parquet(target).where(F.col("ingest_batch") < batch_id).agg(F.max("row_id")).first()[0]
+            base = 0 if before is None else before + 1
+        rows = batch.withColumn("row_id", F.monotonically_increasing_id() + F.lit(base))
+        rows.write.mode("overwrite").parquet(f"{target.rstrip('/')}/ingest_batch={batch_id}")
+
     ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-{name}"
-    writer = std.writeStream.format("parquet").option("path", target).option("checkpointLocation", ckpt).outputMode("append")
+    writer = std.writeStream.foreachBatch(append).option("checkpointLocation", ckpt).outputMode("append")
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.queryName(f"ingest_{name}").start()

@@ -62,9 +62,70 @@ def test_pipeline_writes_bundle(spark, tmp_path):
     summary = {r.Metric: r.Value for r in spark.read.parquet(written["sheets/Executive_Summary"]).collect()}
     assert summary["Total Credits"] == "£105.00" and summary["Total Debits"] == "£-90.00"
     assert spark.read.parquet(written["reports/category_distribution"]).count() == 3
-    assert os.path.isdir(os.path.join(written["accounts/basic_statistics"], "account_number=3995"))
     per_acc = spark.read.parquet(written["accounts/category_distribution"])
-    assert per_acc.where(F.col("account_number") == 3995).count() >= 1
+    assert dict(per_acc.dtypes)["account_number"] == "string"
+    assert per_acc.where(F.col("account_number") == "3995").count() >= 1
+    assert spark.read.parquet(written["reports/categorisation_stats"]).first().categories_created == 2
+    for table in ("cover_stats", "key_findings", "account_table", "completeness_table", "pattern_months"):
+        assert spark.read.parquet(written[f"cover/{table}"]).count() > 0
+    order = [r.transaction_count for r in spark.read.parquet(os.path.join(written["categories"], "category_summary")).collect()]
+    assert len(order) == 2
+
+
+def test_per_account_reports_honour_the_date_filter(spark, g1):
+    """A per-account report of one account is the report of its rows, filtered."""
+    from ledgerlake.operators import stats, temporal
+    from ledgerlake.plans import report as R
+
+    per = R.per_account_reports(g1, as_of="2024-03-10 00:00:00", start="2024-02-01", end="2024-02-28")
+    one = stats.date_filter(g1.where("account_number = '5968'"), "2024-02-01", "2024-02-28")
+    for name, alone in (("monthly_summary", temporal.monthly_summary(one)), ("basic_statistics", stats.basic_statistics(one)),
+                        ("trend_weekly", temporal.trend_weekly(one)), ("sign_split", stats.sign_split(one))):
+        mine = per[name].where("account_number = '5968'").drop("account_number")
+        assert sorted(map(str, mine.select(*alone.columns).collect())) == sorted(map(str, alone.collect())), name
+
+
+def test_a_table_that_fails_while_running_loses_no_other(spark, tmp_path):
+    from ledgerlake.plans import report as R
+
+    good, bad = spark.range(3), spark.range(3).select(F.raise_error(F.lit("broken")).alias("x"))
+    errors: dict = {}
+    written = R.write_bundle({"a": good, "bad": bad, "c": good}, str(tmp_path / "b"), errors=errors)
+    assert sorted(written) == ["a", "c"] and list(errors) == ["bad"]
+    with pytest.raises(Exception, match="broken"):
+        R.write_bundle({"bad": bad, "d": good}, str(tmp_path / "b2"))
+    assert spark.read.parquet(str(tmp_path / "b2" / "d")).count() == 3
+
+
+def test_every_report_runs_on_no_rows(spark, g1):
+    from ledgerlake.plans import report as R
+
+    empty = g1.where("false")
+    labelled = empty.withColumn("auto_category", F.lit("x")).withColumn("category_confidence", F.lit(1.0))
+    reports, errors = R.run_all(empty, as_of="2024-03-10 00:00:00", categorised=labelled, persist=False)
+    assert not errors
+    tables = reports | R.cover_tables(empty, as_of="2024-03-10", categorised=labelled) | R.per_account_reports(empty, as_of="2024-03-10")
+    for name, table in tables.items():
+        table.collect()
+
+
+def test_row_ids_of_a_union_never_meet(spark):
+    rows = spark.range(400).selectExpr("cast(id as string) AccNo", "'2024-01-01' Date", "'x' MainDesc", "'1' Amount")
+    both = ingest.union_sources([rows.repartition(200), rows.repartition(200)])
+    assert both.count() == both.select("row_id").distinct().count() == 800
+
+
+@pytest.mark.parametrize("text,month_first,day_first", [
+    ("2024-01-15", "2024-01-15 00:00:00", "2024-01-15 00:00:00"), ("2024-01-15T10:00:00", "2024-01-15 10:00:00", "2024-01-15 10:00:00"),
+    ("2024-01-15 10:05", "2024-01-15 10:05:00", "2024-01-15 10:05:00"), ("15/01/2024", "2024-01-15 00:00:00", "2024-01-15 00:00:00"),
+    ("1/2/2024", "2024-01-02 00:00:00", "2024-02-01 00:00:00"), ("2024/01/15", "2024-01-15 00:00:00", "2024-01-15 00:00:00"),
+    ("20240115", "2024-01-15 00:00:00", "2024-01-15 00:00:00"), ("15 Jan 2024", "2024-01-15 00:00:00", "2024-01-15 00:00:00"),
+    ("31/31/2024", None, None), ("soon", None, None),
+])
+def test_date_forms(spark, text, month_first, day_first):
+    row = spark.createDataFrame([(text,)], "d string").select(
+        ingest.parse_date(F.col("d")).alias("m"), ingest.parse_date(F.col("d"), ingest.date_formats(day_first=True)).alias("d")).first()
+    assert (row.m and str(row.m), row.d and str(row.d)) == (month_first, day_first)
 
 
 def test_streaming_ingest(spark, tmp_path):
@@ -72,7 +133,7 @@ def test_streaming_ingest(spark, tmp_path):
 
     land = tmp_path / "landing"
     land.mkdir()
-    (land / "g1.csv").write_text(G1_CSV)
+    (land / "g1.csv").write_text(G1_CSV + G1_CSV.splitlines()[1] + "\n")  # a line that repeats
     target = tmp_path / "canonical"
     q = start_ingest(
         spark, str(land), ["AccNo", "Date", "MainDesc", "Amount", "Balance", "Currency"], str(target),
@@ -80,9 +141,9 @@ def test_streaming_ingest(spark, tmp_path):
     )
     q.awaitTermination(120)
     df = spark.read.parquet(str(target))
-    assert df.count() == 8
+    assert df.count() == 9
     assert df.where(F.col("amount").isNull()).count() == 1
-    assert df.select("row_id").distinct().count() == 8
+    assert df.select("row_id").distinct().count() == 9
 
 
 def test_filtered_sheets_keep_raw_rows(spark, g1):
@@ -138,6 +199,7 @@ def test_cli_simple_and_filtered_runs(spark, tmp_path):
     main([str(src), "--output", str(simple), "--simple"])
     summary = {r.Metric: r.Value for r in spark.read.parquet(str(simple / "Summary")).collect()}
     assert summary["Total Transactions"] == "8" and summary["Total Debits"] == "90.00"
+    assert (simple / "reports" / "monthly_summary").exists()  # the simple export comes in addition
     full = tmp_path / "full"
     main([str(src), "--output", str(full), "--start-date", "2024-02-01", "--end-date", "2024-03-31",
           "--skip-charts", "--as-of", "2024-03-10 00:00:00"])

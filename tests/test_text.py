@@ -40,61 +40,51 @@ def test_keywords(spark, text, expected):
     assert df.select(keywords(F.col("d")).alias("k")).first().k == expected
 
 
-def _python_clean(name):
-    """The cleaning rule stated with Python's ``re`` (test reference)."""
-    import re
+def _names(seed, tokens, n, separators=(" ",)):
+    import random
 
-    from ledgerlake.config import MERCHANT_NOISE_PATTERNS
+    rnd = random.Random(seed)
+    return [rnd.choice(separators).join(rnd.choice(tokens) for _ in range(rnd.randint(0, 6))) for _ in range(n)]
 
-    if name is None or name == "":
-        return "UNKNOWN"
-    s = name.upper().strip()
-    for p in MERCHANT_NOISE_PATTERNS:
-        s = re.sub(p, " ", s)
-    s = re.sub(r"\s+", " ", s).strip()
-    return "UNKNOWN" if len(s) < 2 else s
 
+NAME_TOKENS = ["acme", "Tesco", "LTD", "ltd", "Limited", "PLC", "inc", "Corp", "CD", "1234", "12/05", "2024",
+               "T/A", "-", "–", "x", "café", "Stores", " ", "  ", "\t", "\n", "99", "A"]
 
-def test_clean_merchant_matches_python_rule_on_random_names(spark):
-    import random
 
-    rnd = random.Random(7)
-    tokens = ["acme", "Tesco", "LTD", "ltd", "Limited", "PLC", "inc", "Corp", "CD", "1234", "12/05", "2024",
-              "T/A", "-", "–", "x", "\\n", "café", "Stores", " ", "  ", "\t", " ", "\n", "99", "A"]
-    names = []
-    for _ in range(3000):
-        parts = [rnd.choice(tokens) for _ in range(rnd.randint(0, 6))]
-        sep = rnd.choice([" ", "  ", "", "\t"])
-        names.append(sep.join(parts))
+def test_clean_merchant_properties_on_random_names(spark):
+    names = _names(7, NAME_TOKENS, 2000, (" ", "  ", "", "\t"))
     df = spark.createDataFrame([(n,) for n in names], "d string")
-    got = [r.c for r in df.select(clean_merchant(F.col("d")).alias("c")).collect()]
-    mismatches = [(n, g, _python_clean(n)) for n, g in zip(names, got) if g != _python_clean(n)]
-    assert not mismatches, mismatches[:5]
-
-
-def _python_keywords(desc):
-    import re
-
+    d = F.col("d")
+    rows = df.select(
+        "d", clean_merchant(d).alias("c"), clean_merchant(F.lower(d)).alias("low"), clean_merchant(F.concat(F.lit("  "), d, F.lit(" \t"))).alias("padded"),
+        clean_merchant(F.concat(d, F.lit(" Shop LTD"))).alias("suffixed"), clean_merchant(F.concat(d, F.lit(" Shop"))).alias("shop"),
+    ).collect()
+    for r in rows:
+        assert r.c == "UNKNOWN" or (len(r.c) >= 2 and r.c == " ".join(r.c.split()) and r.c == r.c.upper())
+        assert r.low == r.c and r.padded == r.c  # case and outer white space play no part
+        assert r.suffixed == r.shop  # a legal form at the end goes
+        assert set(r.c.split()) <= {"UNKNOWN", *r.d.upper().split()} or "" in r.d  # words only ever go
+
+
+def test_keyword_properties_on_random_descriptions(spark):
     from ledgerlake.config import KEYWORD_STOP_WORDS
 
-    if desc is None or desc == "":
-        return []
-    out = set()
-    for word in desc.upper().split():
-        w = re.sub(r"[^\w]", "", word)
-        if len(w) >= 3 and w not in KEYWORD_STOP_WORDS and not w.isdigit() and not re.match(r"^\d+[A-Z]*$", w):
-            out.add(w)
-    return sorted(out)
-
-
-def test_keywords_match_python_rule_on_random_descriptions(spark):
-    import random
-
-    rnd = random.Random(8)
     tokens = ["Amazon", "the", "PAYMENT", "ref12", "12345", "2024AB", "tesco-stores", "O'Neil", "café", "a_b_c",
               "x", "UK", "Ltd.", "card", "99p", "£5", "foo/bar", "\t", "", "naïve", "ABC123"]
-    descs = [" ".join(rnd.choice(tokens) for _ in range(rnd.randint(0, 6))) for _ in range(2000)]
-    df = spark.createDataFrame([(d,) for d in descs], "d string")
-    got = [list(r.k) for r in df.select(keywords(F.col("d")).alias("k")).collect()]
-    mismatches = [(d, g, _python_keywords(d)) for d, g in zip(descs, got) if g != _python_keywords(d)]
-    assert not mismatches, mismatches[:5]
+    left, right = _names(8, tokens, 1000), _names(9, tokens, 1000)
+    df = spark.createDataFrame(list(zip(left, right)), "a string, b string")
+    rows = df.select(keywords(F.col("a")).alias("a"), keywords(F.col("b")).alias("b"), keywords(F.concat_ws(" ", "a", "b")).alias("both")).collect()
+    for r in rows:
+        assert list(r.both) == sorted(set(r.a) | set(r.b))  # each word by itself
+        for w in r.both:
+            assert len(w) >= 3 and w == w.upper() and w not in KEYWORD_STOP_WORDS and not w[0].isdigit()
+
+
+@pytest.mark.parametrize("word,kept", [
+    ("Amazon", "AMAZON"), ("the", None), ("PAYMENT", None), ("ref12", "REF12"), ("12345", None), ("2024AB", None),
+    ("tesco-stores", "TESCOSTORES"), ("O'Neil", "ONEIL"), ("a_b_c", "A_B_C"), ("x", None), ("UK", None), ("Ltd.", None),
+    ("99p", None), ("£5", None), ("foo/bar", "FOOBAR"), ("ABC123", "ABC123"),
+])
+def test_keyword_of_one_word(spark, word, kept):
+    got = spark.createDataFrame([(word,)], "d string").select(keywords(F.col("d")).alias("k")).first().k
+    assert list(got) == ([kept] if kept else [])
