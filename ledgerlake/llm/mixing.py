@@ -156,3 +156,41 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = mix(docs, id_col, text_col, source_col, whole=True, carried=docs.columns, **options)
     copies = mixed.withColumn("position", F.explode("positions"))
     return range_sorted(copies).select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
+
+
+def oracle_sql() -> str:
+    """Query ``op2_mixing`` over table ``documents`` as DuckDB SQL."""
+    time = "NULL"
+    for i, points in enumerate(SCHEDULES):
+        areas = [(b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(points, points[1:])]
+        total, done, cases = sum(areas), 0.0, []
+        for (t0, w0), (t1, w1), area in zip(points, points[1:], areas):
+            slope = (w1 - w0) / (t1 - t0)
+            need = f"(share * {total}::DOUBLE - {done}::DOUBLE)"
+            at = f"{t0}::DOUBLE + 2 * {need} / ({w0}::DOUBLE + sqrt(greatest(0::DOUBLE, {w0 * w0}::DOUBLE + {2 * slope}::DOUBLE * {need})))"
+            done += area
+            cases.append(f"WHEN share * {total}::DOUBLE < {done}::DOUBLE THEN {at}")
+        time = f"CASE WHEN place % {len(SCHEDULES)} = {i} THEN CASE {' '.join(cases)} ELSE {points[-1][0]}::DOUBLE END ELSE {time} END"
+    part = lambda n: f"greatest(0, least(size, goal - (start + {n} * source_size)))"
+    weights = ", ".join(f"{w}.0" for w in WEIGHTS)
+    return rf"""
+        WITH docs AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                   coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT, 0) AS h FROM documents),
+        sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+        places AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place, {MAX_PASSES} * source_size::DOUBLE AS ceiling FROM sizes),
+        weighed AS (SELECT *, ([{weights}])[place % {len(WEIGHTS)} + 1]::DOUBLE AS weight FROM places),
+        levels AS (
+            SELECT *, row_number() OVER r AS nth,
+                   ({BUDGET}::DOUBLE * sum(source_size) OVER () - coalesce(sum(ceiling) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+            FROM weighed WINDOW r AS (ORDER BY ceiling / weight, place),
+                                b AS (ORDER BY ceiling / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        opened AS (SELECT min_by(level, nth) AS level FROM levels WHERE level * weight <= ceiling),
+        targets AS (SELECT source, source_size, place, least(ceiling, coalesce((SELECT level FROM opened) * weight, ceiling)) AS target FROM weighed),
+        laid AS (
+            SELECT d.doc_id, d.size, t.source_size, t.place, t.target, round(t.target)::BIGINT AS goal,
+                   coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+            FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+        taken AS (SELECT *, {part(0)} AS first_part, {part(1)} AS second_part, least(1::DOUBLE, start::DOUBLE / greatest(goal, 1)) AS share FROM laid)
+        SELECT doc_id, size, source_size, target, (first_part + second_part)::BIGINT AS taken,
+               CASE WHEN first_part > 0 AND size > 0 THEN {time} ELSE 2.0::DOUBLE END AS position FROM taken"""

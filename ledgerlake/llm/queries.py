@@ -80,13 +80,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op1_language_id": (op1_language_id, None),
-    "op2_mixing": (op2_mixing, None),
+    "op2_mixing": (op2_mixing, mixing.oracle_sql()),
     "op3_license_scan": (op3_license_scan, license_scan.oracle_sql()),
     "op4_nearest": (op4_nearest, None),
     "op5_decontamination": (op5_decontamination, None),
     "op6_token_files": (op6_token_files, None),
     "op7_toxicity": (op7_toxicity, None),
     "op8_pii": (op8_pii, None),
-    "op9_suffix_dedup": (op9_suffix_dedup, None),
+    "op9_suffix_dedup": (op9_suffix_dedup, suffix_dedup.oracle_sql()),
     "op10_simhash": (op10_simhash, None),
 }

@@ -283,3 +283,23 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     marks = mark(found, F.shiftleft(start, 16).bitwiseOR(F.col("packed").bitwiseAND(F.lit(255))), 1)
     marks = marks.unionByName(mark(single, F.shiftleft("start", 16).bitwiseOR(F.col("windows").cast("long")), -1))
     return marks.unionByName(mark(shared, F.col("packed"), 1))
+
+
+def oracle_sql() -> str:
+    """Query ``op9_suffix_dedup`` over table ``documents`` as DuckDB SQL, by the
+    definition: every window of every text is compared with every other."""
+    return f"""
+        WITH docs AS (SELECT row_number() OVER () AS n, doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes,
+                             hex(encode(coalesce(text, ''))) AS digits FROM documents),
+        windows AS (SELECT n, p, md5(substr(digits, 2 * p + 1, {2 * SPAN})) AS content
+                    FROM (SELECT n, digits, unnest(range(n_bytes - {SPAN - 1})) AS p FROM docs)),
+        repeated AS (SELECT n, p FROM (SELECT n, p, count(*) OVER (PARTITION BY content) AS times FROM windows) WHERE times > 1),
+        opened AS (SELECT n, p, coalesce(p - lag(p) OVER (PARTITION BY n ORDER BY p) > {SPAN}, true) AS opens FROM repeated),
+        numbered AS (SELECT n, p, sum(opens::INT) OVER (PARTITION BY n ORDER BY p) AS span FROM opened),
+        spans AS (SELECT n, min(p) AS a, max(p) + {SPAN} AS b FROM numbered GROUP BY n, span),
+        between_spans AS (SELECT n, a, b, coalesce(lag(b) OVER (PARTITION BY n ORDER BY a), 0) AS since FROM spans),
+        parts AS (SELECT n, string_agg(substr(digits, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept, sum(b - a)::BIGINT AS n_removed,
+                         count(*) AS n_spans, max(b) AS last FROM between_spans JOIN docs USING (n) GROUP BY n)
+        SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(digits, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM docs LEFT JOIN parts USING (n)"""
