@@ -4,14 +4,18 @@ exact distributed similarity join.
 ``ratio(a, b) = 2*M / (len(a)+len(b))`` where M is the number of matched
 characters; it is asymmetric in rare cases, so argument order matters.
 
-Exact candidate generation (no all-pairs, no cross join): M is at most the
-size of the character-multiset intersection O, so ``ratio > t`` implies
-``O >= alpha * len`` for both strings with ``alpha = t / (2 - t)``. Each string
-is turned into multiset tokens (char, occurrence#), ordered globally by rarity,
-and only its first ``len - ceil(alpha*len) + 1`` tokens (its prefix) are kept.
-Two strings that can reach the threshold always share a prefix token (the
-prefix-filter principle of set-similarity joins), so an equi-join on prefix
-tokens yields every qualifying pair; each candidate is then scored exactly.
+Exact candidate generation (no all-pairs, no cross join). With S the sum of the
+lengths and U = S - 2M the unmatched characters, ``ratio > t`` means
+``U < (1 - t) * S``. Between two matching blocks lies an unmatched character, so
+there are at most U + 1 blocks, and the strings share at least ``M - U - 1``
+bigrams (as multisets), more than ``(t - 2/3) * 3/2 * S - 1``; with
+``min/max length >= alpha = t / (2 - t)`` that is a share of each string's own
+length. Bigrams, ordered globally by rarity, are the join tokens wherever that
+bound is positive, single characters (M is at most their overlap) for pairs with
+a shorter string. Of each string only the first ``tokens - least overlap + 1``
+tokens are kept: two strings that can reach the threshold share one of them (the
+prefix-filter principle of set-similarity joins). Candidates must also agree in
+length and in character overlap, both checked natively, before they are scored.
 """
 
 from __future__ import annotations
@@ -53,27 +57,72 @@ def _prefix_len(n: Column, threshold: float) -> Column:
     return n - F.ceil(n * F.lit(a)) + 1
 
 
-def _tokens(df: DataFrame, keys: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(keys, id, ch, occ) multiset tokens of each string."""
-    chars = df.select(
-        *keys,
-        F.col(id_col).alias("_id"),
-        F.explode(F.expr(f"transform(sequence(1, length({text_col})), i -> substring({text_col}, i, 1))")).alias("ch"),
-    )
-    counts = chars.groupBy(*keys, "_id", "ch").agg(F.count(F.lit(1)).alias("_n"))
-    return counts.select(*keys, "_id", "ch", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("occ"))
+def _bigram_share(threshold: float) -> float:
+    """Shared bigrams of a pair above the threshold exceed this share of either
+    length, less one; not positive for thresholds up to 2/3."""
+    return (0.5 - 1.5 * (1.0 - threshold)) * (1.0 + alpha(threshold)) - 1e-9
+
+
+def _bigrams_from(threshold: float) -> int | None:
+    """Least length at which a shared bigram is certain (None: never)."""
+    share = _bigram_share(threshold)
+    return int(1.0 / share) + 1 if share > 0 else None
 
 
-def _prefixes(tokens: DataFrame, lengths: DataFrame, freq: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    ranked = tokens.join(freq, on=["ch", "occ"], how="inner").join(lengths, on=[*keys, "_id"], how="inner")
-    w = Window.partitionBy(*keys, "_id").orderBy("freq", "ch", "occ")
+def _tokens(df: DataFrame, keys: list[str], id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(keys, id, len, size, token, occ): multiset tokens of ``size`` characters."""
+    least = _bigrams_from(threshold)
+    n = F.length(text_col)
+    grams = lambda size: F.transform(
+        F.sequence(F.lit(1), n - F.lit(size - 1)), lambda i: F.struct(F.lit(size).alias("size"), F.substring(F.col(text_col), i, F.lit(size)).alias("token")))
+    if least is None:
+        found = grams(1)
+    else:
+        none = F.array().cast("array<struct<size:int,token:string>>")
+        # strings that may pair with one below the limit have characters, too
+        found = F.concat(F.when(n * F.lit(alpha(threshold)) <= least, grams(1)).otherwise(none), F.when(n >= least, grams(2)).otherwise(none))
+    rows = df.select(*keys, F.col(id_col).alias("_id"), n.alias("_len"), F.explode(found).alias("g"))
+    counts = rows.groupBy(*keys, "_id", "_len", "g.size", "g.token").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.select(*keys, "_id", "_len", "size", "token", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("occ"))
+
+
+def _prefixes(tokens: DataFrame, freq: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    w = Window.partitionBy(*keys, "_id", "size").orderBy("freq", "token", "occ")
+    share = F.lit(max(_bigram_share(threshold), 0.0))
+    kept = F.when(F.col("size") == 1, _prefix_len(F.col("_len"), threshold)).otherwise(F.col("_len") - 1 - F.floor(F.col("_len") * share - 1))
     return (
-        ranked.withColumn("_pos", F.row_number().over(w))
-        .where(F.col("_pos") <= _prefix_len(F.col("_len"), threshold))
-        .select(*keys, "_id", "ch", "occ")
+        tokens.join(freq, on=["size", "token", "occ"])
+        .withColumn("_pos", F.row_number().over(w))
+        .where(F.col("_pos") <= kept)
+        .select(*keys, "_id", "_len", "size", "token", "occ")
     )
 
 
+def _characters(text: Column) -> Column:
+    """Characters with their occurrence numbers, so sets stand for multisets."""
+    n = F.length(text)
+    before = lambda i: F.substring(text, F.lit(1), i)
+    char = lambda i: F.substring(text, i, F.lit(1))
+    return F.transform(
+        F.sequence(F.lit(1), n), lambda i: F.concat(char(i), (F.length(before(i)) - F.length(F.replace(before(i), char(i), F.lit("")))).cast("string")))
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(keys, _lid, _rid) of the pairs that share a prefix token and fit in
+    length; ``left`` and ``right`` have keys, ``_lid``/``_rid``, ``_ltext``/``_rtext``."""
+    lt, rt = _tokens(left, keys, "_lid", "_ltext", threshold), _tokens(right, keys, "_rid", "_rtext", threshold)
+    # global token rarity over both sides (one row per distinct token)
+    token = ["size", "token", "occ"]
+    freq = lt.select(*token).unionAll(rt.select(*token)).groupBy(*token).agg(F.count(F.lit(1)).alias("freq"))
+    lp = _prefixes(lt, freq, keys, threshold).withColumnsRenamed({"_id": "_lid", "_len": "_llen"})
+    rp = _prefixes(rt, freq, keys, threshold).withColumnsRenamed({"_id": "_rid", "_len": "_rlen"})
+    fits = length_bound(F.col("_llen"), F.col("_rlen"), threshold)
+    least = _bigrams_from(threshold)
+    if least is not None:  # longer pairs meet by bigrams
+        fits = fits & ((F.col("size") == 2) | (F.least("_llen", "_rlen") < least))
+    return lp.join(rp, on=[*keys, *token]).where(fits).select(*keys, "_lid", "_rid").distinct()
+
+
 def similar_pairs(
     left: DataFrame,
     right: DataFrame,
@@ -95,21 +144,12 @@ def similar_pairs(
     keys = list(keys)
     L = left.select(*keys, F.col(left_id).alias("_lid"), F.col(left_text).alias("_ltext")).where(F.length("_ltext") > 0)
     R = right.select(*keys, F.col(right_id).alias("_rid"), F.col(right_text).alias("_rtext")).where(F.length("_rtext") > 0)
-    lt = _tokens(L, keys, "_lid", "_ltext")
-    rt = _tokens(R, keys, "_rid", "_rtext")
-    # global token rarity over both sides (one row per distinct token)
-    freq = lt.select("ch", "occ").unionAll(rt.select("ch", "occ")).groupBy("ch", "occ").agg(F.count(F.lit(1)).alias("freq"))
-    lp = _prefixes(lt, L.select(*keys, F.col("_lid").alias("_id"), F.length("_ltext").alias("_len")), freq, keys, threshold)
-    rp = _prefixes(rt, R.select(*keys, F.col("_rid").alias("_id"), F.length("_rtext").alias("_len")), freq, keys, threshold)
-    cand = (
-        lp.withColumnRenamed("_id", "_lid")
-        .join(rp.withColumnRenamed("_id", "_rid"), on=[*keys, "ch", "occ"], how="inner")
-        .select(*keys, "_lid", "_rid")
-        .distinct()
-    )
+    overlap = F.size(F.array_intersect("_lchars", "_rchars"))
     scored = (
-        cand.join(L, on=[*keys, "_lid"]).join(R, on=[*keys, "_rid"])
-        .where(length_bound(F.length("_ltext"), F.length("_rtext"), threshold))
+        candidate_pairs(L, R, keys, threshold)
+        .join(L.withColumn("_lchars", _characters(F.col("_ltext"))), on=[*keys, "_lid"])
+        .join(R.withColumn("_rchars", _characters(F.col("_rtext"))), on=[*keys, "_rid"])
+        .where(2 * overlap > F.lit(threshold - 1e-12) * (F.length("_ltext") + F.length("_rtext")))
         .withColumn("score", ratio(F.col("_ltext"), F.col("_rtext")))
         .where(F.col("score") > F.lit(threshold))
     )
