@@ -129,12 +129,12 @@ def q_cash_flow_summary(spark, sf):
 @register(
     "zero_amounts",
     O.with_txn(
-        "events",
+        "orders",
         f"SELECT count(*) FILTER (WHERE amount = 0) AS zero_count, {PCT('count(*) FILTER (WHERE amount = 0)', 'count(*)')} AS zero_percentage FROM txn",
     ),
 )
 def q_zero_amounts(spark, sf):
-    return stats.zero_amounts(events(spark, sf))
+    return stats.zero_amounts(orders(spark, sf))
 
 
 @register(
@@ -647,27 +647,27 @@ def q_top_outliers(spark, sf):
 @register(
     "duplicates",
     O.with_txn(
-        "lineitem",
+        "orders",
         f"""SELECT CAST(coalesce(sum(c) FILTER (WHERE c > 1), 0) AS BIGINT) AS duplicate_count,
                    {PCT('coalesce(sum(c) FILTER (WHERE c > 1), 0)', 'sum(c)')} AS duplicate_percentage
             FROM (SELECT count(*) AS c FROM txn GROUP BY transaction_date, amount)""",
     ),
 )
 def q_duplicates(spark, sf):
-    return outliers.duplicates(adapters.lineitem_transactions(spark, sf))
+    return outliers.duplicates(orders(spark, sf))
 
 
 @register(
     "duplicate_rows",
     O.with_txn(
-        "lineitem",
+        "orders",
         """SELECT t.* FROM txn t WHERE EXISTS (
              SELECT 1 FROM (SELECT transaction_date, amount FROM txn GROUP BY 1, 2 HAVING count(*) > 1) k
              WHERE t.transaction_date IS NOT DISTINCT FROM k.transaction_date AND t.amount IS NOT DISTINCT FROM k.amount)""",
     ),
 )
 def q_duplicate_rows(spark, sf):
-    return outliers.duplicate_rows(adapters.lineitem_transactions(spark, sf))
+    return outliers.duplicate_rows(orders(spark, sf))
 
 
 # ---------------------------------------------------------------- balance

@@ -45,6 +45,9 @@ def orders_txn() -> str:
            '' AS additional_description,
            o.o_orderstatus AS transaction_type,
            CASE WHEN o.o_orderkey % 97 = 0 THEN NULL
+                WHEN o.o_orderkey % 83 = 0 THEN CAST(0 AS DECIMAL(18,2))
+                WHEN o.o_orderkey % 71 = 0 THEN CAST(10 AS DECIMAL(18,2))
+                WHEN o.o_orderkey % 1999 = 0 THEN CAST(CAST(o.o_totalprice AS DECIMAL(18,2)) * 50 AS DECIMAL(18,2))
                 WHEN o.o_orderstatus = 'F' THEN -CAST(o.o_totalprice AS DECIMAL(18,2))
                 ELSE CAST(o.o_totalprice AS DECIMAL(18,2)) END AS amount,
            CAST(NULL AS DECIMAL(18,2)) AS balance,

@@ -30,7 +30,8 @@ def orders_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     account = customer, amount = total price (negative for finished orders),
     description = segment + priority + a noise suffix keyed by the order key,
-    some descriptions/amounts nulled deterministically.
+    some descriptions/amounts nulled deterministically; so are zeros, repeats of
+    one amount and extreme amounts put in.
     """
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -50,6 +51,9 @@ def orders_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("").alias("additional_description"),
             F.col("o_orderstatus").alias("transaction_type"),
             F.when(F.col("o_orderkey") % 97 == 0, F.lit(None).cast(AMOUNT_2DP))
+            .when(F.col("o_orderkey") % 83 == 0, F.lit(0).cast(AMOUNT_2DP))
+            .when(F.col("o_orderkey") % 71 == 0, F.lit(10).cast(AMOUNT_2DP))
+            .when(F.col("o_orderkey") % 1999 == 0, (price * 50).cast(AMOUNT_2DP))
             .when(F.col("o_orderstatus") == "F", -price)
             .otherwise(price)
             .alias("amount"),
