@@ -76,22 +76,24 @@ def account_activity(df: DataFrame, *, as_of, active_days: int = 90) -> DataFram
     row; a historical account (> 30 days) is measured from its own last date,
     otherwise from ``as_of``; rows in the 30 days before that reference.
 
-    Pass 1 aggregates the last date per account; pass 2 joins it back (AQE
-    turns that into a broadcast when the per-account table is small and
-    splits skewed partitions otherwise) and counts with a partial aggregate.
+    Rows are first counted per account and timestamp; the last date of an
+    account is joined to those counts, never to the rows.
     """
     now = ts_literal(as_of)
-    acc = _accounts(df)
-    last = acc.groupBy(ACC).agg(F.max(_D()).alias("last_transaction"))
+    per = _accounts(df).groupBy(ACC, _D()).agg(F.count(F.lit(1)).alias("_n"))
+    last = per.groupBy(ACC).agg(F.max(_D()).alias("last_transaction"))
     days = floor_days(now, F.col("last_transaction"))
     last = last.withColumn("days_since_last_transaction", days).withColumn(
         "_ref", F.when(F.col("days_since_last_transaction") > 30, F.col("last_transaction")).otherwise(now)
     )
     counts = (
-        acc.select(ACC, _D())
-        .join(last.select(ACC, "_ref"), on=ACC, how="inner")
+        per.join(last.select(ACC, "_ref"), on=ACC, how="inner")
         .groupBy(ACC)
-        .agg(F.count_if(micros(_D()) > micros(F.col("_ref")) - F.lit(30 * MICROS_PER_DAY)).alias("transactions_last_30_days"))
+        .agg(
+            F.coalesce(
+                F.sum(F.when(micros(_D()) > micros(F.col("_ref")) - F.lit(30 * MICROS_PER_DAY), F.col("_n"))), F.lit(0).cast("bigint")
+            ).alias("transactions_last_30_days")
+        )
     )
     return last.join(counts, on=ACC, how="inner").select(
         ACC,

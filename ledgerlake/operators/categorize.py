@@ -46,12 +46,18 @@ def with_clean_merchant(df: DataFrame) -> DataFrame:
     return df.withColumn(CM, clean_merchant(F.col("main_description")))
 
 
-def description_table(df: DataFrame, *, scope: Sequence[str] = ()) -> DataFrame:
-    """Distinct (scope, raw description) with row counts and the cleaned name.
+def description_table(df: DataFrame, *, scope: Sequence[str] = (), amounts: bool = False) -> DataFrame:
+    """Distinct (scope, raw description) with row counts and the cleaned name;
+    with ``amounts`` also the sum, number and signs of its amounts, from which a
+    category's statistics follow without another pass over the rows.
 
     Cleaning (a chain of regexes) runs once per distinct description instead
     of once per row; everything downstream works on this dictionary."""
-    counts = df.groupBy(*scope, "main_description").agg(F.count(F.lit(1)).alias("description_count"))
+    more = []
+    if amounts:
+        a = F.col("amount")
+        more = [F.sum(a).alias("_sum"), F.count(a).alias("_n"), F.count_if(a > 0).alias("_pos"), F.count_if(a < 0).alias("_neg")]
+    counts = df.groupBy(*scope, "main_description").agg(F.count(F.lit(1)).alias("description_count"), *more)
     return counts.withColumn(CM, clean_merchant(F.col("main_description")))
 
 
@@ -351,21 +357,18 @@ def category_table(df: DataFrame, cats: Categories, *, descriptions: DataFrame |
     """Per category: merchants, transactions, mean amount, amount pattern,
     keywords (<= 10, sorted), frequency score, confidence, first 3 merchants."""
     scope = cats.scope
-    d = descriptions if descriptions is not None else description_table(df, scope=scope)
-    n_total = df.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n_total"))
+    d = descriptions if descriptions is not None and "_sum" in descriptions.columns else description_table(df, scope=scope, amounts=True)
+    n_total = d.groupBy(*scope).agg(F.sum("description_count").alias("_n_total"))
     mem = cats.members
     g = [*scope, "category_name"]
-    desc_cat = d.join(mem.select(*scope, CM, "category_name"), on=[*scope, CM], how="inner").select(
-        *[F.col(c).alias(f"_s_{c}") for c in scope], F.col("main_description").alias("_desc"), "category_name"
-    )
     tx_stats = (
-        df.join(desc_cat, _desc_join(df, desc_cat, scope), "inner")
+        d.join(mem.select(*scope, CM, "category_name"), on=[*scope, CM], how="inner")
         .groupBy(*g)
         .agg(
-            F.count(F.lit(1)).alias("transaction_count"),
-            (F.sum("amount").cast("double") / F.count("amount")).alias("avg_amount"),
-            F.count_if(F.col("amount") > 0).alias("_pos"),
-            F.count_if(F.col("amount") < 0).alias("_neg"),
+            F.sum("description_count").alias("transaction_count"),
+            (F.sum("_sum").cast("double") / F.when(F.sum("_n") > 0, F.sum("_n"))).alias("avg_amount"),
+            F.sum("_pos").alias("_pos"),
+            F.sum("_neg").alias("_neg"),
         )
     )
     counts = merchant_table(df, descriptions=d, scope=scope).select(*scope, CM, "merchant_count")
@@ -495,7 +498,7 @@ def categorize(df: DataFrame, *, scope: Sequence[str] = (), **settings) -> tuple
     ensure_checkpoint_dir(df.sparkSession)
     scope = list(scope)
     # short lineage (scan + one aggregate), reused by every stage below
-    descriptions = description_table(df, scope=scope).checkpoint(eager=True)
+    descriptions = description_table(df, scope=scope, amounts=True).checkpoint(eager=True)
     learn_keys = {"min_frequency", "similarity", "smart_grouping", "max_categories", "block"}
     cats = learn_categories(
         df, descriptions=descriptions, scope=scope, **{k: v for k, v in settings.items() if k in learn_keys}
