@@ -33,7 +33,7 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MAX_PASSES = 2
 #: Rows that a bucket of a source holds on average, at most.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 
 #: (time, relative weight) points of the schedules, by the source's place in
 #: name order, repeating: level, rising, falling.
