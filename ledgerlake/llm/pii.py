@@ -1,14 +1,18 @@
 """Personal data: pattern spans, and terms that disclose them.
 
 Emails, addresses, card and phone numbers are found by pattern.  Their values
-are the protected entities.  Corpus co-occurrence then tells how strongly a
-word written near an entity reveals it: with document counts ``n``,
-
-    disclosure(t, e) = PMI(t; e) / IC(e)
-                     = log2(n(t, e) * N / (n(t) * n(e))) / log2(N / n(e))
-
-which is 1 when the term never occurs without the entity and 0 when the two
-are independent.  A term near ``e`` whose disclosure reaches ``generalise_at``
+are the protected entities, and so are the parts of a value that others share:
+mail domains, networks, card issuers, the beginnings of phone numbers.  Corpus
+co-occurrence then tells how strongly a word written near an entity reveals it:
+with document counts ``n`` and p(e) = n(e) / N,
+
+    p(e | t)         = (n(t, e) + prior * p(e)) / (n(t) + prior)
+    disclosure(t, e) = PMI(t; e) / IC(e) = log2(p(e | t) / p(e)) / log2(1 / p(e))
+
+which nears 1 when the term never occurs without the entity and is 0 when the
+two are independent.  ``prior`` documents of independent evidence are added to
+each term's own, so every entity is judged, those of a single document too, and
+terms seen once or twice are drawn towards 0.  A term near ``e`` whose disclosure reaches ``generalise_at``
 becomes a span ``generalise``, from ``remove_at`` on a span ``remove``.
 
 All counts cover every document.  ``n(t, e)`` counts documents in which ``t``
@@ -53,10 +57,11 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 @dataclass(frozen=True)
 class Disclosure:
     """``window``: words on either side of an entity that count as near it.
-    ``min_docs``: documents that must show a pair before it is judged."""
+    ``prior``: weight, in documents, of the assumption that a term and an entity
+    are independent."""
 
     window: int = 20
-    min_docs: int = 3
+    prior: float = 1.0
     generalise_at: float = 0.6
     remove_at: float = 0.9
 
@@ -112,6 +117,23 @@ def entity_value(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else _NOT_DIGIT.sub('', value)}"
 
 
+def entities(kind: str, value: str) -> list[str]:
+    """The entity of a value, then those of the parts that other values may share."""
+    whole = entity_value(kind, value)
+    plain = whole.partition(":")[2]
+    if kind == "email":
+        labels = plain.rpartition("@")[2].split(".")
+        parts = [".".join(labels[i:]) for i in range(len(labels) - 1)]
+    elif kind == "ip":
+        numbers = plain.split(".")
+        parts = [".".join(numbers[:n]) for n in (3, 2)]
+    elif kind == "card":
+        parts = [plain[:6]]
+    else:
+        parts = [plain[:-n] for n in (4, 7) if len(plain) > n]
+    return [whole, *(f"{kind} part:{p}" for p in parts)]
+
+
 def _hash(value: str) -> int:
     return xxhash.xxh64_intdigest(value) - (1 << 63)
 
@@ -129,9 +151,10 @@ def contexts(text: str, spans: list[tuple[str, int, int]], window: int) -> list[
     starts = [w[0] for w in words]
     out = {}
     for kind, a, b in spans:
-        entity, at = _hash(entity_value(kind, text[a:b])), bisect_left(starts, a)
+        named, at = [_hash(e) for e in entities(kind, text[a:b])], bisect_left(starts, a)
         for start, end, term in words[max(0, at - window) : at + window]:
-            out[entity, start] = {"entity": entity, "term": term, "start": start, "end": end}
+            for entity in named:
+                out[entity, start] = {"entity": entity, "term": term, "start": start, "end": end}
     return list(out.values())
 
 
@@ -166,10 +189,10 @@ def _disclosing(rows: DataFrame, found: DataFrame, params: Disclosure) -> DataFr
     per_doc = (found.where(F.size("near") > 0)
                .select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"], x["term"])))).alias("p"))
                .select("p.entity", "p.term"))
-    pairs = per_doc.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= params.min_docs)
-    entities = (found.where(F.size("near") > 0)
-                .select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
-                .groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= params.min_docs))
+    pairs = per_doc.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    per_entity = (found.where(F.size("near") > 0)
+                  .select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
+                  .groupBy("entity").agg(F.count("*").alias("n_entity")))
 
     def frequency(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
@@ -181,15 +204,15 @@ def _disclosing(rows: DataFrame, found: DataFrame, params: Disclosure) -> DataFr
                 counts.clear()
         yield pd.DataFrame({"term": [_hash(w) for w in counts], "n": list(counts.values())})
 
-    judged = pairs.join(entities, "entity")
+    judged = pairs.join(per_entity, "entity")
     judged = stage(judged, "pii-pairs")
     terms = rows.mapInPandas(frequency, "term long, n long").join(judged.select("term").distinct(), "term", "left_semi")
     terms = terms.groupBy("term").agg(F.sum("n").alias("n_term"))
     total = found.count()
-    pmi = F.log2(F.col("n_both") * F.lit(float(max(total, 1))) / (F.col("n_term") * F.col("n_entity")))
-    content = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
+    share = F.col("n_entity") / F.lit(float(max(total, 1)))
+    given = (F.col("n_both") + params.prior * share) / (F.col("n_term") + params.prior)
     judged = (judged.join(terms, "term")
-              .withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(0.0))
+              .withColumn("disclosure", F.when(share < 1, F.log2(given / share) / -F.log2(share)).otherwise(0.0))
               .where(F.col("disclosure") >= params.generalise_at)
               .select("entity", "term", F.when(F.col("disclosure") >= params.remove_at, "remove").otherwise("generalise").alias("kind")))
     hits = near.join(judged, ["entity", "term"])

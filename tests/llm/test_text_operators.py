@@ -172,6 +172,20 @@ def test_disclosing_terms(spark):
     assert text[10] == rows[5][1]
 
 
+def test_entities_of_one_document_and_shared_parts_are_judged(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in queries.table(spark, SF01, "documents").select("doc_id", "text").collect()}
+    rows = queries.op8_pii(spark, SF01).collect()
+    terms = [(r["doc_id"], s.split(":")) for r in rows for s in r["spans"].split(",") if s.startswith(("generalise", "remove"))]
+    assert terms and all(texts[i][int(a) : int(b)].isalnum() for i, (_, a, b) in terms)
+    assert pii.entities("email", "A.b@x.site.org") == ["email:a.b@x.site.org", "email part:x.site.org", "email part:site.org"]
+    assert pii.entities("phone", "+1 (017) 555-7713") == ["phone:10175557713", "phone part:1017555", "phone part:1017"]
+    # one document each: only the word that all mails of the domain share, and the rare word beside one
+    rows = [(i, f"the {'quokka' if i < 4 else 'words'} about nothing {'reaches' if i < 8 else 'leaves'} {'p%d@zoo.org' % i if i < 4 else 'home'} the {'numbat' if i == 2 else 'words'}") for i in range(60)]
+    found = {r["doc_id"]: {rows[r["doc_id"]][1][t["start"] : t["end"]] for t in r["terms"]} for r in pii.find(clashing(spark, rows)).collect()}
+    assert all("quokka" in found[i] for i in range(4)) and "numbat" in found[2]
+    assert not {"the", "about", "nothing", "words"} & set().union(*found.values()) and not any(found[i] for i in range(4, 60))
+
+
 def test_pii_query_against_the_patterns(spark):
     texts = {r["doc_id"]: r["text"] or "" for r in queries.table(spark, SF01, "documents").select("doc_id", "text").collect()}
     rows = queries.op8_pii(spark, SF01).collect()
