@@ -115,13 +115,17 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    """The ``k`` nearest of ``ids`` for each query, its own id left out."""
+    """The ``k`` nearest distinct ``ids`` for each query, its own id left out."""
+    order = np.argsort(ids, kind="stable")
+    ids, vectors = ids[order], vectors[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))  # where each id's rows begin
     unit, out = _scale(vectors), []
     for at in range(0, len(queries), 256):
         rough = _scale(queries[at : at + 256]) @ unit.T
         rough[query_ids[at : at + 256, None] == ids[None, :]] = -np.inf
-        n = min(k, len(ids))
-        least = -np.partition(-rough, n - 1, axis=1)[:, n - 1]
+        each = rough if len(first) == len(ids) else np.maximum.reduceat(rough, first, axis=1)
+        n = min(k, len(first))
+        least = -np.partition(-each, n - 1, axis=1)[:, n - 1]
         for i, bound in enumerate(least):
             # what might be among the best by the exact measure, ties included
             near = np.flatnonzero((rough[i] >= bound - 1e-9) & np.isfinite(rough[i]))

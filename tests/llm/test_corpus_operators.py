@@ -444,6 +444,24 @@ def test_one_vector_many_times_in_split_blocks(spark):
     assert same and all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in same)
 
 
+def test_repeated_ids_near_a_query_cost_no_neighbours(spark):
+    rng = np.random.default_rng(3)
+    near = lambda spread, centre=rng.normal(size=8): (centre + spread * rng.normal(size=8)).tolist()
+    rows = [(50, near(0.0)), *((7, near(1e-5)) for _ in range(9)), *((8, near(2e-5)) for _ in range(4)), *((i, near(1e-3)) for i in range(10, 22))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    score = {}
+    for i, v in rows:
+        if i != 50:
+            score[i] = max(score.get(i, -1.0), float(ann.cosine(np.array([rows[0][1]]), np.array([v]))[0]))
+    want = sorted(score, key=lambda i: (-score[i], i))[:5]
+    assert {7, 8} < set(want)
+    ids, vectors = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    assert ann._best(ids[:1], vectors[:1], ids, vectors, 5)["vec_id"].tolist() == want
+    for params in (ann.Hashing(tables=1, probes=1), ann.Hashing(), ann.Hashing(block=4)):
+        got = ranked(ann.search(frame, F.col("vec_id") == 50, params=params))
+        assert got[50] == [(i, score[i]) for i in want]
+
+
 def test_vectors_without_part_and_small_tables(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, 1.0]), (6, [1.0, 1.0]),
