@@ -1,12 +1,15 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
-Every run of ``seed`` words of a test item is a possible seed.  A first pass
+Every run of ``seed`` words of a test item is a possible seed, and so are as many
+words with one left out between them, which survive a copy that replaces every
+third word.  A first pass
 over the corpus counts in how many documents each occurs; an item keeps its
 rarest runs (by rank, so an item whose text is all over the corpus keeps seeds
 too).  A second pass joins the documents to the items on the seeds and aligns
 each item with the words around its seeds (Smith-Waterman, word by word).  The
 alignment's score, as a share of the score of an unchanged copy, tells copies
-and edited copies from texts that merely share a phrase.
+and edited copies from texts that merely share a phrase; a long passage that is
+nearly unchanged counts whatever share of the item it is.
 
 The test items go to the tasks in blocks of a bounded number of words
 (``Matching.block_words``), each against all documents; a larger benchmark means
@@ -43,7 +46,9 @@ class Matching:
     alignment scores.  ``threshold``: least share of a full copy's score, and
     ``cover``: least length of the aligned words as a share of the item's; a
     phrase that text and item share reaches neither, a copy with a third of its
-    words replaced both."""
+    words replaced both.  ``passage``: score, in matched words, from which an
+    alignment counts whatever its cover, if it reaches the share ``alike`` of the
+    score of its own words unchanged."""
 
     seed: int = 3
     keep: float = 0.75
@@ -53,6 +58,8 @@ class Matching:
     gap: int = -1
     threshold: float = 0.4
     cover: float = 0.6
+    passage: int = 13
+    alike: float = 0.7
     block_words: int = 200_000
 
 
@@ -77,21 +84,31 @@ class Block:
         self.ids.append(item_id)
         self.items.append(np.array([self.vocabulary[w] for w in item], np.int64))
 
-    def runs(self, numbers: np.ndarray) -> np.ndarray:
-        """A code of the run of words at each position; -1 if one is unknown."""
-        n = len(numbers) - self.size + 1
-        if n <= 0:
-            return np.zeros(0, np.int64)
-        code, known = np.zeros(n, np.uint64), np.ones(n, bool)
-        for i in range(self.size):
-            part = numbers[i : i + n]
-            code = code * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64)
-            known &= part > 0
-        return np.where(known, (code >> np.uint64(1)).astype(np.int64), -1)
+    def runs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and codes of the possible seeds: runs of words, and runs with
+        one word left out, none of them unknown."""
+        places, codes = [], []
+        for left_out in range(self.size):
+            # 0: none left out
+            offsets = [i + (0 < left_out <= i) for i in range(self.size)]
+            n = len(numbers) - offsets[-1]
+            if n <= 0:
+                continue
+            code, known = np.full(n, left_out, np.uint64), np.ones(n, bool)
+            for i in offsets:
+                part = numbers[i : i + n]
+                code = code * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64)
+                known &= part > 0
+            at = np.flatnonzero(known)
+            places.append(at)
+            codes.append((code[at] >> np.uint64(1)).astype(np.int64))
+        if not places:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(places), np.concatenate(codes)
 
     def close(self) -> Block:
         for i, item in enumerate(self.items):
-            for at, code in enumerate(self.runs(item).tolist()):
+            for at, code in zip(*(x.tolist() for x in self.runs(item))):
                 self.places[code].append((i, at))
         self.codes = np.array(sorted(self.places), np.int64)
         return self
@@ -102,23 +119,22 @@ class Block:
 
     def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the text whose run is a code, and the codes' places in ``codes``."""
-        runs = self.runs(numbers)
-        at = np.flatnonzero(runs >= 0)
+        at, runs = self.runs(numbers)
         if not len(at) or not len(self.codes):
             return at[:0], at[:0]
-        slot = np.searchsorted(self.codes, runs[at]).clip(max=len(self.codes) - 1)
-        same = self.codes[slot] == runs[at]
+        slot = np.searchsorted(self.codes, runs).clip(max=len(self.codes) - 1)
+        same = self.codes[slot] == runs
         return at[same], slot[same]
 
     def keep_rarest(self, frequency: dict[int, int], params: Matching) -> None:
         kept: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, item in enumerate(self.items):
-            runs = self.runs(item).tolist()
+            places, runs = (x.tolist() for x in self.runs(item))
             # by order of magnitude, then scattered over the item, so that edits
-            # in one place leave seeds elsewhere
-            order = sorted(range(len(runs)), key=lambda at: (frequency.get(runs[at], 0).bit_length(), at * 0x9E3779B1 % 2**32))
+            # in one place leave seeds elsewhere; a run that no document has is no seed
+            order = sorted((at for at, run in enumerate(runs) if frequency.get(run)), key=lambda at: (frequency[runs[at]].bit_length(), at * 0x9E3779B1 % 2**32))
             for at in order[: max(params.least, round(params.keep * len(runs)))]:
-                kept[runs[at]].append((i, at))
+                kept[runs[at]].append((i, places[at]))
         self.places = kept
         self.codes = np.array(sorted(kept), np.int64)
 
@@ -163,9 +179,37 @@ def align(item: np.ndarray, text: np.ndarray, params: Matching) -> tuple[int, in
     return best, *where
 
 
+def accepted(item: np.ndarray, text: np.ndarray, params: Matching) -> tuple[int, int, int] | None:
+    """The best alignment that counts as a copy: (score, start, end) or None.
+
+    The best of all may be too short for its item, so what lies before and after
+    it is tried too, as long as its score leaves room for another."""
+    copy = params.threshold * params.match * len(item)
+    passage = params.passage * params.match
+    found, parts = None, [(0, len(text))]
+    while parts:
+        a, b = parts.pop()
+        least = min(copy, passage) if found is None else max(min(copy, passage), found[0] + 1)
+        # words in common, however ordered, bound the score
+        kinds, n = np.unique(text[a:b], return_counts=True)
+        of_item, m = np.unique(item, return_counts=True)
+        _, i, j = np.intersect1d(kinds, of_item, assume_unique=True, return_indices=True)
+        if params.match * int(np.minimum(n[i], m[j]).sum()) < least:
+            continue
+        score, first, last = align(item, text[a:b], params)
+        if score < least:
+            continue
+        size = last - first
+        if (score >= copy and size >= params.cover * len(item)) or (score >= passage and score >= params.alike * params.match * size):
+            found = score, a + first, a + last
+        else:
+            parts += [(a, a + first), (a + last, b)]
+    return found
+
+
 def matched(block: Block, text: str, params: Matching) -> list[tuple[int, float, int, int]]:
-    """(item's place, share of a full score, start, end) of each item whose
-    best alignment that covers enough of it reaches the threshold."""
+    """(item's place, share of a full score, start, end) of each item's best
+    alignment that counts as a copy."""
     numbers = block.numbers(text)
     positions, slots = block.hits(numbers)
     if not len(positions):
@@ -178,18 +222,18 @@ def matched(block: Block, text: str, params: Matching) -> list[tuple[int, float,
     for i, starts in lines.items():
         item = block.items[i]
         slack = len(item) // 2 + 2
-        best, a, b = None, None, None
+        best, a, b, out_of = None, None, None, params.match * len(item)
         for start in [*sorted(set(starts)), None]:
             if a is not None and (start is None or start - slack > b):
-                score, first, last = align(item, numbers[a:b], params)
-                if last - first >= params.cover * len(item) and (best is None or score > best[0]):
-                    best = score, a + first, a + last
+                one = accepted(item, numbers[a:b], params)
+                if one is not None and (best is None or one[0] > best[0]):
+                    best = one[0], a + one[1], a + one[2]
                 a = None
             if start is not None:
                 a = max(0, start - slack) if a is None else a
                 b = min(len(numbers), start + len(item) + slack)
-        if best is not None and best[0] >= params.threshold * params.match * len(item):
-            out.append((i, best[0] / (params.match * len(item)), best[1], best[2]))
+        if best is not None:
+            out.append((i, best[0] / out_of, best[1], best[2]))
     return out
 
 
@@ -217,7 +261,7 @@ def _with_seeds(docs: DataFrame, benchmark: DataFrame, params: Matching, id_col:
 def contaminated(docs: DataFrame, benchmark: DataFrame, params: Matching = Matching(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``item_id``, ``score`` (share of a full copy's) and the words
     ``start`` to ``end`` (exclusive) of the document's best alignment, for each
-    pair whose score reaches the threshold."""
+    pair with an alignment that counts as a copy."""
     found = None
     for block in _with_seeds(docs, benchmark, params, id_col, text_col):
 

@@ -379,6 +379,26 @@ def test_a_passage_in_most_documents_is_still_found(spark):
     assert {r["doc_id"] for r in found.collect()} == {i for i in range(90) if i % 3}
 
 
+def test_parts_and_dense_edits_of_an_item_are_found(spark):
+    rng = random.Random(10)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
+    short, long, plain = words(59), words(3000), words(18)
+    edited = [w if (i + 1) % 3 else "new" for i, w in enumerate(plain)]
+    docs = {1: short[10:45], 2: long[500:2000], 3: edited, 4: short[3:11], 5: long[40:50], 6: words(30)}
+    docs = [(i, " ".join(words(20) + d + words(20))) for i, d in docs.items()]
+    bench = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(long)), (3, " ".join(plain))], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(clashing(spark, docs), bench).collect()}
+    assert set(found) == {(1, 1), (2, 2), (3, 3)}
+    assert (found[1, 1]["start"], found[1, 1]["end"]) == (20, 55) and found[2, 2]["score"] == 0.5
+    kept = decontam.drop_contaminated(clashing(spark, docs), bench)
+    assert {r["doc_id"] for r in kept.collect()} == {4, 5, 6}
+    # the best alignment is too short for the item, the next one is not
+    item = np.arange(1, 25)
+    text = np.concatenate([item[:11], np.zeros(30, int), np.where(np.arange(24) % 3 == 2, 0, item)])
+    params = decontam.Matching(threshold=0.4, passage=50)
+    assert decontam.align(item, text[:41], params)[0] == 22 and decontam.accepted(item, text, params)[1] >= 41
+
+
 def test_decontamination_edge_cases(spark):
     bench = spark.createDataFrame([(1, "word word word word")], "item_id long, text string")
     assert decontam.contaminated(clashing(spark, EDGE), bench).count() == 0
