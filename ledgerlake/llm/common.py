@@ -35,11 +35,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: Column) -> DataFrame:
     """The two columns an operator reads, under fixed names, and named extras."""
     return df.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(text_col).cast("string").alias("text"),
+        column(id_col).cast("long").alias("doc_id"),
+        column(text_col).cast("string").alias("text"),
         *(c.alias(name) for name, c in more.items()),
     )
 

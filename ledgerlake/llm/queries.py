@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import ann, decontam, lang_id, license_scan, mixing, pii, simhash, suffix_dedup, token_files, toxicity
+from ledgerlake.llm import ann, decontam, lang_id, license_scan, merkle, mixing, pii, simhash, suffix_dedup, token_files, toxicity
 from ledgerlake.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = merkle.proofs(merkle.build(docs, carry={"shown": merkle.tampered_fields()}))
+    found = found.withColumn("folded_root", merkle.folded(F.col("shown"), F.col("steps")))
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"),
+                        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op1_language_id": (op1_language_id, None),
     "op2_mixing": (op2_mixing, mixing.oracle_sql()),
@@ -89,4 +97,5 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op8_pii": (op8_pii, None),
     "op9_suffix_dedup": (op9_suffix_dedup, suffix_dedup.oracle_sql()),
     "op10_simhash": (op10_simhash, None),
+    "op11_merkle_manifest": (op11_merkle_manifest, merkle.oracle_sql()),
 }
