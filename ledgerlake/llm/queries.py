@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import ann, decontam, lang_id, license_scan, merkle, mixing, pii, simhash, suffix_dedup, token_files, toxicity
+from ledgerlake.llm import ann, decontam, lang_id, license_scan, merkle, mixing, part_codes, pii, simhash, suffix_dedup, token_files, toxicity
 from ledgerlake.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = part_codes.encode(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(part_codes.books_digest(codes.books)).alias("codebooks_sha256")
+    return part_codes.with_label_error(codes).select("vec_id", "code", "error", "label_error", digest)
+
+
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op1_language_id": (op1_language_id, None),
     "op2_mixing": (op2_mixing, mixing.oracle_sql()),
@@ -98,4 +104,5 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op9_suffix_dedup": (op9_suffix_dedup, suffix_dedup.oracle_sql()),
     "op10_simhash": (op10_simhash, None),
     "op11_merkle_manifest": (op11_merkle_manifest, merkle.oracle_sql()),
+    "op12_part_codes": (op12_part_codes, part_codes.oracle_sql()),
 }
