@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import ann, decontam, lang_id, license_scan, merkle, mixing, part_codes, pii, simhash, suffix_dedup, token_files, toxicity
+from ledgerlake.llm import ann, decontam, itq, lang_id, license_scan, merkle, mixing, part_codes, pii, simhash, suffix_dedup, token_files, toxicity
 from ledgerlake.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,10 @@ def op12_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_codes.with_label_error(codes).select("vec_id", "code", "error", "label_error", digest)
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op1_language_id": (op1_language_id, None),
     "op2_mixing": (op2_mixing, mixing.oracle_sql()),
@@ -105,4 +109,5 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op10_simhash": (op10_simhash, None),
     "op11_merkle_manifest": (op11_merkle_manifest, merkle.oracle_sql()),
     "op12_part_codes": (op12_part_codes, part_codes.oracle_sql()),
+    "op13_embedding_dedup": (op13_embedding_dedup, itq.oracle_sql()),
 }
