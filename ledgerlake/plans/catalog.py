@@ -922,14 +922,19 @@ def q_frequent_merchants(spark, sf):
 
 @register("similar_pairs", None)
 def q_similar_pairs(spark, sf):
+    """For each frequent supplier name: how many others resemble it, the one
+    that resembles it most and their score."""
     m = C.frequent_merchants(adapters.supplier_transactions(spark, sf)).select("clean_merchant")
     left = m.select(F.col("clean_merchant").alias("a"), F.col("clean_merchant").alias("a_text"))
     right = m.select(F.col("clean_merchant").alias("b"), F.col("clean_merchant").alias("b_text"))
     from ..functions.similarity import similar_pairs
 
-    return similar_pairs(left, right, threshold=0.85, left_id="a", left_text="a_text", right_id="b", right_text="b_text").where(
-        F.col("a") != F.col("b")
-    ).select("a", "b", "score")
+    pairs = similar_pairs(left, right, threshold=0.85, left_id="a", left_text="a_text", right_id="b", right_text="b_text").where(F.col("a") != F.col("b"))
+    return pairs.groupBy(F.col("a").alias("clean_merchant")).agg(
+        F.count(F.lit(1)).alias("similar_merchants"),
+        F.min_by("b", F.struct(-F.col("score"), F.col("b"))).alias("nearest"),
+        F.max("score").alias("score"),
+    )
 
 
 def _categorised(spark, sf, source="lineitem", **kw):
@@ -1689,3 +1694,67 @@ def q_account_list(spark, sf):
 )
 def q_transactions_per_account(spark, sf):
     return ingest.transactions_per_account(events(spark, sf))
+
+
+# ----------------------------------------- oracles of the similarity queries
+
+from . import oracle_categories as OC  # noqa: E402
+
+
+def _learned_sql(body: str, source: str = "lineitem", **kw) -> str:
+    ctes = OC.category_ctes(source, _clean_sql("main_description"), _kw_list_sql, **kw)
+    return f"WITH RECURSIVE {ctes}\n{body}"
+
+
+attach_oracle(
+    "similar_pairs",
+    f"""WITH RECURSIVE txn AS ({O.TXN['supplier']()}),
+    {_DESC_CTE},
+    m AS (SELECT clean_merchant FROM d GROUP BY 1 HAVING sum(description_count) >= 5),
+    pairs AS (SELECT x.clean_merchant AS a, y.clean_merchant AS b FROM m x JOIN m y ON x.clean_merchant <> y.clean_merchant),
+    {OC.similarity_ctes("pairs")}
+    SELECT a AS clean_merchant, count(*) AS similar_merchants, arg_min(b, struct_pack(x := -score, y := b)) AS nearest, max(score) AS score
+    FROM sim WHERE score > 0.85 GROUP BY a""",
+)
+for _name, _source in (("categories", "lineitem"), ("categories_supplier", "supplier")):
+    attach_oracle(_name, _learned_sql(f"SELECT {OC.CATEGORY_COLUMNS} FROM category_rows", _source))
+attach_oracle("assign_categories", _learned_sql("SELECT * FROM lab"))
+attach_oracle(
+    "category_members",
+    _learned_sql("SELECT clean_merchant, category_name, CAST(category_order AS BIGINT) AS category_order, CAST(category_id AS BIGINT) AS category_id FROM members"),
+)
+_STATS_SELECT = f"""count(*) AS total_transactions,
+           count(*) FILTER (WHERE auto_category <> 'UNCATEGORIZED') AS categorized_transactions,
+           count(DISTINCT auto_category) FILTER (WHERE auto_category <> 'UNCATEGORIZED') AS categories_used,
+           count(*) - count(*) FILTER (WHERE auto_category <> 'UNCATEGORIZED') AS uncategorized_transactions,
+           {PCT("count(*) FILTER (WHERE auto_category <> 'UNCATEGORIZED')", "count(*)")} AS categorized_percentage
+    FROM lab"""
+attach_oracle("categorisation_stats", _learned_sql(f"SELECT {_STATS_SELECT}"))
+for _name in ("category_distribution", "category_financials", "category_expense"):
+    _exact = REGISTRY[f"{_name}_exact"][1]
+    attach_oracle(_name, _learned_sql(_exact[len("WITH " + _labelled_ctes()):]))
+attach_oracle(
+    "category_revenue",
+    _learned_sql(f"SELECT auto_category, {MO('sum(amount)')} AS revenue_amount FROM lab WHERE amount > 0 GROUP BY 1"),
+)
+attach_oracle(
+    "chart_category_share",
+    _learned_sql("""SELECT category, CAST(sum(cnt) AS BIGINT) AS transaction_count FROM (
+      SELECT CASE WHEN n > 15 AND k >= 15 THEN 'OTHERS' ELSE auto_category END AS category, cnt, n FROM (
+        SELECT auto_category, count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, auto_category) AS k, count(*) OVER () AS n FROM lab GROUP BY 1))
+      WHERE n > 1 GROUP BY 1"""),
+)
+attach_oracle(
+    "category_summary",
+    _learned_sql("""SELECT category_name, merchant_count, transaction_count, avg_amount, amount_pattern, frequency_score, sample_merchants
+      FROM category_rows"""),
+)
+attach_oracle(
+    "assign_fuzzy",
+    _learned_sql("SELECT DISTINCT main_description, auto_category FROM lab WHERE category_confidence = 0.7", "supplier", cap=10, group=False),
+)
+attach_oracle("per_account_categories", _learned_sql(f"SELECT s AS account_number, {OC.CATEGORY_COLUMNS} FROM category_rows", scoped=True))
+attach_oracle(
+    "per_account_categorisation_stats",
+    _learned_sql(f"SELECT account_number, {_STATS_SELECT} GROUP BY account_number", scoped=True),
+)
