@@ -116,3 +116,9 @@ class Settings:
 
 
 DEFAULTS = Settings()
+
+# fixed values: what a delimited file writes for a missing value
+CSV_MISSING = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]

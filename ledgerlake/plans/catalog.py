@@ -7,6 +7,7 @@ reproducible (the reports take ``as_of`` instead of the wall clock).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -710,6 +711,7 @@ def q_balance_check(spark, sf):
 from ..functions import text as T  # noqa: E402
 from ..operators import categorize as C  # noqa: E402
 from ..operators import charts as CH  # noqa: E402
+from ..session import ensure_checkpoint_dir  # noqa: E402
 from ..sources import ingest  # noqa: E402
 from . import report as R  # noqa: E402
 
@@ -808,6 +810,71 @@ def q_row_id_uniqueness(spark, sf):
     return ingest.union_sources(frames).agg(F.count(F.lit(1)).alias("transactions"), F.countDistinct("row_id").alias("row_ids"))
 
 
+def _orders_files(spark, sf) -> str:
+    """The raw orders statement written as delimited files to the shared folder,
+    some descriptions over two lines, some with quotes and separators."""
+    k = F.col("TransactionType")
+    text = F.concat(F.col("MainDesc"), F.when(k == "F", F.lit('line one\nline "two", end')).when(k == "P", F.lit(', "x"\n\n')).otherwise(F.lit("")))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/statement-{uuid.uuid4().hex}.csv"
+    raw = raw_orders_statement(spark, sf).withColumn("MainDesc", text)
+    raw.write.options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return path
+
+
+_FILE_ORDERS_SQL = _RAW_ORDERS_SQL.replace(
+    "END AS MainDesc", "END || CASE o.o_orderstatus WHEN 'F' THEN 'line one' || chr(10) || 'line \"two\", end' "
+    "WHEN 'P' THEN ', \"x\"' || chr(10) || chr(10) ELSE '' END AS MainDesc")
+
+
+@register("ingest_csv", "WITH std AS (" + _std_sql(_FILE_ORDERS_SQL, False, True, True, False, ["Priority"]) + ") SELECT * FROM std")
+def q_ingest_csv(spark, sf):
+    """Delimited files with records over several lines, written and read back."""
+    return ingest.load(spark, _orders_files(spark, sf)).drop("row_id")
+
+
+_PARTIAL_SQL = "SELECT * FROM (" + _std_sql(_FILE_ORDERS_SQL, False, True, True, False, ["Priority"]) + ")"
+
+
+def _partly_broken(spark, sf) -> ingest.LoadedSources:
+    """Three sources: the statement files, events that break while they are read
+    (after planning), and a path without files."""
+    broken = raw_events_statement(spark, sf).withColumn("Amount", F.when(F.col("AddDesc").isNotNull(), F.raise_error(F.lit("damaged"))).otherwise(F.col("Amount")))
+    broken.createOrReplaceTempView("damaged_events")
+    return ingest.load_sources(spark, [_orders_files(spark, sf), "table:damaged_events", "/nowhere/x.csv"])
+
+
+@register("load_many_partial", _PARTIAL_SQL)
+def q_load_many_partial(spark, sf):
+    return _partly_broken(spark, sf).transactions.drop("row_id")
+
+
+@register("load_many_errors", "SELECT 'table:damaged_events' AS path, true AS damaged UNION ALL SELECT '/nowhere/x.csv', false")
+def q_load_many_errors(spark, sf):
+    return _partly_broken(spark, sf).errors.select("path", F.col("error").contains("damaged").alias("damaged"))
+
+
+@register(
+    "load_checks",
+    f"""SELECT count(*) AS total_rows,
+               count(*) FILTER (WHERE Date IS NOT NULL AND trim(Date) <> '' AND transaction_date IS NULL) AS date_failures,
+               count(*) FILTER (WHERE Amount IS NOT NULL AND trim(Amount) <> '' AND parsed_amount IS NULL) AS amount_failures,
+               count(*) FILTER (WHERE parsed_amount IS NULL) AS null_amounts, CAST(0 AS BIGINT) AS balance_failures,
+               min(transaction_date) AS min_date, max(transaction_date) AS max_date
+        FROM (SELECT *, TRY_CAST(trim(Amount) AS DECIMAL(28,6)) AS parsed_amount, try_strptime(trim(Date), '%Y-%m-%d') AS transaction_date
+              FROM ({_RAW_ORDERS_SQL}) r) s""",
+)
+def q_load_checks(spark, sf):
+    """What is observed while the statement files are loaded."""
+    return ingest.load_sources(spark, [_orders_files(spark, sf)]).checks.drop("path")
+
+
+@register("row_ids_of_files", "SELECT count(*) AS transactions, CAST(0 AS BIGINT) AS first_id, count(*) - 1 AS last_id, count(*) AS ids FROM orders")
+def q_row_ids_of_files(spark, sf):
+    """Row ids of files are the rows' places, without gaps."""
+    df = ingest.load(spark, _orders_files(spark, sf))
+    return df.agg(F.count(F.lit(1)).alias("transactions"), F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"), F.countDistinct("row_id").alias("ids"))
+
+
 _DATE_FORMS = ["yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/M/d", "yyyyMMdd", "dd MMM yyyy"]
 
 

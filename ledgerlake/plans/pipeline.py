@@ -68,25 +68,22 @@ def run_pipeline(spark: SparkSession, opts: PipelineOptions) -> dict[str, str]:
     ensure_checkpoint_dir(spark)
     as_of = opts.as_of or _dt.datetime.now().replace(microsecond=0).isoformat(sep=" ")
     formats = opts.settings.date_formats or ingest.date_formats(opts.day_first or opts.settings.day_first)
-    if len(opts.inputs) == 1:
-        df = ingest.load(spark, opts.inputs[0], date_formats=formats)
-        errors = None
-    else:
-        df, errors = ingest.load_many(spark, opts.inputs, date_formats=formats)
+    out = f"{opts.output.rstrip('/')}"
+    # each source is written once: its row ids are settled, its checks observed on
+    # the way, and a source that breaks loses no other
+    loaded = ingest.load_sources(spark, opts.inputs, folder=f"{out}/sources", date_formats=formats)
+    df = loaded.transactions
     if opts.accounts:
         df = stats.account_filter(df, opts.accounts)
     if opts.filter_scope == "all" and (opts.start or opts.end):
         df = stats.date_filter(df, opts.start, opts.end)
-    out = f"{opts.output.rstrip('/')}"
     written: dict[str, str] = {}
     failed: dict[str, str] = {}
-    # the canonical table is written once: its row ids are settled, and each
-    # report reads its columns and date range from the files
+    # every report reads its columns and date range from the canonical files
     df.sortWithinPartitions("transaction_date").write.mode("overwrite").parquet(f"{out}/canonical")
     written["canonical"] = f"{out}/canonical"
     df = spark.read.parquet(f"{out}/canonical")
-    if errors is not None:
-        written.update(R.write_bundle({"load_errors": errors}, out, fmt=opts.fmt))
+    written.update(R.write_bundle({"load_errors": loaded.errors, "load_checks": loaded.checks}, out, fmt=opts.fmt))
     if opts.simple:
         simple = {"Transaction_Data": R.export_format(df), "Summary": R.simple_summary(df)}
         written.update(R.write_bundle(simple, out, fmt=opts.fmt, errors=failed))
