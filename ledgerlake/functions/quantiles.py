@@ -1,105 +1,53 @@
-"""Exact linear-interpolation quantiles that scale with the data.
+"""Exact linear-interpolation quantiles, for a whole table or each of its groups.
 
 Spark's exact ``percentile`` keeps a value -> count map per group and merges
-it in one task, so its memory grows with the number of distinct values. Here:
-
-1. ``value -> count`` by a partial aggregation (duplicates collapse map-side);
-2. range-partition those distinct values into ``P`` ranges and take each
-   range's (min, max, row count) -- ``P`` rows reach the driver;
-3. prefix sums over the ranges tell which range holds each wanted rank; only
-   those ranges are scanned again, with a running count inside each range
-   (each range is ~1/P of the distinct values, never the whole table).
-
-The interpolation ``v[lo] + (v[hi] - v[lo]) * frac`` with ``pos = (n-1)*p``
-is done in exact decimal arithmetic, the same definition as numpy's default,
-DuckDB ``quantile_cont`` and Spark ``percentile``.
+it in one task, so its memory grows with the number of distinct values.  Here:
+
+1. ``value_counts``: (group, value) -> rows by a partial aggregation, dealt out
+   by ranges and written once; every quantile, and every count of rows beyond a
+   threshold, comes from this table, without the rows;
+2. running counts over the ranges (``ranges.running_totals``) give each value the
+   ranks it covers; the values that cover the wanted ranks of their group are
+   picked by a partial aggregation.
+
+So a group of any size is spread over tasks, nothing passes through the driver, and
+all probabilities share one pass.  The interpolation ``v[lo] + (v[hi] - v[lo]) *
+frac`` with ``pos = (n-1)*p`` is done in exact decimal arithmetic, the same
+definition as numpy's default, DuckDB ``quantile_cont`` and Spark ``percentile``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import ordered_ranges, running_totals
 
-def _dec(v) -> Decimal:
-    return v if isinstance(v, Decimal) else Decimal(repr(v))
+Q_TYPE = "decimal(38,6)"
 
 
-def _ranks(n: int, probs: Sequence[float]) -> list[tuple[int, int, Decimal]]:
-    out = []
-    for p in probs:
-        pos = Decimal(n - 1) * Decimal(str(p))
-        lo = int(math.floor(pos))
-        hi = min(lo + 1, n - 1) if pos != lo else lo
-        out.append((lo, hi, pos - lo))
-    return out
+def value_counts(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
+    """``by``, ``x`` (nulls too) and ``c``, the rows that hold it, in ranges."""
+    return ordered_ranges(df.groupBy(*by, value.alias("x")).agg(F.count(F.lit(1)).alias("c")), [*by, "x"])
 
 
-def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], *, ranges: int | None = None) -> list[Decimal | None]:
-    """Quantiles of a numeric column (nulls ignored); ``None`` when empty."""
-    spark = df.sparkSession
-    # keep the input type: 2-dp money (precision <= 18) stays a compact long
-    # inside Spark's hash aggregation and range sort
-    vc = df.select(value.alias("x")).where(F.col("x").isNotNull()).groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    p = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    # the value table is read by three jobs (range sampling, range totals,
-    # the slice pass): keep it instead of recomputing it from the source
-    vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
-    ranged = vc.repartitionByRange(p, "x")
-    bounds = (
-        ranged.groupBy(F.spark_partition_id().alias("pid"))
-        .agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("c").alias("rows"))
-        .collect()
-    )
-    if not bounds:
-        vc.unpersist()
-        return [None for _ in probs]
-    bounds = sorted(((b["lo"], b["hi"], int(b["rows"])) for b in bounds), key=lambda b: b[0])
-    n = sum(b[2] for b in bounds)
-    wanted = _ranks(n, probs)
-    need = sorted({r for lo, hi, _ in wanted for r in (lo, hi)})
-    # which range holds each needed rank, and the rows before that range
-    located: dict[int, tuple[int, int]] = {}
-    before = 0
-    for i, (_lo, _hi, rows) in enumerate(bounds):
-        for r in need:
-            if before <= r < before + rows:
-                located[r] = (i, before)
-        before += rows
-    slices = sorted({i for i, _ in located.values()})
-    cond = None
-    for i in slices:
-        lo, hi, _ = bounds[i]
-        c = F.col("x").between(F.lit(lo), F.lit(hi))
-        cond = c if cond is None else cond | c
-    tag = F.lit(None).cast("int")
-    for i in slices:
-        tag = F.when(F.col("x").between(F.lit(bounds[i][0]), F.lit(bounds[i][1])), F.lit(i)).otherwise(tag)
-    w = Window.partitionBy("slice").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    part = vc.where(cond).withColumn("slice", tag).withColumn("cum", F.sum("c").over(w))
-    # keep only the rows whose cumulative span covers a needed rank
-    picks = None
-    for r in need:
-        i, off = located[r]
-        k = r - off  # 0-based rank inside the slice
-        c = (F.col("slice") == i) & (F.col("cum") > k) & (F.col("cum") - F.col("c") <= k)
-        picks = c if picks is None else picks | c
-    rows = part.where(picks).select("slice", "x", "cum", "c").collect()
-    value_at: dict[int, Decimal] = {}
-    for r in need:
-        i, off = located[r]
-        k = r - off
-        for row in rows:
-            if row["slice"] == i and row["cum"] > k >= row["cum"] - row["c"]:
-                value_at[r] = row["x"]
-    vc.unpersist()
-    out = []
-    for lo, hi, frac in wanted:
-        v_lo, v_hi = _dec(value_at[lo]), _dec(value_at[hi])
-        out.append(v_lo + (v_hi - v_lo) * frac)
-    return out
+def quantiles(values: DataFrame, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """``by`` and ``_q``, the quantiles of ``value_counts`` at ``probs`` (null where
+    a group has no value); with no ``by`` always one row."""
+    weight = F.when(F.col("x").isNotNull(), F.col("c"))
+    ranks = running_totals(values, by, ["x"], weight, "_upto", "_rows")
+    wanted = []
+    for p in probs:
+        place = (F.col("_rows") - 1).cast("decimal(20,0)") * F.lit(Decimal(str(p)))
+        wanted.append((F.floor(place).cast("bigint"), F.ceil(place).cast("bigint"), place - F.floor(place)))
+    covers = lambda rank: F.col("x").isNotNull() & (F.col("_upto") > rank) & (F.col("_upto") - F.col("c") <= rank)
+    picked = []
+    for i, (low, high, share) in enumerate(wanted):
+        picked += [F.max(F.when(covers(low), F.col("x"))).alias(f"_low{i}"), F.max(F.when(covers(high), F.col("x"))).alias(f"_high{i}"),
+                   F.max(share).cast("decimal(10,8)").alias(f"_share{i}")]
+    found = ranks.groupBy(*by).agg(*picked)
+    between = [(F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_share{i}")).cast(Q_TYPE) for i in range(len(probs))]
+    return found.select(*by, F.array(*between).alias("_q"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import day_of
 from ..functions.money import money_out
+from ..functions.ranges import ordered_ranges, running_totals
 from ..functions.windows import running_sum
 
 ACC = "account_number"
@@ -25,14 +26,16 @@ def _chunk(grain: str):
     raise ValueError(f"unknown chunk grain {grain!r}")
 
 
-def running_balance(df: DataFrame, *, grain: str = "day") -> DataFrame:
+def running_balance(df: DataFrame, *, grain: str = "range") -> DataFrame:
     """Per account in (date, row_id) order:
     ``calculated_balance = first balance - first amount + cumulative amount``.
 
-    Undated rows and rows without an account are left out. The cumulative sum
-    is chunked by ``grain`` (day; ``hour`` for very dense accounts, see
-    ``running_sum``) so a dominant account is spread over many tasks instead
-    of one window partition.
+    Undated rows and rows without an account are left out. Rows are dealt out by
+    ranges of (account, date, row_id), written once; the sums of an account's
+    earlier ranges are added to those within a range, so a dominant account, and
+    one heavy day of it, is spread over many tasks. ``grain="day"`` (or hour,
+    week, month) is the form without a written table, with one task for each
+    account's rows of a day.
     """
     rows = df.where(F.col(ACC).isNotNull() & _D().isNotNull()).select(ACC, "transaction_date", "row_id", "amount", "balance")
     first_key = F.struct(_D(), F.col("row_id"))
@@ -41,7 +44,11 @@ def running_balance(df: DataFrame, *, grain: str = "day") -> DataFrame:
         F.min_by(F.col("amount"), first_key).alias("_fa"),
         F.count(F.lit(1)).alias("account_rows"),
     )
-    run = running_sum(rows, [ACC], ["transaction_date", "row_id"], F.col("amount"), "_cum", _chunk(grain))
+    order = ["transaction_date", "row_id"]
+    if grain == "range":
+        run = running_totals(ordered_ranges(rows, [ACC, *order]), [ACC], order, F.col("amount"), "_cum")
+    else:
+        run = running_sum(rows, [ACC], order, F.col("amount"), "_cum", _chunk(grain))
     out = run.join(firsts, on=ACC, how="inner").withColumn(
         "calculated_balance", F.col("_fb") - F.col("_fa") + F.col("_cum")
     )
@@ -57,7 +64,7 @@ def running_balance(df: DataFrame, *, grain: str = "day") -> DataFrame:
     )
 
 
-def balance_check(df: DataFrame, *, grain: str = "day") -> DataFrame:
+def balance_check(df: DataFrame, *, grain: str = "range") -> DataFrame:
     """Per account with more than one dated row: max / mean |difference|,
     validity (max < 0.01) and the number of rows off by more than 0.01."""
     diffs = running_balance(df, grain=grain).where(F.col("account_rows") > 1)

@@ -9,29 +9,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import weekday
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import quantiles, value_counts
+from ..functions.ranges import join_on
 from . import merchants
 
 PROFILE_PROBS = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
-def pattern_profile(df: DataFrame, *, probs: Sequence[float] = PROFILE_PROBS) -> DataFrame:
+def pattern_profile(df: DataFrame, *, probs: Sequence[float] = PROFILE_PROBS, by: Sequence[str] = ()) -> DataFrame:
     """Sign counts, mean of positive / negative amounts (0 when none) and
-    exact quantiles of the signed amount (one column per probability)."""
-    a = F.col("amount")
-    qs = exact_quantiles(df, a, probs)
-    qcols = [
-        (F.lit(q).cast("decimal(38,6)") if q is not None else F.lit(None).cast("decimal(38,6)")).alias(f"p{round(p * 100)}")
-        for p, q in zip(probs, qs)
-    ]
-    return df.agg(
-        F.count(F.lit(1)).alias("total_transactions"),
-        F.count_if(a > 0).alias("positive_count"),
-        F.count_if(a < 0).alias("negative_count"),
-        F.count_if(a == 0).alias("zero_count"),
-        F.coalesce(F.sum(F.when(a > 0, a)).cast("double") / F.count(F.when(a > 0, a)), F.lit(0.0)).alias("mean_positive"),
-        F.coalesce(F.sum(F.when(a < 0, a)).cast("double") / F.count(F.when(a < 0, a)), F.lit(0.0)).alias("mean_negative"),
-    ).select("*", *qcols)
+    exact quantiles of the signed amount (one column per probability), for all
+    rows or each of ``by``; all from the rows of each amount."""
+    by = list(by)
+    values = value_counts(df, F.col("amount"), by)
+    x, c = F.col("x"), F.col("c")
+    rows = lambda cond: F.coalesce(F.sum(F.when(cond, c)), F.lit(0))
+    mean = lambda cond: F.coalesce(F.sum(F.when(cond, x * c)).cast("double") / F.sum(F.when(cond, c)), F.lit(0.0))
+    counts = values.groupBy(*by).agg(
+        F.coalesce(F.sum(c), F.lit(0)).alias("total_transactions"),
+        rows(x > 0).alias("positive_count"),
+        rows(x < 0).alias("negative_count"),
+        rows(x == 0).alias("zero_count"),
+        mean(x > 0).alias("mean_positive"),
+        mean(x < 0).alias("mean_negative"),
+    )
+    qcols = [F.col("_q")[i].alias(f"p{round(p * 100)}") for i, p in enumerate(probs)]
+    return join_on(counts, quantiles(values, probs, by), by).select(*counts.columns, *qcols)
 
 
 def pattern_merchants(df: DataFrame, *, top_n: int = 20) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import ts_literal
 from ..functions.money import pct
+from ..functions.ranges import join_on
 
 def _A():
     return F.col("amount")
@@ -21,16 +22,18 @@ def _D():
 
 
 
-def missing_data(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per column: null count, percentage of rows, has_data.
+def missing_data(df: DataFrame, columns: Sequence[str] | None = None, *, by: Sequence[str] = ()) -> DataFrame:
+    """One row per column (and group of ``by``): null count, percentage of rows,
+    has_data.
 
     One aggregation computes every null count; ``stack`` turns the single
     result row into one row per column."""
     cols = list(columns or df.columns)
-    counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(f"_m{i}") for i, c in enumerate(cols)])
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(f"_m{i}") for i, c in enumerate(cols)])
     pairs = ", ".join(f"'{c}', _m{i}" for i, c in enumerate(cols))
-    long = counts.selectExpr("_n", f"stack({len(cols)}, {pairs}) AS (column_name, missing_count)")
+    long = counts.selectExpr(*by, "_n", f"stack({len(cols)}, {pairs}) AS (column_name, missing_count)")
     return long.select(
+        *by,
         "column_name",
         "missing_count",
         F.round(pct(F.col("missing_count"), F.col("_n")), 2).alias("missing_percentage"),
@@ -38,35 +41,35 @@ def missing_data(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     )
 
 
-def extreme_amounts(df: DataFrame, *, k: float = 5.0) -> DataFrame:
-    """Rows with |amount - mean| > k * sample std. The 1-row mean/std is
-    broadcast (bounded) and compared in the same pass as the count."""
-    stats = df.agg(
+def extreme_amounts(df: DataFrame, *, k: float = 5.0, by: Sequence[str] = ()) -> DataFrame:
+    """Rows with |amount - mean| > k * sample std, of all rows or each of ``by``.
+    The mean/std (one row, or one for each group) meet the rows of each amount,
+    not the rows, in a second pass."""
+    by = list(by)
+    values = df.groupBy(*by, _A().alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    stats = df.groupBy(*by).agg(
         (F.sum(_A()).cast("double") / F.count(_A())).alias("_mean"),
         F.stddev_samp(_A().cast("double")).alias("_std"),
         F.count(F.lit(1)).alias("_n"),
     )
     thr = F.lit(k) * F.col("_std")
-    flagged = (
-        df.select(_A())
-        .crossJoin(F.broadcast(stats))
-        .agg(
-            F.count_if(F.abs(_A().cast("double") - F.col("_mean")) > thr).alias("extreme_count"),
-            F.first(thr).alias("_thr"),
-            F.first("_n").alias("_n"),
-        )
+    flagged = join_on(values, stats, by).groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(F.abs(F.col("x").cast("double") - F.col("_mean")) > thr, F.col("c"))), F.lit(0)).alias("extreme_count"),
+        F.first(thr).alias("_thr"),
+        F.first("_n").alias("_n"),
     )
     return flagged.select(
+        *by,
         "extreme_count",
         F.round(F.col("_thr").cast("decimal(38,6)"), 2).cast("decimal(38,2)").alias("threshold"),
         pct(F.col("extreme_count"), F.col("_n")).alias("extreme_percentage"),
     )
 
 
-def currency_distribution(df: DataFrame) -> DataFrame:
-    counts = df.where(F.col("currency").isNotNull()).groupBy("currency").agg(F.count(F.lit(1)).alias("transaction_count"))
+def currency_distribution(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+    counts = df.where(F.col("currency").isNotNull()).groupBy(*by, "currency").agg(F.count(F.lit(1)).alias("transaction_count"))
     # window over the per-currency table only (one row per currency code)
-    n_cur = F.count(F.lit(1)).over(Window.partitionBy())
+    n_cur = F.count(F.lit(1)).over(Window.partitionBy(*by))
     return counts.withColumn(
         "issue", F.when(n_cur > 1, F.lit("Multiple currencies detected")).otherwise(F.lit(None).cast("string"))
     )

@@ -1825,3 +1825,144 @@ attach_oracle(
     "per_account_categorisation_stats",
     _learned_sql(f"SELECT account_number, {_STATS_SELECT} GROUP BY account_number", scoped=True),
 )
+
+
+# ------------------------------------------------ reports of each account
+
+_BY = ["account_number"]
+
+
+def _quantile_sql(xs: str, p: float) -> str:
+    """Linear interpolation in an ordered list of 2-dp decimals, exact."""
+    place = f"(CAST(len({xs}) - 1 AS DECIMAL(10,0)) * CAST({p} AS DECIMAL(3,2)))"
+    low, high = f"{xs}[CAST(floor({place}) AS BIGINT) + 1]", f"{xs}[CAST(ceil({place}) AS BIGINT) + 1]"
+    return f"CAST({low} + ({high} - {low}) * CAST({place} - floor({place}) AS DECIMAL(4,2)) AS DECIMAL(38,6))"
+
+
+@register(
+    "per_account_outliers",
+    O.with_txn(
+        "orders",
+        f"""SELECT account_number, q25, q75, iqr, lower_bound, upper_bound,
+                   count(*) FILTER (WHERE abs(amount) > upper_bound) AS outlier_count,
+                   {PCT('count(*) FILTER (WHERE abs(amount) > upper_bound)', 'count(*)')} AS outlier_percentage
+            FROM txn JOIN b USING (account_number) GROUP BY 1, 2, 3, 4, 5, 6""",
+        extra_ctes="""q AS (SELECT account_number, quantile_cont(CAST(abs(amount) AS DECIMAL(18,6)), 0.25) AS lo, quantile_cont(CAST(abs(amount) AS DECIMAL(18,6)), 0.75) AS hi
+                             FROM txn WHERE account_number IS NOT NULL GROUP BY 1),
+        b AS (SELECT account_number, q25, q75, q75 - q25 AS iqr, CAST(q25 - CAST(1.5 AS DECIMAL(2,1)) * (q75 - q25) AS DECIMAL(38,6)) AS lower_bound,
+                     CAST(q75 + CAST(1.5 AS DECIMAL(2,1)) * (q75 - q25) AS DECIMAL(38,6)) AS upper_bound
+              FROM (SELECT account_number, CAST(lo AS DECIMAL(38,6)) AS q25, CAST(hi AS DECIMAL(38,6)) AS q75 FROM q))""",
+    ),
+)
+def q_per_account_outliers(spark, sf):
+    return outliers.iqr_outliers(orders(spark, sf), by=_BY)
+
+
+@register(
+    "per_account_large_transactions",
+    O.with_txn(
+        "orders",
+        f"""SELECT account_number, threshold, count(*) FILTER (WHERE abs(amount) > threshold) AS large_count,
+                   {PCT('count(*) FILTER (WHERE abs(amount) > threshold)', 'count(*)')} AS large_percentage
+            FROM txn JOIN (SELECT account_number, {_quantile_sql("xs", 0.95)} AS threshold FROM (
+                             SELECT account_number, list(abs(amount) ORDER BY abs(amount)) FILTER (WHERE amount IS NOT NULL) AS xs FROM txn GROUP BY 1)) USING (account_number) GROUP BY 1, 2""",
+    ),
+)
+def q_per_account_large_transactions(spark, sf):
+    return outliers.large_transactions(orders(spark, sf), by=_BY)
+
+
+@register(
+    "per_account_top_outliers",
+    O.with_txn(
+        "events",
+        f"""SELECT account_number, row_id, transaction_date AS date, account_number AS account, substr(main_description, 1, 50) AS description,
+                   {MO('amount')} AS amount, {MO('abs(amount)')} AS abs_amount
+            FROM txn WHERE amount IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY account_number ORDER BY abs(amount) DESC, row_id) <= 10""",
+    ),
+)
+def q_per_account_top_outliers(spark, sf):
+    return outliers.top_outliers(events(spark, sf), by=_BY)
+
+
+@register(
+    "per_account_duplicates",
+    O.with_txn(
+        "orders",
+        f"""SELECT account_number, CAST(coalesce(sum(c) FILTER (WHERE c > 1), 0) AS BIGINT) AS duplicate_count,
+                   {PCT('coalesce(sum(c) FILTER (WHERE c > 1), 0)', 'sum(c)')} AS duplicate_percentage
+            FROM (SELECT account_number, count(*) AS c FROM txn GROUP BY account_number, transaction_date, amount) GROUP BY 1""",
+    ),
+)
+def q_per_account_duplicates(spark, sf):
+    return outliers.duplicates(orders(spark, sf), by=_BY)
+
+
+@register(
+    "per_account_extreme_amounts",
+    O.with_txn(
+        "orders",
+        f"""SELECT account_number, count(*) FILTER (WHERE abs(CAST(amount AS DOUBLE) - mean) > 5.0 * std) AS extreme_count,
+                   CAST(round(CAST(5.0 * any_value(std) AS DECIMAL(38,6)), 2) AS DECIMAL(38,2)) AS threshold,
+                   {PCT('count(*) FILTER (WHERE abs(CAST(amount AS DOUBLE) - mean) > 5.0 * std)', 'count(*)')} AS extreme_percentage
+            FROM txn JOIN (SELECT account_number, CAST(sum(amount) AS DOUBLE) / count(amount) AS mean, stddev_samp(CAST(amount AS DOUBLE)) AS std
+                           FROM txn GROUP BY 1) USING (account_number) GROUP BY 1""",
+    ),
+)
+def q_per_account_extreme_amounts(spark, sf):
+    return quality.extreme_amounts(orders(spark, sf), by=_BY)
+
+
+@register(
+    "per_account_currencies",
+    O.with_txn(
+        "orders",
+        """SELECT account_number, currency, count(*) AS transaction_count,
+                  CASE WHEN count(*) OVER (PARTITION BY account_number) > 1 THEN 'Multiple currencies detected' END AS issue
+           FROM txn WHERE currency IS NOT NULL GROUP BY 1, 2""",
+    ),
+)
+def q_per_account_currencies(spark, sf):
+    return quality.currency_distribution(orders(spark, sf), by=_BY)
+
+
+@register(
+    "per_account_missing_data",
+    O.with_txn(
+        "orders",
+        " UNION ALL ".join(
+            f"""SELECT account_number, '{c}' AS column_name, count(*) - count({c}) AS missing_count,
+                   round({PCT(f'count(*) - count({c})', 'count(*)')}, 2) AS missing_percentage, count({c}) > 0 AS has_data FROM txn GROUP BY 1"""
+            for c in ("main_description", "amount", "balance")),
+    ),
+)
+def q_per_account_missing_data(spark, sf):
+    return quality.missing_data(orders(spark, sf), ["main_description", "amount", "balance"], by=_BY)
+
+
+@register(
+    "per_account_patterns",
+    O.with_txn(
+        "orders",
+        """SELECT account_number, count(*) AS total_transactions, count(*) FILTER (WHERE amount > 0) AS positive_count,
+                  count(*) FILTER (WHERE amount < 0) AS negative_count, count(*) FILTER (WHERE amount = 0) AS zero_count,
+                  coalesce(CAST(sum(amount) FILTER (WHERE amount > 0) AS DOUBLE) / count(*) FILTER (WHERE amount > 0), CAST(0 AS DOUBLE)) AS mean_positive,
+                  coalesce(CAST(sum(amount) FILTER (WHERE amount < 0) AS DOUBLE) / count(*) FILTER (WHERE amount < 0), CAST(0 AS DOUBLE)) AS mean_negative,
+                  """ + ", ".join(f"{_quantile_sql('any_value(xs)', p)} AS p{round(p * 100)}" for p in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99))
+        + """ FROM txn LEFT JOIN (SELECT account_number, list(amount ORDER BY amount) AS xs FROM txn WHERE amount IS NOT NULL GROUP BY 1) USING (account_number)
+           GROUP BY 1""",
+    ),
+)
+def q_per_account_patterns(spark, sf):
+    return P.pattern_profile(orders(spark, sf), by=_BY)
+
+
+@register("per_account_category_financials", _learned_sql(
+    f"""SELECT account_number, auto_category AS category, count(amount) AS count, {MO('coalesce(sum(amount), 0)')} AS sum,
+           {M2('coalesce(sum(amount), 0)', 'count(amount)')} AS mean,
+           CAST(CAST(stddev_samp(CAST(amount AS DOUBLE)) AS DECIMAL(38,6)) AS DECIMAL(38,2)) AS std,
+           {MO('min(amount)')} AS min, {MO('max(amount)')} AS max FROM lab GROUP BY 1, 2""", scoped=True))
+def q_per_account_category_financials(spark, sf):
+    out, _cats = C.categorize(adapters.lineitem_transactions(spark, sf), scope=_BY)
+    return R.category_financials(out, by=_BY)

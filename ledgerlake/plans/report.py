@@ -9,6 +9,7 @@ others are still produced. ``write_bundle`` writes one dataset per sheet.
 from __future__ import annotations
 
 import datetime as _dt
+import functools
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -114,10 +115,10 @@ def top_merchants_sheet(df: DataFrame, *, top_n: int = 15) -> DataFrame:
     )
 
 
-def category_financials(categorised: DataFrame) -> DataFrame:
+def category_financials(categorised: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     """Per category: count, total, mean, sample std, min, max (2 dp)."""
     a = F.col("amount")
-    return categorised.groupBy(F.col("auto_category").alias("category")).agg(
+    return categorised.groupBy(*by, F.col("auto_category").alias("category")).agg(
         F.count(a).alias("count"),
         money_out(F.coalesce(F.sum(a), F.lit(0))).alias("sum"),
         money_out(F.sum(a) / F.count(a)).alias("mean"),
@@ -127,12 +128,12 @@ def category_financials(categorised: DataFrame) -> DataFrame:
     )
 
 
-def category_breakdown(categorised: DataFrame, *, side: str) -> DataFrame:
+def category_breakdown(categorised: DataFrame, *, side: str, by: Sequence[str] = ()) -> DataFrame:
     """|sum of expenses| or sum of revenue per category."""
     a = F.col("amount")
     cond = a < 0 if side == "expense" else a > 0
     value = F.abs(F.sum(a)) if side == "expense" else F.sum(a)
-    return categorised.where(cond).groupBy("auto_category").agg(money_out(value).alias(f"{side}_amount"))
+    return categorised.where(cond).groupBy(*by, "auto_category").agg(money_out(value).alias(f"{side}_amount"))
 
 
 def category_distribution_report(categorised: DataFrame) -> DataFrame:
@@ -253,6 +254,7 @@ def run_all(
     data = stats.date_filter(df, start, end) if (start or end) else df
     if persist:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    amounts = functools.cache(lambda: outliers.amount_values(data))  # one table for both reports
     builders = {
         "analysis_metadata": lambda: analysis_metadata(df, as_of=as_of, start=start, end=end),
         "filter_impact": lambda: stats.filter_impact(df, start, end),
@@ -268,8 +270,8 @@ def run_all(
         "monthly_cash_flow": lambda: temporal.monthly_cash_flow(data),
         "weekday_patterns": lambda: temporal.weekday_patterns(data),
         "daily_frequency": lambda: temporal.daily_frequency(data),
-        "iqr_outliers": lambda: outliers.iqr_outliers(data),
-        "large_transactions": lambda: outliers.large_transactions(data, percentile=settings.large_pct),
+        "iqr_outliers": lambda: outliers.iqr_outliers(data, values=amounts()),
+        "large_transactions": lambda: outliers.large_transactions(data, percentile=settings.large_pct, values=amounts()),
         "top_outliers": lambda: outliers.top_outliers(data),
         "duplicates": lambda: outliers.duplicates(data),
         "cash_flow_summary": lambda: stats.cash_flow_summary(data),
@@ -409,6 +411,7 @@ def per_account_reports(
     by = ["account_number"]
     within = lambda d: (stats.date_filter(d, start, end) if (start or end) else d).where(F.col("account_number").isNotNull())
     acc = within(df)
+    values = outliers.amount_values(acc, by=by)  # one table for both reports
     out = {
         "basic_statistics": stats.basic_statistics(acc, by=by),
         "cash_flow_summary": stats.cash_flow_summary(acc, by=by),
@@ -429,6 +432,14 @@ def per_account_reports(
         "zero_amounts": stats.zero_amounts(acc, by=by),
         "account_financials": accounts.account_financials(acc),
         "balance_check": balance.balance_check(acc),
+        "iqr_outliers": outliers.iqr_outliers(acc, by=by, values=values),
+        "large_transactions": outliers.large_transactions(acc, percentile=settings.large_pct, by=by, values=values),
+        "top_outliers": outliers.top_outliers(acc, by=by),
+        "duplicates": outliers.duplicates(acc, by=by),
+        "missing_data": quality.missing_data(acc, by=by),
+        "extreme_amounts": quality.extreme_amounts(acc, by=by),
+        "currency_distribution": quality.currency_distribution(acc, by=by),
+        "pattern_profile": patterns.pattern_profile(acc, by=by),
     }
     if as_of is not None:
         out["account_activity"] = accounts.account_activity(acc, as_of=as_of, active_days=settings.active_days)
@@ -437,6 +448,9 @@ def per_account_reports(
         cat = within(categorised)
         out["categorisation_stats"] = categorize.categorisation_stats(cat, by=by)
         out["category_distribution"] = categorize.category_distribution(cat, by=by)
+        out["category_financials"] = category_financials(cat, by=by)
+        out["category_expense"] = category_breakdown(cat, side="expense", by=by)
+        out["category_revenue"] = category_breakdown(cat, side="revenue", by=by)
     return out
 
 
