@@ -161,18 +161,3 @@ def similar_pairs(
         F.col("_rtext").alias(right_text),
         "score",
     )
-
-
-def quick_bound(a: str, b: str) -> float:
-    """Upper bound of ratio from character multisets (difflib's quick_ratio)."""
-    return SequenceMatcher(None, a, b).quick_ratio()
-
-
-def could_match(a: str, b: str, threshold: float) -> bool:
-    la, lb = len(a), len(b)
-    if la == 0 or lb == 0:
-        return False
-    if min(la, lb) < max(la, lb) * (alpha(threshold) - 1e-12):
-        return False
-    return quick_bound(a, b) > threshold
-

@@ -10,10 +10,12 @@ account's categories from that account's rows only, all accounts in parallel.
    absorbs every not-yet-grouped frequent merchant of its scope whose
    similarity to it is above the threshold; the first ``max_categories``
    distinct names per scope are kept and a later leader producing an existing
-   name replaces the earlier one. Rounds: each scope's next ``block`` merchants
-   are resolved against each other in a grouped-map task (bounded: at most
-   ``block`` names per group); when a scope has more merchants than that, the
-   block's leaders absorb the rest through the exact similarity join. Per-scope
+   name replaces the earlier one. A merchant is decided once all earlier ones
+   that resemble it are (``functions.independent``), so a round decides many at
+   once, all scopes together. The first ``block`` merchants of a scope are
+   decided among each other, their leaders absorb the rest through the exact
+   similarity join, then the next ``GROWTH`` times as many of what is left: a
+   family of any size is absorbed by its leader before its pairs are listed. Per-scope
    name caps are applied with windows over the (small) leader table, and the
    remaining table is checkpointed whenever another round follows.
 3. ``assign``: exact (scope, name) -> category equi-join, then a fuzzy pass for
@@ -26,15 +28,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..config import UNCATEGORIZED, UNKNOWN_MERCHANT
+from ..functions.independent import first_independent_set
 from ..functions.money import pct
-from ..functions.similarity import could_match, py_ratio, similar_pairs
+from ..functions.ranges import staged
+from ..functions.similarity import similar_pairs
 from ..functions.text import clean_merchant, keywords
 from ..session import ensure_checkpoint_dir, python_workers_ready
 
@@ -128,39 +131,22 @@ class Categories:
     scope: list[str] = field(default_factory=list)
 
 
-def _block_grouping(block: int, similarity: float, smart_grouping: bool, keep: list[str]):
-    """Grouped-map function: resolve one scope's next ``block`` merchants.
-
-    Input rows are at most ``block + 1`` per group (the extra row only tells
-    whether the block holds the whole remaining table of the scope). Each
-    merchant gets its owner: the earliest earlier leader of the block that
-    matches it, or itself (a new leader)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_neg", CM], kind="mergesort")
-        whole = len(pdf) <= block
-        pdf = pdf.iloc[:block]
-        leaders: list[tuple[int, str]] = []
-        owner_neg, owner_name = [], []
-        for neg, m in zip(pdf["_neg"].tolist(), pdf[CM].tolist()):
-            owner = None
-            if smart_grouping:
-                for lneg, lname in leaders:
-                    if could_match(lname, m, similarity) and py_ratio(lname, m) > similarity:
-                        owner = (lneg, lname)
-                        break
-            if owner is None:
-                owner = (neg, m)
-                leaders.append(owner)
-            owner_neg.append(owner[0])
-            owner_name.append(owner[1])
-        out = pdf[keep + [CM, "_neg"]].copy()
-        out["_lneg"] = owner_neg
-        out["leader"] = owner_name
-        out["_whole"] = whole
-        return out
-
-    return run
+#: each batch of merchants is this many times as large as the one before, up to ``MOST``
+GROWTH, MOST = 4, 1 << 16
+
+
+def _grouped(batch: DataFrame, *, similarity: float, smart_grouping: bool, scope: list[str]) -> DataFrame:
+    """``batch`` (scope, clean_merchant, merchant_rank) with ``leader_rank``: the
+    earliest leader of the batch that each merchant resembles, or itself."""
+    if not smart_grouping:
+        return batch.withColumn("leader_rank", F.col("merchant_rank"))
+    leads = batch.select(*scope, F.col("merchant_rank").alias("before"), F.col(CM).alias("_leader"))
+    pairs = similar_pairs(leads, batch, threshold=similarity, keys=scope, left_id="before", left_text="_leader", right_id="merchant_rank", right_text=CM)
+    edges = staged(pairs.where(F.col("before") < F.col("merchant_rank")).select(*scope, "before", F.col("merchant_rank").alias("after")), "resembling")
+    leaders, _rounds = first_independent_set(batch.select(*scope, F.col("merchant_rank").alias("node")), edges, scope)
+    owner = edges.join(leaders.withColumnRenamed("node", "before"), [*scope, "before"]).groupBy(*scope, F.col("after").alias("merchant_rank")).agg(
+        F.min("before").alias("_owner"))
+    return batch.join(owner, [*scope, "merchant_rank"], "left").withColumn("leader_rank", F.coalesce("_owner", "merchant_rank")).drop("_owner")
 
 
 def _scoped_join(a: DataFrame, b: DataFrame, scope: list[str], how: str = "inner") -> DataFrame:
@@ -191,20 +177,7 @@ def learn_categories(
     # the lineage is cut by a checkpoint only when another round follows
     remaining = freq.select(*scope, CM, "merchant_rank").persist(StorageLevel.MEMORY_AND_DISK)
     held: list[DataFrame] = [remaining]
-    group_cols = scope or ["_g"]
     scope_fields = [f for f in remaining.schema.fields if f.name in scope]
-    local_schema = StructType(
-        ([StructField("_g", LongType())] if not scope else [])
-        + scope_fields
-        + [
-            StructField(CM, StringType()),
-            StructField("_neg", LongType()),
-            StructField("_lneg", LongType()),
-            StructField("leader", StringType()),
-            StructField("_whole", BooleanType()),
-        ]
-    )
-    grouping = _block_grouping(block, similarity, smart_grouping, group_cols)
     member_cols = [*scope, "leader_rank", "leader", CM, "merchant_rank"]
     leaders_acc: DataFrame | None = None
     members_acc: DataFrame | None = None
@@ -214,17 +187,14 @@ def learn_categories(
             w = Window.partitionBy(*scope).orderBy("merchant_rank")
             cand = remaining.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= block + 1)
         else:
-            cand = remaining.orderBy("merchant_rank").limit(block + 1).withColumn("_g", F.lit(0).cast("bigint"))
-        cand = cand.select(*group_cols, CM, F.col("merchant_rank.neg_count").alias("_neg"))
-        local = cand.groupBy(*group_cols).applyInPandas(grouping, local_schema)
-        local = local.select(
-            *scope,
-            CM,
-            rank_key(-F.col("_neg"), F.col(CM)).alias("merchant_rank"),
-            rank_key(-F.col("_lneg"), F.col("leader")).alias("leader_rank"),
-            "leader",
-            "_whole",
-        ).persist(StorageLevel.MEMORY_AND_DISK)
+            cand = remaining.orderBy("merchant_rank").limit(block + 1)
+        # the merchant after the batch only tells that the batch is not all
+        sizes = cand.groupBy(*scope).agg(F.count(F.lit(1)).alias("_size"), F.max("merchant_rank").alias("_end"))
+        cand = staged(_scoped_join(cand.select(*scope, CM, "merchant_rank"), sizes, scope), "batch")
+        whole = F.col("_size") <= block
+        cand = cand.where(whole | (F.col("merchant_rank") < F.col("_end"))).withColumn("_whole", whole).drop("_size", "_end")
+        local = _grouped(cand, similarity=similarity, smart_grouping=smart_grouping, scope=scope).withColumn("leader", F.col("leader_rank.name"))
+        local = local.persist(StorageLevel.MEMORY_AND_DISK)
         held.append(local)
         if local.isEmpty():
             break
@@ -291,6 +261,7 @@ def learn_categories(
         for frame in held:
             frame.unpersist()
         held = []
+        block = max(block, min(block * GROWTH, MOST))
         if remaining.isEmpty():
             break
     if leaders_acc is None:
