@@ -3,39 +3,48 @@
 Emails, addresses, card and phone numbers are found by pattern.  Their values
 are the protected entities, and so are the parts of a value that others share:
 mail domains, networks, card issuers, the beginnings of phone numbers.  Corpus
-co-occurrence then tells how strongly a word written near an entity reveals it:
-with document counts ``n`` and p(e) = n(e) / N,
+co-occurrence then tells how strongly a term (a word or number outside those
+spans) reveals an entity.  With p(e) the share of texts that hold ``e``,
 
-    p(e | t)         = (n(t, e) + prior * p(e)) / (n(t) + prior)
-    disclosure(t, e) = PMI(t; e) / IC(e) = log2(p(e | t) / p(e)) / log2(1 / p(e))
+    disclosure(t, e) = PMI(t; e) / IC(e) = log(p(e | t) / p(e)) / log(1 / p(e))
 
 which nears 1 when the term never occurs without the entity and is 0 when the
-two are independent.  ``prior`` documents of independent evidence are added to
-each term's own, so every entity is judged, those of a single document too, and
-terms seen once or twice are drawn towards 0.  A term near ``e`` whose disclosure reaches ``generalise_at``
-becomes a span ``generalise``, from ``remove_at`` on a span ``remove``.
-
-All counts cover every document.  ``n(t, e)`` counts documents in which ``t``
-stands within ``window`` words of ``e``; so the pairs of a document grow with
-its length, not with its square.
-
-Defined results: null texts are empty and have no spans; every input row gives
-one output row, repeated rows the same one; null ids are kept; with no entity
-in the corpus there are base spans only (none).
+two are independent.  p(e | t) is not taken from the counts as it is: a term
+counts as disclosing to degree ``d`` only if ``n_both`` of ``n_term`` documents rule out
+that p(e | t) is p(e) ^ (1 - d) or less,
+
+    n_term * KL(n_both / n_term, p(e) ^ (1 - d)) >= log(pairs / alpha)
+
+(Chernoff's bound), where ``pairs`` is the number of entities times that of terms
+in the corpus.  So among all pairs less than ``alpha`` pass by chance, at any size of
+the corpus: words that met an entity once or twice disclose nothing.  From
+``generalise_at`` a term becomes a span ``generalise``, from ``remove_at`` a span
+``remove``, at every place of every document that holds the entity.
+
+All counts cover every document and the whole of it.  A text that is repeated is
+evidence once (its copies do count in ``n_term``).  Entities in too few texts to
+pass the test with any term need no pairs; the others' pairs grow with the words of
+the documents that hold them.
+
+Defined results: null texts are empty and have no spans; texts of any length are
+read whole; every input row gives one output row, repeated rows the same one;
+null ids are kept; near two entities the stronger action holds; without entities
+there are no spans, and an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import prepare, stage, text_rows, texts
@@ -50,18 +59,15 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\W\d_]{3,}")
+_WORD = re.compile(r"[^\W_]+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    """``window``: words on either side of an entity that count as near it.
-    ``prior``: weight, in documents, of the assumption that a term and an entity
-    are independent."""
+    """``alpha``: the number of pairs that may pass by chance in a whole corpus."""
 
-    window: int = 20
-    prior: float = 1.0
+    alpha: float = 0.01
     generalise_at: float = 0.6
     remove_at: float = 0.9
 
@@ -138,24 +144,19 @@ def _hash(value: str) -> int:
     return xxhash.xxh64_intdigest(value) - (1 << 63)
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], window: int) -> list[dict]:
-    """Each (entity, term, position) with the term near the entity."""
+def terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(hash, start, end) of each word or number that no span touches."""
     taken = sorted((a, b) for _, a, b in spans)
-    words, i, reach = [], 0, 0
+    i, reach = 0, 0
     for m in _WORD.finditer(text):
         while i < len(taken) and taken[i][0] < m.end():
             reach = max(reach, taken[i][1])
             i += 1
-        if m.start() >= reach:  # not inside a span
-            words.append((m.start(), m.end(), _hash(m.group().lower())))
-    starts = [w[0] for w in words]
-    out = {}
-    for kind, a, b in spans:
-        named, at = [_hash(e) for e in entities(kind, text[a:b])], bisect_left(starts, a)
-        for start, end, term in words[max(0, at - window) : at + window]:
-            for entity in named:
-                out[entity, start] = {"entity": entity, "term": term, "start": start, "end": end}
-    return list(out.values())
+        if m.start() >= reach:
+            yield _hash(m.group().lower()), m.start(), m.end()
+
+
+_SPANS = "array<struct<kind string, start long, end long>>"
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Disclosure = Disclosure()) -> DataFrame:
@@ -163,62 +164,106 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
     text), ``base`` and ``terms`` (arrays of kind, start, end in code points,
     end exclusive) and ``base_sha256``."""
     prepare(docs.sparkSession)
-    rows = texts(docs, id_col, text_col).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    rows = texts(docs, id_col, text_col).withColumn("row_key", F.xxhash64("doc_id", "text")).withColumn("text_key", F.xxhash64("text"))
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, lines in text_rows(frames):
             spans = [base_spans(t) for t in lines]
             yield pd.DataFrame({
-                "doc_id": frame["doc_id"], "row_key": frame["row_key"],
+                "doc_id": frame["doc_id"], "row_key": frame["row_key"], "text_key": frame["text_key"],
                 "base": [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans],
                 "base_sha256": [hashlib.sha256(span_text(s).encode()).hexdigest() for s in spans],
-                "near": [contexts(t, s, params.window) if s else [] for t, s in zip(lines, spans)],
+                "entities": [list({_hash(e) for k, a, b in s for e in entities(k, t[a:b])}) for t, s in zip(lines, spans)],
             })
 
-    schema = ("doc_id long, row_key long, base array<struct<kind string, start long, end long>>, base_sha256 string, "
-              "near array<struct<entity long, term long, start long, end long>>")
+    schema = f"doc_id long, row_key long, text_key long, base {_SPANS}, base_sha256 string, entities array<long>"
     found = stage(rows.mapInPandas(scan, schema), "pii-spans")
-    hits = _disclosing(rows, found, params)
-    return found.join(hits, "row_key", "left").select(
-        "doc_id", "row_key", "base", F.coalesce("terms", F.array().cast("array<struct<kind string, start long, end long>>")).alias("terms"), "base_sha256")
-
-
-def _disclosing(rows: DataFrame, found: DataFrame, params: Disclosure) -> DataFrame:
-    """(row_key, terms): the spans of terms that disclose an entity near them."""
-    near = found.where(F.size("near") > 0).select("row_key", F.explode("near").alias("n")).select("row_key", "n.*")
-    per_doc = (found.where(F.size("near") > 0)
-               .select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"], x["term"])))).alias("p"))
-               .select("p.entity", "p.term"))
-    pairs = per_doc.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    per_entity = (found.where(F.size("near") > 0)
-                  .select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
-                  .groupBy("entity").agg(F.count("*").alias("n_entity")))
-
-    def frequency(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    marks = _disclosing(rows, found, params)
+    if marks is None:
+        return found.select("doc_id", "row_key", "base", F.array().cast(_SPANS).alias("terms"), "base_sha256")
+    return found.join(marks, "row_key", "left").select(
+        "doc_id", "row_key", "base", F.coalesce("terms", F.array().cast(_SPANS)).alias("terms"), "base_sha256")
+
+
+def _frequency(rows: DataFrame) -> DataFrame:
+    """(term, n): documents that hold each term."""
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
         for _, lines in text_rows(frames):
             for text in lines:
                 counts.update({w.lower() for w in set(_WORD.findall(text))})
-            if len(counts) > 400_000:  # bounds the worker's memory; Spark adds the parts up
-                yield pd.DataFrame({"term": [_hash(w) for w in counts], "n": list(counts.values())})
-                counts.clear()
+                if len(counts) > 400_000:  # bounds the worker's memory; Spark adds the parts up
+                    yield pd.DataFrame({"term": [_hash(w) for w in counts], "n": list(counts.values())})
+                    counts.clear()
         yield pd.DataFrame({"term": [_hash(w) for w in counts], "n": list(counts.values())})
 
-    judged = pairs.join(per_entity, "entity")
-    judged = stage(judged, "pii-pairs")
-    terms = rows.mapInPandas(frequency, "term long, n long").join(judged.select("term").distinct(), "term", "left_semi")
-    terms = terms.groupBy("term").agg(F.sum("n").alias("n_term"))
-    total = found.count()
-    share = F.col("n_entity") / F.lit(float(max(total, 1)))
-    given = (F.col("n_both") + params.prior * share) / (F.col("n_term") + params.prior)
-    judged = (judged.join(terms, "term")
-              .withColumn("disclosure", F.when(share < 1, F.log2(given / share) / -F.log2(share)).otherwise(0.0))
-              .where(F.col("disclosure") >= params.generalise_at)
-              .select("entity", "term", F.when(F.col("disclosure") >= params.remove_at, "remove").otherwise("generalise").alias("kind")))
-    hits = near.join(judged, ["entity", "term"])
-    # near two entities, the stronger of the two actions holds
-    hits = hits.groupBy("row_key", "start", "end").agg(F.max("kind").alias("kind"))
-    return hits.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("terms"))
+    return rows.mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+
+
+def passes(n_both: Column, n_term: Column, share: Column, degree: float, evidence: float) -> Column:
+    """Whether the counts rule out that p(e | t) <= p(e) ^ (1 - degree)."""
+    p, q = F.pow(share, F.lit(1 - degree)), n_both / n_term
+    kl = q * F.log(q / p) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    return (share < 1) & (q > p) & (n_term * kl >= evidence)
+
+
+def _disclosing(rows: DataFrame, found: DataFrame, params: Disclosure) -> DataFrame | None:
+    """(row_key, terms): the spans of terms that disclose an entity of their
+    document; None where no entity can pass the test."""
+    held = found.where(F.size("entities") > 0)
+    per_entity = stage(held.select("text_key", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity")), "pii-entities")
+    total, n_entities = found.select(F.countDistinct("text_key")).first()[0], per_entity.count()
+    if not n_entities:
+        return None
+    share = F.col("n_entity") / F.lit(float(total))
+    # the most evidence there can be: every text of the entity, and no other, holds the term
+    most = F.col("n_entity") * (1 - params.generalise_at) * -F.log(share)
+    if per_entity.where(most >= math.log(n_entities / params.alpha)).isEmpty():  # however few the terms
+        return None
+    frequency = stage(_frequency(rows), "pii-frequency")
+    evidence = math.log(n_entities * max(1, frequency.count()) / params.alpha)
+    able = per_entity.where(most >= evidence)
+    if able.isEmpty():
+        return None
+    some = held.select("row_key", F.explode("entities").alias("entity")).distinct().join(able, "entity").groupBy("row_key").agg(F.collect_list("entity").alias("able"))
+    base = held.select("row_key", "base").dropDuplicates(["row_key"])
+    own = stage(rows.join(some, "row_key").dropDuplicates(["row_key"]).join(base, "row_key"), "pii-texts")
+
+    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, lines in text_rows(frames):
+            held: list[tuple] = []
+            for key, text, spans, able_here in zip(frame["key"], lines, frame["base"], frame["able"]):
+                own_terms = {t for t, _, _ in terms(text, [(s["kind"], s["start"], s["end"]) for s in spans])}
+                for entity in able_here:
+                    held += [(key, entity, t) for t in own_terms]
+                    if len(held) > 200_000:
+                        yield pd.DataFrame(held, columns=["key", "entity", "term"])
+                        held = []
+            yield pd.DataFrame(held, columns=["key", "entity", "term"])
+
+    def with_key(of: DataFrame, name: str) -> DataFrame:
+        return of.select(F.col(name).alias("key"), "text", "base", "able").mapInPandas(pairs, "key long, entity long, term long")
+
+    once = own.dropDuplicates(["text_key"])
+    both = with_key(once, "text_key").groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    judged = both.join(per_entity, "entity").join(frequency, "term")
+    test = lambda degree: passes(F.col("n_both"), F.col("n_term"), share, degree, evidence)
+    judged = stage(judged.where(test(params.generalise_at)).select("entity", "term", F.when(test(params.remove_at), "remove").otherwise("generalise").alias("kind")), "pii-judged")
+    if judged.isEmpty():
+        return None
+    hits = with_key(own, "row_key").join(judged, ["entity", "term"]).groupBy("key", "term").agg(F.max("kind").alias("kind"))
+    hits = hits.groupBy(F.col("key").alias("row_key")).agg(F.collect_list(F.struct("term", "kind")).alias("marked"))
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, lines in text_rows(frames):
+            out = []
+            for text, spans, marked in zip(lines, frame["base"], frame["marked"]):
+                kinds = {m["term"]: m["kind"] for m in marked}
+                at = [{"kind": kinds[t], "start": a, "end": b} for t, a, b in terms(text, [(s["kind"], s["start"], s["end"]) for s in spans]) if t in kinds]
+                out.append(sorted(at, key=lambda m: (KINDS.index(m["kind"]), m["start"])))
+            yield pd.DataFrame({"row_key": frame["row_key"], "terms": out})
+
+    return own.join(hits, "row_key").select("row_key", "text", "base", "marked").mapInPandas(place, f"row_key long, terms {_SPANS}")
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Disclosure = Disclosure()) -> DataFrame:

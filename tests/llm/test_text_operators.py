@@ -1,7 +1,10 @@
 """Language id, toxicity, personal data, licences: rules, hand-made cases, accuracy."""
 
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -75,6 +78,7 @@ def test_language_edge_cases(spark):
 @pytest.mark.parametrize("text, folded", [
     ("You IDIOT!", " you idiot "), ("1d10t", " idiot "), ("іdіоt", " idiot "), ("idıot", " idiot "), ("ｉｄｉｏｔ", " idiot "),
     ("ídiòt", " idiot "), ("moron$$$ x", " moron x "), ("l0ser", " ioser "), ("call 555 now", " caii now "), ("", "  "), ("a$$hat", " asshat "),
+    ("$tupid", " stupid "), ("a$$", " ass "), ("(@bc)", " abc "), ("$$$moron", " moron "), ("1$ @ $", "  "),
 ])
 def test_fold(text, folded):
     assert toxicity.fold(text) == folded
@@ -159,31 +163,92 @@ def test_long_runs_stay_cheap():
     assert pii.base_spans("0" * 5000 + "1.2.3.4") == [("ip", 0, 5007)]
 
 
-def test_disclosing_terms(spark):
-    rows = [(i, f"mail bob@site.org about zanzibar project w{i}") for i in range(5)]
-    rows += [(10 + i, f"the project about nothing w{i}") for i in range(20)]
-    found = {r["doc_id"]: r for r in pii.find(clashing(spark, rows)).collect()}
-    terms = {(t["kind"], rows[0][1][t["start"] : t["end"]]) for t in found[0]["terms"]}
-    assert ("remove", "zanzibar") in terms and ("remove", "mail") in terms
-    assert not {"project", "about", "bob", "site"} & {w for _, w in terms}
-    assert all(not found[10 + i]["terms"] and not found[10 + i]["base"] for i in range(20))
-    text = {r["doc_id"]: r["text"] for r in pii.sanitise(clashing(spark, rows)).collect()}
-    assert "bob@" not in text[0] and "zanzibar" not in text[0] and "[EMAIL]" in text[0]
-    assert text[10] == rows[5][1]
+def direct_terms(rows, params=pii.Disclosure()):
+    """(doc_id, start, end, kind) of the disclosing terms, by counting all pairs."""
+    spans = {i: pii.base_spans(t) for i, t in rows}
+    held = {i: {e for k, a, b in spans[i] for e in pii.entities(k, t[a:b])} for i, t in rows}
+    place = {i: [(w.group().lower(), w.start(), w.end()) for w in re.finditer(r"[^\W_]+", t) if not any(a < w.end() and w.start() < b for _, a, b in spans[i])] for i, t in rows}
+    one_of = {t: i for i, t in rows}  # a repeated text is evidence once
+    n_term = Counter(w for i, t in rows for w in {m.lower() for m in re.findall(r"[^\W_]+", t)})
+    n_entity = Counter(e for i in one_of.values() for e in held[i])
+    n_both = Counter((e, w) for i in one_of.values() for e in held[i] for w in {p[0] for p in place[i]})
+    evidence = math.log(len(n_entity) * len(n_term) / params.alpha)
+
+    def kind(e, w):
+        share, q = n_entity[e] / len(one_of), n_both[e, w] / n_term[w]
+        for degree, name in ((params.remove_at, "remove"), (params.generalise_at, "generalise")):
+            p = share ** (1 - degree)
+            if share < 1 and q > p and n_term[w] * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0)) >= evidence:
+                return name
+        return ""
+
+    out = set()
+    for i, _ in rows:
+        for w, a, b in place[i]:
+            best = max((kind(e, w) for e in held[i]), default="")
+            if best:
+                out.add((i, a, b, best))
+    return out
 
 
-def test_entities_of_one_document_and_shared_parts_are_judged(spark):
-    texts = {r["doc_id"]: r["text"] or "" for r in queries.table(spark, SF01, "documents").select("doc_id", "text").collect()}
-    rows = queries.op8_pii(spark, SF01).collect()
-    terms = [(r["doc_id"], s.split(":")) for r in rows for s in r["spans"].split(",") if s.startswith(("generalise", "remove"))]
-    assert terms and all(texts[i][int(a) : int(b)].isalnum() for i, (_, a, b) in terms)
+def corpus_with_entities(shuffled=False, n=1500):
+    """Documents of common words; bob's mail comes with its own words, most mails
+    of a domain with one word, and single mails with nothing that tells."""
+    rng = random.Random(3)
+    common = [f"word{i}" for i in range(150)] + ["to", "42"]
+    texts, mails = [], []
+    for i in range(n):
+        words = rng.choices(common, k=30)
+        mail = ""
+        if i % 25 == 0:
+            mail = "bob@site.org"
+            words += ["mail", "zanzibar", "x7"] + rng.choices(common, k=60) + ["zanzibar"]
+        elif i % 25 == 1:
+            mail = f"p{i}@zoo.example"
+            words[3:3] = ["quokka"] if i % 4 else []
+        elif i % 50 == 2:
+            mail = f"u{i}@h{i}.example"
+            words.append(f"rare{i}")
+        texts.append(words)
+        mails.append(mail)
+    if shuffled:
+        rng.shuffle(mails)
+    rows = [(i, f"{mails[i]} {' '.join(w)}".strip()) for i, w in enumerate(texts)]
+    return rows + [(n + k, rows[2][1]) for k in range(40)]  # copies of one text with a mail of its own
+
+
+def test_disclosing_terms_by_counting_all_pairs(spark):
+    rows = corpus_with_entities()
+    found = pii.find(clashing(spark, rows)).collect()
+    got = {(r["doc_id"], t["start"], t["end"], t["kind"]) for r in found for t in r["terms"]}
+    assert got == direct_terms(rows)
+    text = dict(rows)
+    words = {(text[i][a:b], kind) for i, a, b, kind in got}
+    assert ("zanzibar", "remove") in words and ("x7", "remove") in words and any(w == "quokka" for w, _ in words)
+    assert {w for w, _ in words} <= {"zanzibar", "x7", "mail", "quokka"}
+    # at every place of the document, however far from the entity
+    assert sum(text[i][a:b] == "zanzibar" for i, a, b, _ in got if i == 0) == 2
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(clashing(spark, rows)).collect()}
+    assert "zanzibar" not in out[0] and "[EMAIL]" in out[0] and "rare2" in out[2]
+
+
+def test_entities_dealt_out_at_random_disclose_nothing(spark):
+    assert len(direct_terms(corpus_with_entities())) > 100
+    shuffled = pii.find(clashing(spark, corpus_with_entities(shuffled=True))).collect()
+    assert sum(len(r["terms"]) for r in shuffled) == 0
+
+
+def test_shared_parts_of_values():
     assert pii.entities("email", "A.b@x.site.org") == ["email:a.b@x.site.org", "email part:x.site.org", "email part:site.org"]
     assert pii.entities("phone", "+1 (017) 555-7713") == ["phone:10175557713", "phone part:1017555", "phone part:1017"]
-    # one document each: only the word that all mails of the domain share, and the rare word beside one
-    rows = [(i, f"the {'quokka' if i < 4 else 'words'} about nothing {'reaches' if i < 8 else 'leaves'} {'p%d@zoo.org' % i if i < 4 else 'home'} the {'numbat' if i == 2 else 'words'}") for i in range(60)]
-    found = {r["doc_id"]: {rows[r["doc_id"]][1][t["start"] : t["end"]] for t in r["terms"]} for r in pii.find(clashing(spark, rows)).collect()}
-    assert all("quokka" in found[i] for i in range(4)) and "numbat" in found[2]
-    assert not {"the", "about", "nothing", "words"} & set().union(*found.values()) and not any(found[i] for i in range(4, 60))
+
+
+def test_share_of_documents_with_terms_does_not_grow_with_the_corpus(spark):
+    share = []
+    for folder in (SF01, "/root/testdata/sf0.1"):
+        found = pii.find(queries.table(spark, folder, "documents")).where("size(base) > 0")
+        share.append(found.agg(F.avg((F.size("terms") > 0).cast("double"))).first()[0])
+    assert share[1] <= share[0] + 0.01
 
 
 def test_pii_query_against_the_patterns(spark):
