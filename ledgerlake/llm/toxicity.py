@@ -45,7 +45,9 @@ SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 _LOOKALIKE_TABLE = str.maketrans(LOOKALIKES)
 _SIGN_TABLE = str.maketrans(SIGNS)
 _WITH_SIGN = re.compile(r"(?<!\S)[^\s0-9@$!|]*+[0-9@$!|]\S*+")
-_EDGES = re.compile(r"^[^\w]+|[^\w]+$")
+# marks around a word that stand for no letter there: ! and | are letters inside a
+# word only, and three @ or $ in a row are decoration
+_EDGES = re.compile(r"^(?:[^\w@$]|[@$]{3,})+|(?:[^\w@$]|[@$]{3,})+$")
 _LETTER = re.compile(r"[^\W\d_]")
 _BETWEEN = re.compile(r"[\W\d_]+")
 
