@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import stage
+from ledgerlake.llm.common import column, stage
 
 #: Weights of the sources by name, repeating.
 WEIGHTS = (5, 2, 1)
@@ -105,9 +105,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the target are taken); with ``whole``, it is taken entirely if the target
     reaches its middle and left out if not."""
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        words(F.col(text_col).cast("string")).alias("size"), _order(F.col(id_col)).alias("h"),
-        F.xxhash64(F.col(text_col).cast("string")).alias("text_key"), *[F.col(c).alias(f"in_{c}") for c in carried or []],
+        column(id_col).cast("long").alias("doc_id"), column(source_col).cast("string").alias("source"),
+        words(column(text_col).cast("string")).alias("size"), _order(column(id_col)).alias("h"),
+        F.xxhash64(column(text_col).cast("string")).alias("text_key"), *[column(c).alias(f"in_{c}") for c in carried or []],
     )
     narrow = stage(rows.select("doc_id", "source", "size", "h"), "mix-sizes")
     sources = stage(targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), **options), "mix-targets")
@@ -140,7 +140,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         place = _position(F.least(F.lit(1.0), begin / F.greatest(goal, F.lit(1))), F.col("place"))
         positions.append(F.when((part > 0) & (F.col("size") > 0), place))
     rows = rows.withColumn("taken", taken.cast("long")).withColumn("positions", F.array_compact(F.array(*positions)))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "positions", *[f"in_{c}" for c in carried or []])
+    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "positions", *[column(f"in_{c}") for c in carried or []])
 
 
 def range_sorted(mixed: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies are taken (whole copies only), range-sorted by training position."""
     mixed = mix(docs, id_col, text_col, source_col, whole=True, carried=docs.columns, **options)
     copies = mixed.withColumn("position", F.explode("positions"))
-    return range_sorted(copies).select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
+    return range_sorted(copies).select(*[column(f"in_{c}").alias(c) for c in docs.columns])
 
 
 def oracle_sql() -> str:

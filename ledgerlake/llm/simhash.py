@@ -13,8 +13,9 @@ key with very many fingerprints is divided by the bytes outside its segment
 (of which one at least is equal in a linked pair).
 
 Defined results: null and empty texts have the fingerprint zero and are linked
-like any other; every input row gives one output row; rows with a null id take
-part, and a component has the smallest non-null id (null if there is none); an
+like any other, texts of any length are read whole; every input row gives one
+output row; other columns are ignored or carried, whatever their names; rows with
+a null id take part, and a component has the smallest non-null id (null if there is none); an
 empty table gives no rows.
 """
 
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import prepare, stage, text_rows, texts
+from ledgerlake.llm.common import column, prepare, stage, text_rows, texts
 from ledgerlake.llm.components import connected_components
 
 SEED = 42
@@ -224,15 +225,18 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """One row of ``docs``, all columns, of each component: the one with the
-    smallest id.  Of rows that repeat it entirely, one stays."""
+    smallest id.  Of rows that repeat its id and text, the first by the other
+    columns stays.  Columns may have any name: a row travels as one struct."""
     found = components(docs, id_col, text_col, shingle, max_bits)
-    kept = found.where(F.col("row_key") == F.col("kept_key")).select(F.col("doc_id").alias("__kept_id"), F.col("kept_key").alias("__kept_key"))
-    keyed = docs.withColumn("__row_key", _row_key(id_col, text_col))
-    same = (F.col("__row_key") == F.col("__kept_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id"))
-    stay = keyed.join(kept, same, "left_semi")
-    order = Window.partitionBy("__row_key", id_col).orderBy(*[F.col(c).cast("string") for c in docs.columns if c != text_col])
-    return stay.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
+    kept = found.where(F.col("row_key") == F.col("kept_key")).select(F.col("doc_id").alias("kept_id"), "kept_key").distinct()
+    whole = F.struct(*[column(c) for c in docs.columns]).alias("row")
+    rest = F.array(F.lit(""), *[column(c).cast("string") for c in docs.columns if c != text_col]).alias("rest")
+    keyed = docs.select(whole, rest, _row_key(id_col, text_col).alias("row_key"), column(id_col).cast("long").alias("row_id"))
+    stay = keyed.join(kept, (F.col("row_key") == F.col("kept_key")) & F.col("row_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    # repeated rows meet their like before the shuffle: only the first of each key is kept
+    first = stay.groupBy("row_key", "row_id").agg(F.min_by("row", "rest").alias("row"))
+    return first.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    return F.xxhash64(column(id_col).cast("long"), column(text_col).cast("string"))

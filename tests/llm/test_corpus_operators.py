@@ -530,3 +530,23 @@ def test_pipeline_takes_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     spark.createDataFrame([], columns).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_filtering_stages_carry_columns_of_any_name(spark):
+    """Names that operators use inside, and names with dots, keep their values."""
+    import corpus_pipeline
+
+    names = ["__n", "__row_key", "__kept_id", "__kept_key", "row", "rest", "row_id", "kept_id", "fp", "a.b", "h", "size", "key", "in_text"]
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=60)), "en", "s", 9, *[f"{n}-{i}" for n in names]) for i in range(40)]
+    rows += [rows[3], (50, rows[5][1], *rows[5][2:])]
+    fields = ", ".join(["doc_id long", "text string", "lang string", "source string", "n_chars long", *[f"`{n}` string" for n in names]])
+    docs = spark.createDataFrame(rows, fields).repartition(3)
+    want = {r[0]: tuple(r) for r in rows[:40]}
+    for stage_name, step in corpus_pipeline.STAGES[:4]:
+        docs = step(spark, docs, SF001)
+        got = [tuple(r) for r in docs.collect()]
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names], stage_name
+        assert {r[0] for r in got} <= set(want) | {50} and all(r == want.get(r[0], rows[-1]) for r in got), stage_name
+    assert len({r[0] for r in got}) == 40
