@@ -22,9 +22,10 @@ the corpus: words that met an entity once or twice disclose nothing.  From
 ``remove``, at every place of every document that holds the entity.
 
 All counts cover every document and the whole of it.  A text that is repeated is
-evidence once (its copies do count in ``n_term``).  Entities in too few texts to
-pass the test with any term need no pairs; the others' pairs grow with the words of
-the documents that hold them.
+evidence once (its copies do count in ``n_term``).  The test's own limits say which
+pairs need counting: an entity in too few texts passes with no term, and a term can
+pass with an entity only if it stands in enough documents for the evidence and in
+not many more than the entity.
 
 Defined results: null texts are empty and have no spans; texts of any length are
 read whole; every input row gives one output row, repeated rows the same one;
@@ -157,6 +158,7 @@ def terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, i
 
 
 _SPANS = "array<struct<kind string, start long, end long>>"
+_WORDS = "array<struct<term long, start long, end long>>"
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Disclosure = Disclosure()) -> DataFrame:
@@ -174,9 +176,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
                 "base": [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans],
                 "base_sha256": [hashlib.sha256(span_text(s).encode()).hexdigest() for s in spans],
                 "entities": [list({_hash(e) for k, a, b in s for e in entities(k, t[a:b])}) for t, s in zip(lines, spans)],
+                "words": [[{"term": w, "start": a, "end": b} for w, a, b in terms(t, s)] if s else [] for t, s in zip(lines, spans)],
             })
 
-    schema = f"doc_id long, row_key long, text_key long, base {_SPANS}, base_sha256 string, entities array<long>"
+    schema = f"doc_id long, row_key long, text_key long, base {_SPANS}, base_sha256 string, entities array<long>, words {_WORDS}"
     found = stage(rows.mapInPandas(scan, schema), "pii-spans")
     marks = _disclosing(rows, found, params)
     if marks is None:
@@ -225,45 +228,22 @@ def _disclosing(rows: DataFrame, found: DataFrame, params: Disclosure) -> DataFr
     able = per_entity.where(most >= evidence)
     if able.isEmpty():
         return None
-    some = held.select("row_key", F.explode("entities").alias("entity")).distinct().join(able, "entity").groupBy("row_key").agg(F.collect_list("entity").alias("able"))
-    base = held.select("row_key", "base").dropDuplicates(["row_key"])
-    own = stage(rows.join(some, "row_key").dropDuplicates(["row_key"]).join(base, "row_key"), "pii-texts")
-
-    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, lines in text_rows(frames):
-            held: list[tuple] = []
-            for key, text, spans, able_here in zip(frame["key"], lines, frame["base"], frame["able"]):
-                own_terms = {t for t, _, _ in terms(text, [(s["kind"], s["start"], s["end"]) for s in spans])}
-                for entity in able_here:
-                    held += [(key, entity, t) for t in own_terms]
-                    if len(held) > 200_000:
-                        yield pd.DataFrame(held, columns=["key", "entity", "term"])
-                        held = []
-            yield pd.DataFrame(held, columns=["key", "entity", "term"])
-
-    def with_key(of: DataFrame, name: str) -> DataFrame:
-        return of.select(F.col(name).alias("key"), "text", "base", "able").mapInPandas(pairs, "key long, entity long, term long")
-
-    once = own.dropDuplicates(["text_key"])
-    both = with_key(once, "text_key").groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    judged = both.join(per_entity, "entity").join(frequency, "term")
+    least = F.pow(share, F.lit(1 - params.generalise_at))  # the smallest p(e | t) of a disclosing term
+    able = able.select("entity", "n_entity", (F.lit(evidence) / -F.log(least)).alias("fewest"), (F.col("n_entity") / least).alias("below"))
+    fewest, below = able.agg(F.min("fewest"), F.max("below")).first()
+    some_terms = frequency.where(F.col("n_term").between(math.floor(fewest), math.ceil(below)))
+    own = held.dropDuplicates(["row_key"])
+    its_terms = own.select("row_key", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term"))
+    its_entities = own.select("row_key", "text_key", F.explode("entities").alias("entity")).join(able, "entity")
+    fits = (F.col("n_term") >= F.col("fewest") - 1e-6) & (F.col("n_term") < F.col("below") + 1e-6)
+    pairs = stage(its_terms.join(some_terms, "term").join(its_entities, "row_key").where(fits).select("row_key", "text_key", "entity", "term", "n_entity", "n_term"), "pii-pairs")
+    once = own.groupBy("text_key").agg(F.min("row_key").alias("row_key")).select("row_key")
+    both = pairs.join(once, "row_key", "left_semi").groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both"))
     test = lambda degree: passes(F.col("n_both"), F.col("n_term"), share, degree, evidence)
-    judged = stage(judged.where(test(params.generalise_at)).select("entity", "term", F.when(test(params.remove_at), "remove").otherwise("generalise").alias("kind")), "pii-judged")
-    if judged.isEmpty():
-        return None
-    hits = with_key(own, "row_key").join(judged, ["entity", "term"]).groupBy("key", "term").agg(F.max("kind").alias("kind"))
-    hits = hits.groupBy(F.col("key").alias("row_key")).agg(F.collect_list(F.struct("term", "kind")).alias("marked"))
-
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, lines in text_rows(frames):
-            out = []
-            for text, spans, marked in zip(lines, frame["base"], frame["marked"]):
-                kinds = {m["term"]: m["kind"] for m in marked}
-                at = [{"kind": kinds[t], "start": a, "end": b} for t, a, b in terms(text, [(s["kind"], s["start"], s["end"]) for s in spans]) if t in kinds]
-                out.append(sorted(at, key=lambda m: (KINDS.index(m["kind"]), m["start"])))
-            yield pd.DataFrame({"row_key": frame["row_key"], "terms": out})
-
-    return own.join(hits, "row_key").select("row_key", "text", "base", "marked").mapInPandas(place, f"row_key long, terms {_SPANS}")
+    judged = both.where(test(params.generalise_at)).select("entity", "term", F.when(test(params.remove_at), "remove").otherwise("generalise").alias("kind"))
+    hits = pairs.join(judged, ["entity", "term"]).groupBy("row_key", "term").agg(F.max("kind").alias("kind"))
+    places = own.select("row_key", F.explode("words").alias("w")).select("row_key", "w.*").join(hits, ["row_key", "term"])
+    return places.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("terms"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Disclosure = Disclosure()) -> DataFrame:
