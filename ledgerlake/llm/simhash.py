@@ -228,7 +228,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     smallest id.  Of rows that repeat its id and text, the first by the other
     columns stays.  Columns may have any name: a row travels as one struct."""
     found = components(docs, id_col, text_col, shingle, max_bits)
-    kept = found.where(F.col("row_key") == F.col("kept_key")).select(F.col("doc_id").alias("kept_id"), "kept_key").distinct()
+    kept = found.where(F.col("row_key") == F.col("kept_key")).select(F.col("doc_id").alias("kept_id"), "kept_key")
     whole = F.struct(*[column(c) for c in docs.columns]).alias("row")
     rest = F.array(F.lit(""), *[column(c).cast("string") for c in docs.columns if c != text_col]).alias("rest")
     keyed = docs.select(whole, rest, _row_key(id_col, text_col).alias("row_key"), column(id_col).cast("long").alias("row_id"))
