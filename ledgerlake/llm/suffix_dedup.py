@@ -234,14 +234,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (of the remaining bytes, in order) of every row."""
     prepare(docs.sparkSession)
     rows = _documents(docs, id_col, text_col)
-    marks = repeated_windows(rows)
-    per_row = marks.groupBy("row_key").agg(F.collect_list(F.struct("packed", "sign")).alias("marks"))
-    return rows.join(per_row, "row_key", "left").select("doc_id", "data", "marks").mapInPandas(
+    return rows.join(row_marks(rows), "row_key", "left").select("doc_id", "data", "marks").mapInPandas(
         _result, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def row_marks(rows: DataFrame) -> DataFrame:
+    """``row_key`` and its ``marks``.  Rows that repeat id and text make the same
+    marks; as sets, these are one document's however often it is repeated."""
+    return repeated_windows(rows).groupBy("row_key").agg(F.collect_set(F.struct("packed", "sign", "of")).alias("marks"))
+
+
 def repeated_windows(rows: DataFrame) -> DataFrame:
-    """``row_key``, ``packed`` (start << 16 | windows) and ``sign``: a window is
+    """``row_key``, ``packed`` (start << 16 | windows), ``sign`` and ``of`` (the
+    step that made the mark, so equal marks of two steps both count): a window is
     repeated where the signs over it add up to more than zero."""
     data = rows.select("data", "row_key")
     anchors = rows.select("data").mapInPandas(_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
@@ -278,11 +283,11 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
             break
         strings = several.where("hot").drop("hot").mapInPandas(_halves, _STRING_SCHEMA)
 
-    mark = lambda df, packed, sign: df.select("row_key", packed.alias("packed"), F.lit(sign).alias("sign"))
+    mark = lambda df, packed, sign, of: df.select("row_key", packed.alias("packed"), F.lit(sign).alias("sign"), F.lit(of).alias("of"))
     start = F.shiftright("packed", 16)
-    marks = mark(found, F.shiftleft(start, 16).bitwiseOR(F.col("packed").bitwiseAND(F.lit(255))), 1)
-    marks = marks.unionByName(mark(single, F.shiftleft("start", 16).bitwiseOR(F.col("windows").cast("long")), -1))
-    return marks.unionByName(mark(shared, F.col("packed"), 1))
+    marks = mark(found, F.shiftleft(start, 16).bitwiseOR(F.col("packed").bitwiseAND(F.lit(255))), 1, 0)
+    marks = marks.unionByName(mark(single, F.shiftleft("start", 16).bitwiseOR(F.col("windows").cast("long")), -1, 1))
+    return marks.unionByName(mark(shared, F.col("packed"), 1, 2))
 
 
 def oracle_sql() -> str:

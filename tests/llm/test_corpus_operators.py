@@ -322,6 +322,21 @@ def test_suffix_query_against_brute_force(spark):
     assert suffix_dedup.remove_repeats(clashing(spark, []).where("false")).count() == 0
 
 
+def test_repeated_rows_cost_one_documents_marks(spark):
+    rng = random.Random(6)
+    text = "".join(rng.choices("abcdefgh ", k=900))
+    own = "".join(rng.choices("abcdefgh ", k=700))
+    rows = [(7, text)] * 3000 + [(None, text[:500])] * 2000 + [(8, own + text[100:450]), (9, own[:300])]
+    frame = clashing(spark, rows)
+    got = Counter(tuple(r) for r in suffix_dedup.remove_repeats(frame).collect())
+    # what two copies of each leave is what any number of copies leaves
+    few = plain_removal([(7, text.encode())] * 2 + [(None, text[:500].encode())] * 2 + [(8, rows[-2][1].encode()), (9, own[:300].encode())])
+    want = {r: n if r[0] in (8, 9) else {7: 3000, None: 2000}[r[0]] for r, n in few.items()}
+    assert got == want
+    marks = suffix_dedup.row_marks(suffix_dedup._documents(frame, "doc_id", "text"))
+    assert marks.agg(F.max(F.size("marks"))).first()[0] < 100
+
+
 # --- decontamination ---------------------------------------------------------
 
 def plain_alignment(a, b):
