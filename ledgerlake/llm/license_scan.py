@@ -5,8 +5,8 @@ lines and one spelling of words that have several; its SHA-256 is equality
 joined to the digests of known licence texts.  The same is done with each line
 as an entire text, so a licence statement on a line of its own is found.
 
-Column functions and joins only.  The known digests are a fixed list of a few
-dozen rows, so their side of the join is broadcast.
+Long licences are known by their digest alone.  Column functions and joins only.
+The known digests are a fixed list of a few dozen rows, so their side of the join is broadcast.
 
 Defined results: null and empty texts have the digest of the empty text and no
 licence; every input row gives one output row; null ids are kept; a digest that
@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import texts
-from ledgerlake.llm.license_texts import KNOWN, SPELLINGS
+from ledgerlake.llm.license_texts import DIGESTS, KNOWN, SPELLINGS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT_LINE = r"\n[^a-z0-9\n]*(copyright[ \t:]*(\(c\)|©|[0-9]{4})|(\(c\)|©)[ \t]*(copyright|[0-9]{4})|all rights reserved)[^\n]*"
+COPYRIGHT_LINE = r"\n[^a-z0-9\n]*(copyright[ \t:]*(\(c\)|©|[0-9]{4})|copyright[ \t]+(the|by)[ \t]|(\(c\)|©)[ \t]*(copyright|[0-9]{4})|all rights reserved)[^\n]*"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -39,10 +39,13 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """``digest`` and ``license``: one row a digest."""
-    rows = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in known])
-    listed = spark.range(1).select(F.inline(rows)).select("license", digest(F.col("text")).alias("digest"))
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str]] = DIGESTS) -> DataFrame:
+    """``digest`` and ``license``: one row a digest, of ``known`` (name and text)
+    and ``digests`` (name and digest of the canonical text)."""
+    pairs = lambda second, rows: F.array(*[F.struct(F.lit(name).alias("license"), F.lit(x).alias(second)) for name, x in rows])
+    listed = spark.range(1).select(F.inline(pairs("text", known))).select("license", digest(F.col("text")).alias("digest"))
+    if digests:
+        listed = listed.unionByName(spark.range(1).select(F.inline(pairs("digest", digests))))
     return listed.groupBy("digest").agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("license"))
 
 
@@ -59,7 +62,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     return whole.join(found, "row_key", "left").select("doc_id", "text_digest", "license", "line_licenses")
 
 
-def oracle_sql(known: list[tuple[str, str]] = KNOWN) -> str:
+def oracle_sql(known: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str]] = DIGESTS) -> str:
     """The same scan of table ``documents`` as DuckDB SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
@@ -71,11 +74,14 @@ def oracle_sql(known: list[tuple[str, str]] = KNOWN) -> str:
             words = f"replace({words}, {quote(spelling)}, {quote(chosen)})"
         return f"sha256(trim({words}, ' '))"
 
-    values = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in known)
+    pairs = lambda rows: ", ".join(f"({quote(name)}, {quote(x)})" for name, x in rows)
+    listed = f"SELECT license, {form('text')} AS digest FROM (VALUES {pairs(known)}) AS t(license, text)"
+    if digests:
+        listed += f" UNION ALL FROM (VALUES {pairs(digests)}) AS t(license, digest)"
     return f"""
         WITH known AS (
             SELECT digest, string_agg(DISTINCT license, ',' ORDER BY license) AS license
-            FROM (SELECT license, {form('text')} AS digest FROM (VALUES {values}) AS t(license, text)) GROUP BY digest),
+            FROM ({listed}) GROUP BY digest),
         rows AS (SELECT row_number() OVER () AS n, doc_id, text FROM documents),
         lines AS (SELECT n, {form('line')} AS digest FROM (SELECT n, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM rows)),
         found AS (SELECT n, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses FROM lines JOIN known USING (digest) GROUP BY n),

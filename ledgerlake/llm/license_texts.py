@@ -121,6 +121,18 @@ WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
 See the License for the specific language governing permissions and
 limitations under the License."""
 
+
+
+def _bullets(text: str) -> str:
+    """The text with its numbered conditions as a list of bullets."""
+    for number in ("1", "2", "3"):
+        text = text.replace(f"\n{number}. ", "\n* ")
+    return text
+
+
+_BSD_2, _BSD_3 = _BSD_HEAD + _BSD_TAIL, _BSD_HEAD + _BSD_THIRD + _BSD_TAIL
+_ISC_TEXT = _ISC.format(notice=", provided that the above\ncopyright notice and this permission notice appear in all copies")
+
 # Licence texts, notices and one-line statements.
 KNOWN = [
     ("MIT", _MIT),
@@ -129,11 +141,22 @@ KNOWN = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
-    ("ISC", _ISC.format(notice=", provided that the above\ncopyright notice and this permission notice appear in all copies")),
+    ("ISC", _ISC_TEXT),
+    ("ISC", "ISC License\n\n" + _ISC_TEXT),
+    ("ISC", "The ISC License\n\n" + _ISC_TEXT),
     ("0BSD", _ISC.format(notice="")),
-    ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
-    ("BSD-3-Clause", _BSD_HEAD + _BSD_THIRD + _BSD_TAIL),
+    ("0BSD", "BSD Zero Clause License\n\n" + _ISC.format(notice="")),
+    ("BSD-2-Clause", _BSD_2),
+    ("BSD-2-Clause", _bullets(_BSD_2)),
+    ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD_2),
+    ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _bullets(_BSD_2)),
+    ("BSD-3-Clause", _BSD_3),
+    ("BSD-3-Clause", _bullets(_BSD_3)),
+    ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD_3),
+    ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _bullets(_BSD_3)),
     ("Zlib", _ZLIB),
+    ("Zlib", "zlib License\n\n" + _ZLIB),
+    ("Zlib", "The zlib/libpng License\n\n" + _ZLIB),
     ("Apache-2.0", _APACHE_NOTICE),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -144,3 +167,27 @@ KNOWN = [
     ("CC-BY-NC-4.0", "This work is licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
 ]
+
+# SHA-256 of the canonical form of licences too long to list, whole
+# and, where an appendix follows the terms, without it.
+DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "6074c3536c43b739207170b87d1681477d0f07374ed3d862ba461334cce848e3"),
+    ("Apache-2.0", "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2-only", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3-only", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
+    ("GPL-1.0-only", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0-only", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0-only", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0-only", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0-only", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("GPL-3.0-only", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0-only", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.0-only", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1-only", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1-only", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
+]

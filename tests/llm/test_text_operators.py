@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -289,7 +290,26 @@ def test_license_forms(spark):
 
 def test_known_digests_do_not_collide(spark):
     rows = license_scan.known_digests(spark).collect()
-    assert all("," not in r["license"] for r in rows) and {r["license"] for r in rows} == {n for n, _ in license_texts.KNOWN}
+    assert all("," not in r["license"] for r in rows) and {r["license"] for r in rows} == {n for n, _ in license_texts.KNOWN + license_texts.DIGESTS}
+
+
+def test_every_listed_text_is_found_whole(spark):
+    rows = [(i, "Copyright The Some Authors\n\n" + text.replace("\n", "\r\n")) for i, (_, text) in enumerate(license_texts.KNOWN)]
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(clashing(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == [n for n, _ in license_texts.KNOWN]
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/GPL-3").exists(), reason="no licence texts on this machine")
+def test_long_licences_are_found_whole(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only",
+             "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = []
+    for i, file in enumerate(names):
+        text = Path("/usr/share/common-licenses", file).read_text()
+        rows += [(i, text), (i + 100, "(c) 2024 Somebody\n" + " ".join(text.split(" ")).upper()), (i + 200, text.replace("not", "", 1))]
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(clashing(spark, rows)).collect()}
+    assert [got[i] for i in range(len(names))] == [got[i + 100] for i in range(len(names))] == list(names.values())
+    assert all(got[i + 200] is None for i in range(len(names)))
 
 
 def test_license_query_uses_no_python(spark):
