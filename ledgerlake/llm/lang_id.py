@@ -41,10 +41,11 @@ _CHUNK = 400_000
 @dataclass(frozen=True)
 class Training:
     """``max_rows``: bound of the labelled sample, shared evenly by the
-    languages; ``check_share``: its part on which the bits are weighed."""
+    languages, two rows each at least (of more than ``max_rows`` languages the
+    most frequent are learnt); ``check_share``: its part on which the bits are
+    weighed."""
 
     max_rows: int = 4000
-    max_languages: int = 400
     check_share: float = 0.2
     steps: int = 150
     rate: float = 4.0
@@ -65,9 +66,13 @@ class Model:
     margin: float
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
-        """Weighted logistic loss of each language (rows: texts)."""
-        each = np.logaddexp(0.0, -margins[:, None, :] * self.codes[None, :, :])
-        return (each * self.trust).sum(axis=2) / self.trust.sum()
+        """Weighted logistic loss of each language (rows: texts).
+
+        The loss of a bit is half the sum of its losses for either sign, less
+        half the margin times the sign, so no table of texts by languages by bits
+        is needed."""
+        either = (np.logaddexp(0.0, -margins) + np.logaddexp(0.0, margins)) / 2
+        return ((either @ self.trust)[:, None] - (margins * self.trust / 2) @ self.codes.T) / self.trust.sum()
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index, probability and ambiguity of the nearest codeword."""
@@ -164,18 +169,16 @@ def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text
     rows = texts(docs, id_col, text_col, label=F.col(label_col).cast("string")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
     if usable is not None:
         rows = rows.where(usable)
-    marks = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(params.max_languages).collect()
+    marks = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(params.max_rows).collect()
     languages = sorted(r["label"] for r in marks)
     if not languages:
         return None
     each = max(2, params.max_rows // len(languages))
     # the smallest hashes of each language; ids only, so ranking them moves no text
     order = F.xxhash64("doc_id", F.lit(11))
-    share = {r["label"]: min(1.0, 2.0 * each / r["count"]) for r in marks}
-    threshold = F.lit(0.0)
-    for language, part in share.items():
-        threshold = F.when(F.col("label") == language, F.lit(part)).otherwise(threshold)
-    near = rows.select("doc_id", "label").where(F.pmod(order, F.lit(1_000_000)) < threshold * 1_000_000)
+    share = docs.sparkSession.createDataFrame([(r["label"], min(1.0, 2.0 * each / r["count"])) for r in marks], "label string, share double")
+    # at most max_rows labels: the bound of this broadcast
+    near = rows.select("doc_id", "label").join(F.broadcast(share), "label").where(F.pmod(order, F.lit(1_000_000)) < F.col("share") * 1_000_000)
     rank = F.row_number().over(Window.partitionBy("label").orderBy(order, "doc_id"))
     chosen = near.withColumn("rank", rank).where(F.col("rank") <= each).select("doc_id", F.col("label").alias("chosen")).distinct()
     # at most max_rows ids and labels: the bound of this broadcast

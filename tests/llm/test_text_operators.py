@@ -61,6 +61,27 @@ def test_language_of_whole_texts_held_out(spark):
     assert found.where("score < 0 or score > 1").count() == 0
 
 
+def test_loss_of_a_bit_by_either_sign():
+    rng = np.random.default_rng(4)
+    codes = lang_id.codewords(9)
+    model = lang_id.Model([str(i) for i in range(9)], codes, np.zeros((1, 1)), np.zeros(1), rng.random(codes.shape[1]) + 0.1, 0.1)
+    margins = rng.normal(scale=5, size=(20, codes.shape[1]))
+    each = np.logaddexp(0.0, -margins[:, None, :] * codes[None, :, :])
+    assert np.allclose(model.losses(margins), (each * model.trust).sum(axis=2) / model.trust.sum())
+
+
+def test_five_hundred_languages_are_learnt(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5))
+    words = {f"l{i:03}": [word() for _ in range(12)] for i in range(500)}
+    rows = [(n * 10 + k, " ".join(rng.choices(w, k=40)), name) for n, (name, w) in enumerate(words.items()) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = lang_id.train(docs, usable=F.col("doc_id") % 10 != 5)
+    assert model.languages == sorted(words)
+    found = lang_id.predict(docs, model).where("doc_id % 10 = 5").join(docs.select("doc_id", "lang"), "doc_id")
+    assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.9
+
+
 def test_language_edge_cases(spark):
     learn = spark.createDataFrame([(i, "der die das und ist nicht" if i % 2 else "the and that with this", "de" if i % 2 else "en") for i in range(40)], "doc_id long, text string, lang string")
     model = lang_id.train(learn)
