@@ -21,10 +21,10 @@ from ..session import ensure_checkpoint_dir
 PART = "_range"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
+def staged(df: DataFrame, label: str, folders: Sequence[str] = ()) -> DataFrame:
+    """``df`` written to the shared folder and read back, a folder for each value of ``folders``."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

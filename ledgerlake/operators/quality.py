@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.dates import ts_literal
@@ -22,6 +22,11 @@ def _D():
 
 
 
+def is_null(name: str) -> Column:
+    """Whether the column of this name, dots and backticks included, is null."""
+    return F.col(f"`{name.replace('`', '``')}`").isNull()
+
+
 def missing_data(df: DataFrame, columns: Sequence[str] | None = None, *, by: Sequence[str] = ()) -> DataFrame:
     """One row per column (and group of ``by``): null count, percentage of rows,
     has_data.
@@ -29,9 +34,14 @@ def missing_data(df: DataFrame, columns: Sequence[str] | None = None, *, by: Seq
     One aggregation computes every null count; ``stack`` turns the single
     result row into one row per column."""
     cols = list(columns or df.columns)
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(f"_m{i}") for i, c in enumerate(cols)])
-    pairs = ", ".join(f"'{c}', _m{i}" for i, c in enumerate(cols))
-    long = counts.selectExpr(*by, "_n", f"stack({len(cols)}, {pairs}) AS (column_name, missing_count)")
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(is_null(c)).alias(f"_m{i}") for i, c in enumerate(cols)])
+    return missing_rows(counts, cols, by=by)
+
+
+def missing_rows(counts: DataFrame, cols: Sequence[str], *, by: Sequence[str] = ()) -> DataFrame:
+    """Rows ``_n`` and nulls ``_m0``, ``_m1``, ... of ``cols`` as one row per column."""
+    pairs = [x for i, c in enumerate(cols) for x in (F.lit(c), F.col(f"_m{i}"))]
+    long = counts.select(*by, "_n", F.stack(F.lit(len(cols)), *pairs).alias("column_name", "missing_count"))
     return long.select(
         *by,
         "column_name",
@@ -68,8 +78,12 @@ def extreme_amounts(df: DataFrame, *, k: float = 5.0, by: Sequence[str] = ()) ->
 
 def currency_distribution(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     counts = df.where(F.col("currency").isNotNull()).groupBy(*by, "currency").agg(F.count(F.lit(1)).alias("transaction_count"))
+    return with_currency_issue(counts, Window.partitionBy(*by))
+
+
+def with_currency_issue(counts: DataFrame, group: WindowSpec) -> DataFrame:
     # window over the per-currency table only (one row per currency code)
-    n_cur = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    n_cur = F.count(F.lit(1)).over(group)
     return counts.withColumn(
         "issue", F.when(n_cur > 1, F.lit("Multiple currencies detected")).otherwise(F.lit(None).cast("string"))
     )

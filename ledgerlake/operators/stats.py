@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import floor_days, ts_literal
+from ..functions.measures import Measures, of_rows
 from ..functions.money import mean_double, money_out, pct, sign_label
 
 def _A():
@@ -25,14 +26,6 @@ def _D():
 
 
 
-def _pos() -> Column:
-    return _A() > 0
-
-
-def _neg() -> Column:
-    return _A() < 0
-
-
 def currencies(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     """Sorted comma-joined distinct currencies per group.
 
@@ -64,18 +57,18 @@ def overview(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     return _with_currencies(agg, df, by)
 
 
-def _amount_aggs() -> list[Column]:
+def _amount_aggs(m: Measures) -> list[Column]:
     return [
-        F.coalesce(F.sum(_A()), F.lit(0)).alias("_total"),
-        F.count_if(_pos()).alias("positive_transactions"),
-        F.count_if(_neg()).alias("negative_transactions"),
-        F.count_if(_A() == 0).alias("zero_transactions"),
-        F.coalesce(F.sum(F.when(_pos(), _A())), F.lit(0)).alias("_credits"),
-        F.coalesce(F.sum(F.when(_neg(), _A())), F.lit(0)).alias("_debits"),
-        F.sum(F.abs(_A())).alias("_abs_sum"),
-        F.count(_A()).alias("_n_amount"),
-        F.coalesce(F.max(F.when(_pos(), _A())), F.lit(0)).alias("_largest_credit"),
-        F.coalesce(F.min(F.when(_neg(), _A())), F.lit(0)).alias("_largest_debit"),
+        F.coalesce(m.total, F.lit(0)).alias("_total"),
+        m.positive.alias("positive_transactions"),
+        m.negative.alias("negative_transactions"),
+        m.zero.alias("zero_transactions"),
+        F.coalesce(m.credits, F.lit(0)).alias("_credits"),
+        F.coalesce(m.debits, F.lit(0)).alias("_debits"),
+        m.absolute.alias("_abs_sum"),
+        m.amounts.alias("_n_amount"),
+        F.coalesce(m.largest_credit, F.lit(0)).alias("_largest_credit"),
+        F.coalesce(m.largest_debit, F.lit(0)).alias("_largest_debit"),
     ]
 
 
@@ -94,9 +87,9 @@ def _amount_columns() -> list[Column]:
     ]
 
 
-def amount_summary(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+def amount_summary(df: DataFrame, *, by: Sequence[str] = (), m: Measures | None = None) -> DataFrame:
     """Totals, sign counts, credits/debits, mean absolute size, extremes."""
-    return df.groupBy(*by).agg(*_amount_aggs()).select(*by, *_amount_columns())
+    return df.groupBy(*by).agg(*_amount_aggs(m or of_rows())).select(*by, *_amount_columns())
 
 
 def basic_statistics(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
@@ -112,20 +105,22 @@ def basic_statistics(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     return ov.crossJoin(am)
 
 
-def cash_flow_summary(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+def cash_flow_summary(df: DataFrame, *, by: Sequence[str] = (), m: Measures | None = None) -> DataFrame:
+    m = m or of_rows()
     return df.groupBy(*by).agg(
-        money_out(F.coalesce(F.sum(F.when(_pos(), _A())), F.lit(0))).alias("total_income"),
-        money_out(F.coalesce(F.sum(F.when(_neg(), _A())), F.lit(0))).alias("total_expenses"),
-        money_out(F.coalesce(F.sum(_A()), F.lit(0))).alias("net_cash_flow"),
-        F.count_if(_pos()).alias("income_transaction_count"),
-        F.count_if(_neg()).alias("expense_transaction_count"),
+        money_out(F.coalesce(m.credits, F.lit(0))).alias("total_income"),
+        money_out(F.coalesce(m.debits, F.lit(0))).alias("total_expenses"),
+        money_out(F.coalesce(m.total, F.lit(0))).alias("net_cash_flow"),
+        m.positive.alias("income_transaction_count"),
+        m.negative.alias("expense_transaction_count"),
     )
 
 
-def zero_amounts(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+def zero_amounts(df: DataFrame, *, by: Sequence[str] = (), m: Measures | None = None) -> DataFrame:
+    m = m or of_rows()
     return (
         df.groupBy(*by)
-        .agg(F.count_if(_A() == 0).alias("zero_count"), F.count(F.lit(1)).alias("_n"))
+        .agg(m.zero.alias("zero_count"), m.rows.alias("_n"))
         .select(*by, "zero_count", pct(F.col("zero_count"), F.col("_n")).alias("zero_percentage"))
     )
 

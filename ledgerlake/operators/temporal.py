@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_of, month_start, week_start, weekday, weekday_name
+from ..functions.measures import Measures, of_rows
 from ..functions.money import mean_2dp, money_out
 
 def _A():
@@ -33,15 +34,16 @@ def _grain(grain: str) -> Column:
     raise ValueError(f"unknown grain {grain!r}")
 
 
-def monthly_summary(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+def monthly_summary(df: DataFrame, *, by: Sequence[str] = (), m: Measures | None = None) -> DataFrame:
     """Per (year, month): non-null amount count, total, 2-dp mean, distinct dates."""
+    m = m or of_rows()
     return (
         _dated(df)
         .groupBy(*by, F.year(_D()).alias("year"), F.month(_D()).alias("month"))
         .agg(
-            F.count(_A()).alias("transaction_count"),
-            F.coalesce(F.sum(_A()), F.lit(0)).alias("_sum"),
-            F.countDistinct(_D()).alias("active_days"),
+            m.amounts.alias("transaction_count"),
+            F.coalesce(m.total, F.lit(0)).alias("_sum"),
+            m.dates.alias("active_days"),
         )
         .select(
             *by,
@@ -55,10 +57,11 @@ def monthly_summary(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def monthly_cash_flow(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+def monthly_cash_flow(df: DataFrame, *, by: Sequence[str] = (), m: Measures | None = None) -> DataFrame:
     """Per (year, month): income, expenses (negative) and net flow."""
-    income = F.coalesce(F.sum(F.when(_A() > 0, _A()).otherwise(F.lit(0))), F.lit(0))
-    expenses = F.coalesce(F.sum(F.when(_A() < 0, _A()).otherwise(F.lit(0))), F.lit(0))
+    m = m or of_rows()
+    income = F.coalesce(m.credits, F.lit(0))
+    expenses = F.coalesce(m.debits, F.lit(0))
     return (
         _dated(df)
         .groupBy(*by, F.year(_D()).alias("year"), F.month(_D()).alias("month"))
@@ -74,15 +77,16 @@ def monthly_cash_flow(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def cash_flow_monthly(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+def cash_flow_monthly(df: DataFrame, *, by: Sequence[str] = (), m: Measures | None = None) -> DataFrame:
     """Per calendar month: income, expenses and net of the month."""
+    m = m or of_rows()
     return (
         _dated(df)
         .groupBy(*by, month_start(_D()).alias("year_month"))
         .agg(
-            F.coalesce(F.sum(F.when(_A() > 0, _A())), F.lit(0)).alias("_in"),
-            F.coalesce(F.sum(F.when(_A() < 0, _A())), F.lit(0)).alias("_out"),
-            F.coalesce(F.sum(_A()), F.lit(0)).alias("_net"),
+            F.coalesce(m.credits, F.lit(0)).alias("_in"),
+            F.coalesce(m.debits, F.lit(0)).alias("_out"),
+            F.coalesce(m.total, F.lit(0)).alias("_net"),
         )
         .select(
             *by,
@@ -94,20 +98,20 @@ def cash_flow_monthly(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def weekday_patterns(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+def weekday_patterns(df: DataFrame, *, by: Sequence[str] = (), m: Measures | None = None) -> DataFrame:
     """Rows per weekday, labelled by weekday number (Monday = 0)."""
     return (
         _dated(df)
         .groupBy(*by, weekday(_D()).alias("day_of_week"))
-        .agg(F.count(F.lit(1)).alias("transaction_count"))
+        .agg((m or of_rows()).rows.alias("transaction_count"))
         .withColumn("day_name", weekday_name(F.col("day_of_week")))
     )
 
 
-def daily_frequency(df: DataFrame, *, by: Sequence[str] = (), grain: str = "day") -> DataFrame:
+def daily_frequency(df: DataFrame, *, by: Sequence[str] = (), grain: str = "day", m: Measures | None = None) -> DataFrame:
     """Rows per present day: mean / max / min and the busiest / quietest day
     (earliest on ties). Two-level aggregation: the per-day table is small."""
-    daily = _dated(df).groupBy(*by, _grain(grain).alias("day")).agg(F.count(F.lit(1)).alias("cnt"))
+    daily = _dated(df).groupBy(*by, _grain(grain).alias("day")).agg((m or of_rows()).rows.alias("cnt"))
     return daily.groupBy(*by).agg(
         (F.sum("cnt").cast("double") / F.count(F.lit(1))).alias("avg_transactions_per_day"),
         F.max("cnt").alias("max_transactions_per_day"),
@@ -117,11 +121,12 @@ def daily_frequency(df: DataFrame, *, by: Sequence[str] = (), grain: str = "day"
     )
 
 
-def _trend(df: DataFrame, key: Column, name: str, prefix: str, by: Sequence[str]) -> DataFrame:
+def _trend(df: DataFrame, key: Column, name: str, prefix: str, by: Sequence[str], m: Measures | None) -> DataFrame:
+    m = m or of_rows()
     return (
         _dated(df)
         .groupBy(*by, key.alias(name))
-        .agg(F.count(_A()).alias("_n"), F.coalesce(F.sum(_A()), F.lit(0)).alias("_sum"))
+        .agg(m.amounts.alias("_n"), F.coalesce(m.total, F.lit(0)).alias("_sum"))
         .select(
             *by,
             name,
@@ -141,21 +146,21 @@ def _last(df: DataFrame, key: str, n: int | None, by: Sequence[str]) -> DataFram
     return df.orderBy(F.col(key).desc()).limit(n)
 
 
-def trend_daily(df: DataFrame, *, by: Sequence[str] = (), last: int | None = 30, grain: str = "day") -> DataFrame:
+def trend_daily(df: DataFrame, *, by: Sequence[str] = (), last: int | None = 30, grain: str = "day", m: Measures | None = None) -> DataFrame:
     """Per day: count, total, mean; the last ``last`` present days."""
-    return _last(_trend(df, _grain(grain), "day", "daily", by), "day", last, by)
+    return _last(_trend(df, _grain(grain), "day", "daily", by, m), "day", last, by)
 
 
-def trend_weekly(df: DataFrame, *, by: Sequence[str] = (), last: int | None = 12) -> DataFrame:
+def trend_weekly(df: DataFrame, *, by: Sequence[str] = (), last: int | None = 12, m: Measures | None = None) -> DataFrame:
     """Per Monday-start week; the last ``last`` present weeks."""
-    return _last(_trend(df, week_start(_D()), "week_start", "weekly", by), "week_start", last, by)
+    return _last(_trend(df, week_start(_D()), "week_start", "weekly", by, m), "week_start", last, by)
 
 
-def trend_monthly(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
-    return _trend(df, month_start(_D()), "month", "monthly", by)
+def trend_monthly(df: DataFrame, *, by: Sequence[str] = (), m: Measures | None = None) -> DataFrame:
+    return _trend(df, month_start(_D()), "month", "monthly", by, m)
 
 
-def growth_mom(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+def growth_mom(df: DataFrame, *, by: Sequence[str] = (), m: Measures | None = None) -> DataFrame:
     """Last present month against the previous present month.
 
     Runs on the monthly table (one row per month), so the ordered window has
@@ -165,7 +170,7 @@ def growth_mom(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     monthly = (
         _dated(df)
         .groupBy(*by, month_start(_D()).alias("month"))
-        .agg(F.coalesce(F.sum(_A()), F.lit(0)).alias("total"))
+        .agg(F.coalesce((m or of_rows()).total, F.lit(0)).alias("total"))
     )
     w = Window.partitionBy(*by).orderBy(F.col("month").desc())
     ranked = monthly.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= 2)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import accounts, balance, merchants, outliers, quality, stats, temporal
+from ..operators import accounts, balance, merchants, outliers, quality, shared, stats, temporal
 from ..schema import CANONICAL_COLUMNS
 from ..sources import adapters
 from . import oracle as O
@@ -1966,3 +1966,21 @@ def q_per_account_patterns(spark, sf):
 def q_per_account_category_financials(spark, sf):
     out, _cats = C.categorize(adapters.lineitem_transactions(spark, sf), scope=_BY)
     return R.category_financials(out, by=_BY)
+
+
+# ------------------------------------------- reports that read one scan's sums
+
+
+def _register_shared(name: str, source: QueryFn) -> None:
+    """The report ``name`` from the shared sums of ``source``; its SQL reads the rows."""
+
+    @register(f"shared_{name}", REGISTRY[name][1])
+    def query(spark, sf):
+        return shared.reports(shared.summarise(source(spark, sf)))[name]()
+
+
+for _name in ("basic_statistics", "monthly_summary", "cash_flow_monthly", "cash_flow_summary", "zero_amounts", "missing_data",
+              "currency_distribution", "account_distribution", "trend_monthly", "growth_mom"):
+    _register_shared(_name, orders)
+_register_shared("weekday_patterns", events)
+_register_shared("daily_frequency", events)

@@ -19,7 +19,7 @@ from pyspark.sql.types import DecimalType, DoubleType, FloatType, TimestampNTZTy
 
 from ..config import DEFAULTS, FINDING_TEXTS, UNCATEGORIZED, Settings
 from ..functions.money import money_out, pct
-from ..operators import accounts, balance, categorize, merchants, outliers, patterns, quality, stats, temporal
+from ..operators import accounts, balance, categorize, merchants, outliers, patterns, quality, shared, stats, temporal
 
 # --------------------------------------------------------------- formatting
 
@@ -245,11 +245,13 @@ def run_all(
     categorised: DataFrame | None = None,
     cats: categorize.Categories | None = None,
     persist: bool = True,
+    share: bool = True,
 ) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """Every report over ``df`` (date-filtered when ``start``/``end`` given).
 
     Returns (reports, errors). ``as_of`` defaults to the driver clock, captured
-    once so all reports agree."""
+    once so all reports agree.  With ``share``, sixteen reports read the sums of one
+    scan (``operators.shared``), which is written while the reports are built."""
     as_of = as_of or _dt.datetime.now().replace(microsecond=0).isoformat(sep=" ")
     data = stats.date_filter(df, start, end) if (start or end) else df
     if persist:
@@ -298,6 +300,11 @@ def run_all(
         builders["category_expense"] = lambda: category_breakdown(cat, side="expense")
         builders["category_revenue"] = lambda: category_breakdown(cat, side="revenue")
     reports, errors = {}, {}
+    if share:
+        try:  # if the shared sums can't be written, each report reads the rows itself
+            builders |= shared.reports(shared.summarise(data))
+        except Exception as e:
+            errors["shared_sums"] = f"{type(e).__name__}: {e}"
     for name, build in builders.items():
         try:
             reports[name] = build()
