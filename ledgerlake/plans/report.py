@@ -1,7 +1,8 @@
 """Report bundle: all reports over one input, the sheet tables, and the sinks.
 
-``run_all`` returns lazy DataFrames keyed by report name; the input is
-persisted once so every report reads the same materialised canonical table.
+``run_all`` returns DataFrames keyed by report name; the input is persisted once
+so every report reads the same materialised canonical table, and reports that
+need only sums by date, account, currency or merchant read those of one scan.
 Reports are independent: one failing report is recorded in ``errors`` and the
 others are still produced. ``write_bundle`` writes one dataset per sheet.
 """
