@@ -124,11 +124,13 @@ class Categories:
              category_order, category_id (winning leaders only)
     leaders: scope, leader_rank, leader, category_name, category_id,
              category_order, is_winner (every accepted leader, in order)
+    descriptions: the ``description_table`` of ``categorize``, with amounts
     """
 
     members: DataFrame
     leaders: DataFrame
     scope: list[str] = field(default_factory=list)
+    descriptions: DataFrame | None = None  # of the rows learned from, written
 
 
 #: each batch of merchants is this many times as large as the one before, up to ``MOST``
@@ -328,7 +330,11 @@ def category_table(df: DataFrame, cats: Categories, *, descriptions: DataFrame |
     """Per category: merchants, transactions, mean amount, amount pattern,
     keywords (<= 10, sorted), frequency score, confidence, first 3 merchants."""
     scope = cats.scope
-    d = descriptions if descriptions is not None and "_sum" in descriptions.columns else description_table(df, scope=scope, amounts=True)
+    d = descriptions
+    if d is None or "_sum" not in d.columns:
+        # written once: read by three steps below, whose conditions on the cleaned
+        # name would else be pushed below the counting and clean every row's name
+        d = staged(description_table(df, scope=scope, amounts=True), "descriptions")
     n_total = d.groupBy(*scope).agg(F.sum("description_count").alias("_n_total"))
     mem = cats.members
     g = [*scope, "category_name"]
@@ -413,7 +419,7 @@ def assign(
     UNCATEGORIZED / 0.0. Both steps work on distinct names and join back by
     (scope, description)."""
     scope = cats.scope
-    d = descriptions if descriptions is not None else description_table(df, scope=scope)
+    d = descriptions if descriptions is not None else staged(description_table(df, scope=scope), "descriptions")
     exact = cats.members.select(*scope, CM, F.col("category_name").alias("_exact"))
     counts = merchant_table(df, descriptions=d, scope=scope)
     uncat = counts.join(exact, on=[*scope, CM], how="left_anti")
@@ -474,6 +480,7 @@ def categorize(df: DataFrame, *, scope: Sequence[str] = (), **settings) -> tuple
     cats = learn_categories(
         df, descriptions=descriptions, scope=scope, **{k: v for k, v in settings.items() if k in learn_keys}
     )
+    cats.descriptions = descriptions
     assign_keys = {"min_frequency", "similarity", "exclude_one_off"}
     out = assign(df, cats, descriptions=descriptions, **{k: v for k, v in settings.items() if k in assign_keys})
     return out, cats

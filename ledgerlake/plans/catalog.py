@@ -1013,19 +1013,19 @@ def _categorised(spark, sf, source="lineitem", **kw):
 @register("categories", None)
 def q_categories(spark, sf):
     df, _out, cats = _categorised(spark, sf)
-    return C.category_table(df, cats)
+    return C.category_table(df, cats, descriptions=cats.descriptions)
 
 
 @register("categories_nogroup", None)
 def q_categories_nogroup(spark, sf):
     df, _out, cats = _categorised(spark, sf, source="orders", smart_grouping=False)
-    return C.category_table(df, cats)
+    return C.category_table(df, cats, descriptions=cats.descriptions)
 
 
 @register("categories_supplier", None)
 def q_categories_supplier(spark, sf):
     df, _out, cats = _categorised(spark, sf, source="supplier")
-    return C.category_table(df, cats)
+    return C.category_table(df, cats, descriptions=cats.descriptions)
 
 
 @register("assign_categories", None)
@@ -1399,7 +1399,7 @@ def q_merchant_rank(spark, sf):
 @register("category_summary", None)
 def q_category_summary(spark, sf):
     df, _out, cats = _categorised(spark, sf)
-    return C.category_summary(df, cats)
+    return C.category_summary(df, cats, descriptions=cats.descriptions)
 
 
 @register("assign_fuzzy", None)
@@ -1510,7 +1510,7 @@ def q_per_account_categories(spark, sf):
     """Categories learned inside every supplier account of the lineitem view."""
     df = adapters.lineitem_transactions(spark, sf)
     _out, cats = C.categorize(df, scope=["account_number"])
-    return C.category_table(df, cats)
+    return C.category_table(df, cats, descriptions=cats.descriptions)
 
 
 @register("per_account_categorisation_stats", None)
@@ -1588,7 +1588,7 @@ attach_oracle(
 def q_categories_nogroup_capped(spark, sf):
     """Supplier names, grouping off, 40 categories: the cap cuts the list."""
     df, _out, cats = _categorised(spark, sf, source="supplier", smart_grouping=False, max_categories=40)
-    return C.category_table(df, cats)
+    return C.category_table(df, cats, descriptions=cats.descriptions)
 
 
 # Orders with grouping off: every frequent merchant gets its own category and
