@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranges import staged
+from .ranges import shuffled, staged
 
 
 def first_independent_set(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, int]:
@@ -26,15 +26,17 @@ def first_independent_set(nodes: DataFrame, edges: DataFrame, keys: Sequence[str
     of two neighbours; every graph of ``keys`` is decided on its own."""
     at = [*keys, "node"]
     chosen, rounds = None, 0
+    written = lambda df, label: shuffled(staged(df, label))
+    nodes, edges = shuffled(nodes), shuffled(edges)
     while not edges.isEmpty():
         rounds += 1
         waiting = edges.select(*keys, F.col("after").alias("node")).distinct()
-        now = staged(nodes.join(waiting, at, "left_anti"), "chosen")
+        now = written(nodes.join(waiting, at, "left_anti"), "chosen")
         chosen = now if chosen is None else chosen.unionByName(now)
         out = edges.join(now.withColumnRenamed("node", "before"), [*keys, "before"], "left_semi").select(*keys, F.col("after").alias("node")).distinct()
-        out = staged(out, "ruled-out")
-        nodes = staged(nodes.join(now.unionByName(out), at, "left_anti"), "nodes")
+        out = written(out, "ruled-out")
+        nodes = written(nodes.join(now.unionByName(out), at, "left_anti"), "nodes")
         # an edge from a chosen node has its end ruled out; one from a node ruled out says nothing
         edges = edges.join(out.withColumnRenamed("node", "after"), [*keys, "after"], "left_anti")
-        edges = staged(edges.join(out.withColumnRenamed("node", "before"), [*keys, "before"], "left_anti"), "edges")
+        edges = written(edges.join(out.withColumnRenamed("node", "before"), [*keys, "before"], "left_anti"), "edges")
     return nodes if chosen is None else chosen.unionByName(nodes), rounds

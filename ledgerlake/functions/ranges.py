@@ -28,6 +28,14 @@ def staged(df: DataFrame, label: str, folders: Sequence[str] = ()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` never sent whole to the driver for a join.
+
+    A written table counts as large as its files; columns of few values compress a
+    hundredfold, so a table of millions of rows would pass for one to broadcast."""
+    return df.hint("merge")
+
+
 def ordered_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """``df`` with the number of the range of ``order`` that a row lies in."""
     return staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(PART, F.spark_partition_id()), "ranges")

@@ -36,7 +36,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..config import UNCATEGORIZED, UNKNOWN_MERCHANT
 from ..functions.independent import first_independent_set
 from ..functions.money import pct
-from ..functions.ranges import staged
+from ..functions.ranges import shuffled, staged
 from ..functions.similarity import similar_pairs
 from ..functions.text import clean_merchant, keywords
 from ..session import ensure_checkpoint_dir, python_workers_ready
@@ -144,7 +144,7 @@ def _grouped(batch: DataFrame, *, similarity: float, smart_grouping: bool, scope
         return batch.withColumn("leader_rank", F.col("merchant_rank"))
     leads = batch.select(*scope, F.col("merchant_rank").alias("before"), F.col(CM).alias("_leader"))
     pairs = similar_pairs(leads, batch, threshold=similarity, keys=scope, left_id="before", left_text="_leader", right_id="merchant_rank", right_text=CM)
-    edges = staged(pairs.where(F.col("before") < F.col("merchant_rank")).select(*scope, "before", F.col("merchant_rank").alias("after")), "resembling")
+    edges = shuffled(staged(pairs.where(F.col("before") < F.col("merchant_rank")).select(*scope, "before", F.col("merchant_rank").alias("after")), "resembling"))
     leaders, _rounds = first_independent_set(batch.select(*scope, F.col("merchant_rank").alias("node")), edges, scope)
     owner = edges.join(leaders.withColumnRenamed("node", "before"), [*scope, "before"]).groupBy(*scope, F.col("after").alias("merchant_rank")).agg(
         F.min("before").alias("_owner"))
@@ -192,7 +192,7 @@ def learn_categories(
             cand = remaining.orderBy("merchant_rank").limit(block + 1)
         # the merchant after the batch only tells that the batch is not all
         sizes = cand.groupBy(*scope).agg(F.count(F.lit(1)).alias("_size"), F.max("merchant_rank").alias("_end"))
-        cand = staged(_scoped_join(cand.select(*scope, CM, "merchant_rank"), sizes, scope), "batch")
+        cand = shuffled(staged(_scoped_join(cand.select(*scope, CM, "merchant_rank"), sizes, scope), "batch"))
         whole = F.col("_size") <= block
         cand = cand.where(whole | (F.col("merchant_rank") < F.col("_end"))).withColumn("_whole", whole).drop("_size", "_end")
         local = _grouped(cand, similarity=similarity, smart_grouping=smart_grouping, scope=scope).withColumn("leader", F.col("leader_rank.name"))
