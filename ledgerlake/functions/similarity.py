@@ -16,18 +16,39 @@ a shorter string. Of each string only the first ``tokens - least overlap + 1``
 tokens are kept: two strings that can reach the threshold share one of them (the
 prefix-filter principle of set-similarity joins). Candidates must also agree in
 length and in character overlap, both checked natively, before they are scored.
+
+Where a token is shared by so many strings that its pairs exceed ``CROWD``, these are
+not listed: the strings are cut into blocks of ``BLOCK``, and a task takes two blocks,
+bounds all their pairs by the longest common subsequence (matching blocks form one)
+and scores what is left. Every step works on distinct strings where that lists no
+more pairs than a few for each row, whatever the keys.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..session import python_workers_ready
+from .ranges import shuffled, staged
+
+#: pairs of one token from which its strings are compared block by block, and strings in a block
+CROWD, BLOCK = 10_000, 2_048
+#: pairs of distinct strings to list, for each keyed string, rather than pairs within the keys
+PAIRS_A_ROW = 8
+#: pairs of strings that are sent to every task
+FEW_PAIRS = 20_000
+#: strings up to this length are scored many at once; from 200 on difflib ignores popular characters
+SHORT = 64
+#: tokens by whose order a pair is left to the first it shares
+MARKED = 62
 
 
 def py_ratio(a: str, b: str) -> float:
@@ -37,10 +58,126 @@ def py_ratio(a: str, b: str) -> float:
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Vectorised batch wrapper around difflib's ratio (Arrow batches)."""
-    return pd.Series(
-        [None if (x is None or y is None) else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)],
-        dtype="float64",
-    )
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    out[known] = ratios(a[known].to_numpy(dtype=object), b[known].to_numpy(dtype=object))
+    return pd.Series([None if np.isnan(x) else x for x in out], dtype="float64")
+
+
+def _codes(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``SHORT`` code points, a row for each text (0 behind its end), and the lengths."""
+    n = np.array([len(t) for t in texts], dtype=np.int64)
+    width = max(int(np.minimum(n, SHORT).max(initial=0)), 1)
+    out = np.array([t[:SHORT] for t in texts], dtype=f"<U{width}")
+    return out.view("<u4").reshape(len(texts), width).astype(np.int32), n
+
+
+def ratios(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """difflib's ratio of each pair of texts."""
+    out = np.zeros(len(a))
+    short = np.array([len(x) <= SHORT and len(y) <= SHORT for x, y in zip(a, b)], dtype=bool)
+    for i in np.flatnonzero(~short):
+        out[i] = py_ratio(a[i], b[i])
+    at = np.flatnonzero(short)
+    for lo in range(0, len(at), 8192):
+        some = at[lo : lo + 8192]
+        (ca, na), (cb, nb) = _codes(a[some]), _codes(b[some])
+        out[some] = _scores(ca, na, cb, nb)
+    return out
+
+
+def _scores(ca: np.ndarray, na: np.ndarray, cb: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Ratios of rows of code points with their lengths (at most ``SHORT``): the
+    longest match of every window, first in a, then in b, then the windows left
+    and right of it."""
+    matched = np.zeros(len(na), dtype=np.int64)
+    pair, alo, ahi, blo, bhi = np.arange(len(na)), np.zeros_like(na), na, np.zeros_like(nb), nb
+    while len(pair):
+        some = (ahi > alo) & (bhi > blo)
+        pair, alo, ahi, blo, bhi = (x[some] for x in (pair, alo, ahi, blo, bhi))
+        if not len(pair):
+            break
+        wa, wb = int((ahi - alo).max()), int((bhi - blo).max())
+        # a row for each place in the window, so that every step runs over all pairs
+        ia, ib = alo + np.arange(wa)[:, None], blo + np.arange(wb)[:, None]
+        xa = np.where(ia < ahi, ca[pair, np.minimum(ia, ca.shape[1] - 1)], -1)
+        xb = np.where(ib < bhi, cb[pair, np.minimum(ib, cb.shape[1] - 1)], -2)
+        best = np.zeros(len(pair), dtype=np.int16)  # length * 64, more for an earlier end in b
+        end_a = np.zeros(len(pair), dtype=np.int64)
+        early = (SHORT - 1 - np.arange(wb, dtype=np.int16))[:, None]
+        run = np.zeros((wb, len(pair)), dtype=np.int16)
+        for i in range(wa):
+            grown = np.ones_like(run)
+            grown[1:] += run[:-1]
+            run = np.where(xb == xa[i], grown, np.int16(0))
+            top = np.where(run > 0, run * np.int16(SHORT) + early, np.int16(0)).max(axis=0)
+            longer = top // SHORT > best // SHORT
+            best[longer], end_a[longer] = top[longer], i + 1
+        size = (best // SHORT).astype(np.int64)
+        end_b = SHORT - best % SHORT
+        np.add.at(matched, pair, size)
+        found = size > 0
+        pair, alo, ahi, blo, bhi, size = (x[found] for x in (pair, alo, ahi, blo, bhi, size))
+        end_a, end_b = alo + end_a[found], blo + end_b[found]
+        pair, alo, ahi, blo, bhi = (np.concatenate(x) for x in (
+            (pair, pair), (alo, end_a), (end_a - size, ahi), (blo, end_b), (end_b - size, bhi)))
+    total = na + nb
+    return np.where(total > 0, 2.0 * matched / np.maximum(total, 1), 1.0)
+
+
+def _close(left: np.ndarray, left_marks: np.ndarray, right: np.ndarray, right_marks: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(left place, right place, score) of pairs above the threshold, but for
+    those that share a marked token before this one."""
+    a = alpha(threshold) - 1e-12
+    (ca, na), (cb, nb) = _codes(left), _codes(right)
+    places = np.arange(cb.shape[1], dtype=np.uint64)
+    one = np.uint64(1)
+    whole = np.where(nb >= 64, ~np.uint64(0), (one << np.minimum(nb, 63).astype(np.uint64)) - one)
+    at: dict[int, np.ndarray] = {}
+    for c in np.unique(cb):
+        at[int(c)] = np.bitwise_or.reduce((cb == c).astype(np.uint64) << places, axis=1)
+    holds: dict[str, np.ndarray] = {}  # how often a right text has a character
+    if (na > SHORT).any() or (nb > SHORT).any():
+        for j, text in enumerate(right):
+            for c, times in Counter(text).items():
+                holds.setdefault(c, np.zeros(len(right), dtype=np.int64))[j] = times
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def scored():
+        i, j = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        score = np.zeros(len(i))
+        for lo in range(0, len(i), 8192):
+            p, q = i[lo : lo + 8192], j[lo : lo + 8192]
+            short = (na[p] <= SHORT) & (nb[q] <= SHORT)
+            score[lo : lo + 8192][short] = _scores(ca[p[short]], na[p[short]], cb[q[short]], nb[q[short]])
+            for k in np.flatnonzero(~short):
+                score[lo + k] = py_ratio(left[p[k]], right[q[k]])
+        above = score > threshold
+        return i[above], j[above], score[above]
+
+    for k in range(len(left)):
+        n = int(na[k])
+        fits = (np.minimum(nb, n) >= np.maximum(nb, n) * a) & ((right_marks & left_marks[k]) == 0)
+        if n <= SHORT:
+            v = np.full(len(right), ~np.uint64(0))
+            for c in ca[k, :n]:
+                m = at.get(int(c))
+                if m is not None:
+                    u = v & m
+                    v = (v + u) | (v - u)
+            common = np.bitwise_count(~v & whole)
+            fits &= (nb > SHORT) | (2.0 * common > (threshold - 1e-12) * (nb + n))
+        if holds and (fits & ((nb > SHORT) | (n > SHORT))).any():
+            common = sum((np.minimum(holds[c], times) for c, times in Counter(left[k]).items() if c in holds), np.zeros(len(right), dtype=np.int64))
+            fits &= 2.0 * common > (threshold - 1e-12) * (nb + n)
+        j = np.flatnonzero(fits)
+        if len(j):
+            held.append((np.full(len(j), k), j))
+        if sum(len(x) for _, x in held) >= 1 << 16:
+            yield scored()
+    if held:
+        yield scored()
 
 
 def alpha(threshold: float) -> float:
@@ -69,6 +206,9 @@ def _bigrams_from(threshold: float) -> int | None:
     return int(1.0 / share) + 1 if share > 0 else None
 
 
+TOKEN = ["size", "token", "occ"]
+
+
 def _tokens(df: DataFrame, keys: list[str], id_col: str, text_col: str, threshold: float) -> DataFrame:
     """(keys, id, len, size, token, occ): multiset tokens of ``size`` characters."""
     least = _bigrams_from(threshold)
@@ -94,7 +234,7 @@ def _prefixes(tokens: DataFrame, freq: DataFrame, keys: list[str], threshold: fl
         tokens.join(freq, on=["size", "token", "occ"])
         .withColumn("_pos", F.row_number().over(w))
         .where(F.col("_pos") <= kept)
-        .select(*keys, "_id", "_len", "size", "token", "occ")
+        .select(*keys, "_id", "_len", "size", "token", "occ", "_pos")
     )
 
 
@@ -107,20 +247,107 @@ def _characters(text: Column) -> Column:
         F.sequence(F.lit(1), n), lambda i: F.concat(char(i), (F.length(before(i)) - F.length(F.replace(before(i), char(i), F.lit("")))).cast("string")))
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """(keys, _lid, _rid) of the pairs that share a prefix token and fit in
-    length; ``left`` and ``right`` have keys, ``_lid``/``_rid``, ``_ltext``/``_rtext``."""
+def _sides(left: DataFrame, right: DataFrame, keys: list[str], threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The kept tokens of either side, and the rows of each token."""
     lt, rt = _tokens(left, keys, "_lid", "_ltext", threshold), _tokens(right, keys, "_rid", "_rtext", threshold)
     # global token rarity over both sides (one row per distinct token)
-    token = ["size", "token", "occ"]
-    freq = lt.select(*token).unionAll(rt.select(*token)).groupBy(*token).agg(F.count(F.lit(1)).alias("freq"))
-    lp = _prefixes(lt, freq, keys, threshold).withColumnsRenamed({"_id": "_lid", "_len": "_llen"})
-    rp = _prefixes(rt, freq, keys, threshold).withColumnsRenamed({"_id": "_rid", "_len": "_rlen"})
+    freq = lt.select(*TOKEN).unionAll(rt.select(*TOKEN)).groupBy(*TOKEN).agg(F.count(F.lit(1)).alias("freq"))
+    return _prefixes(lt, freq, keys, threshold), _prefixes(rt, freq, keys, threshold), freq
+
+
+def _fits(threshold: float) -> Column:
     fits = length_bound(F.col("_llen"), F.col("_rlen"), threshold)
     least = _bigrams_from(threshold)
     if least is not None:  # longer pairs meet by bigrams
         fits = fits & ((F.col("size") == 2) | (F.least("_llen", "_rlen") < least))
-    return lp.join(rp, on=[*keys, *token]).where(fits).select(*keys, "_lid", "_rid").distinct()
+    return fits
+
+
+def _listed(lp: DataFrame, rp: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    lp, rp = lp.withColumnsRenamed({"_id": "_lid", "_len": "_llen"}), rp.withColumnsRenamed({"_id": "_rid", "_len": "_rlen"})
+    return lp.drop("_pos").join(rp.drop("_pos"), on=[*keys, *TOKEN]).where(_fits(threshold)).select(*keys, "_lid", "_rid").distinct()
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(keys, _lid, _rid) of the pairs that share a prefix token and fit in
+    length; ``left`` and ``right`` have keys, ``_lid``/``_rid``, ``_ltext``/``_rtext``."""
+    lp, rp, _freq = _sides(left, right, keys, threshold)
+    return _listed(lp, rp, keys, threshold)
+
+
+def _token_sizes(lp: DataFrame, rp: DataFrame, keys: list[str]) -> DataFrame:
+    """Strings of either side at every token that both have."""
+    at = [*keys, *TOKEN]
+    both = lp.select(*at, F.lit(1).alias("l")).unionByName(rp.select(*at, F.lit(0).alias("l")))
+    sizes = both.groupBy(*at).agg(F.sum("l").cast("bigint").alias("_nl"), F.sum(1 - F.col("l")).cast("bigint").alias("_nr"))
+    return sizes.where((F.col("_nl") > 0) & (F.col("_nr") > 0))
+
+
+def _crowded(left: DataFrame, right: DataFrame, lp: DataFrame, rp: DataFrame, crowds: DataFrame, freq: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(keys, _lid, _ltext, _rid, _rtext, score) of the pairs above the threshold that
+    share a token of ``crowds``: its strings in blocks, every two blocks one group."""
+    at = [*keys, *TOKEN]
+    order = [F.desc("freq"), *TOKEN]
+    marks = (
+        freq.orderBy(*order).limit(MARKED).withColumn("_n", F.row_number().over(Window.orderBy(*order)) - 1)
+        .select(*TOKEN, F.expr("shiftleft(cast(1 as bigint), _n)").alias("_mark"))
+    )
+    earlier = Window.partitionBy(*keys, "_id", "size").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = crowds.select(*at, F.ceil(F.col("_nl") / BLOCK).cast("int").alias("_bl"), F.ceil(F.col("_nr") / BLOCK).cast("int").alias("_br"))
+
+    def side(prefixes: DataFrame, texts: DataFrame, own: str, other: str, from_left: bool) -> DataFrame:
+        tid, text = ("_lid", "_ltext") if from_left else ("_rid", "_rtext")
+        marked = prefixes.join(F.broadcast(marks), TOKEN, "left").withColumn("_marks", F.coalesce(F.sum("_mark").over(earlier), F.lit(0)))
+        rows = marked.join(blocks, at).join(texts.select(*keys, F.col(tid).alias("_id"), F.col(text).alias("_text")), [*keys, "_id"])
+        mine = F.pmod(F.xxhash64("_text"), F.col(own)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        pair = [mine.alias("_i"), every.alias("_j")] if from_left else [every.alias("_i"), mine.alias("_j")]
+        return rows.select(*at, *pair, F.lit(from_left).alias("_left"), "_text", "_marks")
+
+    rows = side(lp, left, "_bl", "_br", True).unionByName(side(rp, right, "_br", "_bl", False))
+    group = [*at, "_i", "_j"]
+    least = _bigrams_from(threshold)
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        ltext, lmarks = (rows.loc[rows["_left"], c].to_numpy() for c in ("_text", "_marks"))
+        rtext, rmarks = (rows.loc[~rows["_left"], c].to_numpy() for c in ("_text", "_marks"))
+        head = rows.iloc[:1][keys].reset_index(drop=True)
+        parts = []
+        if len(ltext) and len(rtext):
+            single = least is not None and rows["size"].iat[0] == 1
+            for i, j, score in _close(ltext, lmarks, rtext, rmarks, threshold):
+                if single:
+                    kept = [min(len(ltext[p]), len(rtext[q])) < least for p, q in zip(i, j)]
+                    i, j, score = i[kept], j[kept], score[kept]
+                part = head.loc[np.zeros(len(i), dtype=int)].reset_index(drop=True)
+                parts.append(part.assign(_ltext=ltext[i], _rtext=rtext[j], score=score))
+        empty = head.iloc[:0].assign(_ltext="", _rtext="", score=0.0)
+        return pd.concat(parts, ignore_index=True) if parts else empty
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in left.select(*keys).schema.fields) + "_ltext string, _rtext string, score double"
+    return rows.groupBy(*group).applyInPandas(compare, schema).distinct()
+
+
+def _text_pairs(left: DataFrame, right: DataFrame, keys: list[str], threshold: float, sides: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """(keys, _ltext, _rtext, score) above the threshold; ids are the texts."""
+    lp, rp, freq = sides
+    sizes = _token_sizes(lp, rp, keys)
+    many = F.col("_nl") * F.col("_nr") > CROWD
+    crowds = sizes.where(many)
+    few = sizes.where(~many).select(*keys, *TOKEN)
+    drop = lambda p: p.join(few, [*keys, *TOKEN], "left_semi")
+    overlap = F.size(F.array_intersect("_lchars", "_rchars"))
+    listed = _listed(drop(lp), drop(rp), keys, threshold).select(*keys, F.col("_lid").alias("_ltext"), F.col("_rid").alias("_rtext"))
+    scored = (
+        listed.withColumn("_lchars", _characters(F.col("_ltext")))
+        .withColumn("_rchars", _characters(F.col("_rtext")))
+        .where(2 * overlap > F.lit(threshold - 1e-12) * (F.length("_ltext") + F.length("_rtext")))
+        .withColumn("score", ratio(F.col("_ltext"), F.col("_rtext")))
+        .where(F.col("score") > F.lit(threshold))
+    ).select(*keys, "_ltext", "_rtext", "score")
+    if crowds.isEmpty():
+        return scored
+    return scored.unionByName(_crowded(left, right, lp, rp, crowds, freq, keys, threshold)).distinct()
 
 
 def similar_pairs(
@@ -144,15 +371,25 @@ def similar_pairs(
     keys = list(keys)
     L = left.select(*keys, F.col(left_id).alias("_lid"), F.col(left_text).alias("_ltext")).where(F.length("_ltext") > 0)
     R = right.select(*keys, F.col(right_id).alias("_rid"), F.col(right_text).alias("_rtext")).where(F.length("_rtext") > 0)
-    overlap = F.size(F.array_intersect("_lchars", "_rchars"))
-    scored = (
-        candidate_pairs(L, R, keys, threshold)
-        .join(L.withColumn("_lchars", _characters(F.col("_ltext"))), on=[*keys, "_lid"])
-        .join(R.withColumn("_rchars", _characters(F.col("_rtext"))), on=[*keys, "_rid"])
-        .where(2 * overlap > F.lit(threshold - 1e-12) * (F.length("_ltext") + F.length("_rtext")))
-        .withColumn("score", ratio(F.col("_ltext"), F.col("_rtext")))
-        .where(F.col("score") > F.lit(threshold))
-    )
+    texts = lambda df, text, side, keys: df.select(*keys, F.col(text).alias(f"_{side}id"), F.col(text)).distinct()
+    same = lambda keys: tuple(shuffled(staged(texts(*side, keys), "texts")) for side in ((L, "_ltext", "l"), (R, "_rtext", "r")))
+    near = None
+    if keys:
+        # the score of two strings is the same under all keys: pairs of distinct
+        # strings, where these are no more than a few for each keyed string
+        lt, rt = same([])
+        sides = tuple(shuffled(staged(p, "tokens")) for p in _sides(lt, rt, [], threshold))
+        listed = _token_sizes(sides[0], sides[1], []).agg(F.sum(F.col("_nl") * F.col("_nr"))).first()[0] or 0
+        if listed <= PAIRS_A_ROW * (L.count() + R.count()):
+            near = _text_pairs(lt, rt, [], threshold, sides)
+    if near is None:
+        lt, rt = same(keys)
+        sides = tuple(shuffled(staged(p, "tokens")) for p in _sides(lt, rt, keys, threshold))
+        near = _text_pairs(lt, rt, keys, threshold, sides)
+        scored = shuffled(L).join(near, [*keys, "_ltext"])
+    else:
+        scored = shuffled(L).join(F.broadcast(near) if listed <= FEW_PAIRS else near, "_ltext")
+    scored = scored.join(shuffled(R), [*keys, "_rtext"])
     return scored.select(
         *keys,
         F.col("_lid").alias(left_id),

@@ -991,11 +991,13 @@ def q_frequent_merchants(spark, sf):
 def q_similar_pairs(spark, sf):
     """For each frequent supplier name: how many others resemble it, the one
     that resembles it most and their score."""
-    m = C.frequent_merchants(adapters.supplier_transactions(spark, sf)).select("clean_merchant")
-    left = m.select(F.col("clean_merchant").alias("a"), F.col("clean_merchant").alias("a_text"))
-    right = m.select(F.col("clean_merchant").alias("b"), F.col("clean_merchant").alias("b_text"))
+    from ..functions.ranges import staged
     from ..functions.similarity import similar_pairs
 
+    # written once, so that no condition on the cleaned name is pushed onto the rows
+    m = staged(C.frequent_merchants(adapters.supplier_transactions(spark, sf)).select("clean_merchant"), "frequent")
+    left = m.select(F.col("clean_merchant").alias("a"), F.col("clean_merchant").alias("a_text"))
+    right = m.select(F.col("clean_merchant").alias("b"), F.col("clean_merchant").alias("b_text"))
     pairs = similar_pairs(left, right, threshold=0.85, left_id="a", left_text="a_text", right_id="b", right_text="b_text").where(F.col("a") != F.col("b"))
     return pairs.groupBy(F.col("a").alias("clean_merchant")).agg(
         F.count(F.lit(1)).alias("similar_merchants"),
