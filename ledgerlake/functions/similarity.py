@@ -337,10 +337,10 @@ def _text_pairs(left: DataFrame, right: DataFrame, keys: list[str], threshold: f
     few = sizes.where(~many).select(*keys, *TOKEN)
     drop = lambda p: p.join(few, [*keys, *TOKEN], "left_semi")
     overlap = F.size(F.array_intersect("_lchars", "_rchars"))
-    listed = _listed(drop(lp), drop(rp), keys, threshold).select(*keys, F.col("_lid").alias("_ltext"), F.col("_rid").alias("_rtext"))
     scored = (
-        listed.withColumn("_lchars", _characters(F.col("_ltext")))
-        .withColumn("_rchars", _characters(F.col("_rtext")))
+        _listed(drop(lp), drop(rp), keys, threshold)
+        .join(left.withColumn("_lchars", _characters(F.col("_ltext"))), on=[*keys, "_lid"])
+        .join(right.withColumn("_rchars", _characters(F.col("_rtext"))), on=[*keys, "_rid"])
         .where(2 * overlap > F.lit(threshold - 1e-12) * (F.length("_ltext") + F.length("_rtext")))
         .withColumn("score", ratio(F.col("_ltext"), F.col("_rtext")))
         .where(F.col("score") > F.lit(threshold))
