@@ -221,8 +221,8 @@ def _tokens(df: DataFrame, keys: list[str], id_col: str, text_col: str, threshol
         none = F.array().cast("array<struct<size:int,token:string>>")
         # strings that may pair with one below the limit have characters, too
         found = F.concat(F.when(n * F.lit(alpha(threshold)) <= least, grams(1)).otherwise(none), F.when(n >= least, grams(2)).otherwise(none))
-    rows = df.select(*keys, F.col(id_col).alias("_id"), n.alias("_len"), F.explode(found).alias("g"))
-    counts = rows.groupBy(*keys, "_id", "_len", "g.size", "g.token").agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.select(*keys, F.col(id_col).alias("_id"), n.alias("_len"), F.explode(found).alias("_g"))
+    counts = rows.groupBy(*keys, "_id", "_len", "_g.size", "_g.token").agg(F.count(F.lit(1)).alias("_n"))
     return counts.select(*keys, "_id", "_len", "size", "token", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("occ"))
 
 
