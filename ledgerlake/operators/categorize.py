@@ -142,6 +142,7 @@ def _grouped(batch: DataFrame, *, similarity: float, smart_grouping: bool, scope
     earliest leader of the batch that each merchant resembles, or itself."""
     if not smart_grouping:
         return batch.withColumn("leader_rank", F.col("merchant_rank"))
+    batch = shuffled(batch)
     leads = batch.select(*scope, F.col("merchant_rank").alias("before"), F.col(CM).alias("_leader"))
     pairs = similar_pairs(leads, batch, threshold=similarity, keys=scope, left_id="before", left_text="_leader", right_id="merchant_rank", right_text=CM)
     edges = shuffled(staged(pairs.where(F.col("before") < F.col("merchant_rank")).select(*scope, "before", F.col("merchant_rank").alias("after")), "resembling"))
