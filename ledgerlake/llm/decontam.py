@@ -26,17 +26,23 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import prepare, text_rows, texts
+from ledgerlake.llm.common import prepare, texts
 
 _WORD = re.compile(r"[^\W_]+")
 _SCORE_BITS = 32
+#: Unknown words between two texts: no run leaves out more than one word.
+_BETWEEN = 2
+#: Bytes of the texts that are cut into words at a time (one text at least).
+_PORTION_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -88,20 +94,20 @@ class Block:
         """Positions and codes of the possible seeds: runs of words, and runs with
         one word left out, none of them unknown."""
         places, codes = [], []
+        known, parts = numbers > 0, numbers.astype(np.uint64)
         for left_out in range(self.size):
             # 0: none left out
             offsets = [i + (0 < left_out <= i) for i in range(self.size)]
             n = len(numbers) - offsets[-1]
             if n <= 0:
                 continue
-            code, known = np.full(n, left_out, np.uint64), np.ones(n, bool)
+            at = np.flatnonzero(np.logical_and.reduce([known[i : i + n] for i in offsets]))
+            code = np.full(len(at), left_out, np.uint64)
             for i in offsets:
-                part = numbers[i : i + n]
-                code = code * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64)
-                known &= part > 0
-            at = np.flatnonzero(known)
+                code *= np.uint64(0x9E3779B97F4A7C15)
+                code += parts[at + i]
             places.append(at)
-            codes.append((code[at] >> np.uint64(1)).astype(np.int64))
+            codes.append((code >> np.uint64(1)).astype(np.int64))
         if not places:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(places), np.concatenate(codes)
@@ -110,16 +116,49 @@ class Block:
         for i, item in enumerate(self.items):
             for at, code in zip(*(x.tolist() for x in self.runs(item))):
                 self.places[code].append((i, at))
-        self.codes = np.array(sorted(self.places), np.int64)
+        self._index()
         return self
 
-    def numbers(self, text: str) -> np.ndarray:
-        found = words(text)
-        return np.fromiter(map(self.vocabulary.get, found, repeat(0)), np.int64, len(found))
+    def _index(self) -> None:
+        """``codes``, sorted, and a table that most other codes have no mark in."""
+        self.codes = np.array(sorted(self.places), np.int64)
+        self.shift = np.uint64(64 - (16 * len(self.codes) + 1).bit_length())
+        self.marks = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.marks[self._mark(self.codes)] = True
+
+    def _mark(self, codes: np.ndarray) -> np.ndarray:
+        return (codes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> self.shift
+
+    def numbers(self, lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of all texts one after the other (0: in no item),
+        ``_BETWEEN`` zeros after each text, and where each text begins.
+
+        Texts are cut at spaces first, as the parts repeat: a space ends a word,
+        and no character's lower case depends on what lies beyond one."""
+        cut = pc.split_pattern(lines, " ")
+        offsets, parts = cut.offsets.to_numpy().astype(np.int64), cut.flatten().dictionary_encode()
+        low = " ".join(parts.dictionary.to_numpy(zero_copy_only=False).tolist()).lower().split(" ")
+        number = np.fromiter(map(self.vocabulary.get, low, repeat(-1)), np.int64, len(low))
+        # all others but single words are cut by the pattern
+        mixed = [i for i in np.flatnonzero(number < 0).tolist() if not low[i].isalnum()]
+        found = [_WORD.findall(low[i]) for i in mixed]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        more = np.fromiter(map(self.vocabulary.get, chain.from_iterable(found), repeat(0)), np.int64, int(sizes.sum()))
+        values = np.concatenate([np.maximum(number, 0), more, np.zeros(_BETWEEN, np.int64)])
+        starts, lengths = np.arange(len(low) + 1), np.ones(len(low) + 1, np.int64)
+        starts[mixed], lengths[mixed] = len(low) + np.cumsum(sizes) - sizes, sizes
+        starts[-1], lengths[-1] = len(values) - _BETWEEN, _BETWEEN
+        at = np.insert(parts.indices.to_numpy().astype(np.int64), offsets[1:] - offsets[0], len(low))
+        size = lengths[at]
+        ends = np.cumsum(size)
+        numbers = values[np.repeat(starts[at] - (ends - size), size) + np.arange(ends[-1])]
+        return numbers, np.concatenate([[0], ends[offsets[1:] - offsets[0] + np.arange(len(lines))]])
 
     def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the text whose run is a code, and the codes' places in ``codes``."""
+        """Positions of the words whose run is a code, and the codes' places in ``codes``."""
         at, runs = self.runs(numbers)
+        maybe = np.flatnonzero(self.marks[self._mark(runs)])
+        at, runs = at[maybe], runs[maybe]
         if not len(at) or not len(self.codes):
             return at[:0], at[:0]
         slot = np.searchsorted(self.codes, runs).clip(max=len(self.codes) - 1)
@@ -136,7 +175,7 @@ class Block:
             for at in order[: max(params.least, round(params.keep * len(runs)))]:
                 kept[runs[at]].append((i, places[at]))
         self.places = kept
-        self.codes = np.array(sorted(kept), np.int64)
+        self._index()
 
 
 def blocks(benchmark: DataFrame, params: Matching, id_col: str = "item_id", text_col: str = "text") -> Iterator[Block]:
@@ -165,17 +204,26 @@ def align(item: np.ndarray, text: np.ndarray, params: Matching) -> tuple[int, in
     column = np.arange(1, len(text) + 1, dtype=np.int64)
     ramp = column * (-params.gap * unit)
     above = np.concatenate([[0], column])  # row zero: score 0, starting at the next word
+    below, other, same = above.copy(), np.empty_like(column), np.empty(len(text), bool)
     best, where = 0, (0, 0)
-    for word in item:
-        score = np.where(text == word, params.match * unit, params.mismatch * unit)
-        cell = np.maximum(above[:-1] + score, above[1:] + params.gap * unit)
-        cell = np.maximum(cell, column)
-        cell = np.maximum.accumulate(cell + ramp) - ramp
-        end = int((cell >> _SCORE_BITS).argmax())
-        if cell[end] >> _SCORE_BITS > best:
-            best, where = int(cell[end] >> _SCORE_BITS), (int(cell[end] & (unit - 1)), end + 1)
-        cell = np.where(cell >> _SCORE_BITS <= 0, column, cell)
-        above = np.concatenate([[0], cell])
+    for word in item.tolist() if len(text) else ():
+        cell = below[1:]
+        np.equal(text, word, out=same)
+        np.multiply(same, (params.match - params.mismatch) * unit, out=cell)
+        cell += above[:-1]
+        cell += params.mismatch * unit
+        np.add(above[1:], params.gap * unit, out=other)
+        np.maximum(cell, other, out=cell)
+        np.maximum(cell, column, out=cell)
+        cell += ramp
+        np.maximum.accumulate(cell, out=cell)
+        cell -= ramp
+        top = int(cell.max()) >> _SCORE_BITS
+        if top > best:
+            end = int((cell >= top * unit).argmax())
+            best, where = top, (int(cell[end] & (unit - 1)), end + 1)
+        np.copyto(cell, column, where=np.less(cell, unit, out=same))
+        above, below = below, above
     return best, *where
 
 
@@ -187,14 +235,14 @@ def accepted(item: np.ndarray, text: np.ndarray, params: Matching) -> tuple[int,
     copy = params.threshold * params.match * len(item)
     passage = params.passage * params.match
     found, parts = None, [(0, len(text))]
+    of_item, m = np.unique(item, return_counts=True)
     while parts:
         a, b = parts.pop()
         least = min(copy, passage) if found is None else max(min(copy, passage), found[0] + 1)
         # words in common, however ordered, bound the score
-        kinds, n = np.unique(text[a:b], return_counts=True)
-        of_item, m = np.unique(item, return_counts=True)
-        _, i, j = np.intersect1d(kinds, of_item, assume_unique=True, return_indices=True)
-        if params.match * int(np.minimum(n[i], m[j]).sum()) < least:
+        slot = np.searchsorted(of_item, text[a:b]).clip(max=len(of_item) - 1)
+        n = np.bincount(slot[of_item[slot] == text[a:b]], minlength=len(of_item))
+        if params.match * int(np.minimum(n, m).sum()) < least:
             continue
         score, first, last = align(item, text[a:b], params)
         if score < least:
@@ -207,15 +255,34 @@ def accepted(item: np.ndarray, text: np.ndarray, params: Matching) -> tuple[int,
     return found
 
 
-def matched(block: Block, text: str, params: Matching) -> list[tuple[int, float, int, int]]:
-    """(item's place, share of a full score, start, end) of each item's best
-    alignment that counts as a copy."""
-    numbers = block.numbers(text)
-    positions, slots = block.hits(numbers)
-    if not len(positions):
-        return []
+def portions(lines: pa.Array, size: int = _PORTION_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """The texts (null: empty) in runs of ``size`` bytes or one text, with the place of each run's first."""
+    lines = pc.fill_null(lines, "")
+    at, ends = 0, np.cumsum(pc.binary_length(lines).to_numpy(), dtype=np.int64)
+    while at < len(lines):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield at, lines.slice(at, to - at)
+        at = to
+
+
+def matched(block: Block, lines: pa.Array, params: Matching) -> Iterator[tuple[int, int, float, int, int]]:
+    """(text's place, item's place, share of a full score, start, end) of the best
+    alignment of each text and item that counts as a copy."""
+    for first, portion in portions(lines):
+        numbers, begins = block.numbers(portion)
+        positions, slots = block.hits(numbers)
+        of = np.searchsorted(begins, positions, "right") - 1
+        order = np.argsort(of, kind="stable")
+        some, at = np.unique(of[order], return_index=True)
+        for text, hits in zip(some.tolist(), np.split(order, at[1:])):
+            a, b = begins[text], begins[text + 1] - _BETWEEN
+            for found in _aligned(block, numbers[a:b], positions[hits] - a, block.codes[slots[hits]], params):
+                yield first + text, *found
+
+
+def _aligned(block: Block, numbers: np.ndarray, positions: np.ndarray, codes: np.ndarray, params: Matching) -> list[tuple[int, float, int, int]]:
     lines: dict[int, list[int]] = defaultdict(list)
-    for position, code in zip(positions.tolist(), block.codes[slots].tolist()):
+    for position, code in zip(positions.tolist(), codes.tolist()):
         for i, at in block.places[code]:
             lines[i].append(position - at)
     out = []
@@ -243,16 +310,19 @@ def _with_seeds(docs: DataFrame, benchmark: DataFrame, params: Matching, id_col:
     rows = texts(docs, id_col, text_col).select("text")
     for block in blocks(benchmark, params):
 
-        def count(frames: Iterator[pd.DataFrame], block: Block = block) -> Iterator[pd.DataFrame]:
+        def count(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(block.codes), np.int64)
-            for _, lines in text_rows(frames):
-                for text in lines:
-                    _, slots = block.hits(block.numbers(text))
-                    total[np.unique(slots)] += 1
+            for batch in batches:
+                for _, portion in portions(batch.column("text")):
+                    numbers, begins = block.numbers(portion)
+                    positions, slots = block.hits(numbers)
+                    of = np.searchsorted(begins, positions, "right") - 1
+                    # once a text
+                    total += np.bincount(np.unique(of * len(total) + slots) % len(total), minlength=len(total))
             some = np.flatnonzero(total)
-            yield pd.DataFrame({"code": block.codes[some], "n": total[some]})
+            yield pa.RecordBatch.from_arrays([pa.array(block.codes[some]), pa.array(total[some])], names=["code", "n"])
 
-        counts = rows.mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        counts = rows.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
         # one row for each distinct run of the block, so bounded like the block
         block.keep_rarest({r["code"]: r["n"] for r in counts.collect()}, params)
         yield block
@@ -265,16 +335,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: Matching = Match
     found = None
     for block in _with_seeds(docs, benchmark, params, id_col, text_col):
 
-        def run(frames: Iterator[pd.DataFrame], block: Block = block) -> Iterator[pd.DataFrame]:
-            for frame, lines in text_rows(frames):
-                out = [(n, *m) for n, text in enumerate(lines) for m in matched(block, text, params)]
-                yield pd.DataFrame({
-                    "doc_id": frame["doc_id"].take([o[0] for o in out]).reset_index(drop=True),
-                    "item_id": pd.array([block.ids[o[1]] for o in out], "Int64"),
-                    "score": [o[2] for o in out], "start": [o[3] for o in out], "end": [o[4] for o in out],
-                })
-
-        part = texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, item_id long, score double, start long, end long")
+        def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = list(matched(block, batch.column("text"), params))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id").take(pa.array([o[0] for o in out], pa.int64())),
+                    pa.array([block.ids[o[1]] for o in out], pa.int64()),
+                    pa.array([o[2] for o in out], pa.float64()),
+                    pa.array([o[3] for o in out], pa.int64()),
+                    pa.array([o[4] for o in out], pa.int64()),
+                ], names=["doc_id", "item_id", "score", "start", "end"])
+
+        part = texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, item_id long, score double, start long, end long")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, start long, end long")
@@ -292,6 +364,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, params: Matching =
 def _clean(block: Block, params: Matching):
     @F.pandas_udf("boolean")
     def clean(column: pd.Series) -> pd.Series:
-        return pd.Series([not matched(block, t if isinstance(t, str) else "", params) for t in column], dtype=bool)
+        kept = np.ones(len(column), bool)
+        kept[[n for n, *_ in matched(block, pa.array(column, pa.string(), from_pandas=True), params)]] = False
+        return pd.Series(kept)
 
     return clean

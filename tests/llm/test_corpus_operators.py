@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -414,6 +415,40 @@ def test_parts_and_dense_edits_of_an_item_are_found(spark):
     assert decontam.align(item, text[:41], params)[0] == 22 and decontam.accepted(item, text, params)[1] >= 41
 
 
+def test_words_of_many_texts_are_cut_once_a_part(monkeypatch):
+    rng = random.Random(11)
+    parts = [" ", "  ", "\n", "_", "-", "ΑΣ", "σ", "Σ", "ΟΔΟΣ'", "İ", "ß", "É", "é", "the", "The", "²", "٣", "中文", "ǅ", ".", "A"]
+    lines = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(400)] + ["", None, " "]
+    block = decontam.Block(3)
+    for i in range(0, 40, 4):
+        block.add(i, decontam.words(" ".join(lines[i : i + 4])))
+    block.close()
+    for size in (1, 500, 1 << 20):
+        seen = []
+        for first, portion in decontam.portions(pa.array(lines, pa.string()), size):
+            assert first == len(seen)
+            numbers, begins = block.numbers(portion)
+            seen += [numbers[a:b].tolist() for a, b in zip(begins, begins[1:])]
+        assert seen == [[block.vocabulary.get(w, 0) for w in decontam.words(t or "")] + [0, 0] for t in lines]
+    calls = []
+
+    class Pattern:
+        def findall(self, text, pattern=decontam._WORD):
+            calls.append(text)
+            return pattern.findall(text)
+
+    monkeypatch.setattr(decontam, "_WORD", Pattern())
+    text = "a phrase, of twelve words; that every document has, so it repeats often."
+    assert list(decontam.matched(block, pa.array([text] * 1000), decontam.Matching())) == []
+    assert len(calls) <= len(text.split(" "))
+    # no run of words goes on into the next text
+    item = "one two three four five six seven eight nine ten".split()
+    block = decontam.Block(3)
+    block.add(1, item)
+    block.close()
+    assert not len(block.hits(block.numbers(pa.array([" ".join(item[i : i + 2]) for i in range(0, 10, 2)]))[0])[0])
+
+
 def test_decontamination_edge_cases(spark):
     bench = spark.createDataFrame([(1, "word word word word")], "item_id long, text string")
     assert decontam.contaminated(clashing(spark, EDGE), bench).count() == 0
