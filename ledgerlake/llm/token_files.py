@@ -29,7 +29,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, repeat
 from typing import NamedTuple
 
@@ -65,90 +65,111 @@ _L = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PLAIN = re.compile(rf"[ \n!-&(-~{_L}]+")
 _PIECE = re.compile(rf" ?[{_L}]+| ?[0-9]+| ?[^\s0-9{_L}]+|\s+(?!\S)|\s+")
 
+#: Between pieces that are spelled together; no plain character.
+_BETWEEN = "\t"
 
-# --- encoding --------------------------------------------------------------
 
-class Encoder:
-    """Whole texts to ids with a byte-level ``tokenizers`` model.
-
-    Such a model never joins what stands before a space with the space and the
-    mark after it.  So a text's ids are those of its units, cut there, one after
-    the other.  Units repeat: their ids stay in a table, which starts anew beyond ``keep`` units.  A new
-    unit of plain characters is cut by the model's own pattern, and each piece
-    goes to the model's merges in its spelling of bytes; others go through the
-    whole model."""
-
-    def __init__(self, path: str, end_id: int = END_ID, keep: int = 900_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+# --- encoding --------------------------------------------------------------
 
-        self.model, self.end_id, self.keep = Tokenizer.from_file(path), end_id, keep
-        self.spelling = byte_spelling()
-        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.clear()
+class Table:
+    """Names, each with its ids, all in one array; a name's place is its number."""
 
-    def clear(self) -> None:
+    def __init__(self):
         self.known: dict[str | None, int] = {}
         self.ids = np.zeros(1 << 16, "<u4")
         self.starts, self.lengths = np.zeros(1 << 14, "i8"), np.zeros(1 << 14, "i8")
         self.used = 0
-        self._add([None], [[self.end_id]])
 
-    def _add(self, units: list, ids: list[list[int]]) -> None:
-        lengths = np.fromiter(map(len, ids), "i8", len(ids))
-        total, at = int(lengths.sum()), len(self.known)
+    def add(self, names: list, lengths: np.ndarray, ids: np.ndarray) -> None:
+        total, at = len(ids), len(self.known)
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while at + len(units) > len(self.starts):
+        while at + len(names) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), "<u4", total)
-        self.starts[at : at + len(units)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[at : at + len(units)] = lengths
+        self.ids[self.used : self.used + total] = ids
+        self.starts[at : at + len(names)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[at : at + len(names)] = lengths
         self.used += total
-        self.known.update(zip(units, range(at, at + len(units))))
-
-    def _ids(self, unit: str) -> list[int]:
-        at = self.known[unit]
-        return self.ids[self.starts[at] : self.starts[at] + self.lengths[at]].tolist()
-
-    def _learn(self, units: list[str]) -> None:
-        known, find, plain = self.known, _PIECE.findall, _PLAIN.fullmatch
-        cut, rest = {}, []
-        for unit in units:
-            if plain(unit):
-                cut[unit] = find(unit)
-            else:
-                rest.append(unit)
-        merge, spelling = self.model.model.tokenize, self.spelling
-        found = {}
-        for piece in set(chain.from_iterable(cut.values())):
-            if piece in known:
-                found[piece] = self._ids(piece)
-            else:
-                found[piece] = [t.id for t in merge(piece.encode().decode("latin-1").translate(spelling))]
-        new = {u: found[p[0]] if len(p) == 1 else list(chain.from_iterable(map(found.__getitem__, p))) for u, p in cut.items()}
-        new.update((p, ids) for p, ids in found.items() if p not in known)
-        new.update(zip(rest, (e.ids for e in self.model.encode_batch_fast(rest, add_special_tokens=False))))
-        self._add(list(new), list(new.values()))
-
-    def _places(self, units: list[str]) -> np.ndarray:
-        """Places of the units in the table, new ones added."""
-        at = np.fromiter(map(self.known.get, units, repeat(-1)), "i8", len(units))
+        self.known.update(zip(names, range(at, at + len(names))))
+
+    def places(self, names: list[str], learn: Callable[[list[str]], None]) -> np.ndarray:
+        """Places of the names; those not known are learnt first."""
+        at = np.fromiter(map(self.known.get, names, repeat(-1)), "i8", len(names))
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            names = [units[i] for i in missing.tolist()]
-            self._learn(list(dict.fromkeys(names)))
-            at[missing] = np.fromiter(map(self.known.__getitem__, names), "i8", len(names))
+            new = [names[i] for i in missing.tolist()]
+            learn(list(dict.fromkeys(new)))
+            at[missing] = np.fromiter(map(self.known.__getitem__, new), "i8", len(new))
         return at
 
+    def joined(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the names at these places one after the other, and where each name's end."""
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        return self.ids[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(lengths.sum())], ends
+
+
+class Encoder:
+    """Whole texts to ids with a byte-level ``tokenizers`` model.
+
+    Such a model never joins what stands before a space with the space and the
+    mark after it.  So a text's ids are those of its units, cut there, one after
+    the other.  A new unit of plain characters is cut by the model's own pattern,
+    and each piece goes to the model's merges in its spelling of bytes; other
+    units go through the whole model.  Units and pieces repeat: their ids stay in
+    two tables of ``keep`` names together.  Most new units consist
+    of known pieces, so the pieces have the larger share; each table starts anew
+    beyond its own."""
+
+    def __init__(self, path: str, end_id: int = END_ID, keep: int = 900_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.model, self.end_id, self.keep = Tokenizer.from_file(path), end_id, keep
+        self.spelling = {b: c for b, c in byte_spelling().items() if b != ord(_BETWEEN)}
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.units, self.pieces = self._new_units(), Table()
+
+    def _new_units(self) -> Table:
+        units = Table()
+        units.add([None], np.ones(1, "i8"), np.array([self.end_id]))
+        return units
+
+    def _clear(self) -> None:
+        if len(self.pieces.known) > self.keep * 2 // 3:
+            self.pieces = Table()
+        if len(self.units.known) > self.keep // 3:
+            self.units = self._new_units()
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        merge, ids, lengths = self.model.model.tokenize, [], []
+        for spelled in _BETWEEN.join(pieces).encode().decode("latin-1").translate(self.spelling).split(_BETWEEN):
+            found = merge(spelled)
+            lengths.append(len(found))
+            ids += [t.id for t in found]
+        self.pieces.add(pieces, np.array(lengths, "i8"), np.array(ids, "<u4"))
+
+    def _learn_units(self, units: list[str]) -> None:
+        plain = list(map(_PLAIN.fullmatch, units))
+        rest = [u for u, p in zip(units, plain) if p is None]
+        units = [u for u, p in zip(units, plain) if p is not None]
+        if units:
+            cut = list(map(_PIECE.findall, units))
+            sizes = np.fromiter(map(len, cut), "i8", len(cut))
+            at = self.pieces.places(list(chain.from_iterable(cut)), self._learn_pieces)
+            ids, ends = self.pieces.joined(at)
+            self.units.add(units, np.diff(ends[np.cumsum(sizes) - 1], prepend=0), ids)
+        if rest:
+            found = [e.ids for e in self.model.encode_batch_fast(rest, add_special_tokens=False)]
+            self.units.add(rest, np.fromiter(map(len, found), "i8", len(found)), np.fromiter(chain.from_iterable(found), "<u4"))
+
     def encode(self, lines) -> list[np.ndarray]:
         """The ids of each text of an Arrow array (null: empty), the end id last."""
         lines = pc.fill_null(lines if isinstance(lines, (pa.Array, pa.ChunkedArray)) else pa.array(lines, pa.string()), "")
         if not len(lines):
             return []
-        if len(self.known) > self.keep:
-            self.clear()
+        self._clear()
         # a space before white space stays with what stands before it, and a
         # special token may hold a space: such texts go through the whole model
         odd = pc.match_substring_regex(lines, _SPACE_RUN)
@@ -171,20 +192,18 @@ class Encoder:
         cut = cut.combine_chunks() if isinstance(cut, pa.ChunkedArray) else cut
         offsets = cut.offsets.to_numpy().astype("i8")
         offsets, parts = offsets - offsets[0], cut.flatten().dictionary_encode()
-        words = parts.dictionary.to_pylist()
+        words = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
         enabled = gc.isenabled()
         gc.disable()  # many small objects without cycles
         try:
-            firsts = self._places(parts.take(pa.array(offsets[:-1])).to_pylist())
-            at = self._places([" " + w for w in words])[parts.indices.to_numpy()]
+            firsts = self.units.places(parts.take(pa.array(offsets[:-1])).to_pylist(), self._learn_units)
+            at = self.units.places([" " + w for w in words], self._learn_units)[parts.indices.to_numpy()]
         finally:
             if enabled:
                 gc.enable()
         at[offsets[:-1]] = firsts
-        at = np.insert(at, offsets[1:], self.known[None])
-        lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        ids = self.ids[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1])]
+        at = np.insert(at, offsets[1:], self.units.known[None])
+        ids, ends = self.units.joined(at)
         return np.split(ids, ends[offsets[1:] + np.arange(len(lines))][:-1])
 
 

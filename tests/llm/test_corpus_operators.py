@@ -2,10 +2,12 @@
 neighbours and the pipeline, each against a brute-force version."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +122,24 @@ def test_encoder_equals_the_whole_model():
     assert got == want
 
 
+def test_pieces_are_merged_once_however_many_units_hold_them():
+    ends = ["".join(p) for n in (1, 2, 3) for p in itertools.product(".,!?;", repeat=n)]
+    words = ["".join(p) for p in itertools.product("abcd", repeat=2)]
+    lines = [f"x {w}{e}" for e in ends for w in words]
+    encoder, merged = token_files.Encoder(queries.tokenizer_path(), keep=600), []
+    model = encoder.model
+
+    def merge(piece):
+        merged.append(piece)
+        return model.model.tokenize(piece)
+
+    encoder.model = SimpleNamespace(model=SimpleNamespace(tokenize=merge), encode_batch_fast=model.encode_batch_fast)
+    got = [ids.tolist() for i in range(0, len(lines), 50) for ids in encoder.encode(lines[i : i + 50])]
+    assert got == [e.ids + [0] for e in model.encode_batch(lines, add_special_tokens=False)]
+    # x stands without and with a space
+    assert len(merged) == len(set(merged)) == 2 + len(words) + len(ends) and len(encoder.units.known) < 600
+
+
 def test_token_query_round_trip(spark):
     rows = list(texts_of(spark, SF001).items())
     got = [tuple(r) for r in queries.op6_token_files(spark, SF001).orderBy("doc_id").collect()]
