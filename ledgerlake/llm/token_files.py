@@ -59,13 +59,32 @@ END_ID = 0
 #: White space after a space, wherever any version of Unicode sees some.
 _SPACE_RUN = r" [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
-# The splitting pattern of such models, for characters whose class
-# every version of Unicode agrees on (no apostrophes, which begin contractions).
+# What the splitting pattern of such models tells apart, for characters
+# whose class every version of Unicode agrees on (no apostrophes, which begin
+# contractions).  Classes of bytes: the letters beyond ASCII are two bytes long and
+# begin with C3 to C9; _classes takes out those that are no letters.
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PLAIN = re.compile(rf"[ \n!-&(-~{_L}]+")
-_PIECE = re.compile(rf" ?[{_L}]+| ?[0-9]+| ?[^\s0-9{_L}]+|\s+(?!\S)|\s+")
+_ODD, _SPACE, _LINE, _DIGIT, _LETTER, _MARK = range(6)
 
-#: Between pieces that are spelled together; no plain character.
+
+def _class(byte: int) -> int:
+    char = chr(byte)
+    if 0x80 <= byte < 0xC0 or 0xC3 <= byte <= 0xC9 or char.isascii() and char.isalpha():
+        return _LETTER
+    if char in " \n":
+        return _SPACE if char == " " else _LINE
+    if char.isascii() and char.isdigit():
+        return _DIGIT
+    return _MARK if "!" <= char <= "~" and char != "'" else _ODD
+
+
+_CLASSES = bytes(map(_class, range(256)))
+
+#: Bytes of text that are cut at once.
+PORTION_BYTES = 8 << 20
+
+#: Between units that are spelled together; no plain character.
 _BETWEEN = "\t"
 
 
@@ -110,17 +129,47 @@ class Table:
         return self.ids[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(lengths.sum())], ends
 
 
+def _classes(data: bytes) -> np.ndarray:
+    """The class of each byte of valid UTF-8."""
+    found = np.frombuffer(data.translate(_CLASSES), "u1")
+    if not data.isascii():
+        found, byte = found.copy(), np.frombuffer(data, "u1")
+        before, after = byte[:-1], byte[1:]
+        # the signs of multiplication and division; letters after U+024F
+        found[1:][(before == 0xC3) & ((after == 0x97) | (after == 0xB7)) | (before == 0xC9) & (after >= 0x90)] = _ODD
+    return found
+
+
+def _cuts(data: bytes) -> np.ndarray:
+    """Where the units of a text begin.  It must begin with a space, as each
+    space begins a unit.  What stands from one space to the next is left whole
+    unless all of it is plain; then it is cut by the model's own pattern."""
+    kind = _classes(data)
+    space, line = kind == _SPACE, kind == _LINE
+    begins = space.copy()
+    begins[1:] |= (kind[1:] != kind[:-1]) & (~space[:-1] | line[1:])
+    # the last of many line ends stands alone if a character follows
+    begins[1:-1] |= line[:-2] & line[1:-1] & ~line[2:] & ~space[2:]
+    cuts = np.flatnonzero(begins)
+    odd = np.flatnonzero(kind == _ODD)
+    if len(odd):
+        opens = space[cuts]
+        whole = np.zeros(int(opens.sum()), bool)
+        whole[np.searchsorted(cuts[opens], odd, "right") - 1] = True
+        cuts = cuts[opens | ~whole[np.cumsum(opens) - 1]]
+    return cuts
+
+
 class Encoder:
     """Whole texts to ids with a byte-level ``tokenizers`` model.
 
     Such a model never joins what stands before a space with the space and the
-    mark after it.  So a text's ids are those of its units, cut there, one after
-    the other.  A new unit of plain characters is cut by the model's own pattern,
-    and each piece goes to the model's merges in its spelling of bytes; other
-    units go through the whole model.  Units and pieces repeat: their ids stay in
-    two tables of ``keep`` names together.  Most new units consist
-    of known pieces, so the pieces have the larger share; each table starts anew
-    beyond its own."""
+    mark after it, nor pieces that its splitting pattern tells apart.  So a text's
+    ids are those of its units (see :func:`_cuts`) one after the other.  The texts
+    of a portion are cut together, and each distinct unit is looked up once.  A
+    new unit of plain characters goes to the model's merges in its spelling of
+    bytes; other units go through the whole model.  Units repeat: their ids stay
+    in a table, which starts anew beyond ``keep`` units or eight times as many ids."""
 
     def __init__(self, path: str, end_id: int = END_ID, keep: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -129,37 +178,24 @@ class Encoder:
         self.model, self.end_id, self.keep = Tokenizer.from_file(path), end_id, keep
         self.spelling = {b: c for b, c in byte_spelling().items() if b != ord(_BETWEEN)}
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.units, self.pieces = self._new_units(), Table()
+        self.units = self._new_units()
 
     def _new_units(self) -> Table:
         units = Table()
         units.add([None], np.ones(1, "i8"), np.array([self.end_id]))
         return units
 
-    def _clear(self) -> None:
-        if len(self.pieces.known) > self.keep * 2 // 3:
-            self.pieces = Table()
-        if len(self.units.known) > self.keep // 3:
-            self.units = self._new_units()
-
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        merge, ids, lengths = self.model.model.tokenize, [], []
-        for spelled in _BETWEEN.join(pieces).encode().decode("latin-1").translate(self.spelling).split(_BETWEEN):
-            found = merge(spelled)
-            lengths.append(len(found))
-            ids += [t.id for t in found]
-        self.pieces.add(pieces, np.array(lengths, "i8"), np.array(ids, "<u4"))
-
-    def _learn_units(self, units: list[str]) -> None:
+    def _learn(self, units: list[str]) -> None:
         plain = list(map(_PLAIN.fullmatch, units))
         rest = [u for u, p in zip(units, plain) if p is None]
         units = [u for u, p in zip(units, plain) if p is not None]
         if units:
-            cut = list(map(_PIECE.findall, units))
-            sizes = np.fromiter(map(len, cut), "i8", len(cut))
-            at = self.pieces.places(list(chain.from_iterable(cut)), self._learn_pieces)
-            ids, ends = self.pieces.joined(at)
-            self.units.add(units, np.diff(ends[np.cumsum(sizes) - 1], prepend=0), ids)
+            merge, ids, lengths = self.model.model.tokenize, [], []
+            for spelled in _BETWEEN.join(units).encode().decode("latin-1").translate(self.spelling).split(_BETWEEN):
+                found = merge(spelled)
+                lengths.append(len(found))
+                ids += [t.id for t in found]
+            self.units.add(units, np.array(lengths, "i8"), np.array(ids, "<u4"))
         if rest:
             found = [e.ids for e in self.model.encode_batch_fast(rest, add_special_tokens=False)]
             self.units.add(rest, np.fromiter(map(len, found), "i8", len(found)), np.fromiter(chain.from_iterable(found), "<u4"))
@@ -169,7 +205,6 @@ class Encoder:
         lines = pc.fill_null(lines if isinstance(lines, (pa.Array, pa.ChunkedArray)) else pa.array(lines, pa.string()), "")
         if not len(lines):
             return []
-        self._clear()
         # a space before white space stays with what stands before it, and a
         # special token may hold a space: such texts go through the whole model
         odd = pc.match_substring_regex(lines, _SPACE_RUN)
@@ -183,28 +218,37 @@ class Encoder:
         for i, e in zip(whole.tolist(), found):
             out[i] = np.concatenate([np.array(e.ids, "<u4"), end])
         if len(even):
-            for i, ids in zip(even.tolist(), self._spaced(lines.take(pa.array(even)))):
-                out[i] = ids
+            lines = lines.take(pa.array(even)).cast(pa.binary())
+            lines = lines.combine_chunks() if isinstance(lines, pa.ChunkedArray) else lines
+            portion = np.cumsum(pc.binary_length(lines).to_numpy(zero_copy_only=False).astype("i8")) // PORTION_BYTES
+            for at in np.split(np.arange(len(even)), np.flatnonzero(np.diff(portion)) + 1):
+                for i, ids in zip(even[at].tolist(), self._spaced(lines.slice(at[0], len(at)).to_pylist())):
+                    out[i] = ids
         return out
 
-    def _spaced(self, lines) -> list[np.ndarray]:
-        cut = pc.split_pattern(lines, " ")
-        cut = cut.combine_chunks() if isinstance(cut, pa.ChunkedArray) else cut
-        offsets = cut.offsets.to_numpy().astype("i8")
-        offsets, parts = offsets - offsets[0], cut.flatten().dictionary_encode()
-        words = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+    def _spaced(self, lines: list[bytes]) -> list[np.ndarray]:
+        if len(self.units.known) > self.keep or self.units.used > self.keep * 8:
+            self.units = self._new_units()
+        # a space before each text ends the one before; the first unit of a text is looked up without it
+        data = b" ".join([b"", *lines])
+        cuts = _cuts(data)
+        sizes = np.fromiter(map(len, lines), "i8", len(lines)) + 1
+        first = np.searchsorted(cuts, np.cumsum(sizes) - sizes)
+        ends = pa.py_buffer(np.append(cuts, len(data)).astype("i4"))
+        units = pa.StringArray.from_buffers(len(cuts), ends, pa.py_buffer(data)).dictionary_encode()
+        names, index = units.dictionary.to_numpy(zero_copy_only=False).tolist(), units.indices.to_numpy()
         enabled = gc.isenabled()
         gc.disable()  # many small objects without cycles
         try:
-            firsts = self.units.places(parts.take(pa.array(offsets[:-1])).to_pylist(), self._learn_units)
-            at = self.units.places([" " + w for w in words], self._learn_units)[parts.indices.to_numpy()]
+            at = self.units.places(names + [names[i][1:] for i in index[first].tolist()], self._learn)
         finally:
             if enabled:
                 gc.enable()
-        at[offsets[:-1]] = firsts
-        at = np.insert(at, offsets[1:], self.units.known[None])
-        ids, ends = self.units.joined(at)
-        return np.split(ids, ends[offsets[1:] + np.arange(len(lines))][:-1])
+        at, firsts = at[index], at[len(names) :]
+        at[first] = firsts
+        last = np.append(first[1:], len(at))
+        ids, ends = self.units.joined(np.insert(at, last, self.units.known[None]))
+        return np.split(ids, ends[last + np.arange(len(lines))][:-1])
 
 
 def byte_spelling() -> dict[int, str]:

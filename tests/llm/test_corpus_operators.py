@@ -140,6 +140,35 @@ def test_pieces_are_merged_once_however_many_units_hold_them():
     assert len(merged) == len(set(merged)) == 2 + len(words) + len(ends) and len(encoder.units.known) < 600
 
 
+def test_words_with_marks_are_cut_into_units_that_repeat():
+    ends = ["".join(p) for n in (1, 2, 3) for p in itertools.product(".,!?;", repeat=n)] + [".\n", "\n", "1"]
+    words = ["".join(p) for p in itertools.product("abcdé", repeat=2)]
+    lines = [f"x {w}{e}" for e in ends for w in words] + ["x don't.\n×", "x aa\n\nbb"]
+    encoder = token_files.Encoder(queries.tokenizer_path())
+    got = [ids.tolist() for ids in encoder.encode(lines)]
+    assert got == [e.ids + [0] for e in encoder.model.encode_batch(lines, add_special_tokens=False)]
+    # 25 words and 158 ends, not all their pairs; what is not plain stays whole
+    assert set(encoder.units.known) - {None, "x", " x"} == {" " + w for w in words} | set(ends) - {".\n"} | {" don't.\n×", "bb"}
+
+
+def test_texts_are_cut_like_the_models_own_pattern(monkeypatch):
+    rng = random.Random(11)
+    plain = [" a", "b", "Z", "é", "ß", "ɏ", "ÿ", "\n", "1", "9", ".", "~", "&", "("]
+    lines = ["".join(rng.choices(plain + ["×", "÷", "ɐ", "'s", "\t", "中"] * (i % 2), k=rng.randint(0, 12))) for i in range(4000)] + ["", None, " ", "\n\n", "a "]
+    encoder = token_files.Encoder(queries.tokenizer_path(), keep=500)
+    want = [e.ids + [0] for e in encoder.model.encode_batch([t or "" for t in lines], add_special_tokens=False)]
+    for size in (1, 100, 8 << 20):
+        monkeypatch.setattr(token_files, "PORTION_BYTES", size)
+        assert [ids.tolist() for ids in encoder.encode(lines)] == want
+
+
+def test_table_of_units_is_bounded_by_their_ids():
+    encoder = token_files.Encoder(queries.tokenizer_path(), keep=100)
+    for i in range(20):
+        encoder.encode([f"{chr(0x4E00 + i)}" * 200])
+    assert encoder.units.used <= 800 + 600
+
+
 def test_token_query_round_trip(spark):
     rows = list(texts_of(spark, SF001).items())
     got = [tuple(r) for r in queries.op6_token_files(spark, SF001).orderBy("doc_id").collect()]
