@@ -30,7 +30,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -81,8 +81,8 @@ def _class(byte: int) -> int:
 
 _CLASSES = bytes(map(_class, range(256)))
 
-#: Bytes of text that are cut at once.
-PORTION_BYTES = 8 << 20
+#: Bytes of text that are cut at once; the arrays of a cut take many times as much.
+PORTION_BYTES = 1 << 20
 
 #: Between units that are spelled together; no plain character.
 _BETWEEN = "\t"
@@ -97,6 +97,7 @@ class Table:
         self.known: dict[str | None, int] = {}
         self.ids = np.zeros(1 << 16, "<u4")
         self.starts, self.lengths = np.zeros(1 << 14, "i8"), np.zeros(1 << 14, "i8")
+        self.again = np.zeros(1 << 14, bool)  # found when looked up, not learnt then
         self.used = 0
 
     def add(self, names: list, lengths: np.ndarray, ids: np.ndarray) -> None:
@@ -106,6 +107,7 @@ class Table:
         while at + len(names) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+            self.again = np.concatenate([self.again, np.zeros_like(self.again)])
         self.ids[self.used : self.used + total] = ids
         self.starts[at : at + len(names)] = self.used + np.cumsum(lengths) - lengths
         self.lengths[at : at + len(names)] = lengths
@@ -115,6 +117,7 @@ class Table:
     def places(self, names: list[str], learn: Callable[[list[str]], None]) -> np.ndarray:
         """Places of the names; those not known are learnt first."""
         at = np.fromiter(map(self.known.get, names, repeat(-1)), "i8", len(names))
+        self.again[at[at >= 0]] = True
         missing = np.flatnonzero(at < 0)
         if len(missing):
             new = [names[i] for i in missing.tolist()]
@@ -122,6 +125,13 @@ class Table:
             at[missing] = np.fromiter(map(self.known.__getitem__, new), "i8", len(new))
         return at
 
+    def met_again(self) -> Table:
+        """A table of the names that were found when looked up; places are new."""
+        kept, found = Table(), self.again[: len(self.known)]
+        at = np.flatnonzero(found)
+        kept.add(list(compress(self.known, found.tolist())), self.lengths[at], self.joined(at)[0])
+        return kept
+
     def joined(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the names at these places one after the other, and where each name's end."""
         lengths = self.lengths[at]
@@ -169,9 +179,10 @@ class Encoder:
     of a portion are cut together, and each distinct unit is looked up once.  A
     new unit of plain characters goes to the model's merges in its spelling of
     bytes; other units go through the whole model.  Units repeat: their ids stay
-    in a table, which starts anew beyond ``keep`` units or eight times as many ids."""
+    in a table.  Beyond ``keep`` units or eight times as many ids it drops those not
+    met again since it last did, and starts anew if over half of either is left."""
 
-    def __init__(self, path: str, end_id: int = END_ID, keep: int = 900_000):
+    def __init__(self, path: str, end_id: int = END_ID, keep: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -185,6 +196,13 @@ class Encoder:
         units.add([None], np.ones(1, "i8"), np.array([self.end_id]))
         return units
 
+    def _make_room(self) -> None:
+        units, keep = self.units, self.keep
+        if len(units.known) > keep or units.used > keep * 8:
+            units.again[units.known[None]] = True
+            fit = np.count_nonzero(units.again) <= keep // 2 and units.lengths[units.again].sum() <= keep * 4
+            self.units = units.met_again() if fit else self._new_units()
+
     def _learn(self, units: list[str]) -> None:
         plain = list(map(_PLAIN.fullmatch, units))
         rest = [u for u, p in zip(units, plain) if p is None]
@@ -227,8 +245,7 @@ class Encoder:
         return out
 
     def _spaced(self, lines: list[bytes]) -> list[np.ndarray]:
-        if len(self.units.known) > self.keep or self.units.used > self.keep * 8:
-            self.units = self._new_units()
+        self._make_room()
         # a space before each text ends the one before; the first unit of a text is looked up without it
         data = b" ".join([b"", *lines])
         cuts = _cuts(data)
@@ -392,6 +409,8 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_co
                 first = last if first is None else first
                 writer.add(last, ids)
                 n_docs, n_tokens = n_docs + 1, n_tokens + len(ids)
+        # the worker goes on to other tasks, which should not add theirs to what Arrow keeps
+        pa.default_memory_pool().release_unused()
         if writer is not None:
             writer.close()
             out.close()

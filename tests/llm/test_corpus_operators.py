@@ -169,6 +169,38 @@ def test_table_of_units_is_bounded_by_their_ids():
     assert encoder.units.used <= 800 + 600
 
 
+def test_table_of_units_keeps_those_met_again():
+    encoder, learnt = token_files.Encoder(queries.tokenizer_path(), keep=300), []
+    learn = encoder._learn
+    encoder._learn = lambda units: (learnt.extend(units), learn(units))
+    model = encoder.model
+    for i in range(30):
+        lines = [f"the same words {i * 40 + j:x}z" for j in range(40)]
+        assert [ids.tolist() for ids in encoder.encode(lines)] == [e.ids + [0] for e in model.encode_batch(lines, add_special_tokens=False)]
+        assert len(encoder.units.known) <= 300 + 100
+    assert learnt.count(" same") == learnt.count(" words") == learnt.count("the") == 1
+
+
+def test_table_of_units_starts_anew_if_most_are_met_again():
+    encoder = token_files.Encoder(queries.tokenizer_path(), keep=100)
+    for i in range(20):
+        lines = [" ".join(f"{chr(97 + (i + k) % 20)}{j}" for j in range(60)) for k in range(2)]
+        for _ in range(2):
+            assert [ids.tolist() for ids in encoder.encode(lines)] == [e.ids + [0] for e in encoder.model.encode_batch(lines, add_special_tokens=False)]
+    assert len(encoder.units.known) <= 100 + 200
+
+
+def test_table_of_units_takes_a_bounded_part_of_a_workers_memory():
+    encoder, most = token_files.Encoder(queries.tokenizer_path()), 0
+    letters = [chr(97 + i) for i in range(26)]
+    words = ["".join(p) for p in itertools.product(letters, repeat=4)][:400_000]
+    for i in range(0, len(words), 50_000):
+        encoder.encode([" ".join(words[i : i + 50_000])])
+        most = max(most, len(encoder.units.known))
+    # two workers of an executor hold one each, beside what the JVM takes
+    assert most <= 300_000 and token_files.PORTION_BYTES <= 2 << 20
+
+
 def test_token_query_round_trip(spark):
     rows = list(texts_of(spark, SF001).items())
     got = [tuple(r) for r in queries.op6_token_files(spark, SF001).orderBy("doc_id").collect()]
