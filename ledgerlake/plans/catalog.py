@@ -998,10 +998,10 @@ def q_similar_pairs(spark, sf):
     m = staged(C.frequent_merchants(adapters.supplier_transactions(spark, sf)).select("clean_merchant"), "frequent")
     left = m.select(F.col("clean_merchant").alias("a"), F.col("clean_merchant").alias("a_text"))
     right = m.select(F.col("clean_merchant").alias("b"), F.col("clean_merchant").alias("b_text"))
-    pairs = similar_pairs(left, right, threshold=0.85, left_id="a", left_text="a_text", right_id="b", right_text="b_text").where(F.col("a") != F.col("b"))
+    pairs = similar_pairs(left, right, threshold=0.85, left_id="a", left_text="a_text", right_id="b", right_text="b_text", nearest=True)
     return pairs.groupBy(F.col("a").alias("clean_merchant")).agg(
-        F.count(F.lit(1)).alias("similar_merchants"),
-        F.min_by("b", F.struct(-F.col("score"), F.col("b"))).alias("nearest"),
+        F.sum("others").alias("similar_merchants"),
+        F.min_by("b_text", F.struct(-F.col("score"), F.col("b_text"))).alias("nearest"),
         F.max("score").alias("score"),
     )
 
